@@ -19,34 +19,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .quality_rules import with_statistics
+from .quality_rules import let
+from .quality_rules import statistics as rule_statistics
 
 #: Labelled rows to fit on at most: 20,000 rows of about 16 doubles are 3 MB on the driver.
 MAX_ROWS = 20_000
 
 
-def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
-    """docs with one array column __x of document statistics, and their names."""
+#: Names of the statistics, in order.
+NAMES = "words word_length symbols repeated_lines repeated_words line_words stop_words exclaims upper digits stops".split()
+
+
+def statistics(text: str = "text") -> Column:
+    """array<double> of a document's statistics, computed once for a row."""
     body = text_of(text)
     kept = lambda pattern: F.length(F.regexp_replace(body, pattern, "")).cast("double")
-    extra = docs.withColumns({"__upper": kept(r"[^\p{Lu}]+"), "__digit": kept(r"[^0-9]+"), "__stop": kept(r"[^.?!,;:]+"), "__chars": F.length(body).cast("double")})
-    counted, n, c = with_statistics(extra, text), F.col("n_words"), F.col("__chars")
-    per = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), b.cast("double")), F.lit(0.0))
-    named = {
-        "words": F.log1p(n.cast("double")),
-        "word_length": per("word_chars", n),
-        "symbols": per("n_symbols", n),
-        "repeated_lines": per("n_dup_lines", F.col("n_lines")),
-        "repeated_words": per("n_repeat_words", n),
-        "line_words": per("n_words", F.col("n_lines")),
-        "stop_words": per("n_stop_words", n),
-        "exclaims": per("n_exclaims", n),
-        "upper": per("__upper", c),
-        "digits": per("__digit", c),
-        "stops": per("__stop", n),
-    }
-    out = counted.withColumn("__x", F.array(*named.values()))
-    return out.drop("__upper", "__digit", "__stop", "__chars", *[k for k in with_statistics(docs.limit(0), text).columns if k not in docs.columns]), list(named)
+
+    def measured(s: Column) -> Column:
+        per = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+        n, chars = s["n_words"], F.length(body)
+        shares = [("word_chars", n), ("n_symbols", n), ("n_dup_lines", s["n_lines"]), ("n_repeat_words", n), ("n_words", s["n_lines"]), ("n_stop_words", n), ("n_exclaims", n)]
+        return F.array(F.log1p(n.cast("double")), *[per(s[a], b) for a, b in shares], per(kept(r"[^\p{Lu}]+"), chars), per(kept(r"[^0-9]+"), chars), per(kept(r"[^.?!,;:]+"), n))
+
+    return let(rule_statistics(body), measured)
 
 
 @dataclass
@@ -123,14 +118,14 @@ def learn(docs: DataFrame, labels: DataFrame, rows: Column | None = None, label:
     """A forest for P(label = 1), fitted on the `max_rows` labelled documents (among `rows`) with the smallest hash of their key."""
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.lit(True) if rows is None else rows))
     chosen = chosen.groupBy(key).agg((F.min(label) > 0).cast("int").alias("__y")).orderBy(F.xxhash64(key), key).limit(max_rows)
-    known, names = statistics(docs.select(key, text).join(F.broadcast(chosen), key), text)  # at most max_rows keys
+    known = docs.select(key, text).join(F.broadcast(chosen), key).withColumn("__x", statistics(text))  # at most max_rows keys
     data = known.select("__x", "__y").orderBy(F.xxhash64(key), key).limit(max_rows).collect()  # statistics alone
-    return fit(np.array([r[0] for r in data]).reshape(-1, len(names)), np.array([r[1] for r in data]))
+    return fit(np.array([r[0] for r in data]).reshape(-1, len(NAMES)), np.array([r[1] for r in data]))
 
 
 def score(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
     """docs with score: P(label = 1)."""
-    known, _ = statistics(docs.drop("score"), text)
+    known = docs.drop("score").withColumn("__x", statistics(text))
     kept = [f for f in known.schema.fields if f.name != "__x"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

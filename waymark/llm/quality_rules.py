@@ -1,7 +1,7 @@
 """Quality rules: a threshold table compiled into one projection. No user functions; the plan is a scan and a projection.
 
 Null and empty texts: all counts 0, so they fail on length. Repeated rows: each is judged alone. Empty tables: empty result.
-Extra columns pass through `with_statistics`; its own columns replace any of the same name. Very long texts: linear in their length.
+Extra columns pass through `judge`; its own columns replace any of the same name. Very long texts: linear in their length.
 """
 
 from __future__ import annotations
@@ -31,7 +31,10 @@ THRESHOLDS: list[tuple[str, str, float | None, float | None]] = [
 ]
 
 
-def _let(value: Column, body) -> Column:
+STATISTICS = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_stop_words n_exclaims".split()
+
+
+def let(value: Column, body) -> Column:
     """body(value), with value computed once for each row."""
     return F.transform(F.array(value), body)[0]
 
@@ -51,52 +54,64 @@ def repeat_words(words: Column, width: int = 8) -> Column:
             gap = F.transform(p, lambda i, k: F.least(F.lit(width), F.coalesce(F.get(p, k + 1) - i, F.lit(width))))
             return F.aggregate(gap, F.lit(0).cast("long"), lambda a, x: a + x)
 
-        return _let(ordered, lambda s: _let(starts(s), total))
+        return let(ordered, lambda s: let(starts(s), total))
 
     at = F.sequence(F.lit(1), F.size(words) - (width - 1))
     hashes = F.transform(at, lambda i: F.xxhash64(F.slice(words, i, width)))
-    found = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
+    found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
     return F.when(F.size(words) > width, found).otherwise(F.lit(0).cast("long"))
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words and n_exclaims (all long)."""
-    body = text_of(text)
+def statistics(body: Column) -> Column:
+    """struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words and n_exclaims (all long) of a text."""
+    drop = lambda pattern: F.length(F.regexp_replace(body, pattern, "")).cast("long")
+
+    def counted(words: Column, lines: Column) -> Column:
+        counts = {
+            "n_words": F.size(words),
+            "word_chars": drop(SPACE),
+            "n_symbols": drop(r"[^#*$%&|<>]+"),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": repeat_words(words),
+            "n_lines": F.size(lines),
+            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))),
+            "n_exclaims": drop(r"[^!]+"),
+        }
+        return F.struct(*[c.cast("long").alias(k) for k, c in counts.items()])
+
     words = F.filter(F.split(body, SPACE), lambda w: w != "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    stop = F.filter(F.col("__words"), lambda w: F.lower(w).isin(STOP_WORDS))
-    drop = lambda pattern: F.length(F.regexp_replace(body, pattern, "")).cast("long")
-    counts = {
-        "n_words": F.size("__words").cast("long"),
-        "word_chars": drop(SPACE),
-        "n_symbols": drop(r"[^#*$%&|<>]+"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("__words")),
-        "n_lines": F.size("__lines").cast("long"),
-        "n_stop_words": F.size(stop).cast("long"),
-        "n_exclaims": drop(r"[^!]+"),
-    }
-    return docs.withColumns({"__words": words, "__lines": lines}).withColumns(counts).drop("__words", "__lines")
-
-
-def verdict(table=THRESHOLDS) -> Column:
-    """The table as one boolean column; a measure over nothing (0 / 0) passes."""
+    return let(words, lambda w: let(lines, lambda x: counted(w, x)))
+
+
+def verdict(s: Column, table=THRESHOLDS) -> Column:
+    """The table as one boolean over a struct of statistics; a measure over nothing (0 / 0) passes."""
     kept = F.lit(True)
     for _, measure, least, most in table:
         top, _, under = measure.partition(" / ")
-        value = F.try_divide(F.col(top).cast("double"), F.col(under).cast("double")) if under else F.col(top)
+        value = F.try_divide(s[top].cast("double"), s[under].cast("double")) if under else s[top]
         for bound, holds in ((least, lambda v, b: v >= b), (most, lambda v, b: v <= b)):
             if bound is not None:
                 kept = kept & F.coalesce(holds(value, F.lit(bound)), F.lit(True))
     return kept
 
 
+def judgement(text: str = "text", table=THRESHOLDS) -> Column:
+    """struct of the statistics, base_failed and kept, each computed once for a row wherever the column is used."""
+
+    def judged(s: Column) -> Column:
+        failed = (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
+        return F.struct(*[s[n].alias(n) for n in STATISTICS], failed.alias("base_failed"), (~failed & verdict(s, table)).alias("kept"))
+
+    return let(statistics(text_of(text)), judged)
+
+
 def judge(docs: DataFrame, text: str = "text", table=THRESHOLDS) -> DataFrame:
     """docs with the statistics, base_failed and kept."""
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return with_statistics(docs, text).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(table))
+    made = [*STATISTICS, "base_failed", "kept"]
+    return docs.drop(*made).withColumn("__j", judgement(text, table)).select("*", *[F.col(f"__j.{n}").alias(n) for n in made]).drop("__j")
 
 
 def kept_documents(docs: DataFrame, text: str = "text", table=THRESHOLDS) -> DataFrame:
     """The rows that the rules keep, with docs' own columns only."""
-    return judge(docs.withColumn("__own", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), text, table).where("kept").select("__own.*")
+    return docs.where(judgement(text, table)["kept"])
