@@ -50,6 +50,8 @@ class Encoder:
         self.matches.update(zip(found, (np.array([t.id for t in ts], "<u4").tobytes() if len(ts) > 3 else b"".join([t.id.to_bytes(4, "little") for t in ts]) for ts in tokens), strict=True))
 
     def _ids_of_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        if not chunks:
+            return {}
         found = self.split(" " + " ".join(chunks))
         known = self.matches
         fresh = [m for m in set(found) if m not in known]

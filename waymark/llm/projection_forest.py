@@ -3,11 +3,13 @@
 Fit: trees are grown on the driver over a sample of at most `sample_rows` vectors (smallest hash of the vector). Each inner node splits
 at the median of a random direction. Index: every distinct vector is sent down every tree to one leaf; equal vectors are one entry
 with their k + 1 smallest ids, which is all that any query can use of them. Search: for each query the nodes of all trees wait
-in one queue by their margin (how far the query is from the splits passed on the other side, at most); the best `probes` leaves are visited. Rerank: vectors
+in one queue by the sum of the squared margins of the splits at which the query lies on the other side; the best `probes` leaves are visited. Rerank: vectors
 and visiting queries meet by leaf, distances are exact in double precision, each leaf gives a query its best k + 1 entries, and each
 query keeps the best of all its leaves.
 
-A leaf that many vectors share is dealt over salted parts by vector hash, and its queries to all those parts, so no task gets a whole hot leaf.
+Leaves grow with the table, as the sample is bounded; a leaf's vectors are dealt over parts of about part_rows by their hash, and its queries
+to all parts. The share of leaves visited sets the recall: with the defaults about a third of all vectors are reranked for a query, which data
+without clusters need for a recall of 0.95 (measured over 50,000 such vectors of 64 numbers).
 
 Vectors that are null, zero or hold null or non-finite components take no part. Vectors of another length than `dim`: neither. Repeated ids:
 each row is a candidate; a query id that occurs twice is searched once for each vector. Empty table: no rows.
@@ -79,7 +81,7 @@ def visit(forest: list[Tree], q: np.ndarray, probes: int) -> list[tuple[int, int
         while node >= 0:
             side = float(tree.direction[node] @ q - tree.cut[node])
             near = int(side > 0)
-            heapq.heappush(queue, (max(far, abs(side)), t, int(tree.child[node, 1 - near])))
+            heapq.heappush(queue, (far + side * side, t, int(tree.child[node, 1 - near])))
             node = int(tree.child[node, near])
         out.append((t, ~node))
     return out
@@ -96,7 +98,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, queries: Column, k: int = 10, trees: int = 4, leaf_rows: int = 16, probes: int = 24, sample_rows: int = 16_000, parts: int = 4, key: str = "vec_id", vector: str = "embedding", seed: int = 7
+    vectors: DataFrame, queries: Column, k: int = 10, trees: int = 4, leaf_rows: int = 64, probes: int = 192, sample_rows: int = 16_000, part_rows: int = 20_000, key: str = "vec_id", vector: str = "embedding", seed: int = 7
 ) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): the k nearest found of each row where `queries` holds, by Euclidean distance, ties to the smaller id."""
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("q")).where("id is not null")
@@ -115,13 +117,15 @@ def search(
     sample = distinct.orderBy("cls", "v").limit(sample_rows).select("v").collect()  # at most sample_rows vectors
     data = np.array([r[0] for r in sample])
     forest = [grow(data, leaf_rows, seed + t) for t in range(trees)]
+    parts = 1 + distinct.count() // (part_rows * min(t.leaves for t in forest))
+    store = "<f4" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "<f8"  # as exact as the input
     kept = spark.sparkContext.broadcast(forest)  # at most trees x sample_rows / leaf_rows x 2 nodes
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column("v"), dim)
             part = np.abs(b.column("cls").to_numpy() % parts).astype(np.int32)
-            packed = pa.array([r.tobytes() for r in x], pa.binary())
+            packed = pa.array([r.tobytes() for r in x.astype(store)], pa.binary())
             for t, tree in enumerate(kept.value):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(leaf_of(tree, x).astype(np.int32)), pa.array(part), packed, b.column("ids")], ["tree", "leaf", "part", "x", "ids"])
 
@@ -129,7 +133,7 @@ def search(
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("tree", "leaf", "part", "x", "h1", "h2")}
             for h1, h2, q in zip(b.column("h1").to_pylist(), b.column("h2").to_pylist(), _matrix(b.column("v"), dim), strict=True):
-                raw = q.tobytes()
+                raw = q.astype(store).tobytes()
                 for t, leaf in visit(kept.value, q, probes):
                     for p in range(parts):
                         for c, value in zip(out, (t, leaf, p, raw, h1, h2), strict=True):
@@ -141,12 +145,12 @@ def search(
         none = pa.table({"h1": pa.array([], pa.int64()), "h2": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int64()))})
         if not left.num_rows or not right.num_rows:
             return none
-        x = np.frombuffer(b"".join(left.column("x").to_pylist()), np.float64).reshape(-1, dim)
+        x = np.frombuffer(b"".join(left.column("x").to_pylist()), store).astype(np.float64).reshape(-1, dim)
         lists = left.column("ids").combine_chunks()
         low = np.array([i[0] for i in lists.to_pylist()])
         of, at, far = [], [], []
         for i, raw in enumerate(right.column("x").to_pylist()):
-            d = np.sqrt(((x - np.frombuffer(raw, np.float64)) ** 2).sum(axis=1))
+            d = np.sqrt(((x - np.frombuffer(raw, store)) ** 2).sum(axis=1))
             near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
             best = near[np.lexsort((low[near], d[near]))][: k + 1]
             of += [i] * len(best)
