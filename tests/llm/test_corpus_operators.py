@@ -49,6 +49,11 @@ def test_words_are_runs_between_ascii_space():
     texts = [t for _, t, *_ in ODD]
     _, counts = word_hashes(pa.array(texts))
     assert counts.tolist() == [len(WORD.findall(t or "")) for t in texts]
+    plain = [f"Wörd{i} ABC {'x' * (i % 7)}" for i in range(50)]
+    whole, part = pa.array(plain), word_hashes(pa.array(plain[13:40]))
+    for kind in (pa.string(), pa.large_string()):  # slices, as blocks cuts them
+        hashes, counts = word_hashes(whole.cast(kind).slice(13, 27))
+        assert hashes.tolist() == part[0].tolist() and counts.tolist() == part[1].tolist()
 
 
 def brute_rules(text):

@@ -47,8 +47,9 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, words of each text). A-Z count as a-z; null counts as empty."""
     import xxhash
 
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lists = pc.ascii_split_whitespace(texts)
+    # taken anew first: pyarrow 23's ascii_lower misreads some slices
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts).cast(pa.large_string()))
     words, of = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
     coded = words.dictionary_encode()
     table = coded.dictionary.to_pylist()

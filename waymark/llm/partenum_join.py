@@ -7,7 +7,9 @@ that in some part at most one differs, and each part over n2 cells; each choice
 them has equal contents in both. Contents are summed hashes. A signature without contents is sent only by sets with so many empty
 ones that all agreeing signatures might be empty - then those of the partner are, too.
 
-Signatures travel packed, by hash range. A range gives back groups of nodes with a signature in common. To join a group of copies it isn't necessary
+Signatures travel packed, by hash range. A range gives back groups of nodes with a signature in common. n1 has two parts to spare (sets of more than
+about 40), so similar sets agree in three parts; pairs of small groups must do so to stay candidates, which passages that
+many documents share hardly ever reach. To join a group of copies it isn't necessary
 to compare all its pairs: each node is first compared with the neighbour that most nodes share signatures with; what that links is one
 component; then only pairs of a group that lie in different components are compared. All comparisons are exact, on whole sets. Nodes of
 one signature are one array in one task: 8 bytes for each distinct set (equal sets of a block are sent once).
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import blocks, connected_components, mix, staged, text_of, word_hashes
 
 WIDTH = 5
+#: Bytes of text to a block; a task holds about forty times as much while it makes signatures.
+BLOCK = 5 << 20
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +88,19 @@ class Bands:
         return np.searchsorted(self.low, sizes, side="right") - 1
 
 
-def signatures(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) of all sets; hashes: the elements of all sets in a row."""
+#: Part number of a signature that is enough by itself.
+ALONE = 0xFFFF
+#: Groups of more nodes are given back whole; of smaller ones, pairs with enough parts in common.
+SMALL = 8
+
+
+def signatures(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, part) of all sets; hashes: the elements of all sets in a row.
+
+    Where an instance has two spare parts, similar sets agree in three parts at least; its signatures tell their part.
+    """
     bands = Bands(int(sizes.max(initial=1)))
-    own, out_of, out_sig = bands.of(np.maximum(sizes, 1)), [], []
+    own, out_of, out_sig, out_part = bands.of(np.maximum(sizes, 1)), [], [], []
     strong = mix(hashes, np.full(len(hashes), 11, np.uint64))
     owner = np.repeat(np.arange(len(sizes)), sizes)
     for below in (0, 1):
@@ -119,11 +132,14 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
         risky = np.bincount(np.repeat(np.arange(len(sizes)), n1), weights=hollow, minlength=len(sizes)) >= good
         send = ~empty | risky[set_of]
         place = (np.arange(total) - base[set_of]).astype(np.uint64) + (band[set_of].astype(np.uint64) << np.uint64(32))
+        number = (np.arange(total) - base[set_of]) // n2[set_of]
+        number = np.where((good[set_of] >= 3) & (n1[set_of] < ALONE), number, ALONE)
+        out_part.append(number[send])
         out_of.append(set_of[send])
         out_sig.append(mix(mix(without, place), many[part_at].astype(np.uint64) - count.astype(np.uint64))[send])
     if not out_of:
-        return np.array([], int), np.array([], np.uint64)
-    return np.concatenate(out_of), np.concatenate(out_sig)
+        return np.array([], int), np.array([], np.uint64), np.array([], int)
+    return np.concatenate(out_of), np.concatenate(out_sig), np.concatenate(out_part)
 
 
 def _sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,19 +150,19 @@ def _sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _read(rows: DataFrame, ranges: int) -> DataFrame:
-    """Of each row (d, n, sid); and packed signatures (range, sids, many, sigs) of each block."""
+    """Of each row (d, n, sid); and packed signatures (range, sids, many, sigs, parts) of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["d", "n", "sid", "range", "sids", "many", "sigs"]
-        for b in blocks(batches, "t"):
+        names = ["d", "n", "sid", "range", "sids", "many", "sigs", "parts"]
+        for b in blocks(batches, "t", BLOCK):
             hashes, sizes, sid = _sets_of(b)
             none = lambda t, n=b.num_rows: pa.nulls(n, t)
-            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(sizes, pa.int64()), pa.array(sid), none(pa.int32()), none(pa.binary()), none(pa.binary()), none(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(sizes, pa.int64()), pa.array(sid), none(pa.int32()), *[none(pa.binary())] * 4], names)
             _, first = np.unique(sid, return_index=True)
             once = np.zeros(len(sid), bool)
             once[first] = True
             once &= ~b.column("d").is_null().to_numpy(zero_copy_only=False)
-            of, sig = signatures(hashes[np.repeat(once, sizes)], sizes[once])
+            of, sig, part = signatures(hashes[np.repeat(once, sizes)], sizes[once])
             at = ((sig >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(at, kind="stable")
             cut, sids = np.searchsorted(at[order], np.arange(ranges + 1)), sid[once]
@@ -155,41 +171,96 @@ def _read(rows: DataFrame, ranges: int) -> DataFrame:
                 if len(some):
                     which, many = np.unique(of[some], return_counts=True)
                     some = some[np.argsort(of[some], kind="stable")]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, b.schema.field("d").type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([r], pa.int32()), pa.array([sids[which].tobytes()]), pa.array([many.astype("<u4").tobytes()]), pa.array([sig[some].astype("<u4").tobytes()])], names)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, b.schema.field("d").type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([r], pa.int32()), pa.array([sids[which].tobytes()]), pa.array([many.astype("<u4").tobytes()]), pa.array([sig[some].astype("<u4").tobytes()]), pa.array([part[some].astype("<u2").tobytes()])], names)
 
     kind = rows.schema["d"].dataType.simpleString()
-    return rows.mapInArrow(run, f"d {kind}, n long, sid long, range int, sids binary, many binary, sigs binary")
-
-
-def _groups(_, table):
-    """Of one hash range: distinct groups of nodes that share a signature."""
-    cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
-    sid, sig = np.repeat(cat("sids", "<i8"), cat("many", "<u4")), cat("sigs", "<u4")
-    order = np.argsort(sig, kind="stable")
-    sig, sid = sig[order], sid[order]
-    twin = np.zeros(len(sig), bool)
-    twin[1:] = sig[1:] == sig[:-1]
-    keep = twin.copy()
-    keep[:-1] |= twin[1:]
-    sig, sid = sig[keep], sid[keep]
-    order = np.lexsort((sid, sig))
-    sig, sid = sig[order], sid[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
-    sig, sid = sig[new], sid[new]
-    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.array([], int)
-    size = np.diff(np.concatenate([starts, [len(sig)]]))
-    member = np.repeat(np.arange(len(starts)), size)
-    name = mix(sums(member, mix(sid.astype(np.uint64), np.full(len(sid), 5, np.uint64)), len(starts)), size.astype(np.uint64)) if len(starts) else np.array([], np.uint64)
-    several = np.flatnonzero(size > 1)
-    name, first = np.unique(name[several], return_index=True)
-    chosen = several[first]
-    keep = np.isin(member, chosen)
-    sid, member = sid[keep], member[keep]
-    chosen = np.sort(chosen)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[chosen])]), pa.int32()), pa.array(sid, pa.int64()))
-    names = mix(sums(np.searchsorted(chosen, member), mix(sid.astype(np.uint64), np.full(len(sid), 5, np.uint64)), len(chosen)), size[chosen].astype(np.uint64)) if len(chosen) else np.array([], np.uint64)
-    return pa.table({"g": pa.array(names.astype(np.int64)), "members": lists})
+    return rows.mapInArrow(run, f"d {kind}, n long, sid long, range int, sids binary, many binary, sigs binary, parts binary")
+
+
+def _pairs_of(sid: np.ndarray, starts: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, a, b) of all pairs of groups of up to SMALL nodes, a size at a time."""
+    for z in range(2, SMALL + 1):
+        at = np.flatnonzero(size == z)
+        for i in range(z):
+            for j in range(i + 1, z):
+                yield at, sid[starts[at] + i], sid[starts[at] + j]
+
+
+def _grouper(ranges: int):
+    def groups(_, table):
+        """Of one hash range: large groups of nodes that share a signature (members), and pairs of small ones, packed by hash of the pair (to, pairs)."""
+        cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
+        sid, sig, part = np.repeat(cat("sids", "<i8"), cat("many", "<u4")), cat("sigs", "<u4"), cat("parts", "<u2")
+        order = np.argsort(sig, kind="stable")
+        sig, sid, part = sig[order], sid[order], part[order]
+        twin = np.zeros(len(sig), bool)
+        twin[1:] = sig[1:] == sig[:-1]
+        keep = twin.copy()
+        keep[:-1] |= twin[1:]
+        sig, sid, part = sig[keep], sid[keep], part[keep]
+        order = np.lexsort((sid, sig))
+        sig, sid, part = sig[order], sid[order], part[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
+        sig, sid, part = sig[new], sid[new], part[new]
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.array([], int)
+        size = np.diff(np.concatenate([starts, [len(sig)]])).astype(int)
+        # large groups, each membership once
+        large = np.flatnonzero(size > SMALL)
+        seen: dict[bytes, np.ndarray] = {}
+        for k in large.tolist():
+            m = sid[starts[k] : starts[k] + size[k]]
+            seen.setdefault(m.tobytes(), m)
+        names = [int(sums(np.zeros(len(m), int), mix(m.astype(np.uint64), np.full(len(m), 5, np.uint64)), 1).astype(np.int64)[0]) for m in seen.values()]
+        # pairs of small groups, with their part
+        found = [*_pairs_of(sid, starts, size)]
+        a, b = (np.concatenate([f[i] for f in found]) for i in (1, 2))
+        where = part[starts[np.concatenate([f[0] for f in found])]]
+        to = ((mix(a.astype(np.uint64), b.astype(np.uint64)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(ranges + 1))
+        rows = [(r, order[cut[r] : cut[r + 1]]) for r in range(ranges) if cut[r] < cut[r + 1]]
+        n, k = len(names), len(rows)
+        members = pa.array([*seen.values(), *[None] * k], pa.list_(pa.int64()))
+        packed = [np.rec.fromarrays([a[o], b[o], where[o]], dtype=PAIR).tobytes() for _, o in rows]
+        return pa.table({"g": pa.array([*names, *[None] * k], pa.int64()), "members": members, "to": pa.array([*[None] * n, *[r for r, _ in rows]], pa.int32()), "pairs": pa.array([*[None] * n, *packed], pa.binary())})
+
+    return groups
+
+
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("part", "<u2")])
+
+
+def _agreeing(_, table):
+    """Of one hash range of pairs: those that agree in three parts at least, or by a signature that is enough."""
+    pairs = np.unique(np.concatenate([np.frombuffer(x, PAIR) for x in table.column("pairs").to_pylist()]))
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])
+    starts = np.flatnonzero(new)
+    parts = np.diff(np.concatenate([starts, [len(pairs)]]))
+    alone = np.maximum.reduceat(pairs["part"], starts) == ALONE
+    kept = pairs[starts[(parts >= 3) | alone]]
+    return pa.table({"a": pa.array(kept["a"].copy()), "b": pa.array(kept["b"].copy())})
+
+
+def _sketch(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Elements of each set in each of CELLS cells, 255 at most. Sums of differences never exceed the number of elements that differ."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    cell = (mix(hashes, np.full(len(hashes), 13, np.uint64)) % np.uint64(CELLS)).astype(np.int64)
+    return np.minimum(np.bincount(owner * CELLS + cell, minlength=len(sizes) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
+
+
+CELLS = 256
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, sizes m and n, sketches x and y) that may be similar: 9 * differences <= m + n."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in "xy")
+            m, n = (batch.column(c).to_numpy() for c in "mn")
+            fits = (9 * np.abs(x - y).sum(axis=1, dtype=np.int64) <= m + n) & (5 * m >= 4 * n) & (5 * n >= 4 * m)
+            yield batch.select(["a", "b"]).filter(pa.array(fits))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +295,11 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges:
     read = staged(_read(rows, ranges), "signatures")
     each = read.where("range is null").select("d", "n", "sid")
     nodes = each.where("d is not null and n > 0").groupBy("sid").agg(F.min("d").alias("d"), F.min("n").alias("n"))
-    found = read.where("range is not null").select("range", "sids", "many", "sigs").groupBy("range").applyInArrow(_groups, "g long, members array<long>")
-    groups = staged(found.dropDuplicates(["g"]), "groups")
+    found = read.where("range is not null").select("range", "sids", "many", "sigs", "parts").groupBy("range")
+    found = staged(found.applyInArrow(_grouper(ranges), "g long, members array<long>, to int, pairs binary"), "found")
+    pairs = found.where("to is not null").select("to", "pairs").groupBy("to").applyInArrow(_agreeing, "a long, b long")
+    large = found.where("to is null").select("g", "members").dropDuplicates(["g"])
+    groups = staged(large.unionAll(pairs.select(F.xxhash64("a", "b"), F.array("a", "b"))), "groups")
     members = groups.select("g", F.size("members").alias("m"), F.explode("members").alias("sid"))
     degrees = members.groupBy("sid").agg(F.sum("m").alias("degree"))
     known = staged(degrees.join(nodes, "sid"), "nodes")  # nodes with a candidate
@@ -233,15 +307,19 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges:
     holders = rows.join(known.select("d").distinct().hint("shuffle_hash"), "d", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "t"):
+        for b in blocks(batches, "t", BLOCK):
             hashes, sizes, sid = _sets_of(b)
             ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array([hashes[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())], ["sid", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array([hashes[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary()), pa.array([x.tobytes() for x in _sketch(hashes, sizes)], pa.binary()), pa.array(sizes, pa.int64())], ["sid", "x", "s", "n"])
 
-    held = staged(holders.mapInArrow(sets, "sid long, x binary").join(known.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    held = staged(holders.mapInArrow(sets, "sid long, x binary, s binary, n long").join(known.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        withx = pairs.join(held.select(F.col("sid").alias("a"), "x"), "a")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The similar ones: by sketches first, which never lose one, then by sets."""
+        small = held.select(F.col("sid").alias("a"), F.col("s").alias("x"), F.col("n").alias("m"))
+        both = pairs.join(small, "a").join(held.select(F.col("sid").alias("b"), F.col("s").alias("y"), "n"), "b")
+        near = staged(both.select("a", "b", "x", "y", "m", "n").mapInArrow(_near, "a long, b long"), name)
+        withx = near.join(held.select(F.col("sid").alias("a"), "x"), "a")
         return withx.join(held.select(F.col("sid").alias("b"), F.col("x").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
 
     # first: each node and its neighbour of the highest degree
@@ -249,14 +327,14 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges:
     hub = ranked.groupBy("g").agg(F.max_by("sid", F.struct("degree", "sid")).alias("hub"), F.max(F.struct("degree", "sid")).alias("top"))
     best = members.join(hub, "g").where("sid <> hub").groupBy("sid").agg(F.max_by("hub", "top").alias("hub"))
     tried = staged(best.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct(), "tried")
-    links = staged(verified(tried), "links")
+    links = staged(verified(tried, "near"), "links")
     roots = connected_components(links, "roots")
     # then: pairs of a group that are still apart
     placed = members.join(known.select("sid", "n"), "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     split = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
     apart = placed.join(split, "g").groupBy("g").agg(F.collect_list(F.struct("sid", "root", "n")).alias("m"))
     rest = apart.select("m").mapInArrow(_across, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(staged(rest, "rest"))
+    more = staged(verified(rest, "rest"), "more")
     roots = connected_components(links.unionAll(more), "final")
     # the smallest id of each component, and back to the rows
     low = nodes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
