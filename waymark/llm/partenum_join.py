@@ -149,19 +149,39 @@ def _sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return hashes, sizes, mix(sums(owner, mix(hashes, np.full(len(hashes), 7, np.uint64)), len(sizes)), sizes.astype(np.uint64)).astype(np.int64)
 
 
-def _read(rows: DataFrame, ranges: int) -> DataFrame:
-    """Of each row (d, n, sid); and packed signatures (range, sids, many, sigs, parts) of each block."""
+def _documents(rows: DataFrame) -> DataFrame:
+    """(d, n, sid) of each row: size and hash of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "t", BLOCK):
+            _, sizes, sid = _sets_of(b)
+            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(sizes, pa.int64()), pa.array(sid)], ["d", "n", "sid"])
+
+    return rows.mapInArrow(run, "d long, n long, sid long")
+
+
+def _thin(x: np.ndarray) -> bytes:
+    """Numbers below 2**32 that mostly rise by little, as bytes."""
+    import zstandard
+
+    return zstandard.compress(np.diff(x.astype("<u4"), prepend=np.uint32(0)).tobytes(), 1)
+
+
+def _thick(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), "<u4"), dtype="<u4")
+
+
+def _signed(rows: DataFrame, ranges: int) -> DataFrame:
+    """Packed signatures (range, sids, many, sigs, parts) of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["d", "n", "sid", "range", "sids", "many", "sigs", "parts"]
         for b in blocks(batches, "t", BLOCK):
             hashes, sizes, sid = _sets_of(b)
-            none = lambda t, n=b.num_rows: pa.nulls(n, t)
-            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(sizes, pa.int64()), pa.array(sid), none(pa.int32()), *[none(pa.binary())] * 4], names)
             _, first = np.unique(sid, return_index=True)
             once = np.zeros(len(sid), bool)
             once[first] = True
-            once &= ~b.column("d").is_null().to_numpy(zero_copy_only=False)
             of, sig, part = signatures(hashes[np.repeat(once, sizes)], sizes[once])
             at = ((sig >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(at, kind="stable")
@@ -171,10 +191,51 @@ def _read(rows: DataFrame, ranges: int) -> DataFrame:
                 if len(some):
                     which, many = np.unique(of[some], return_counts=True)
                     some = some[np.argsort(of[some], kind="stable")]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, b.schema.field("d").type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([r], pa.int32()), pa.array([sids[which].tobytes()]), pa.array([many.astype("<u4").tobytes()]), pa.array([sig[some].astype("<u4").tobytes()]), pa.array([part[some].astype("<u2").tobytes()])], names)
+                    yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "sids": [sids[which].tobytes()], "many": [_thin(many)], "sigs": [sig[some].astype("<u4").tobytes()], "parts": [_thin(part[some])]})
+
+    return rows.where("d is not null").mapInArrow(run, "range int, sids binary, many binary, sigs binary, parts binary")
+
+
+#: Bits of the filter that tells which documents' sets are wanted: 16 MB, whatever the number of documents. Beyond some ten million wanted
+#: sets it lets more and more others through, which costs time, not results.
+FILTER_BITS = 27
+
 
-    kind = rows.schema["d"].dataType.simpleString()
-    return rows.mapInArrow(run, f"d {kind}, n long, sid long, range int, sids binary, many binary, sigs binary, parts binary")
+def _places(sid: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return (mix(sid.astype(np.uint64), d.astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _held(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(sid, d, n, x, s): the set (40 bits of each hash, sorted) and sketch of each known (sid, d), and of a few others."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _places(b.column("sid").to_numpy(), b.column("d").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["word", "bits"])
+
+    set_words = known.select("sid", "d").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    flags = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    for word, bits in set_words.collect():  # at most 2 ** (FILTER_BITS - 5) small rows
+        flags[word] = bits
+    wanted = rows.sparkSession.sparkContext.broadcast(flags)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = wanted.value
+        for b in blocks(batches, "t", BLOCK):
+            hashes, sizes, sid = _sets_of(b)
+            d = b.column("d").to_numpy()
+            at = _places(sid, d)
+            use = np.flatnonzero((flags[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool) & (sizes > 0))
+            if not len(use):
+                continue
+            ends, short = np.cumsum(sizes), (hashes >> np.uint64(24)).astype("<u8")
+            short = short.view(np.uint8).reshape(-1, 8)[:, :5]
+            picked = np.repeat(np.isin(np.arange(len(sizes)), use), sizes)
+            sets = [short[ends[k] - sizes[k] : ends[k]].tobytes() for k in use]
+            sketches = [x.tobytes() for x in _sketch(hashes[picked], sizes[use])]
+            yield pa.RecordBatch.from_arrays([pa.array(sid[use]), pa.array(d[use]), pa.array(sizes[use], pa.int64()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], ["sid", "d", "n", "x", "s"])
+
+    return rows.where("d is not null").mapInArrow(run, "sid long, d long, n long, x binary, s binary")
 
 
 def _pairs_of(sid: np.ndarray, starts: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -190,7 +251,8 @@ def _grouper(ranges: int):
     def groups(_, table):
         """Of one hash range: large groups of nodes that share a signature (members), and pairs of small ones, packed by hash of the pair (to, pairs)."""
         cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
-        sid, sig, part = np.repeat(cat("sids", "<i8"), cat("many", "<u4")), cat("sigs", "<u4"), cat("parts", "<u2")
+        many, part = (np.concatenate([_thick(x) for x in table.column(c).to_pylist()]) for c in ("many", "parts"))
+        sid, sig = np.repeat(cat("sids", "<i8"), many), cat("sigs", "<u4")
         order = np.argsort(sig, kind="stable")
         sig, sid, part = sig[order], sid[order], part[order]
         twin = np.zeros(len(sig), bool)
@@ -263,12 +325,18 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(fits))
 
 
+def _whole(data) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view("<u8")
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b, sets x and y) with 100 * intersection >= 80 * union."""
     for batch in batches:
         hit = []
         for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+            x, y = _whole(x.as_buffer()), _whole(y.as_buffer())
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * both >= 80 * (len(x) + len(y) - both):
                 hit.append(i)
@@ -291,28 +359,22 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges:
     """(key, n_shingles, component_id), a row for each row of docs."""
     spark = docs.sparkSession
     ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(key).alias("d"), text_of(text).alias("t"))
-    read = staged(_read(rows, ranges), "signatures")
-    each = read.where("range is null").select("d", "n", "sid")
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).cast("long").alias("d"), text_of(text).alias("t"))
+    each = staged(_documents(rows), "documents")
     nodes = each.where("d is not null and n > 0").groupBy("sid").agg(F.min("d").alias("d"), F.min("n").alias("n"))
-    found = read.where("range is not null").select("range", "sids", "many", "sigs", "parts").groupBy("range")
-    found = staged(found.applyInArrow(_grouper(ranges), "g long, members array<long>, to int, pairs binary"), "found")
+    found = staged(_signed(rows, ranges).groupBy("range").applyInArrow(_grouper(ranges), "g long, members array<long>, to int, pairs binary"), "found")
     pairs = found.where("to is not null").select("to", "pairs").groupBy("to").applyInArrow(_agreeing, "a long, b long")
     large = found.where("to is null").select("g", "members").dropDuplicates(["g"])
     groups = staged(large.unionAll(pairs.select(F.xxhash64("a", "b"), F.array("a", "b"))), "groups")
     members = groups.select("g", F.size("members").alias("m"), F.explode("members").alias("sid"))
     degrees = members.groupBy("sid").agg(F.sum("m").alias("degree"))
     known = staged(degrees.join(nodes, "sid"), "nodes")  # nodes with a candidate
-    # the sets of those nodes, from one document each
-    holders = rows.join(known.select("d").distinct().hint("shuffle_hash"), "d", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "t", BLOCK):
-            hashes, sizes, sid = _sets_of(b)
-            ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array([hashes[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary()), pa.array([x.tobytes() for x in _sketch(hashes, sizes)], pa.binary()), pa.array(sizes, pa.int64())], ["sid", "x", "s", "n"])
-
-    held = staged(holders.mapInArrow(sets, "sid long, x binary, s binary, n long").join(known.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    # the sets of those nodes, from one document each; rows that are repeated give them more than once
+    held = staged(_held(rows, known), "sets")
+    repeated = held.groupBy("sid", "d").count().where("count > 1").limit(1).count()
+    if repeated:
+        held = staged(held.dropDuplicates(["sid", "d"]), "sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The similar ones: by sketches first, which never lose one, then by sets."""
@@ -340,8 +402,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges:
     low = nodes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = low.groupBy("root").agg(F.min("d").alias("component_id"))
     of = low.select("sid", "root").join(least, "root").select("sid", "component_id")
-    linked = each.where("d is not null and n > 0").join(of, "sid").select(F.col("d").alias(key), F.col("n").alias("n_shingles"), "component_id")
-    alone = each.where("d is null or n = 0").select(F.col("d").alias(key), F.col("n").alias("n_shingles"), F.col("d").alias("component_id"))
+    linked = each.where("d is not null and n > 0").join(of, "sid").select(F.col("d").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind).alias("component_id"))
+    alone = each.where("d is null or n = 0").select(F.col("d").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.col("d").cast(kind).alias("component_id"))
     return linked.unionAll(alone)
 
 
