@@ -11,8 +11,9 @@ Signatures travel packed, by hash range. A range gives back groups of nodes with
 about 40), so similar sets agree in three parts; pairs of small groups must do so to stay candidates, which passages that
 many documents share hardly ever reach. To join a group of copies it isn't necessary
 to compare all its pairs: each node is first compared with the neighbour that most nodes share signatures with; what that links is one
-component; then only pairs of a group that lie in different components are compared. All comparisons are exact, on whole sets. Nodes of
-one signature are one array in one task: 8 bytes for each distinct set (equal sets of a block are sent once).
+component; then each node with the nearest of its group in another component; then the pairs that are still apart. Of a large group only pairs
+that sketches allow leave the task. All comparisons are exact, on whole sets. Nodes of one signature are one array in one task: 8 bytes for each
+distinct set (equal sets of a block are sent once), and a sketch of 256 bytes each if the group is large and in several components.
 
 Null or empty texts, and texts without a word: n_shingles 0, linked with nothing. One to four words: one shingle, the whole sequence. Null ids: such
 rows are returned with component_id null and link nothing. Repeated rows: equal sets are linked. Empty table: no rows. Extra columns are left out.
@@ -343,16 +344,36 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(hit, pa.int64())), batch.column("b").take(pa.array(hit, pa.int64()))], ["a", "b"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each group, the pairs of nodes in different components whose sizes allow a similarity of 0.8."""
-    for batch in batches:
-        for row in batch.column("m").to_pylist():
-            sid, root, size = (np.array([x[c] for x in row]) for c in ("sid", "root", "n"))
-            for i in range(len(sid) - 1):
-                fits = (root[i + 1 :] != root[i]) & (5 * size[i + 1 :] >= 4 * size[i]) & (5 * size[i] >= 4 * size[i + 1 :])
-                other = sid[i + 1 :][fits]
-                if len(other):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[i], other)), pa.array(np.maximum(sid[i], other))], ["a", "b"])
+def _across(nearest: bool):
+    def run(_, table):
+        """Of one large group, the pairs of nodes in different components that sizes and sketches allow to be similar; `nearest`: one at most for each node."""
+        sid, root, size = (table.column(c).to_numpy() for c in ("sid", "root", "n"))
+        order = np.lexsort((sid, size))
+        sid, root, size = sid[order], root[order], size[order]
+        sketch = np.frombuffer(b"".join(table.column("s").to_pylist()), np.uint8).reshape(-1, CELLS)[order]
+        ends = np.searchsorted(4 * size, 5 * size, side="right")
+        left, right = [], []
+        best, at = np.full(len(sid), np.iinfo(np.int32).max, np.int32), np.full(len(sid), -1)
+        for i in range(len(sid) - 1):
+            other = i + 1 + np.flatnonzero(root[i + 1 : ends[i]] != root[i])
+            apart = (np.maximum(sketch[other], sketch[i]) - np.minimum(sketch[other], sketch[i])).sum(axis=1, dtype=np.int32)
+            fits = 9 * apart <= size[other] + size[i]
+            other, apart = other[fits], apart[fits]
+            if not len(other):
+                continue
+            if not nearest:
+                left.append(np.full(len(other), i)), right.append(other)
+                continue
+            if apart.min() < best[i]:
+                best[i], at[i] = apart.min(), other[apart.argmin()]
+            closer = apart < best[other]
+            best[other[closer]], at[other[closer]] = apart[closer], i
+        if nearest:
+            left, right = [np.flatnonzero(at >= 0)], [at[at >= 0]]
+        a, b = (sid[np.concatenate(x)] if x else np.array([], np.int64) for x in (left, right))
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return run
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
@@ -391,13 +412,24 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges:
     tried = staged(best.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct(), "tried")
     links = staged(verified(tried, "near"), "links")
     roots = connected_components(links, "roots")
-    # then: pairs of a group that are still apart
-    placed = members.join(known.select("sid", "n"), "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    split = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
-    apart = placed.join(split, "g").groupBy("g").agg(F.collect_list(F.struct("sid", "root", "n")).alias("m"))
-    rest = apart.select("m").mapInArrow(_across, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    more = staged(verified(rest, "rest"), "more")
-    roots = connected_components(links.unionAll(more), "final")
+    # then: pairs still apart; of a large group first each node and its nearest, which joins nearly all, then whatever is left
+    pairs_of_two = groups.where(F.size("members") == 2).select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"))
+    sketches = held.select("sid", "s").dropDuplicates(["sid"])
+    for name, nearest in (("nearest", True), ("rest", False)):
+        root = roots.select(F.col("node").alias("sid"), "root")
+        placed = members.where(F.col("m") > 2).join(known.select("sid", "n"), "sid").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        split = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
+        apart = placed.join(split, "g").join(sketches, "sid").select("g", "sid", "root", "n", "s").groupBy("g").applyInArrow(_across(nearest), "a long, b long")
+        if nearest:
+            apart = apart.unionAll(pairs_of_two)
+        ends = [root.select(F.col("sid").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab"]
+        rest = apart.distinct().join(tried, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        rest = staged(rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), name)
+        if rest.isEmpty():
+            continue
+        more = staged(verified(rest, f"{name}-near"), f"{name}-links")
+        tried, links = tried.unionAll(rest), links.unionAll(more)
+        roots = connected_components(links, f"{name}-roots")
     # the smallest id of each component, and back to the rows
     low = nodes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = low.groupBy("root").agg(F.min("d").alias("component_id"))
