@@ -32,7 +32,7 @@ from .common import blocks, connected_components, mix, staged, text_of, word_has
 
 WIDTH = 5
 #: Bytes of text to a block; a task holds about forty times as much while it makes signatures.
-BLOCK = 5 << 20
+BLOCK = 3 << 20
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
