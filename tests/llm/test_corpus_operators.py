@@ -396,6 +396,38 @@ def test_near_copies(spark, odd, docs):
     assert partenum_join.components(odd.limit(0)).count() == 0
 
 
+def test_sql_gives_the_same_rows(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{sf}/documents.parquet'")
+    for name, sql in q.oracle_sql().items():
+        got = q.queries()[name](spark, sf)
+        cols = sorted(got.columns)
+        want = con.sql(f"select {', '.join(cols)} from ({sql})").fetchall()
+        assert rows(got, *cols) == sorted(want, key=repr), name
+
+
+def test_large_group_pairs_join_all_that_all_pairs_would(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 60, 300, dtype=np.uint64))]
+    for _ in range(60):  # copies of copies, each with a few other elements
+        base = sets[rng.integers(len(sets))].copy()
+        base[rng.integers(0, len(base), 12)] = rng.integers(0, 1 << 60, 12, dtype=np.uint64)
+        sets.append(np.unique(base))
+    sizes = np.array([len(s) for s in sets])
+    sketches = partenum_join._sketch(np.concatenate(sets), sizes)
+    table = pa.table({"sid": np.arange(len(sets)), "root": np.arange(len(sets)), "n": sizes, "s": pa.array([s.tobytes() for s in sketches], pa.binary())})
+    every = {(a, b) for a in range(len(sets)) for b in range(a) if (k := len(np.intersect1d(sets[a], sets[b]))) * 100 >= 80 * (len(sets[a]) + len(sets[b]) - k)}
+    out = partenum_join._across(False)(None, table)
+    assert {(b, a) for a, b in every} <= set(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True))
+    near = partenum_join._across(True)(None, table)
+    assert 0 < near.num_rows <= len(sets)
+
+
 def test_tiktoken(spark, odd, docs):
     codec = tiktoken_codec.encoding(q.RANKS, q.PATTERN)
     for df in (odd, docs):

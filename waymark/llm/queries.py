@@ -76,6 +76,30 @@ def queries() -> dict:
     return {f.__name__: f for f in named}
 
 
+_STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+
+RULES_SQL = rf"""with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+ a as (select rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) lines from d),
+ g as (select rid, unnest(range(1, len(words) - 6)) i, words from a where len(words) >= 8),
+ twice as (select rid, i from (select rid, i, count(*) over (partition by rid, array_to_string(words[i:i + 7], ' ')) c from g) where c > 1),
+ gaps as (select rid, least(8, coalesce(lead(i) over (partition by rid order by i) - i, 8)) n from twice),
+ r as (select rid, sum(n) n from gaps group by rid),
+ s as (select doc_id, cast(len(words) as bigint) n_words, cast(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as bigint) word_chars, cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) n_symbols,
+  cast(len(lines) - len(list_distinct(lines)) as bigint) n_dup_lines, cast(coalesce(r.n, 0) as bigint) n_repeat_words, len(lines) n_lines,
+  len(list_filter(words, lambda w: lower(w) in ({_STOPS}))) n_stops, length(regexp_replace(t, '[^!]+', '', 'g')) n_exclaims from a left join r using (rid)),
+ f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from s)
+ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and word_chars / n_words between 2 and 14 and n_symbols / n_words <= 0.25::double
+  and n_stops / n_words >= 0.03::double and n_dup_lines / n_lines <= 0.5::double and n_exclaims / n_words <= 0.5::double and n_repeat_words / n_words <= 0.3::double as kept from f"""
+
+LINKS_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') words from documents),
+ sets as (select doc_id, case when len(words) >= 5 then list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) when len(words) > 0 then [array_to_string(words, ' ')] else [] end s from w),
+ sized as (select doc_id, cast(len(s) as bigint) n from sets), each as (select doc_id, unnest(s) g from sets),
+ pairs as (select a.doc_id x, b.doc_id y, count(*) n from each a join each b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+ links as (select x, y from pairs p join sized a on a.doc_id = x join sized b on b.doc_id = y where 100 * p.n >= 80 * (a.n + b.n - p.n)),
+ reach(doc_id, c) as (select doc_id, doc_id from sized union select l.y, r.c from reach r join links l on l.x = r.doc_id)
+ select doc_id, n as n_shingles, c as component_id from sized join (select doc_id, min(c) c from reach group by doc_id) using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Exact SQL where an operator has one."""
-    return {}
+    return {"op8_partenum_join": LINKS_SQL, "op9_quality_rules": RULES_SQL}
