@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
 from waymark.operators import resolve, sites
-from waymark.plans import queries
+from waymark.plans import queries, register_queries  # noqa: F401
 from waymark.sources import files
 from waymark.streaming import reports
 
@@ -49,6 +49,24 @@ def test_grid_refs(spark):
     assert got == [(269350.0, 269450.0), (397429.5, 1138889.5), (530500.0, 180500.0), None, None, None]
 
 
+def test_british_grid(spark):
+    rows = [("SU 1431 3007", 51.069824, -1.797089), ("NN 1667 7128", 56.79685, -5.00360)]
+    out = geo.to_grid(spark.createDataFrame(rows, "want string, lat double, lng double")).select("*", geo.grid_ref(F.col("easting"), F.col("northing")).alias("ref")).collect()
+    assert [r.ref for r in out] == [r.want for r in out]
+    assert abs(out[0].easting - 414313) < 3 and abs(out[0].northing - 130075) < 3
+    back = geo.from_grid(spark.createDataFrame([(r.lat, r.lng, r.easting, r.northing) for r in out], "a double, b double, easting double, northing double")).collect()
+    assert all(abs(r.lat - r.a) < 2e-6 and abs(r.lng - r.b) < 2e-6 for r in back)
+    assert spark.range(1).select(geo.grid_ref(F.lit(-5.0), F.lit(100.0))).first()[0] is None
+
+
+def test_photos_that_face_away_come_last(spark):
+    from waymark.operators import registers
+
+    rows = [("a", 52.0, -1.0005, 270.0), ("b", 52.0, -1.0006, 90.0), ("c", 52.0, -1.0007, None), ("far", 52.1, -1.0, 180.0)]
+    got = registers.photos_of(spark.createDataFrame(rows, "key string, lat double, lng double, azimuth double"), 52.0, -1.0, 80).collect()
+    assert [r.key for r in got] == ["b", "c", "a"]
+
+
 def test_conditions_and_days(spark):
     df = spark.createDataFrame([("Closed in 2019, now derelict",), ("closed in 2019",), ("ruinous",), ("abandoned ruin",), ("nothing",), (None,)], "t string")
     assert [r[0] for r in df.select(text.condition(F.col("t"))).collect()] == ["Abandoned", "Closed 2019", "Ruin", "Ruin", None, None]
