@@ -1,7 +1,7 @@
 """Ids by the tokenizers library, with each distinct piece that its pattern matches encoded once for each worker.
 
 A chunk runs from one single space to the next. Where no space of a text touches other white space, no match of the pattern crosses
-such a border, so the ids of the text are the ids of its chunks in a row. A batch's distinct chunks are split by the pattern, and matches
+such a border, so the ids of the text are the ids of its chunks in a row. Chunks not met before are split by the pattern, and matches
 not met before go through the library's BPE model. Texts with other spacing, or with letters beyond the scripts whose classes every
 regex library agrees on, are encoded whole by the library.
 """
@@ -12,9 +12,22 @@ import re
 
 import numpy as np
 
-_WHOLE = re.compile(r"^\s|\s$|\s | \s|[^\x00-\u04ff\u2013-\u2026]")
-#: Matches to remember for each worker (about 200 bytes each); beyond that it starts anew.
-REMEMBER = 600_000
+_BEYOND = re.compile(r"[^\x00-\u04ff\u2013-\u2026]")
+#: White space among the letters that _BEYOND leaves, but for the single space.
+_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
+#: Matches, and chunks, to remember for each worker (about 200 bytes each); beyond that it starts anew.
+REMEMBER = 400_000
+#: Letters of the longest match or chunk that is remembered beyond its batch.
+LONGEST = 64
+
+
+def whole(text: str) -> bool:
+    """Whether a text's spacing or letters call for encoding it in one."""
+    if not text or text[0].isspace() or text[-1].isspace() or "  " in text:
+        return True
+    if any(w in text and (f"{w} " in text or f" {w}" in text) for w in _WHITE):
+        return True
+    return not text.isascii() and _BEYOND.search(text) is not None
 
 
 def byte_letters() -> dict[int, str]:
@@ -38,6 +51,7 @@ class Encoder:
         self.whole.encode_special_tokens = True
         self.model, self.split, self.letters = self.whole.model, regex.compile(pattern).findall, byte_letters()
         self.matches: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def whole_ids(self, text: str) -> bytes:
         return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -62,19 +76,28 @@ class Encoder:
                 known[m] = self.whole_ids(m)
         starts = [i for i, m in enumerate(found) if m[0] == " "]
         ids = [*map(known.__getitem__, found)]
+        for m in fresh:
+            if len(m) > LONGEST:
+                del known[m]
         return {c: b"".join(ids[i:j]) for c, i, j in zip(chunks, starts, [*starts[1:], len(ids)], strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.matches) > REMEMBER:
-            self.matches.clear()
-        split = [None if not t or _WHOLE.search(t) else t.split(" ") for t in texts]
-        of = self._ids_of_chunks([*{c for chunks in split if chunks for c in chunks}])
-        get, out = of.__getitem__, []
+        for cache in (self.matches, self.chunks):
+            if len(cache) > REMEMBER:
+                cache.clear()
+        split, seen, known = [None if whole(t) else t.split(" ") for t in texts], set(), self.chunks
+        seen.update(*filter(None, split))
+        fresh = [c for c in seen if c not in known]
+        known.update(self._ids_of_chunks(fresh))
+        get, out = known.__getitem__, []
         for t, chunks in zip(texts, split, strict=True):
             if chunks is None:
                 out.append(self.whole_ids(t) if t else b"")
             else:  # the first chunk has no space before it
                 out.append(b"".join([self.whole_ids(chunks[0]), *map(get, chunks[1:])]))
+        for c in fresh:
+            if len(c) > LONGEST:
+                del known[c]
         return out
 
 
