@@ -396,6 +396,39 @@ def test_near_copies(spark, odd, docs):
     assert partenum_join.components(odd.limit(0)).count() == 0
 
 
+#: Words of texts whose first 44 shingles are a similar set (44 of 55); the agreement of one of three agreeing parts is empty.
+HOLLOW = """
+728477 507512 938761 249599 976399 730947 600388 229067 315006 516343 7205 618582 310591 635733 543728 751612 641983 412141 553409 242584 164383 457630 469076 946066 344443 790482 977400 652948 240966 735491 929406 663228 945133 149100 612209 567069 302636 647126 622021 850649 904543 368661 749491 472517 707560 709452 183944 644888 990594 771932 507179 902746 338244 908889 301791 184328 758231 73743 214052
+645207 881572 189400 486428 454279 953045 394257 803798 879331 136930 220510 697915 775047 382764 231195 775622 886335 458249 929732 95777 264785 754754 211753 386826 965159 376908 294115 913750 918932 231596 16601 223123 234554 213083 406859 428348 948930 802558 795627 821954 45814 539600 776099 596361 700931 223170 153901 383375 157930 270114 284875 58757 304561 107557 190467 371936 803369 4783 436769
+643560 757895 743668 422368 257177 184863 164310 593061 64465 10635 420723 338254 737667 266708 372263 547166 388972 486878 516060 569135 931035 991054 650100 950472 768025 865858 400813 392074 590707 680130 442230 222240 388180 780875 577301 353643 753684 917632 832748 214120 236537 639478 513098 248681 967039 515933 399214 358213 272491 306290 694487 147005 552780 289468 819399 909611 887502 150530 275600
+"""
+
+
+def test_similar_sets_that_agree_by_an_empty_signature(spark):
+    made = []
+    for line in HOLLOW.split("\n")[1:-1]:
+        words = [f"w{x}" for x in line.split()]
+        made += [(len(made), " ".join(words[:48])), (len(made) + 1, " ".join(words))]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert rows(partenum_join.components(df, ranges=5), "doc_id", "component_id") == sorted((d, d - d % 2) for d, _ in made)
+
+
+def test_no_similar_pair_has_fewer_than_three_parts():
+    rng = np.random.default_rng(12)
+    for small, large in ((40, 50), (44, 55), (48, 60), (300, 375)):  # prefixes of 80 percent
+        n = 3000
+        whole = np.sort(rng.integers(0, 1 << 63, (n, large), dtype=np.uint64), axis=1)
+        kept = np.sort(rng.permuted(np.tile(np.arange(large), (n, 1)), axis=1)[:, :small], axis=1)
+        hashes = np.concatenate([np.take_along_axis(whole, kept, 1), whole], axis=1).ravel()
+        of, sig, part, masks = partenum_join.signatures(hashes, np.tile([small, large], n))
+        order = np.lexsort((of, sig, of // 2))
+        of, sig, part = of[order], sig[order], part[order]
+        same = (of[1:] == of[:-1] + 1) & (of[1:] % 2 == 1) & (sig[1:] == sig[:-1])
+        agreed = np.unique(np.stack([of[1:][same] // 2, part[1:][same]]), axis=1)
+        unsent = np.minimum(np.bitwise_count(masks[::2] & masks[1::2]), 2)
+        assert (np.bincount(agreed[0], minlength=n) + unsent >= 3).all()
+
+
 def test_sql_gives_the_same_rows(spark):
     import duckdb
 

@@ -8,8 +8,9 @@ them has equal contents in both. Contents are summed hashes. A signature without
 ones that all agreeing signatures might be empty - then those of the partner are, too.
 
 Signatures travel packed, by hash range. A range gives back groups of nodes with a signature in common. n1 has two parts to spare (sets of more than
-about 40), so similar sets agree in three parts; pairs of small groups must do so to stay candidates, which passages that
-many documents share hardly ever reach. To join a group of copies it isn't necessary
+about 36), so similar sets agree in three parts; pairs of small groups must do so to stay candidates, which passages that
+many documents share hardly ever reach. Parts whose agreeing signature may be empty, and so unsent, in both sets count as agreeing: each set has
+a mask of them. To join a group of copies it isn't necessary
 to compare all its pairs: each node is first compared with the neighbour that most nodes share signatures with; what that links is one
 component; then each node with the nearest of its group in another component; then the pairs that are still apart. Of a large group only pairs
 that sketches allow leave the task. All comparisons are exact, on whole sets. Nodes of one signature are one array in one task: 8 bytes for each
@@ -89,18 +90,22 @@ class Bands:
         return np.searchsorted(self.low, sizes, side="right") - 1
 
 
-#: Part number of a signature that is enough by itself.
+#: Part number of a signature that is enough by itself. Other part numbers are smaller than NUMBERS; above them stand, in pairs, the unsent parts.
 ALONE = 0xFFFF
+NUMBERS, SHIFT = 0x3FFF, 14
 #: Groups of more nodes are given back whole; of smaller ones, pairs with enough parts in common.
 SMALL = 8
 
 
-def signatures(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, signature, part) of all sets; hashes: the elements of all sets in a row.
+def signatures(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, part) of all sets, and the mask of each set; hashes: the elements of all sets in a row.
 
-    Where an instance has two spare parts, similar sets agree in three parts at least; its signatures tell their part.
+    Where an instance has two spare parts, similar sets agree in three parts at least; its signatures tell their part. A part in which two sets agree
+    only by empty contents is hollow in both. The mask has a bit for each hollow part, so two masks have at least as many bits in common
+    as there are such parts (all bits are set if two hollow parts of an instance meet in a bit).
     """
     bands = Bands(int(sizes.max(initial=1)))
+    masks = np.zeros(len(sizes), np.uint64)
     own, out_of, out_sig, out_part = bands.of(np.maximum(sizes, 1)), [], [], []
     strong = mix(hashes, np.full(len(hashes), 11, np.uint64))
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -130,17 +135,23 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
         hollow = np.zeros(parts, bool)
         hollow[part_at[empty]] = True
         good = n1 - k // 2  # parts in which at most one element differs
-        risky = np.bincount(np.repeat(np.arange(len(sizes)), n1), weights=hollow, minlength=len(sizes)) >= good
+        set_at = np.repeat(np.arange(len(sizes)), n1)
+        many_hollow = np.bincount(set_at, weights=hollow, minlength=len(sizes))
+        risky = many_hollow >= good
+        bit = np.uint64(1) << ((np.arange(parts) - np.repeat(np.cumsum(n1) - n1, n1) + 32 * (band[set_at] & 1)) & 63)[hollow].astype(np.uint64)
+        mask = np.zeros(len(sizes), np.uint64)
+        np.bitwise_or.at(mask, set_at[hollow], bit)
+        masks |= np.where(np.bitwise_count(mask) < many_hollow, ~np.uint64(0), mask)
         send = ~empty | risky[set_of]
         place = (np.arange(total) - base[set_of]).astype(np.uint64) + (band[set_of].astype(np.uint64) << np.uint64(32))
         number = (np.arange(total) - base[set_of]) // n2[set_of]
-        number = np.where((good[set_of] >= 3) & (n1[set_of] < ALONE), number, ALONE)
+        number = np.where((good[set_of] >= 3) & (n1[set_of] <= NUMBERS), number, ALONE)
         out_part.append(number[send])
         out_of.append(set_of[send])
         out_sig.append(mix(mix(without, place), many[part_at].astype(np.uint64) - count.astype(np.uint64))[send])
     if not out_of:
-        return np.array([], int), np.array([], np.uint64), np.array([], int)
-    return np.concatenate(out_of), np.concatenate(out_sig), np.concatenate(out_part)
+        return np.array([], int), np.array([], np.uint64), np.array([], int), masks
+    return np.concatenate(out_of), np.concatenate(out_sig), np.concatenate(out_part), masks
 
 
 def _sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,8 +185,20 @@ def _thick(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(data), "<u4"), dtype="<u4")
 
 
+def _squeezed(masks: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.compress(masks.astype("<u8").tobytes(), 1)
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.decompress(data), "<u8")
+
+
 def _signed(rows: DataFrame, ranges: int) -> DataFrame:
-    """Packed signatures (range, sids, many, sigs, parts) of each block."""
+    """Packed signatures (range, sids, masks, many, sigs, parts) of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "t", BLOCK):
@@ -183,7 +206,7 @@ def _signed(rows: DataFrame, ranges: int) -> DataFrame:
             _, first = np.unique(sid, return_index=True)
             once = np.zeros(len(sid), bool)
             once[first] = True
-            of, sig, part = signatures(hashes[np.repeat(once, sizes)], sizes[once])
+            of, sig, part, masks = signatures(hashes[np.repeat(once, sizes)], sizes[once])
             at = ((sig >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(at, kind="stable")
             cut, sids = np.searchsorted(at[order], np.arange(ranges + 1)), sid[once]
@@ -192,9 +215,9 @@ def _signed(rows: DataFrame, ranges: int) -> DataFrame:
                 if len(some):
                     which, many = np.unique(of[some], return_counts=True)
                     some = some[np.argsort(of[some], kind="stable")]
-                    yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "sids": [sids[which].tobytes()], "many": [_thin(many)], "sigs": [sig[some].astype("<u4").tobytes()], "parts": [_thin(part[some])]})
+                    yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "sids": [sids[which].tobytes()], "masks": [_squeezed(masks[which])], "many": [_thin(many)], "sigs": [sig[some].astype("<u4").tobytes()], "parts": [_thin(part[some])]})
 
-    return rows.where("d is not null").mapInArrow(run, "range int, sids binary, many binary, sigs binary, parts binary")
+    return rows.where("d is not null").mapInArrow(run, "range int, sids binary, masks binary, many binary, sigs binary, parts binary")
 
 
 #: Bits of the filter that tells which documents' sets are wanted: 16 MB, whatever the number of documents. Beyond some ten million wanted
@@ -239,13 +262,13 @@ def _held(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.where("d is not null").mapInArrow(run, "sid long, d long, n long, x binary, s binary")
 
 
-def _pairs_of(sid: np.ndarray, starts: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(group, a, b) of all pairs of groups of up to SMALL nodes, a size at a time."""
+def _pairs_of(starts: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, place of a, place of b) of all pairs of groups of up to SMALL nodes, a size at a time."""
     for z in range(2, SMALL + 1):
         at = np.flatnonzero(size == z)
         for i in range(z):
             for j in range(i + 1, z):
-                yield at, sid[starts[at] + i], sid[starts[at] + j]
+                yield at, starts[at] + i, starts[at] + j
 
 
 def _grouper(ranges: int):
@@ -253,21 +276,26 @@ def _grouper(ranges: int):
         """Of one hash range: large groups of nodes that share a signature (members), and pairs of small ones, packed by hash of the pair (to, pairs)."""
         cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
         many, part = (np.concatenate([_thick(x) for x in table.column(c).to_pylist()]) for c in ("many", "parts"))
-        sid, sig = np.repeat(cat("sids", "<i8"), many), cat("sigs", "<u4")
+        sids, masks = cat("sids", "<i8"), np.concatenate([_unsqueezed(x) for x in table.column("masks").to_pylist()])
+        of, sig = np.repeat(np.arange(len(sids), dtype=np.int32), many), cat("sigs", "<u4")
         order = np.argsort(sig, kind="stable")
-        sig, sid, part = sig[order], sid[order], part[order]
+        sig, of, part = sig[order], of[order], part[order]
         twin = np.zeros(len(sig), bool)
         twin[1:] = sig[1:] == sig[:-1]
         keep = twin.copy()
         keep[:-1] |= twin[1:]
-        sig, sid, part = sig[keep], sid[keep], part[keep]
-        order = np.lexsort((sid, sig))
-        sig, sid, part = sig[order], sid[order], part[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
-        sig, sid, part = sig[new], sid[new], part[new]
-        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.array([], int)
-        size = np.diff(np.concatenate([starts, [len(sig)]])).astype(int)
+        sig, of, part = sig[keep], of[keep], part[keep]
+        # by signature and part: signatures of different parts that share 32 bits aren't one group, or pairs would lose a part
+        sid = sids[of]
+        order = np.lexsort((sid, part, sig))
+        sig, sid, part, mask = sig[order], sid[order], part[order], masks[of[order]]
+        other = np.ones(len(sig), bool)
+        other[1:] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1])
+        new = other.copy()
+        new[1:] |= sid[1:] != sid[:-1]
+        sid, part, mask, other = sid[new], part[new], mask[new], other[new]
+        starts = np.flatnonzero(other)
+        size = np.diff(np.concatenate([starts, [len(sid)]])).astype(int)
         # large groups, each membership once
         large = np.flatnonzero(size > SMALL)
         seen: dict[bytes, np.ndarray] = {}
@@ -275,10 +303,11 @@ def _grouper(ranges: int):
             m = sid[starts[k] : starts[k] + size[k]]
             seen.setdefault(m.tobytes(), m)
         names = [int(sums(np.zeros(len(m), int), mix(m.astype(np.uint64), np.full(len(m), 5, np.uint64)), 1).astype(np.int64)[0]) for m in seen.values()]
-        # pairs of small groups, with their part
-        found = [*_pairs_of(sid, starts, size)]
+        # pairs of small groups, with their part and how many agreeing parts (two at most) may be unsent
+        found = [*_pairs_of(starts, size)]
         a, b = (np.concatenate([f[i] for f in found]) for i in (1, 2))
-        where = part[starts[np.concatenate([f[0] for f in found])]]
+        where = part[a] | np.minimum(np.bitwise_count(mask[a] & mask[b]), 2).astype(part.dtype) << SHIFT
+        a, b = sid[a], sid[b]
         to = ((mix(a.astype(np.uint64), b.astype(np.uint64)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         cut = np.searchsorted(to[order], np.arange(ranges + 1))
@@ -295,14 +324,14 @@ PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("part", "<u2")])
 
 
 def _agreeing(_, table):
-    """Of one hash range of pairs: those that agree in three parts at least, or by a signature that is enough."""
+    """Of one hash range of pairs: those that agree in three parts at least, unsent ones counted, or by a signature that is enough."""
     pairs = np.unique(np.concatenate([np.frombuffer(x, PAIR) for x in table.column("pairs").to_pylist()]))
     new = np.ones(len(pairs), bool)
     new[1:] = (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])
     starts = np.flatnonzero(new)
     parts = np.diff(np.concatenate([starts, [len(pairs)]]))
-    alone = np.maximum.reduceat(pairs["part"], starts) == ALONE
-    kept = pairs[starts[(parts >= 3) | alone]]
+    unsent = np.maximum.reduceat(pairs["part"], starts) >> SHIFT  # 3: enough by itself
+    kept = pairs[starts[parts + unsent >= 3]]
     return pa.table({"a": pa.array(kept["a"].copy()), "b": pa.array(kept["b"].copy())})
 
 
