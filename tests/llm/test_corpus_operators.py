@@ -298,6 +298,17 @@ def test_surrogates(spark):
     assert again[7] != out[7][0]
 
 
+def test_tokens_of_any_case(spark):
+    token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    mixed = token[:20] + token[20:].upper()
+    made = [(0, f'token = "{token}"'), (1, f'TOKEN = "{token.upper()}"'), (2, f"{mixed}."), (3, f"{token.upper()}G {token.upper()[:31]}")]
+    out = {r.doc_id: (r.text, r.n_replaced) for r in pii_surrogates.replace(spark.createDataFrame(made, "doc_id long, text string"), "k").collect()}
+    assert [out[i][1] for i in range(4)] == [1, 1, 1, 0] and out[3][0] == made[3][1]
+    fresh = re.fullmatch('token = "([0-9a-f]{40})"', out[0][0]).group(1)
+    assert fresh != token and out[1][0] == f'TOKEN = "{fresh.upper()}"' and out[2][0].lower() == fresh + "."
+    assert all(a.isupper() for a, b in zip(out[2][0], mixed, strict=False) if b.isupper() and a.isalpha())
+
+
 def test_surrogates_stay_distinct(spark):
     names = spark.range(6000).select(F.lit("surname latin n").alias("kind"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("norm"))
     table = pii_surrogates.distinct_surrogates(names, "k").collect()  # 4096 names of three syllables: they must collide at first

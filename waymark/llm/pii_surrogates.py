@@ -4,7 +4,7 @@ Entities are found by one pattern: e-mail addresses, IPv4 addresses, phone, card
 names after a title. Each is broken into units (a name has a given name and a surname; the rest are one), each with a normal form, so that all
 spellings of a unit share it. A keyed hash of kind and normal form makes the unit's surrogate of the same kind: digits for digits with
 the same length and separators (card numbers keep whether their check digit holds, phone numbers their country code), hexadecimal
-for hexadecimal, names of the same gender and script. Collision checks run over all distinct units: a surrogate that another unit
+for hexadecimal in the same case, names of the same gender and script. Collision checks run over all distinct units: a surrogate that another unit
 has, or that is itself a unit of the corpus, is drawn again until there is none; so different units stay different and equal ones equal, over all documents.
 
 Null text: stays null. Empty texts and texts without entities: unchanged. Repeated rows: each rewritten alike. Empty table: no rows. All
@@ -26,7 +26,7 @@ PATTERNS = {
     "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){3}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d\w])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
-    "token": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "token": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
     "name": r"(?<![\p{L}])(?:Mrs|Mr|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Г-н|Г-жа|господин|госпожа)\.? \p{Lu}[\p{Ll}'’-]+(?: \p{Lu}[\p{Ll}'’-]+)?",
 }
 # Titles by gender; Dr tells none.
@@ -107,7 +107,10 @@ def render(kind: Column, entity: Column, fresh: Column) -> Column:
         F.transform(F.split(entity, ""), lambda ch, i: F.when(ch.rlike("[0-9]") & (after(i) <= F.length(first)), F.substr(first, F.length(first) - after(i) + 1, F.lit(1))).otherwise(ch)), ""
     )
     named = F.concat_ws(" ", F.substring_index(entity, " ", 1), F.array_join(F.transform(fresh, F.initcap), " "))
-    return F.when(kind == "name", named).when(kind.isin("card", "ssn", "phone"), shaped).otherwise(first)
+    # a token in capitals stays one; of mixed case, each letter keeps the case of its place
+    mixed = F.array_join(F.transform(F.split(entity, ""), lambda ch, i: F.when(ch.rlike("[A-F]"), F.upper(F.substr(first, i + 1, F.lit(1)))).otherwise(F.substr(first, i + 1, F.lit(1)))), "")
+    token = F.when(~entity.rlike("[A-F]"), first).when(~entity.rlike("[a-f]"), F.upper(first)).otherwise(mixed)
+    return F.when(kind == "name", named).when(kind.isin("card", "ssn", "phone"), shaped).when(kind == "token", token).otherwise(first)
 
 
 def distinct_surrogates(units: DataFrame, secret: str) -> DataFrame:
