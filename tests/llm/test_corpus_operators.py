@@ -221,6 +221,21 @@ def test_neighbours(spark):
     assert projection_forest.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = random.Random(3)
+    pool = [[float(rng.randint(-2, 2)) for _ in range(3)] for _ in range(12)]
+    for _ in range(3):
+        table = [(rng.choice([100, 200, 1, 2, 3, 4, 5, 300]), rng.choice(pool)) for _ in range(60)]
+        df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+        got = Counter(map(tuple, projection_forest.search(df, F.col("vec_id") % 100 == 0, k=4).collect()))
+        valid, want = [(i, np.array(v)) for i, v in table if any(v)], Counter()
+        for n, (i, v) in enumerate(valid):
+            if i % 100 == 0:
+                far = sorted((math.sqrt(((v - w) ** 2).sum()), j) for m, (j, w) in enumerate(valid) if m != n)[:4]
+                want.update((i, r, j, d) for r, (d, j) in enumerate(far, 1))
+        assert got == want
+
+
 def walk_automaton(train, texts, order, mu, d):
     """Word by word: carried state, arcs and failure arcs."""
     c = Counter()
@@ -488,6 +503,20 @@ def test_tiktoken(spark, odd, docs):
     assert tiktoken_codec.encode(odd.limit(0), q.RANKS, q.PATTERN).count() == 0
 
 
+def test_tiktoken_on_long_runs(spark, monkeypatch):
+    codec = tiktoken_codec.encoding(q.RANKS, q.PATTERN)
+    for text in (" " * 2_000_000, "x" + "\n" * 2_000_000 + "y", "\t \n" * 700_000 + "word", "a" * 2_000_000, "\u4e2d\u6587\u3002" * 400_000):
+        ids = tiktoken_codec.ids_of(text, codec)
+        assert codec.decode_bytes(ids).decode() == text
+    monkeypatch.setattr(tiktoken_codec, "RUN", 3)
+    monkeypatch.setattr(tiktoken_codec, "_RUNS", re.compile(rf"[{tiktoken_codec._SPACE}]{{3,}}"))
+    monkeypatch.setattr(tiktoken_codec.pieces, "__defaults__", (3,))
+    letters = ["a", " ", "\n", "\t", "\u3000", "\x85", "\x1c", "\xa0", "'s", ".", "1", "\xe9", "\u4e2d", "\u3002"]
+    for _ in range(3000):
+        text = "".join(RANDOM.choice(letters) for _ in range(RANDOM.randint(0, 30)))
+        assert tiktoken_codec.ids_of(text, codec) == codec.encode_ordinary(text), text
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

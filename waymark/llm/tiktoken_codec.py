@@ -1,9 +1,11 @@
 """Byte-level BPE with the tiktoken library and a local rank file.
 
-Long texts are split before encoding where the pattern always has a border (a single space between two characters that are no
-white space), so that no call gets more than about `piece` characters unless the text has no such border; ids are the same as for the
-whole text. Ids are decoded to raw bytes. Null and empty texts: no ids. Repeated rows: each encoded. Extra columns pass through
-`encode` and `decode`; their own columns replace any of the same name.
+Long texts are split before encoding where the pattern always has a border (before white space that follows anything else, and
+between closing punctuation and a letter), so that no call gets more than about `piece` characters unless the text has no such border. A long run
+of white space is one match but for its last character, if something follows; it is cut out and goes to the merges as such, because the
+library's pattern engine overflows its stack on a million of them. Ids are the same as for the whole text. Ids are decoded to raw
+bytes. Null and empty texts: no ids. Repeated rows: each encoded. Empty table: no rows. Very long texts: a piece at a time. Extra columns
+pass through `encode` and `decode`; their own columns replace any of the same name.
 """
 
 from __future__ import annotations
@@ -19,7 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-_BORDER = re.compile(r"(?<=\S) (?=\S)")
+# Unicode's white space, as the library's pattern takes it.
+_SPACE = r"\t-\r \x85\xa0  -     　"
+_BORDER = re.compile(rf"(?<=[^{_SPACE}])(?=[{_SPACE}])|(?<=[.,;:!?。、])(?=[A-Za-z一-鿿])")
+#: Runs of at least this many white-space characters are cut out.
+RUN = 10_000
+_RUNS = re.compile(rf"[{_SPACE}]{{{RUN},}}")
 
 
 @functools.cache
@@ -33,7 +40,7 @@ def encoding(path: str, pattern: str):
 
 
 def pieces(text: str, piece: int = 50_000) -> Iterator[str]:
-    """text, cut at safe borders."""
+    """text without long runs of white space, cut at safe borders."""
     at = 0
     while len(text) - at > piece:
         found = _BORDER.search(text, at + piece)
@@ -44,8 +51,23 @@ def pieces(text: str, piece: int = 50_000) -> Iterator[str]:
     yield text[at:]
 
 
+def stretches(text: str) -> Iterator[tuple[str, bool]]:
+    """text in parts; True marks a long run of white space that is one match of the pattern."""
+    at = 0
+    for run in _RUNS.finditer(text) if len(text) >= RUN else ():
+        end = run.end() - (run.end() < len(text))  # the last one belongs to what follows
+        if run.start() > at:
+            yield text[at : run.start()], False
+        yield text[run.start() : end], True
+        at = end
+    if at < len(text):
+        yield text[at:], False
+
+
 def ids_of(text: str, codec) -> list[int]:
-    parts = [codec.encode_ordinary(p) for p in pieces(text)]
+    parts = []
+    for stretch, one in stretches(text):
+        parts += [codec._encode_single_piece(stretch)] if one else map(codec.encode_ordinary, pieces(stretch))
     return parts[0] if len(parts) == 1 else [i for p in parts for i in p]
 
 
