@@ -468,23 +468,52 @@ def test_sql_gives_the_same_rows(spark):
         assert rows(got, *cols) == sorted(want, key=repr), name
 
 
-def test_large_group_pairs_join_all_that_all_pairs_would(spark):
+def test_large_group_pairs_join_all_that_all_pairs_would(spark, monkeypatch):
     import pyarrow as pa
 
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 60, 300, dtype=np.uint64))]
-    for _ in range(60):  # copies of copies, each with a few other elements
+    for k in range(60):  # copies of copies, each with a few other elements; some twice as large, so that sketches have other lengths
         base = sets[rng.integers(len(sets))].copy()
         base[rng.integers(0, len(base), 12)] = rng.integers(0, 1 << 60, 12, dtype=np.uint64)
-        sets.append(np.unique(base))
+        sets.append(np.unique(np.concatenate([base, rng.integers(0, 1 << 60, 40 * (k % 3), dtype=np.uint64)])))
     sizes = np.array([len(s) for s in sets])
-    sketches = partenum_join._sketch(np.concatenate(sets), sizes)
-    table = pa.table({"sid": np.arange(len(sets)), "root": np.arange(len(sets)), "n": sizes, "s": pa.array([s.tobytes() for s in sketches], pa.binary())})
+    sketches = partenum_join._sketches(np.concatenate(sets), sizes)
+    assert len({len(s) for s in sketches}) > 1
     every = {(a, b) for a in range(len(sets)) for b in range(a) if (k := len(np.intersect1d(sets[a], sets[b]))) * 100 >= 80 * (len(sets[a]) + len(sets[b]) - k)}
+    made = {"i": np.zeros(len(sets), np.int32), "j": np.zeros(len(sets), np.int32), "k": np.zeros(len(sets), np.int32)}
+    table = pa.table({"sid": np.arange(len(sets)), "root": np.arange(len(sets)), "n": sizes, "s": pa.array(sketches, pa.binary()), **made})
     out = partenum_join._across(False)(None, table)
-    assert {(b, a) for a, b in every} <= set(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True))
+    pairs = set(zip(out["b"].to_pylist(), out["a"].to_pylist(), strict=True))
+    assert every <= pairs
     near = partenum_join._across(True)(None, table)
     assert 0 < near.num_rows <= len(sets)
+    a, b = map(list, zip(*[(x, y) for x in range(len(sets)) for y in range(x)], strict=True))
+    batch = pa.RecordBatch.from_pydict({"a": a, "b": b, "m": sizes[a], "n": sizes[b], "x": pa.array([sketches[i] for i in a], pa.binary()), "y": pa.array([sketches[i] for i in b], pa.binary())})
+    kept = next(partenum_join._near(iter([batch])))
+    assert set(zip(kept["a"].to_pylist(), kept["b"].to_pylist(), strict=True)) == pairs
+    # in blocks: every pair in different components meets exactly once
+    monkeypatch.setattr(partenum_join, "TOGETHER", 7)
+    split = spark.createDataFrame([(g, s, s // 20 if g else s % 3, 5) for g in (0, 1) for s in range(50)], "g long, sid long, root long, n long")
+    met = Counter()
+    for _, rows_ in split.transform(partenum_join._blocks_of).toPandas().groupby(["g", "i", "j"]):
+        r = rows_.to_dict("records")
+        assert len(r) <= 40
+        for x in r:
+            for y in r:
+                if x["sid"] < y["sid"] and x["root"] != y["root"] and (x["k"] != y["k"] or x["i"] == x["j"]):
+                    met[x["g"], x["sid"], y["sid"]] += 1
+    want = {(g, x, y) for g in (0, 1) for y in range(50) for x in range(y) if (x // 20 != y // 20 if g else x % 3 != y % 3)}
+    assert set(met) == want and set(met.values()) == {1}
+
+
+def test_one_row_of_each_component_of_texts(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "north east south west up down")
+    made = [(3, a, 1), (5, a, 2), (5, b, 3), (5, b, 3), (7, c, 4), (7, c, 5), (None, a, 6), (8, "", 7), (9, None, 8), (8, "", 7)]
+    for parts in (1, 2, 5):
+        df = spark.createDataFrame(made, "doc_id long, text string, __sid int").repartition(parts)
+        out = [(r.doc_id, r.text) for r in partenum_join.one_of_each(df).collect()]
+        assert sorted(out, key=repr) == sorted([(3, a), (5, b), (7, c), (None, a), (8, ""), (8, ""), (9, None)], key=repr)
 
 
 def test_tiktoken(spark, odd, docs):

@@ -1,35 +1,27 @@
-"""What several operators of this subpackage share: words, blocks of documents, and tables kept in the shared folder."""
+"""What several operators of this subpackage share: words, blocks of documents, spare names; tables kept in the shared folder come from the library."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.operators.staging import connected_components, shared_folder, staged  # noqa: F401  (used throughout this subpackage)
+
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 _GOLD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back: later uses don't compute it again, and lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def spare(columns: list[str], name: str) -> str:
+    """name, lengthened until no column has it (column names count without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_of(column: str = "text"):
@@ -74,18 +66,3 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: in
             to = max(at + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
-
-
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root): the smallest node that edges(a, b) connect each node with. Min-labels with pointer jumping; each round is staged."""
-    both = staged(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), f"{name}-0")
-    for step in range(1, 64):
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        fresh = staged(low.join(jump, "root").select("node", "old", F.least("root", "up").alias("root")), f"{name}-{step}")
-        if fresh.where("root <> old").isEmpty():
-            return fresh.select("node", "root")
-        labels = fresh.select("node", "root")
-    raise RuntimeError("components did not settle")

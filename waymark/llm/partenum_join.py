@@ -13,8 +13,10 @@ many documents share hardly ever reach. Parts whose agreeing signature may be em
 a mask of them. To join a group of copies it isn't necessary
 to compare all its pairs: each node is first compared with the neighbour that most nodes share signatures with; what that links is one
 component; then each node with the nearest of its group in another component; then the pairs that are still apart. Of a large group only pairs
-that sketches allow leave the task. All comparisons are exact, on whole sets. Nodes of one signature are one array in one task: 8 bytes for each
-distinct set (equal sets of a block are sent once), and a sketch of 256 bytes each if the group is large and in several components.
+that sketches allow leave the task, and a task compares two blocks of 2,048 nodes at most: the nodes of a group's largest component meet the others, never
+each other. All comparisons are exact, on whole sets of 64-bit hashes; only sets of pairs that sketches allow are read (again, by a fixed-size
+filter on ids) and moved. Nodes of one signature are one array in one task: 8 bytes for each distinct set (equal sets of a block are sent
+once). Hash ranges grow with the documents.
 
 Null or empty texts, and texts without a word: n_shingles 0, linked with nothing. One to four words: one shingle, the whole sequence. Null ids: such
 rows are returned with component_id null and link nothing. Repeated rows: equal sets are linked. Empty table: no rows. Extra columns are left out.
@@ -26,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, connected_components, mix, staged, text_of, word_hashes
+from .common import blocks, connected_components, mix, spare, staged, text_of, word_hashes
 
 WIDTH = 5
 #: Bytes of text to a block; a task holds about forty times as much while it makes signatures.
@@ -220,46 +222,64 @@ def _signed(rows: DataFrame, ranges: int) -> DataFrame:
     return rows.where("d is not null").mapInArrow(run, "range int, sids binary, masks binary, many binary, sigs binary, parts binary")
 
 
-#: Bits of the filter that tells which documents' sets are wanted: 16 MB, whatever the number of documents. Beyond some ten million wanted
-#: sets it lets more and more others through, which costs time, not results.
+#: Bits of the filter that tells which documents are wanted: 16 MB, whatever the number of documents. Beyond some ten million wanted
+#: documents it lets more and more others through, which costs time, not results.
 FILTER_BITS = 27
+PAGE = 1 << 15  # bits to a page of the filter
 
 
-def _places(sid: np.ndarray, d: np.ndarray) -> np.ndarray:
-    return (mix(sid.astype(np.uint64), d.astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _places(d: np.ndarray) -> np.ndarray:
+    return (mix(d.astype(np.uint64), np.full(len(d), 17, np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _held(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """(sid, d, n, x, s): the set (40 bits of each hash, sorted) and sketch of each known (sid, d), and of a few others."""
+def _filter(wanted: DataFrame):
+    """A broadcast bitmap of the ids d of `wanted`: pages are made in the tasks and merged by page; at most 4,096 rows of 4 KB reach the driver."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages: dict[int, np.ndarray] = {}
         for b in batches:
-            at = _places(b.column("sid").to_numpy(), b.column("d").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["word", "bits"])
+            at = np.unique(_places(b.column("d").to_numpy()))
+            for page, rows in zip(*_split(at // PAGE, at % PAGE), strict=True):
+                np.bitwise_or.at(pages.setdefault(page, np.zeros(PAGE // 8, np.uint8)), rows >> 3, np.uint8(1) << (rows & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"page": pa.array(list(pages), pa.int32()), "bits": pa.array([x.tobytes() for x in pages.values()], pa.binary())})
 
-    set_words = known.select("sid", "d").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    flags = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    for word, bits in set_words.collect():  # at most 2 ** (FILTER_BITS - 5) small rows
-        flags[word] = bits
-    wanted = rows.sparkSession.sparkContext.broadcast(flags)
+    def merge(_, table):
+        out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
+        return pa.table({"page": table.column("page")[:1], "bits": [out.tobytes()]})
+
+    merged = wanted.select("d").mapInArrow(mark, "page int, bits binary").groupBy("page").applyInArrow(merge, "page int, bits binary")
+    flags = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for page, bits in merged.collect():
+        flags[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(bits, np.uint8)
+    return wanted.sparkSession.sparkContext.broadcast(flags)
+
+
+def _split(key: np.ndarray, value: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """(distinct keys, the values of each); key is sorted."""
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[start].tolist(), np.split(value, start[1:]) if len(start) else []
+
+
+def _held(rows: DataFrame, known: DataFrame, what: str, name: str) -> DataFrame:
+    """(sid, n, s): the sketch or the whole set (sorted 64-bit hashes) of each known (sid, d), read again from the documents. Only texts of wanted ids are cut into words."""
+    wanted = _filter(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = wanted.value
-        for b in blocks(batches, "t", BLOCK):
-            hashes, sizes, sid = _sets_of(b)
-            d = b.column("d").to_numpy()
-            at = _places(sid, d)
-            use = np.flatnonzero((flags[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool) & (sizes > 0))
-            if not len(use):
-                continue
-            ends, short = np.cumsum(sizes), (hashes >> np.uint64(24)).astype("<u8")
-            short = short.view(np.uint8).reshape(-1, 8)[:, :5]
-            picked = np.repeat(np.isin(np.arange(len(sizes)), use), sizes)
-            sets = [short[ends[k] - sizes[k] : ends[k]].tobytes() for k in use]
-            sketches = [x.tobytes() for x in _sketch(hashes[picked], sizes[use])]
-            yield pa.RecordBatch.from_arrays([pa.array(sid[use]), pa.array(d[use]), pa.array(sizes[use], pa.int64()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], ["sid", "d", "n", "x", "s"])
-
-    return rows.where("d is not null").mapInArrow(run, "sid long, d long, n long, x binary, s binary")
+        for batch in batches:
+            at = _places(batch.column("d").to_numpy())
+            some = batch.filter(pa.array((flags[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1)).astype(bool)))
+            for b in blocks([some], "t", BLOCK):
+                hashes, sizes, sid = _sets_of(b)
+                use = np.flatnonzero(sizes > 0)
+                ends = np.cumsum(sizes)
+                raw = _sketches(hashes, sizes) if what == "sketch" else [hashes[e - n : e].astype("<u8").tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                made = [pa.array(sid[use]), b.column("d").take(pa.array(use)), pa.array(sizes[use], pa.int64()), pa.array([raw[k] for k in use.tolist()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, ["sid", "d", "n", "s"])
+
+    found = rows.where("d is not null").mapInArrow(run, "sid long, d long, n long, s binary")
+    # ids whose bits coincide come too, and rows that are repeated come more than once
+    return staged(found.join(known.select("sid", "d"), ["sid", "d"], "left_semi").select("sid", "n", "s").dropDuplicates(["sid"]), name)
 
 
 def _pairs_of(starts: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -335,30 +355,48 @@ def _agreeing(_, table):
     return pa.table({"a": pa.array(kept["a"].copy()), "b": pa.array(kept["b"].copy())})
 
 
-def _sketch(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Elements of each set in each of CELLS cells, 255 at most. Sums of differences never exceed the number of elements that differ."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    cell = (mix(hashes, np.full(len(hashes), 13, np.uint64)) % np.uint64(CELLS)).astype(np.int64)
-    return np.minimum(np.bincount(owner * CELLS + cell, minlength=len(sizes) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
+def _cells(sizes: np.ndarray) -> np.ndarray:
+    """Cells of the sketch of a set: a power of two, about one for eight elements, so that sketches of unlike sets differ whatever their size."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / 8)).astype(np.int64), 3, 16)
 
 
-CELLS = 256
+def _sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Elements of each set in each of its cells, 255 at most. Sums of differences never exceed the number of elements that differ."""
+    cells = _cells(sizes)
+    base, owner = np.cumsum(cells) - cells, np.repeat(np.arange(len(sizes)), sizes)
+    cell = (mix(hashes, np.full(len(hashes), 13, np.uint64)) & (cells[owner] - 1).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(base[owner] + cell, minlength=int(cells.sum())), 255).astype(np.uint8)
+    return [counts[i : i + n].tobytes() for i, n in zip(base.tolist(), cells.tolist(), strict=True)]
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b, sizes m and n, sketches x and y) that may be similar: 9 * differences <= m + n."""
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in "xy")
-            m, n = (batch.column(c).to_numpy() for c in "mn")
-            fits = (9 * np.abs(x - y).sum(axis=1, dtype=np.int64) <= m + n) & (5 * m >= 4 * n) & (5 * n >= 4 * m)
-            yield batch.select(["a", "b"]).filter(pa.array(fits))
+def _folded(sketches: np.ndarray, cells: int) -> np.ndarray:
+    """Sketches (rows) with cells joined until `cells` are left."""
+    while sketches.shape[1] > cells:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] + sketches[:, half:]
+    return sketches
 
 
-def _whole(data) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view("<u8")
+def _matrix(raw: list[bytes], cells: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), cells).astype(np.int32)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, sizes m and n, sketches x and y) that may be similar: 9 * differences <= m + n. A full cell tells no more than its limit, so nothing is lost."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        m, n = (batch.column(c).to_numpy() for c in "mn")
+        x, y = (batch.column(c).to_pylist() for c in "xy")
+        fits = (5 * m >= 4 * n) & (5 * n >= 4 * m)
+        own = [np.array([len(r) for r in side]) for side in (x, y)]
+        for p in np.unique(own[0][fits]).tolist():
+            for q in np.unique(own[1][fits & (own[0] == p)]).tolist():
+                at = np.flatnonzero(fits & (own[0] == p) & (own[1] == q))
+                for part in np.array_split(at, 1 + len(at) * max(p, q) // (1 << 22)):
+                    a, b = _folded(_matrix([x[i] for i in part], p), q), _folded(_matrix([y[i] for i in part], q), p)
+                    fits[part] = 9 * np.abs(a - b).sum(axis=1) <= m[part] + n[part]
+        yield batch.select(["a", "b"]).filter(pa.array(fits))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,26 +404,49 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hit = []
         for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-            x, y = _whole(x.as_buffer()), _whole(y.as_buffer())
+            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * both >= 80 * (len(x) + len(y) - both):
                 hit.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(hit, pa.int64())), batch.column("b").take(pa.array(hit, pa.int64()))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(hit, pa.int64())) for c in "ab"], ["a", "b"])
+
+
+#: Nodes of a large group that one task compares with as many others.
+TOGETHER = 2048
 
 
 def _across(nearest: bool):
     def run(_, table):
-        """Of one large group, the pairs of nodes in different components that sizes and sketches allow to be similar; `nearest`: one at most for each node."""
-        sid, root, size = (table.column(c).to_numpy() for c in ("sid", "root", "n"))
+        """Of two blocks of one large group (i, j; columns k: own block), the pairs of nodes in different components that sizes and sketches allow to be similar; `nearest`: one at most for each node."""
+        sid, root, size, own = (table.column(c).to_numpy() for c in ("sid", "root", "n", "k"))
+        alone = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        raw = table.column("s").to_pylist()
+        cells = min(map(len, raw))
+        # the sizes of similar sets are near; those of a group need not be: compare by number of cells
         order = np.lexsort((sid, size))
-        sid, root, size = sid[order], root[order], size[order]
-        sketch = np.frombuffer(b"".join(table.column("s").to_pylist()), np.uint8).reshape(-1, CELLS)[order]
+        sid, root, size, own = sid[order], root[order], size[order], own[order]
+        lengths = np.array([len(raw[i]) for i in order])
+        by = {c: np.flatnonzero(lengths == c) for c in np.unique(lengths).tolist()}
+        whole = {c: _matrix([raw[order[i]] for i in at], c).astype(np.int16) for c, at in by.items()}
+        place = np.empty(len(sid), np.int64)
+        for at in by.values():
+            place[at] = np.arange(len(at))
+        folded: dict[tuple[int, int], np.ndarray] = {}
         ends = np.searchsorted(4 * size, 5 * size, side="right")
         left, right = [], []
         best, at = np.full(len(sid), np.iinfo(np.int32).max, np.int32), np.full(len(sid), -1)
         for i in range(len(sid) - 1):
-            other = i + 1 + np.flatnonzero(root[i + 1 : ends[i]] != root[i])
-            apart = (np.maximum(sketch[other], sketch[i]) - np.minimum(sketch[other], sketch[i])).sum(axis=1, dtype=np.int32)
+            span = slice(i + 1, ends[i])
+            other = i + 1 + np.flatnonzero((root[span] != root[i]) & ((own[span] != own[i]) | alone))
+            if not len(other):
+                continue
+            apart = np.empty(len(other), np.int32)
+            mine = whole[int(lengths[i])][place[i]]
+            for c in np.unique(lengths[other]).tolist():
+                some, cells = lengths[other] == c, min(c, len(mine))
+                if (c, cells) not in folded:
+                    folded[c, cells] = _folded(whole[c], cells)
+                apart[some] = np.abs(folded[c, cells][place[other[some]]] - _folded(mine[None], cells)[0]).sum(axis=1, dtype=np.int32)
             fits = 9 * apart <= size[other] + size[i]
             other, apart = other[fits], apart[fits]
             if not len(other):
@@ -405,13 +466,31 @@ def _across(nearest: bool):
     return run
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
-    """(key, n_shingles, component_id), a row for each row of docs."""
-    spark = docs.sparkSession
-    ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).cast("long").alias("d"), text_of(text).alias("t"))
-    each = staged(_documents(rows), "documents")
+def _blocks_of(split: DataFrame) -> DataFrame:
+    """split (g, sid, root, ...) with i, j and k: every pair of nodes of a group in different components meets in a pair of blocks (i, j) of bounded size.
+
+    The nodes of a group's largest component never compare with each other: their blocks (negative numbers) meet those of the others alone."""
+    counts = split.groupBy("g", "root").count()
+    sizes = counts.groupBy("g").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.max("count").alias("many"), F.sum("count").alias("all"))
+    of = lambda c: F.ceil(c / TOGETHER).cast("int")
+    sizes = sizes.select("g", "major", of(F.col("many")).alias("nm"), of(F.col("all") - F.col("many")).alias("nr"))
+    placed = split.join(sizes, "g").withColumn("most", F.col("root") == F.col("major"))
+    k = F.when(F.col("most"), -1 - F.pmod(F.xxhash64("sid"), "nm")).otherwise(F.pmod(F.xxhash64("sid"), "nr")).cast("int")
+    rest, most = F.sequence(F.lit(0), F.col("nr") - 1), F.sequence(F.lit(-1), -F.col("nm"), F.lit(-1))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("i"), F.greatest(a, b).alias("j"))
+    partners = F.when(F.col("most"), F.transform(rest, lambda x: pair(F.col("k"), x))).otherwise(F.transform(F.concat(rest, most), lambda x: pair(F.col("k"), x)))
+    return placed.withColumn("k", k).withColumn("p", F.explode(partners)).select("g", "p.i", "p.j", "k", "sid", "root", "n")
+
+
+#: Shingles of the documents for each hash range at least: a range is one group of a task, some 12 bytes a signature.
+RANGE = 4 << 20
+
+
+def _linked(rows: DataFrame, each: DataFrame, ranges: int | None) -> DataFrame:
+    """(sid, d, root): every set with its smallest id, and the component that it belongs to (sets linked with none: their own)."""
+    spark = rows.sparkSession
+    total = each.agg(F.sum("n")).first()[0] or 0
+    ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE)
     nodes = each.where("d is not null and n > 0").groupBy("sid").agg(F.min("d").alias("d"), F.min("n").alias("n"))
     found = staged(_signed(rows, ranges).groupBy("range").applyInArrow(_grouper(ranges), "g long, members array<long>, to int, pairs binary"), "found")
     pairs = found.where("to is not null").select("to", "pairs").groupBy("to").applyInArrow(_agreeing, "a long, b long")
@@ -420,35 +499,33 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges:
     members = groups.select("g", F.size("members").alias("m"), F.explode("members").alias("sid"))
     degrees = members.groupBy("sid").agg(F.sum("m").alias("degree"))
     known = staged(degrees.join(nodes, "sid"), "nodes")  # nodes with a candidate
-    # the sets of those nodes, from one document each; rows that are repeated give them more than once
-    held = staged(_held(rows, known), "sets")
-    repeated = held.groupBy("sid", "d").count().where("count > 1").limit(1).count()
-    if repeated:
-        held = staged(held.dropDuplicates(["sid", "d"]), "sets")
+    sketches = _held(rows, known, "sketch", "sketches")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The similar ones: by sketches first, which never lose one, then by sets."""
-        small = held.select(F.col("sid").alias("a"), F.col("s").alias("x"), F.col("n").alias("m"))
-        both = pairs.join(small, "a").join(held.select(F.col("sid").alias("b"), F.col("s").alias("y"), "n"), "b")
-        near = staged(both.select("a", "b", "x", "y", "m", "n").mapInArrow(_near, "a long, b long"), name)
-        withx = near.join(held.select(F.col("sid").alias("a"), "x"), "a")
-        return withx.join(held.select(F.col("sid").alias("b"), F.col("x").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
+        """The similar ones: by sketches first, which never lose one, then by whole sets, of which only those of pairs that are left move."""
+        side = lambda c, x, m: sketches.select(F.col("sid").alias(c), F.col("s").alias(x), F.col("n").alias(m))
+        both = pairs.join(side("a", "x", "m"), "a").join(side("b", "y", "n"), "b")
+        near = staged(both.select("a", "b", "x", "y", "m", "n").mapInArrow(_near, "a long, b long"), f"{name}-near")
+        wanted = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(known.select("sid", "d"), "sid")
+        sets = _held(rows, staged(wanted, f"{name}-wanted"), "set", f"{name}-sets")
+        of = lambda c, x: sets.select(F.col("sid").alias(c), F.col("s").alias(x))
+        return staged(near.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), f"{name}-links")
 
     # first: each node and its neighbour of the highest degree
     ranked = members.join(known.select("sid", "degree"), "sid")
     hub = ranked.groupBy("g").agg(F.max_by("sid", F.struct("degree", "sid")).alias("hub"), F.max(F.struct("degree", "sid")).alias("top"))
     best = members.join(hub, "g").where("sid <> hub").groupBy("sid").agg(F.max_by("hub", "top").alias("hub"))
     tried = staged(best.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct(), "tried")
-    links = staged(verified(tried, "near"), "links")
+    links = verified(tried, "tried")
     roots = connected_components(links, "roots")
     # then: pairs still apart; of a large group first each node and its nearest, which joins nearly all, then whatever is left
     pairs_of_two = groups.where(F.size("members") == 2).select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"))
-    sketches = held.select("sid", "s").dropDuplicates(["sid"])
     for name, nearest in (("nearest", True), ("rest", False)):
         root = roots.select(F.col("node").alias("sid"), "root")
         placed = members.where(F.col("m") > 2).join(known.select("sid", "n"), "sid").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         split = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
-        apart = placed.join(split, "g").join(sketches, "sid").select("g", "sid", "root", "n", "s").groupBy("g").applyInArrow(_across(nearest), "a long, b long")
+        apart = _blocks_of(staged(placed.join(split, "g").select("g", "sid", "root", "n"), f"{name}-split")).join(sketches.select("sid", "s"), "sid")
+        apart = apart.groupBy("g", "i", "j").applyInArrow(_across(nearest), "a long, b long")
         if nearest:
             apart = apart.unionAll(pairs_of_two)
         ends = [root.select(F.col("sid").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab"]
@@ -456,11 +533,17 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges:
         rest = staged(rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), name)
         if rest.isEmpty():
             continue
-        more = staged(verified(rest, f"{name}-near"), f"{name}-links")
-        tried, links = tried.unionAll(rest), links.unionAll(more)
+        tried, links = tried.unionAll(rest), links.unionAll(verified(rest, name))
         roots = connected_components(links, f"{name}-roots")
-    # the smallest id of each component, and back to the rows
-    low = nodes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    return nodes.select("sid", "d").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
+    """(key, n_shingles, component_id), a row for each row of docs."""
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).cast("long").alias("d"), text_of(text).alias("t"))
+    each = staged(_documents(rows), "documents")
+    low = staged(_linked(rows, each, ranges), "linked")
     least = low.groupBy("root").agg(F.min("d").alias("component_id"))
     of = low.select("sid", "root").join(least, "root").select("sid", "component_id")
     linked = each.where("d is not null and n > 0").join(of, "sid").select(F.col("d").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind).alias("component_id"))
@@ -468,10 +551,29 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges:
     return linked.unionAll(alone)
 
 
+def _with_set(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """docs with `out`, the hash of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, text, BLOCK):
+            texts = pa.RecordBatch.from_arrays([b.column(text).fill_null("")], ["t"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_sets_of(texts)[2])], [*b.schema.names, out])
+
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"{out} long"]))
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but one document of each component: that with the smallest key stays (of equal rows one). Rows that link nothing stay."""
-    own = docs.columns
-    keep = components(docs, key, text).where(f"component_id = {key} and n_shingles > 0").select(key).distinct()
+    """docs without all but one row of each component of texts: that with the smallest key stays. Rows that link nothing stay: null keys and texts without a word.
+
+    Of equal rows one stays. Where a key stands on several rows, each is taken by its own text."""
+    own, sid = docs.columns, spare(docs.columns, "__sid")
+    rows = docs.select(F.col(key).cast("long").alias("d"), text_of(text).alias("t"))
+    each = staged(_documents(rows), "documents")
+    kept = staged(_linked(rows, each, None).groupBy("root").agg(F.min(F.struct("d", "sid")).alias("k")).select("k.d", "k.sid"), "kept")
+    shared = staged(each.where("d is not null").groupBy("d").count().where("count > 1").select("d"), "shared")
     with_words = text_of(text).rlike(r"[^\x20\x09-\x0D]") & F.col(key).isNotNull()
-    first = docs.where(with_words).join(keep, key, "left_semi").dropDuplicates([key])
-    return first.unionAll(docs.where(~with_words)).select(*own)
+    whole = docs.where(with_words)
+    once = whole.join(kept.join(shared, "d", "left_anti").select(F.col("d").alias(key)), key, "left_semi")
+    more = _with_set(whole.join(shared.select(F.col("d").alias(key)), key, "left_semi").select(*own), text, sid)
+    more = more.join(kept.select(F.col("d").alias(key), F.col("sid").alias(sid)), [key, sid], "left_semi").dropDuplicates([key, sid])
+    return once.select(*own).unionAll(more.select(*own)).unionAll(docs.where(~with_words).select(*own))
