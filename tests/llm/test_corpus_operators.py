@@ -472,22 +472,27 @@ def test_large_group_pairs_join_all_that_all_pairs_would(spark, monkeypatch):
     import pyarrow as pa
 
     rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 1 << 60, 300, dtype=np.uint64))]
-    for k in range(60):  # copies of copies, each with a few other elements; some twice as large, so that sketches have other lengths
+    sets = [np.unique(rng.integers(0, 1 << 60, 230, dtype=np.uint64))]
+    for k in range(60):  # copies of copies, each with a few other elements; some twice as large, so that sketches have other lengths (256 elements: the border)
         base = sets[rng.integers(len(sets))].copy()
         base[rng.integers(0, len(base), 12)] = rng.integers(0, 1 << 60, 12, dtype=np.uint64)
-        sets.append(np.unique(np.concatenate([base, rng.integers(0, 1 << 60, 40 * (k % 3), dtype=np.uint64)])))
+        sets.append(np.unique(np.concatenate([base, rng.integers(0, 1 << 60, 30 * (k % 3), dtype=np.uint64)])))
     sizes = np.array([len(s) for s in sets])
     sketches = partenum_join._sketches(np.concatenate(sets), sizes)
-    assert len({len(s) for s in sketches}) > 1
+    small = [np.unique(rng.integers(0, 1 << 60, n, dtype=np.uint64)) for n in (20, 30, 40)]
+    sets += [np.concatenate([x[:-2], rng.integers(1 << 60, 1 << 61, k, dtype=np.uint64)]) for x in small for k in (1, 2, 3)]
+    sizes = np.array([len(s) for s in sets])
+    sketches = partenum_join._sketches(np.concatenate(sets), sizes)
+    assert len({len(s) for s in sketches}) > 2
     every = {(a, b) for a in range(len(sets)) for b in range(a) if (k := len(np.intersect1d(sets[a], sets[b]))) * 100 >= 80 * (len(sets[a]) + len(sets[b]) - k)}
     made = {"i": np.zeros(len(sets), np.int32), "j": np.zeros(len(sets), np.int32), "k": np.zeros(len(sets), np.int32)}
-    table = pa.table({"sid": np.arange(len(sets)), "root": np.arange(len(sets)), "n": sizes, "s": pa.array(sketches, pa.binary()), **made})
+    table = pa.table({"g": np.full(len(sets), 4), "sid": np.arange(len(sets)), "root": np.arange(len(sets)), "n": sizes, "s": pa.array(sketches, pa.binary()), **made})
     out = partenum_join._across(False)(None, table)
     pairs = set(zip(out["b"].to_pylist(), out["a"].to_pylist(), strict=True))
     assert every <= pairs
     near = partenum_join._across(True)(None, table)
-    assert 0 < near.num_rows <= len(sets)
+    some = {(y, x) for x, y, g in zip(*(near[c].to_pylist() for c in "abg"), strict=True) if g is None}
+    assert some < pairs and {x for p in some for x in p} == {x for p in pairs for x in p} and near["g"].to_pylist().count(4) == 1
     a, b = map(list, zip(*[(x, y) for x in range(len(sets)) for y in range(x)], strict=True))
     batch = pa.RecordBatch.from_pydict({"a": a, "b": b, "m": sizes[a], "n": sizes[b], "x": pa.array([sketches[i] for i in a], pa.binary()), "y": pa.array([sketches[i] for i in b], pa.binary())})
     kept = next(partenum_join._near(iter([batch])))

@@ -356,8 +356,9 @@ def _agreeing(_, table):
 
 
 def _cells(sizes: np.ndarray) -> np.ndarray:
-    """Cells of the sketch of a set: a power of two, about one for eight elements, so that sketches of unlike sets differ whatever their size."""
-    return 1 << np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / 8)).astype(np.int64), 3, 16)
+    """Cells of the sketch of a set, a power of two: as many as elements up to 256, then 256, and one for eight elements of large sets, so that sketches of unlike sets differ whatever their size."""
+    small, large = np.minimum(sizes, 256), np.ceil(sizes / 8)
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(np.maximum(small, large), 1))).astype(np.int64), 3, 16)
 
 
 def _sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -415,57 +416,76 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 TOGETHER = 2048
 
 
+def _allowed(sid, root, size, own, sketch: list[bytes], alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, how far apart at least) of the nodes in different components, and in different blocks unless the block is alone, that sizes and sketches allow to be similar."""
+    order = np.argsort(size, kind="stable")
+    sid, root, size, own = sid[order], root[order], size[order], own[order]
+    cells = np.array([len(sketch[i]) for i in order])
+    left, right, far = [], [], []
+    for c in np.unique(cells).tolist():
+        rows = np.flatnonzero(cells == c)
+        mine = _matrix([sketch[order[i]] for i in rows], c).astype(np.int16)
+        # sizes of similar sets are within a quarter, so their sketches have as many cells or twice as many
+        for d in (c, 2 * c):
+            cols = rows if d == c else np.flatnonzero(cells == d)
+            if not len(cols):
+                continue
+            theirs = mine if d == c else _folded(_matrix([sketch[order[i]] for i in cols], d), c).astype(np.int16)
+            # an eighth of the cells tells most pairs apart; the rest are compared whole
+            few = max(min(c, 32), c // 8)
+            rough, other = _folded(mine, few), _folded(theirs, few)
+            first = np.arange(len(rows)) + 1 if d == c else np.searchsorted(size[cols], size[rows])
+            last = np.searchsorted(4 * size[cols], 5 * size[rows], side="right")
+            at = 0
+            while at < len(rows):
+                to = at + 1
+                while to < len(rows) and (to + 1 - at) * (last[to] - first[at]) * few < 1 << 20:
+                    to += 1
+                i, j = np.arange(at, to), np.arange(first[at], max(last[to - 1], first[at]))
+                fits = (root[rows[i], None] != root[cols[j]]) & (j >= first[i, None]) & (j < last[i, None])
+                if not alone:
+                    fits &= own[rows[i], None] != own[cols[j]]
+                if fits.any():
+                    apart = np.abs(rough[i, None] - other[None, j]).sum(axis=2, dtype=np.int32)
+                    x, y = np.nonzero(fits & (9 * apart <= size[rows[i], None] + size[cols[j]]))
+                    x, y = i[x], j[y]
+                    for part in np.array_split(np.arange(len(x)), 1 + len(x) * c // (1 << 22)):
+                        whole = np.abs(mine[x[part]] - theirs[y[part]]).sum(axis=1, dtype=np.int32)
+                        near = part[9 * whole <= size[rows[x[part]]] + size[cols[y[part]]]]
+                        left.append(sid[rows[x[near]]]), right.append(sid[cols[y[near]]]), far.append(whole[np.searchsorted(part, near)])
+                at = to
+    none = np.array([], np.int64)
+    return tuple(np.concatenate(x) if x else none for x in (left, right, far))
+
+
 def _across(nearest: bool):
     def run(_, table):
-        """Of two blocks of one large group (i, j; columns k: own block), the pairs of nodes in different components that sizes and sketches allow to be similar; `nearest`: one at most for each node."""
-        sid, root, size, own = (table.column(c).to_numpy() for c in ("sid", "root", "n", "k"))
-        alone = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        raw = table.column("s").to_pylist()
-        cells = min(map(len, raw))
-        # the sizes of similar sets are near; those of a group need not be: compare by number of cells
-        order = np.lexsort((sid, size))
-        sid, root, size, own = sid[order], root[order], size[order], own[order]
-        lengths = np.array([len(raw[i]) for i in order])
-        by = {c: np.flatnonzero(lengths == c) for c in np.unique(lengths).tolist()}
-        whole = {c: _matrix([raw[order[i]] for i in at], c).astype(np.int16) for c, at in by.items()}
-        place = np.empty(len(sid), np.int64)
-        for at in by.values():
-            place[at] = np.arange(len(at))
-        folded: dict[tuple[int, int], np.ndarray] = {}
-        ends = np.searchsorted(4 * size, 5 * size, side="right")
-        left, right = [], []
-        best, at = np.full(len(sid), np.iinfo(np.int32).max, np.int32), np.full(len(sid), -1)
-        for i in range(len(sid) - 1):
-            span = slice(i + 1, ends[i])
-            other = i + 1 + np.flatnonzero((root[span] != root[i]) & ((own[span] != own[i]) | alone))
-            if not len(other):
-                continue
-            apart = np.empty(len(other), np.int32)
-            mine = whole[int(lengths[i])][place[i]]
-            for c in np.unique(lengths[other]).tolist():
-                some, cells = lengths[other] == c, min(c, len(mine))
-                if (c, cells) not in folded:
-                    folded[c, cells] = _folded(whole[c], cells)
-                apart[some] = np.abs(folded[c, cells][place[other[some]]] - _folded(mine[None], cells)[0]).sum(axis=1, dtype=np.int32)
-            fits = 9 * apart <= size[other] + size[i]
-            other, apart = other[fits], apart[fits]
-            if not len(other):
-                continue
-            if not nearest:
-                left.append(np.full(len(other), i)), right.append(other)
-                continue
-            if apart.min() < best[i]:
-                best[i], at[i] = apart.min(), other[apart.argmin()]
-            closer = apart < best[other]
-            best[other[closer]], at[other[closer]] = apart[closer], i
-        if nearest:
-            left, right = [np.flatnonzero(at >= 0)], [at[at >= 0]]
-        a, b = (sid[np.concatenate(x)] if x else np.array([], np.int64) for x in (left, right))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        """Of some pairs of blocks (g, i, j; column k: own block), the pairs of nodes that may be similar; `nearest`: one at most for each node, and g if a group has more."""
+        g, i, j, sid, root, size, own = (table.column(c).to_numpy() for c in ("g", "i", "j", "sid", "root", "n", "k"))
+        sketch = table.column("s").to_pylist()
+        order = np.lexsort((sid, j, i, g))
+        new = np.flatnonzero((np.diff(g[order], prepend=g[order[0]] - 1) != 0) | (np.diff(i[order], prepend=i[order[0]]) != 0) | (np.diff(j[order], prepend=j[order[0]]) != 0))
+        low, high, more = [], [], []
+        for at in np.split(order, new[1:]):
+            a, b, far = _allowed(sid[at], root[at], size[at], own[at], [sketch[x] for x in at.tolist()], i[at[0]] == j[at[0]])
+            if nearest and len(a):
+                node, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+                o = np.lexsort((pair, far[pair], node))
+                kept = np.unique(pair[o][np.diff(node[o], prepend=node[o[0]] - 1) != 0])
+                if len(kept) < len(a):
+                    more.append(int(g[at[0]]))
+                a, b = a[kept], b[kept]
+            low.append(np.minimum(a, b)), high.append(np.maximum(a, b))
+        low, high = np.concatenate(low), np.concatenate(high)
+        return pa.table({"a": pa.array([*low.tolist(), *[None] * len(more)], pa.int64()), "b": pa.array([*high.tolist(), *[None] * len(more)], pa.int64()), "g": pa.array([*[None] * len(low), *more], pa.int64())})
 
     return run
 
 
+#: Rows of blocks to a call: a call for each pair of blocks would cost more than the comparison of small groups.
+CALL = 16_384
+
+
 def _blocks_of(split: DataFrame) -> DataFrame:
     """split (g, sid, root, ...) with i, j and k: every pair of nodes of a group in different components meets in a pair of blocks (i, j) of bounded size.
 
@@ -520,12 +540,17 @@ def _linked(rows: DataFrame, each: DataFrame, ranges: int | None) -> DataFrame:
     roots = connected_components(links, "roots")
     # then: pairs still apart; of a large group first each node and its nearest, which joins nearly all, then whatever is left
     pairs_of_two = groups.where(F.size("members") == 2).select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"))
+    more = None
     for name, nearest in (("nearest", True), ("rest", False)):
         root = roots.select(F.col("node").alias("sid"), "root")
-        placed = members.where(F.col("m") > 2).join(known.select("sid", "n"), "sid").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        wide = members.where(F.col("m") > 2) if nearest else members.join(more, "g", "left_semi")
+        placed = wide.join(known.select("sid", "n"), "sid").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         split = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
-        apart = _blocks_of(staged(placed.join(split, "g").select("g", "sid", "root", "n"), f"{name}-split")).join(sketches.select("sid", "s"), "sid")
-        apart = apart.groupBy("g", "i", "j").applyInArrow(_across(nearest), "a long, b long")
+        still = staged(placed.join(split, "g").select("g", "sid", "root", "n"), f"{name}-split")
+        call = F.pmod(F.xxhash64("g", "i", "j"), F.lit(ranges + still.count() // CALL)).alias("call")
+        apart = _blocks_of(still).join(sketches.select("sid", "s"), "sid").select("*", call)
+        apart = staged(apart.groupBy("call").applyInArrow(_across(nearest), "a long, b long, g long"), f"{name}-apart")
+        more, apart = apart.where("g is not null").select("g").distinct(), apart.where("g is null").select("a", "b")
         if nearest:
             apart = apart.unionAll(pairs_of_two)
         ends = [root.select(F.col("sid").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab"]
