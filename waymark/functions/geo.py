@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from waymark.functions import vocabulary as V
+
 # Mean earth radius; the eight winds; metres a degree of latitude, for boxes.
 EARTH_M = 6_371_008.8
 WINDS = "N NE E SE S SW W NW".split()
@@ -60,9 +62,10 @@ def box_around(lat: float, lng: float, radius_m: float) -> tuple[float, float, f
 
 
 def grid_ref_metres(ref: Column) -> Column:
-    """struct<easting, northing> of a British grid reference: the middle of its square; null if malformed."""
+    """struct<easting, northing> of a British grid reference: the middle of its square; null if malformed: letters of no square of Great Britain, or halves of unlike length."""
     tidy = F.upper(F.regexp_replace(ref, r"\s+", ""))
-    good = tidy.rlike(r"^[A-HJ-Z]{2}(\d\d){1,5}$")
+    halves = F.upper(F.trim(ref)).rlike(r"^[A-HJ-Z]\s*[A-HJ-Z]\s*(\d+|(\d{1}\s+\d{1})|(\d{2}\s+\d{2})|(\d{3}\s+\d{3})|(\d{4}\s+\d{4})|(\d{5}\s+\d{5}))$")
+    good = tidy.rlike(r"^[A-HJ-Z]{2}(\d\d){1,5}$") & halves
     letters = "ABCDEFGHJKLMNOPQRSTUVWXYZ"  # no I
     at = lambda k: F.instr(F.lit(letters), F.substr(tidy, F.lit(k), F.lit(1))) - 1
     a, b = at(1), at(2)
@@ -71,7 +74,8 @@ def grid_ref_metres(ref: Column) -> Column:
     digits = (F.length(tidy) - 2) / 2
     size = F.pow(F.lit(10.0), 5 - digits)
     part = lambda start: F.coalesce(F.substr(tidy, start.cast("int"), digits.cast("int")).try_cast("double"), F.lit(0.0)) * size + size / 2
-    return F.when(good, F.struct((east + part(F.lit(3))).cast("double").alias("easting"), (north + part(3 + digits)).cast("double").alias("northing")))
+    on = (east >= 0) & (east < 700_000) & (north >= 0) & (north < 1_300_000)
+    return F.when(good & on, F.struct((east + part(F.lit(3))).cast("double").alias("easting"), (north + part(3 + digits)).cast("double").alias("northing")))
 
 
 def web_mercator(px: Column, py: Column, zoom: int) -> tuple[Column, Column]:
@@ -184,13 +188,20 @@ def from_grid(df, easting: str = "easting", northing: str = "northing", rounds:
     return _moved(df, "__lat", "__lng", AIRY, WGS84, -1).withColumns({"lat": F.degrees("__p"), "lng": F.degrees("__l")}).drop("__lat", "__lng", "__p", "__l")
 
 
-def grid_ref(easting: Column, northing: Column) -> Column:
-    """`AB 1234 5678` of grid metres; null off the grid."""
+def grid_ref(easting: Column, northing: Column, digits_each: int = 4) -> Column:
+    """`AB 1234 5678` of grid metres, with so many digits each way; null off the grid."""
     letters = F.lit("ABCDEFGHJKLMNOPQRSTUVWXYZ")  # no I
     x, y = F.floor(easting / 100_000), F.floor(northing / 100_000)
     first = (3 - F.floor(y / 5)) * 5 + F.floor(x / 5) + 2
     second = (4 - F.pmod(y, F.lit(5))) * 5 + F.pmod(x, F.lit(5))
     one = lambda k: F.substr(letters, (k + 1).cast("int"), F.lit(1))
-    digits = lambda m: F.lpad(F.floor(F.pmod(m, F.lit(100_000.0)) / 10).cast("string"), 4, "0")
+    digits = lambda m: F.lpad(F.floor(F.pmod(m, F.lit(100_000.0)) / 10.0 ** (5 - digits_each)).cast("string"), digits_each, "0")
     on = (easting >= 0) & (easting < 700_000) & (northing >= 0) & (northing < 1_300_000)
     return F.when(on, F.concat(one(first), one(second), F.lit(" "), digits(easting), F.lit(" "), digits(northing)))
+
+
+def nation(lat: Column, lng: Column) -> Column:
+    """The country of the United Kingdom that a point lies in; null outside them."""
+    within = lambda box: (lng > box[0]) & (lat > box[1]) & (lng < box[2]) & (lat < box[3])
+    out = F.when(inside(lat, lng, V.NORTHERN_IRELAND), "northern_ireland").when(inside(lat, lng, V.SCOTLAND), "scotland").when(inside(lat, lng, V.WALES), "wales")
+    return out.when(~within(V.ISLE_OF_MAN) & within(V.ENGLAND_BOX), "england")

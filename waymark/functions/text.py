@@ -5,32 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Conditions by the first pattern that one evidence text (lower case) matches.
-CONDITIONS = [
-    ("heritage at risk", "At risk"), ("heritage site open to visitors", "Heritage site"), ("demolition approved", "Demolition approved"), ("ownerless", "Ownerless"),
-    ("as cleared vacant land", "Vacant land"), ("new use", "Reused"), ("single shop unit", "Closed"), (r"\bruin", "Ruin"),
-    ("abandoned|derelict|boarded up|disrepair|dilapidated|poor state of repair", "Abandoned"),
-    ("unfinished|partially constructed|partially built|partially completed|part-built|partly built|incomplete dwelling", "Unfinished"),
-    ("never occupied|unoccupied|stood empty|stands empty|been empty|remained empty|uninhabitable|unfit for habitation|couldn't be lived in", "Empty"),
-    ("due to close", "Closing"), (r"closed in \d{4}", "Closed"), ("disused|decommission|mothball|out of use|closed|vacant|inactive|redundant|surplus", "Disused"),
-    ("brownfield", "Brownfield"), ("cave entrance", "Cave"), ("worked underground|underground quarry|underground mine|underground workings|underground galleries", "Underground"),
-    (r"old mine|old quarry|old colliery|\badit|mineshaft", "Old workings"), ("bunker|pillbox|observation post|observer corps|monitoring post|roc post", "Old military"), ("former", "Former"),
-]
-# Least scores of strengths.
-STRONG, GOOD = 35, 20
-
-
-def condition(evidence: Column) -> Column:
-    """The state that an evidence text tells, or null."""
-    text, out = F.lower(evidence), F.lit(None).cast("string")
-    for pattern, name in reversed(CONDITIONS):
-        told = F.concat(F.lit("Closed "), F.regexp_extract(text, r"closed in (\d{4})", 1)) if pattern.startswith("closed in") else F.lit(name)
-        out = F.when(text.rlike(pattern), told).otherwise(out)
-    return out
+from waymark.functions import vocabulary as V
+from waymark.functions.judges import condition_of_text as condition  # noqa: F401
+from waymark.functions.names import dated as day  # noqa: F401
 
 
 def strength(score: Column) -> Column:
-    return F.when(score >= STRONG, "strong").when(score >= GOOD, "good").otherwise("weak")
+    return F.when(score >= V.STRONG_SCORE, "strong").when(score >= V.GOOD_SCORE, "good").otherwise("weak")
 
 
 def norm(name: Column) -> Column:
@@ -58,9 +39,3 @@ def html_text(html: Column) -> Column:
     for entity, letter in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(letter))
     return squashed(out)
-
-
-def day(text: Column) -> Column:
-    """Date of an ISO day, d/m/y or epoch milliseconds; null otherwise."""
-    ms = F.when(text.rlike(r"^\d{11,13}$"), F.to_date(F.timestamp_millis(text.try_cast("bigint"))))
-    return F.coalesce(F.try_to_date(F.regexp_extract(text, r"^\d{4}-\d\d-\d\d", 0), "yyyy-MM-dd"), F.try_to_date(text, "d/M/yyyy"), ms)

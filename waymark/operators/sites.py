@@ -1,19 +1,22 @@
-"""Queries over sites (key, name, lat, lng, score, category, condition, kind, sources, added, first_seen, aliases)."""
+"""Queries over sites: key, name, lat, lng, score, strength, category, condition, kind, sources, reasons, added, first_seen, aliases, entrances, dates (struct of any and all, as ISO text)."""
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.functions import geo
+from waymark.functions import vocabulary as V
 from waymark.functions.geo import haversine_m
 
 
 @dataclass
 class Filters:
-    """The filter algebra; all given parts must hold."""
+    """The filter algebra; all given parts must hold. date_kind: any (sources) or all (with visitors' reports); dates are ISO text, the upper one excluded."""
 
     bbox: tuple[float, float, float, float] | None = None  # west, south, east, north
     min_score: int | None = None
@@ -22,6 +25,7 @@ class Filters:
     added_since: str | None = None
     text: str | None = None
     best: bool = False
+    date_kind: str | None = None
     date_from: str | None = None
     date_to: str | None = None
 
@@ -31,7 +35,7 @@ class Filters:
             w, s, e, n = self.bbox
             out = out & F.col("lat").between(s, n) & F.col("lng").between(w, e)
         if self.min_score is not None or self.best:
-            out = out & (F.col("score") >= max(self.min_score or 0, 20 if self.best else 0))
+            out = out & (F.col("score") >= max(self.min_score or 0, V.GOOD_SCORE if self.best else 0))
         if self.categories:
             out = out & F.col("category").isin(self.categories)
         if self.sources:
@@ -39,17 +43,42 @@ class Filters:
         if self.added_since:
             out = out & (F.col("added") > F.to_timestamp_ntz(F.lit(self.added_since)))
         if self.text:
-            bare = F.regexp_replace("name", r"[\s-]+", "")
-            out = out & (F.col("name").ilike(f"%{self.text}%") | bare.ilike(f"%{self.text.replace(' ', '').replace('-', '')}%"))
+            out = out & _told(self.text)
         if self.best:
-            out = out & (F.col("condition").isin("Abandoned", "Ruin", "Empty") | F.col("condition").rlike("^Closed [0-9]{4}$"))
-        if self.date_from:
-            out = out & (F.col("added") >= F.to_timestamp_ntz(F.lit(self.date_from)))
-        if self.date_to:
-            out = out & (F.col("added") < F.to_timestamp_ntz(F.lit(self.date_to)))
+            out = out & best_spot()
+        if self.date_kind in ("any", "all") and (self.date_from or self.date_to):
+            when = F.col("dates")[self.date_kind]
+            out = out & when.isNotNull()
+            out = out & (when >= self.date_from) if self.date_from else out
+            out = out & (when < self.date_to) if self.date_to else out
         return out
 
 
+def _told(text: str) -> Column:
+    """The name or an alias holds the text, as it stands or with spaces and hyphens left out of both."""
+    short = re.sub(r"[\s-]+", "", text)
+    held = lambda n: n.ilike(f"%{text}%") | F.regexp_replace(n, "[ -]+", "").ilike(f"%{short}%")
+    return held(F.col("name")) | F.exists("aliases", held)
+
+
+def best_spot() -> Column:
+    """Standing, empty or derelict, and somewhere to go and see: by condition and kind; unnamed places by what is known of them."""
+    kind = F.lower("kind")
+    state = F.col("condition").isin(V.BEST_CONDITIONS) | F.col("condition").rlike(V.BEST_CLOSED)
+    known = ~F.col("name").startswith("Unnamed ") | F.col("category").isin(V.UNNAMED_OK) | ~kind.isin(V.VAGUE_KINDS)
+    return state & ~kind.isin(V.SKIP_KINDS) & known
+
+
+def active(items: DataFrame) -> DataFrame:
+    """Items that their source still has."""
+    return items.where("gone_at is null")
+
+
+def by_keys(sites: DataFrame, keys: list[str], most: int = 200) -> DataFrame:
+    """Particular places, in order of key; a request names `most` at most."""
+    return sites.where(F.col("key").isin(keys[:most])).orderBy("key")
+
+
 def cluster_cells(bbox: tuple[float, float, float, float], zoom: int) -> tuple[float, float]:
     """(lat, lng) size of a cluster cell; the view's middle latitude is rounded half to even."""
     lng = 360 / (256 * 2**zoom) * 80
@@ -69,12 +98,55 @@ def clusters(sites: DataFrame, filters: Filters, zoom: int) -> DataFrame:
     return joined
 
 
-def map_view(sites: DataFrame, filters: Filters, zoom: int, few: int = 400, most: int = 2000) -> DataFrame:
-    """The sites themselves if the view holds few or is close, else clusters."""
+def cluster_view(sites: DataFrame, filters: Filters, zoom: int) -> DataFrame:
+    """Clusters of two or more sites, and each site that is alone in its cell under its own key and name (count 1). One row has both kinds' columns."""
+    found = clusters(sites, filters, zoom)
+    alone = found.where("n = 1").select("key").join(sites.select("key", F.col("name").alias("own_name"), F.col("score").alias("own_score")), "key", "left")
+    return found.join(alone, "key", "left").select("gy", "gx", "n", "lat", "lng", "category", F.when(F.col("n") == 1, F.col("key")).alias("site"), "own_name", "own_score")
+
+
+def map_view(sites: DataFrame, filters: Filters, zoom: int, few: int = 400, most: int = 2000) -> tuple[str, DataFrame]:
+    """("sites", the sites themselves) if the view holds few or is close, else ("clusters", its cluster view)."""
     seen = sites.where(filters.where())
     if zoom >= 15 or seen.limit(few + 1).count() <= few:
-        return top(seen, most)
-    return clusters(sites, filters, zoom)
+        return "sites", top(seen, most)
+    return "clusters", cluster_view(sites, filters, zoom)
+
+
+LISTED = ["key", "name", "lat", "lng", "score", "strength", "category", "condition", "kind", "sources", "added", "first_seen", "aliases"]
+
+
+def listed(sites: DataFrame) -> DataFrame:
+    """What lists show of each site: its fields, how many ways in, and its first reason."""
+    return sites.select(*LISTED, F.size("entrances").alias("n_entrances"), F.coalesce(F.get("reasons", F.lit(0)), F.lit("")).alias("summary"))
+
+
+def index(sites: DataFrame) -> DataFrame:
+    """Every site in brief, positions to about a metre, in order of key: what a device keeps."""
+    return listed(sites).withColumns({c: F.round(c, 5) for c in ("lat", "lng")}).orderBy("key")
+
+
+def by_square(sites: DataFrame) -> DataFrame:
+    """sites with sq_lat and sq_lng, the one-degree square that each lies in: columns to partition a written copy by."""
+    return sites.withColumns({"sq_lat": F.floor("lat").cast("int"), "sq_lng": F.floor("lng").cast("int")})
+
+
+def with_pointers(sites: DataFrame) -> DataFrame:
+    """sites with nation, and grid_ref where that is in Great Britain."""
+    found = geo.to_grid(sites.withColumn("nation", geo.nation(F.col("lat"), F.col("lng"))))
+    ref = F.when(F.col("nation").isNotNull() & (F.col("nation") != "northern_ireland"), geo.grid_ref(F.col("easting"), F.col("northing")))
+    return found.withColumn("grid_ref", ref).drop("easting", "northing")
+
+
+def watched(saved: DataFrame, sites: DataFrame) -> DataFrame:
+    """(key, changes): what has changed about saved places (key, condition, visited, reported) since they were looked at; those that haven't are left out."""
+    old = saved.select("key", *[F.col(c).alias(f"old_{c}") for c in ("condition", "visited", "reported")])
+    both = old.join(sites.select("key", "condition", "visited", "reported"), "key")
+    later = lambda c: F.col(c).isNotNull() & (F.coalesce(f"old_{c}", F.lit("")) < F.col(c))
+    told = F.array(
+        F.when(~F.col("condition").eqNullSafe(F.col("old_condition")), F.concat(F.lit("condition: "), "condition")), F.when(later("visited"), F.concat(F.lit("visited: "), "visited")), F.when(later("reported"), F.concat(F.lit("reported: "), "reported")),
+    )
+    return both.select("key", F.filter(told, lambda x: x.isNotNull()).alias("changes")).where("size(changes) > 0")
 
 
 def top(sites: DataFrame, n: int) -> DataFrame:
@@ -131,29 +203,94 @@ def without_near(left: DataFrame, right: DataFrame, metres: float, cell: float,
 # --- change tracking
 
 
-def apply_snapshot(store: DataFrame, snapshot: DataFrame, key: str, values: list[str], seen_at: str, incremental: bool = False) -> DataFrame:
-    """The store after a crawl: rows seen are overwritten and come back, others are marked gone (never by an incremental crawl). One full outer join."""
+def apply_snapshot(store: DataFrame, snapshot: DataFrame, key: str, values: list[str], seen_at: str, incremental: bool = False, keep: list[str] = ()) -> DataFrame:
+    """The store after a crawl: rows seen are overwritten and come back, others are marked gone (never by an incremental crawl). One full outer join.
+
+    A value of `keep` that the crawl doesn't tell stays as it was. A crawl that saw nothing at all takes nothing as gone."""
     now = F.to_timestamp_ntz(F.lit(seen_at))
     both = store.alias("o").join(snapshot.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     seen = F.col(f"n.{key}").isNotNull()
-    fields = [F.when(seen, F.col(f"n.{v}")).otherwise(F.col(f"o.{v}")).alias(v) for v in values]
-    gone = F.col("o.gone_at") if incremental else F.coalesce(F.col("o.gone_at"), now)
+    told = lambda v: F.coalesce(f"n.{v}", f"o.{v}") if v in keep else F.col(f"n.{v}")
+    fields = [F.when(seen, told(v)).otherwise(F.col(f"o.{v}")).alias(v) for v in values]
+    gone = F.col("o.gone_at") if incremental or snapshot.isEmpty() else F.coalesce(F.col("o.gone_at"), now)
     return both.select(
         F.coalesce(f"o.{key}", f"n.{key}").alias(key), *fields, F.coalesce("o.first_seen", F.lit(now)).alias("first_seen"),
         F.when(seen, now).otherwise(F.col("o.last_seen")).alias("last_seen"), F.when(~seen, gone).alias("gone_at"),
     )
 
 
+def due(crawls: DataFrame, every_days: dict[str, int], as_of: str, days: int = 7, retry_hours: int = 1) -> DataFrame:
+    """(source, status) of the sources whose next crawl is due. crawls: source, id, started_at, status. Never run: due. Failed: an hour after it began. Unfinished: at once. Done: after `days`, or what its own entry says."""
+    now = F.to_timestamp_ntz(F.lit(as_of))
+    last = crawls.groupBy("source").agg(F.max_by(F.struct("status", "started_at"), "id").alias("l"))
+    known = crawls.sparkSession.createDataFrame(list(every_days.items()), "source string, own int").join(last, "source", "left")
+    hours = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("l.started_at").cast("timestamp"))
+    wait = F.when(F.col("l.status") == "done", F.greatest(F.lit(days), F.coalesce("own", F.lit(0))) * 86_400).when(F.col("l.status") == "failed", retry_hours * 3600).otherwise(0)
+    return known.where(F.col("l").isNull() | (hours >= wait)).select("source", F.col("l.status").alias("status"))
+
+
 # --- exports
 
 
+def category_label(category: Column) -> Column:
+    labels = {k: label for k, label, _ in V.CATEGORIES} | {V.OTHER_CATEGORY[0]: V.OTHER_CATEGORY[1]}
+    return F.coalesce(*[F.when(category == k, v) for k, v in labels.items()], category)
+
+
+def links(lat: Column, lng: Column, osm_id: Column, wikipedia: Column, wikidata: Column) -> Column:
+    """struct of links out of a place; those without something to point at are null."""
+    at = lambda form: F.format_string(form, *[c for _ in range(form.count("%") // 2) for c in (lat, lng)])
+    made = {
+        "openstreetmap": at("https://www.openstreetmap.org/?mlat=%.6f&mlon=%.6f#map=18/%.6f/%.6f"), "streetview": at("https://www.google.com/maps/@?api=1&map_action=pano&viewpoint=%.6f,%.6f"),
+        "mapillary": at("https://www.mapillary.com/app/?lat=%.6f&lng=%.6f&z=18"), "osm_element": F.concat(F.lit("https://www.openstreetmap.org/"), osm_id), "wikipedia": wikipedia, "wikidata": wikidata,
+    }
+    return F.struct(*[v.alias(k) for k, v in made.items()])
+
+
+def way_label(e: Column) -> Column:
+    return F.coalesce(F.nullif(e["name"], F.lit("")), e["kind"])
+
+
+def _at(c: Column) -> Column:
+    return F.format_string("%.6f", c)
+
+
 def csv_rows(sites: DataFrame) -> DataFrame:
-    columns = [F.format_string("%.6f", F.col(c)).alias(c) if c in ("lat", "lng") else F.col(c).cast("string").alias(c) for c in ("key", "name", "lat", "lng", "score", "category")]
-    return sites.select(*columns)
+    """The thirteen columns of the export; lists are joined. sites also have osm_id and wikipedia (or null)."""
+    way = lambda e: F.concat(way_label(e), F.lit(" ("), _at(e["lat"]), F.lit(", "), _at(e["lng"]), F.lit(")"))
+    out = links(F.col("lat"), F.col("lng"), F.col("osm_id"), F.col("wikipedia"), F.lit(None).cast("string"))
+    return sites.select(
+        "name", category_label(F.col("category")).alias("category"), "condition", F.col("strength").alias("evidence"), _at(F.col("lat")).alias("latitude"), _at(F.col("lng")).alias("longitude"), "sources",
+        F.array_join("reasons", " | ").alias("reasons"), F.coalesce(out["osm_element"], out["openstreetmap"]).alias("openstreetmap"), F.coalesce("wikipedia", F.lit("")).alias("wikipedia"),
+        F.coalesce(F.date_format("added", "yyyy-MM-dd"), F.lit("")).alias("added"), F.array_join("aliases", "; ").alias("also_known_as"), F.array_join(F.transform("entrances", way), "; ").alias("entrances"),
+    )
+
+
+def escaped(text: Column) -> Column:
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return text
+
+
+def _marks(sites: DataFrame, own: Column, way) -> DataFrame:
+    """(key, n, line): a line for each site (0) and for each way into it."""
+    label = lambda e: F.when((e["name"] != "") & F.contains(F.lower(e["name"]), F.lower("name")), e["name"]).otherwise(F.concat("name", F.lit(": "), way_label(e)))
+    lines = F.concat(F.array(own), F.transform("entrances", lambda e: way(e, label(e))))
+    return sites.select("key", F.posexplode(lines).alias("n", "line"))
 
 
 def kml_rows(sites: DataFrame) -> DataFrame:
-    """A placemark for each site, as one string."""
-    safe = F.replace(F.replace(F.col("name"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    at = F.format_string("%.6f,%.6f", F.col("lng"), F.col("lat"))
-    return sites.select("key", F.concat(F.lit("<Placemark><name>"), safe, F.lit("</name><Point><coordinates>"), at, F.lit("</coordinates></Point></Placemark>")).alias("line"))
+    """A placemark for each site and each way in; a document is these lines in order of key and n."""
+    point = lambda lng, lat: F.concat(F.lit("<Point><coordinates>"), _at(lng), F.lit(","), _at(lat), F.lit(",0</coordinates></Point></Placemark>"))
+    head = F.concat(F.lit("<Placemark><name>"), escaped(F.col("name")), F.lit(" ("), escaped(F.col("condition")), F.lit(")</name><description><![CDATA["), F.array_join(F.transform("reasons", escaped), "<br>"), F.lit("]]></description>"))
+    way = lambda e, label: F.concat(F.lit("<Placemark><name>"), escaped(label), F.lit("</name><description>"), escaped(e["kind"]), F.lit("</description>"), point(e["lng"], e["lat"]))
+    return _marks(sites, F.concat(head, point(F.col("lng"), F.col("lat"))), way)
+
+
+def gpx_rows(sites: DataFrame) -> DataFrame:
+    """A waypoint for each site and each way in."""
+    begin = lambda lat, lng, name: F.concat(F.lit('<wpt lat="'), _at(lat), F.lit('" lon="'), _at(lng), F.lit('"><name>'), escaped(name), F.lit("</name><desc>"))
+    told = escaped(F.concat("condition", F.lit(": "), F.array_join("reasons", " | ")))
+    own = F.concat(begin(F.col("lat"), F.col("lng"), F.col("name")), told, F.lit("</desc><type>"), escaped(category_label(F.col("category"))), F.lit("</type></wpt>"))
+    way = lambda e, label: F.concat(begin(e["lat"], e["lng"], label), escaped(e["kind"]), F.lit(" of "), escaped(F.col("name")), F.lit("</desc><type>Entrance</type></wpt>"))
+    return _marks(sites, own, way)

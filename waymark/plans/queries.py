@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
+from waymark.functions import vocabulary as V
 from waymark.operators import resolve, sites
 from waymark.operators.sites import Filters
 from waymark.plans import views as v
@@ -48,9 +49,13 @@ def filtered_top(spark, sf):
     return rounded(sites.top(v.sites(spark, sf).where(Filters(bbox=BOX, min_score=20, categories=["building", "machinery"]).where()), 3000).select("key", "score", "lat", "lng"), "lat", "lng")
 
 
-@query(f"select key, condition, score from {v.SITES} where (condition in ('Abandoned', 'Ruin', 'Empty') or regexp_matches(condition, '^Closed [0-9]{{4}}$')) and score >= 20")
+_SKIP = "('" + "', '".join(x.replace("'", "''") for x in V.SKIP_KINDS) + "')"
+
+
+@query(f"""select key, condition, score, kind, name from {v.SITES} where score >= 20 and (condition in ('Abandoned', 'Disused', 'Ruin', 'At risk', 'Empty', 'Unfinished', 'Old military', 'Cave', 'Demolition approved', 'Closing', 'Underground', 'Ownerless') or regexp_full_match(condition, 'Closed [0-9][0-9][0-9][0-9]'))
+ and lower(kind) not in {_SKIP} and (name not like 'Unnamed %' or category in ('bunkers', 'tunnels', 'military') or lower(kind) not in ('structure', 'building', 'abandoned', 'ruins', 'yes', 'roof', 'wall', 'citywalls', 'disused', 'historic'))""")
 def best_spots(spark, sf):
-    return v.sites(spark, sf).where(Filters(best=True).where()).select("key", "condition", "score")
+    return v.sites(spark, sf).where(Filters(best=True).where()).select("key", "condition", "score", "kind", "name")
 
 
 @query(f"select key, sources, added from {v.SITES} where list_has_any(string_split(sources, '+'), ['schools', 'nhs']) and added > timestamp '2024-03-01'")
@@ -58,14 +63,80 @@ def by_source_and_date(spark, sf):
     return v.sites(spark, sf).where(Filters(sources=["schools", "nhs"], added_since="2024-03-01 00:00:00").where()).select("key", "sources", "added")
 
 
-@query(f"select key, added from {v.SITES} where added >= timestamp '2024-02-01' and added < timestamp '2024-05-01'")
+@query(f"select key, any_day as day from {v.SITES} where any_day is not null and any_day >= '2023-03-01' and any_day < '2024-02-01' union all select key, all_day from {v.SITES} where all_day is not null and all_day < '2023-06-01'")
 def dated(spark, sf):
-    return v.sites(spark, sf).where(Filters(date_from="2024-02-01 00:00:00", date_to="2024-05-01 00:00:00").where()).select("key", "added")
+    """Sites by their last update from any source, and by that or a visitor's report."""
+    s = v.sites(spark, sf)
+    first = s.where(Filters(date_kind="any", date_from="2023-03-01", date_to="2024-02-01").where()).select("key", F.col("dates.any").alias("day"))
+    return first.unionAll(s.where(Filters(date_kind="all", date_to="2023-06-01").where()).select("key", F.col("dates.all").alias("day")))
+
 
+def _held(text: str, short: str) -> str:
+    one = lambda x: f"({x} ilike '%{text}%' or replace(replace({x}, ' ', ''), '-', '') ilike '%{short}%')"
+    return f"({one('name')} or len(list_filter(aliases, lambda a: {one('a')})) > 0)"
 
-@query(f"select key, name from {v.SITES} where name ilike '%00-1%' or regexp_replace(name, '[\\s-]+', '', 'g') ilike '%001%'")
+
+@query(f"select key, name from {v.SITES} where {_held('00-1', '001')} union all select key, name from {v.SITES} where {_held('the old-works', 'theoldworks')}")
 def text_search(spark, sf):
-    return v.sites(spark, sf).where(Filters(text="00-1").where()).select("key", "name")
+    s = v.sites(spark, sf)
+    return s.where(Filters(text="00-1").where()).select("key", "name").unionAll(s.where(Filters(text="the old-works").where()).select("key", "name"))
+
+
+@query(f"select key, name from {v.SITES} where key in ('c:1', 'c:7', 'c:20', 'none')")
+def sites_by_key(spark, sf):
+    return sites.by_keys(v.sites(spark, sf), ["c:7", "c:1", "none", "c:20"]).select("key", "name")
+
+
+@query(f"""with c as (select *, cast(trunc((lat + 90) / {CY!r}::double) as int) gy, cast(trunc((lng + 180) / {CX!r}::double) as int) gx from {v.SITES} where {IN_BOX} and score >= 20),
+ n as (select gy, gx, category, count(*) c from c group by all), m as (select *, row_number() over (partition by gy, gx order by c desc, category) r from n), g as (select gy, gx, count(*) n, round(avg(lat), 6) lat, round(avg(lng), 6) lng, min(key) k from c group by gy, gx)
+ select g.gy, g.gx, g.n, g.lat, g.lng, m.category, case when g.n = 1 then k end as site, case when g.n = 1 then s.name end as own_name, case when g.n = 1 then s.score end as own_score from g join m on g.gy = m.gy and g.gx = m.gx and m.r = 1 join {v.SITES} s on s.key = k""")
+def cluster_view(spark, sf):
+    """Clusters, with sites that are alone in their cell as sites."""
+    return rounded(sites.cluster_view(v.sites(spark, sf), Filters(bbox=BOX, min_score=20), 7), "lat", "lng")
+
+
+@query(f"select key, score from {v.SITES} where lat between 52 and 52.5 and lng between -2 and -1 order by score desc, key limit 2000")
+def map_of_few(spark, sf):
+    """A close view shows its sites themselves."""
+    mode, found = sites.map_view(v.sites(spark, sf), Filters(bbox=(-2.0, 52.0, -1.0, 52.5)), 15)
+    return found.select("key", "score")
+
+
+@query(f"select key, name, round(lat, 5) lat, round(lng, 5) lng, score, strength, category, condition, kind, sources, added, first_seen, array_to_string(aliases, '|') aliases, len(entrances)::int n_entrances, coalesce(reasons[1], '') summary from {v.SITES}")
+def site_index(spark, sf):
+    return sites.index(v.sites(spark, sf)).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query(f"select floor(lat)::int sq_lat, floor(lng)::int sq_lng, count(*) n from {v.SITES} group by all")
+def site_squares(spark, sf):
+    return sites.by_square(v.sites(spark, sf)).groupBy("sq_lat", "sq_lng").agg(F.count("*").alias("n"))
+
+
+def _ring_sql(ring) -> str:
+    edges = zip(ring, ring[1:] + ring[:1])
+    return " + ".join(f"case when ({y1}::double > lat) <> ({y2}::double > lat) and lng < {x1}::double + (lat - {y1}::double) * ({x2}::double - {x1}::double) / ({y2}::double - {y1}::double) then 1 else 0 end" for (x1, y1), (x2, y2) in edges if y1 != y2)
+
+
+@query(f"""select key, case when ({_ring_sql(V.NORTHERN_IRELAND)}) % 2 = 1 then 'northern_ireland' when ({_ring_sql(V.SCOTLAND)}) % 2 = 1 then 'scotland' when ({_ring_sql(V.WALES)}) % 2 = 1 then 'wales' when lat > 54.04 and lat < 54.43 and lng > -4.85 and lng < -4.30 then null
+ when lat > 49.85 and lat < 55.85 and lng > -6.5 and lng < 1.8 then 'england' end as nation from {v.SITES}""")
+def nations(spark, sf):
+    return v.sites(spark, sf).select("key", geo.nation(F.col("lat"), F.col("lng")).alias("nation"))
+
+
+@query()
+def site_pointers(spark, sf):
+    """Country and grid reference of each site; golden points are tested."""
+    return sites.with_pointers(v.sites(spark, sf)).select("key", "nation", "grid_ref")
+
+
+@query(f"""with o as (select key, condition, case when score % 3 = 0 then all_day end visited, any_day as reported from {v.SITES}), s as (select key, case when score % 4 = 0 then 'Reused' else condition end old_condition, case when score % 2 = 0 then '2023-06-01' end old_visited, '2023-09-01' as old_reported from {v.SITES} where score > 50)
+ select key, array_to_string(list_filter([case when condition <> old_condition then 'condition: ' || condition end, case when visited is not null and coalesce(old_visited, '') < visited then 'visited: ' || visited end, case when reported is not null and old_reported < reported then 'reported: ' || reported end], lambda x: x is not null), '; ') as changes from o join s using (key)
+ where condition <> old_condition or (visited is not null and coalesce(old_visited, '') < visited) or (reported is not null and old_reported < reported)""")
+def watch_list(spark, sf):
+    s = v.sites(spark, sf)
+    now = s.select("key", "condition", F.when(F.col("score") % 3 == 0, F.col("dates.all")).alias("visited"), F.col("dates.any").alias("reported"))
+    saved = s.where("score > 50").select("key", F.when(F.col("score") % 4 == 0, "Reused").otherwise(F.col("condition")).alias("condition"), F.when(F.col("score") % 2 == 0, "2023-06-01").alias("visited"), F.lit("2023-09-01").alias("reported"))
+    return sites.watched(saved, now).withColumn("changes", F.array_join("changes", "; "))
 
 
 HAV = "(2 * 6371008.8::double * asin(sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
@@ -91,16 +162,36 @@ def site_statistics(spark, sf):
     return sites.statistics(v.sites(spark, sf))
 
 
-@query(f"select key, name, printf('%.6f', lat) lat, printf('%.6f', lng) lng, score::varchar score, category from {v.SITES}")
+_LABEL = "case category when 'tunnels' then 'Tunnels & caves' else category end"
+
+
+@query(f"""select name, {_LABEL} as category, condition, strength as evidence, printf('%.6f', lat) latitude, printf('%.6f', lng) longitude, sources, array_to_string(reasons, ' | ') reasons,
+ case when osm_id is not null then 'https://www.openstreetmap.org/' || osm_id else 'https://www.openstreetmap.org/?mlat=' || printf('%.6f', lat) || '&mlon=' || printf('%.6f', lng) || '#map=18/' || printf('%.6f', lat) || '/' || printf('%.6f', lng) end openstreetmap,
+ coalesce(wikipedia, '') wikipedia, coalesce(strftime(added, '%Y-%m-%d'), '') added, array_to_string(aliases, '; ') also_known_as, array_to_string(list_transform(entrances, lambda e: coalesce(nullif(e.name, ''), e.kind) || ' (' || printf('%.6f', e.lat) || ', ' || printf('%.6f', e.lng) || ')'), '; ') entrances from {v.SITES}""")
 def export_csv(spark, sf):
     return sites.csv_rows(v.sites(spark, sf))
 
 
-@query(f"select key, '<Placemark><name>' || replace(replace(name, '&', '&amp;'), '<', '&lt;') || '</name><Point><coordinates>' || printf('%.6f,%.6f', lng, lat) || '</coordinates></Point></Placemark>' as line from {v.SITES}")
+def _esc(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+
+
+_WAY = "(select key, name, unnest(entrances) e, generate_subscripts(entrances, 1) n from " + v.SITES + ")"
+_WAY_LABEL = _esc("case when e.name <> '' and contains(lower(e.name), lower(name)) then e.name else name || ': ' || coalesce(nullif(e.name, ''), e.kind) end")
+
+
+@query(f"""select key, 0 as n, '<Placemark><name>' || {_esc('name')} || ' (' || {_esc('condition')} || ')</name><description><![CDATA[' || array_to_string(list_transform(reasons, lambda r: {_esc('r')}), '<br>') || ']]></description><Point><coordinates>' || printf('%.6f,%.6f', lng, lat) || ',0</coordinates></Point></Placemark>' as line from {v.SITES}
+ union all select key, n, '<Placemark><name>' || {_WAY_LABEL} || '</name><description>' || {_esc('e.kind')} || '</description><Point><coordinates>' || printf('%.6f,%.6f', e.lng, e.lat) || ',0</coordinates></Point></Placemark>' from {_WAY}""")
 def export_kml(spark, sf):
     return sites.kml_rows(v.sites(spark, sf))
 
 
+@query(f"""select key, 0 as n, '<wpt lat="' || printf('%.6f', lat) || '" lon="' || printf('%.6f', lng) || '"><name>' || {_esc('name')} || '</name><desc>' || {_esc("condition || ': ' || array_to_string(reasons, ' | ')")} || '</desc><type>' || {_esc(_LABEL)} || '</type></wpt>' as line from {v.SITES}
+ union all select key, n, '<wpt lat="' || printf('%.6f', e.lat) || '" lon="' || printf('%.6f', e.lng) || '"><name>' || {_WAY_LABEL} || '</name><desc>' || {_esc('e.kind')} || ' of ' || {_esc('name')} || '</desc><type>Entrance</type></wpt>' from {_WAY}""")
+def export_gpx(spark, sf):
+    return sites.gpx_rows(v.sites(spark, sf))
+
+
 NEAR = f"""(select a.key, a.lat, a.lng, b.key as r_key, {HAV.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')} as metres from {v.DENSE} a join {v.DENSE} b
  on abs(floor(a.lat / 0.002::double) - floor(b.lat / 0.002::double)) <= 1 and abs(floor(a.lng / 0.002::double) - floor(b.lng / 0.002::double)) <= 1 and a.key <> b.key)"""
 
@@ -141,12 +232,18 @@ def inside_ring(spark, sf):
     return v.sites(spark, sf).select("key", geo.inside(F.col("lat"), F.col("lng"), RING).alias("inside"))
 
 
-def _condition_sql() -> str:
-    cases = " ".join(f"when regexp_matches(lower(text), '{p.replace(chr(39), chr(39) * 2)}') then " + (f"'Closed ' || regexp_extract(lower(text), 'closed in (\\d{{4}})', 1)" if p.startswith("closed in") else f"'{n}'") for p, n in text.CONDITIONS)
-    return f"case {cases} end"
+_T = "lower(text)"
+_CONDITION = f"""case when contains({_T}, 'heritage at risk') then 'At risk' when contains({_T}, 'heritage site open to visitors') then 'Heritage site' when contains({_T}, 'demolition approved') then 'Demolition approved' when contains({_T}, 'ownerless') then 'Ownerless'
+ when contains({_T}, 'as cleared vacant land') then 'Vacant land' when contains({_T}, 'new use') then 'Reused' when contains({_T}, 'single shop unit') then 'Closed' when regexp_matches({_T}, '\\bruin') then 'Ruin'
+ when regexp_matches({_T}, 'abandoned|derelict|boarded up|disrepair|dilapidated|poor state of repair') then 'Abandoned' when regexp_matches({_T}, 'unfinished|partially constructed|partially built|partially completed|part-built|part built|partly built|incomplete dwelling') then 'Unfinished'
+ when regexp_matches({_T}, 'never occupied|never been occupied|not been occupied|unoccupied|stood empty|stands empty|stand empty|been empty|remained empty|uninhabitable|uninhabited|unfit for habitation|unfit for human habitation|couldn''t be lived in') then 'Empty'
+ when contains({_T}, 'due to close') then 'Closing' when regexp_matches({_T}, 'closed in [0-9]{{4}}') then 'Closed ' || regexp_extract({_T}, 'closed in ([0-9]{{4}})', 1)
+ when regexp_matches({_T}, 'disused|decommission|mothball|out of use|\\bclosed\\b|vacant|inactive|redundant|\\bsurplus\\b') then 'Disused' when contains({_T}, 'brownfield') then 'Brownfield' when contains({_T}, 'cave entrance') then 'Cave'
+ when regexp_matches({_T}, 'worked underground|underground quarr|underground mine|underground workings|underground galler') then 'Underground' when regexp_matches({_T}, 'old mine|old quarry|old colliery|adit|mineshaft|mine_shaft') then 'Old workings'
+ when regexp_matches({_T}, 'bunker|pillbox|observation post|observer corps|monitoring post|\\broc\\b post') then 'Old military' when contains({_T}, 'former') then 'Former' end"""
 
 
-@query(f"select id, {_condition_sql()} as condition from {v.EVIDENCE}")
+@query(f"select id, {_CONDITION} as condition from {v.EVIDENCE}")
 def conditions(spark, sf):
     """The state that each evidence text tells, by the ordered cascade."""
     return v.evidence(spark, sf).select("id", text.condition(F.col("text")).alias("condition"))
@@ -192,10 +289,16 @@ def latest_per_house(spark, sf):
     return v.applications(spark, sf).withColumn("r", F.row_number().over(w)).where("r = 1").select("house", "id", "decided")
 
 
-@query(f"""select key, count(*) n, round_even(avg(difficulty), 1) mean, {', '.join(f'count(*) filter (difficulty = {n}) level_{n}' for n in range(1, 6))}, count(*) filter (access = 'accessible') accessible,
- count(*) filter (access = 'inaccessible') inaccessible, max(seen)::date latest from {v.REPORTS} where seen >= timestamp '2027-01-10' - interval 3 years group by key""")
+_TAGGED = f"(select key, unnest(tags) tag from {v.REPORTS} where seen::date >= date '2027-01-10' - 1096)"
+_TAG_ORDER = f"list_position([{', '.join(repr(t) for t in V.REPORT_TAGS)}], tag)"
+
+
+@query(f"""with s as (select key, count(*) n, count(difficulty) rated, sum(difficulty) total, {', '.join(f'count(*) filter (difficulty = {n}) level_{n}' for n in range(1, 6))}, count(*) filter (access = 'accessible') accessible,
+ count(*) filter (access = 'inaccessible') inaccessible, max(seen)::date latest from {v.REPORTS} where seen::date >= date '2027-01-10' - 1096 group by key), t as (select key, string_agg(tag || ':' || n, ',' order by n desc, {_TAG_ORDER}) tags from (select key, tag, count(*) n from {_TAGGED} group by all) group by key)
+ select s.* exclude (total), coalesce(t.tags, '') tags, printf('%.1f', total::double / rated)::double mean from s left join t using (key)""")
 def report_summary(spark, sf):
-    return reports.summary(v.reports(spark, sf), "2027-01-10 00:00:00")
+    """Means are rounded as printed decimals are: the oracle prints them."""
+    return reports.summary(v.reports(spark, sf), "2027-01-10")
 
 
 @query(f"select id, key, reporter from (select *, row_number() over (partition by key, reporter order by seen desc, id desc) r from {v.REPORTS}) where r = 1")
@@ -209,9 +312,15 @@ def report_log(spark, sf):
     return reports.log(v.reports(spark, sf)).select("id", "key", "reporter", "access")
 
 
-@query(f"select a.id, count(*) in_hour, count(*) <= 30 allowed from {v.REPORTS} a join {v.REPORTS} b on a.reporter = b.reporter and epoch(date_trunc('second', b.seen)) between epoch(date_trunc('second', a.seen)) - 3600 and epoch(date_trunc('second', a.seen)) group by a.id")
+_SECONDS = f"(select *, epoch_us(seen) / 1e6 as at_s, row_number() over (partition by reporter order by seen, id) i from {v.REPORTS})"
+
+
+@query(f"""with recursive r as (select * from {_SECONDS}), w as (select id, reporter, i, [at_s] as kept, true as allowed from r where i = 1
+ union all select r.id, r.reporter, r.i, case when len(list_filter(w.kept, lambda k: r.at_s - k < 3600)) < 30 then list_append(list_filter(w.kept, lambda k: r.at_s - k < 3600), r.at_s) else list_filter(w.kept, lambda k: r.at_s - k < 3600) end,
+ len(list_filter(w.kept, lambda k: r.at_s - k < 3600)) < 30 from w join r on r.reporter = w.reporter and r.i = w.i + 1) select id, allowed from w""")
 def report_limit(spark, sf):
-    return reports.allowed(v.reports(spark, sf)).select("id", "in_hour", "allowed")
+    """Thirty accepted reports an hour from a device; the oracle goes through them one by one."""
+    return reports.allowed(v.reports(spark, sf)).select("id", "allowed")
 
 
 @query(f"select key, date_trunc('hour', seen) as hour, count(*) n from {v.REPORTS} group by all")
@@ -246,13 +355,46 @@ def only_approved(spark, sf):
 @query()
 def resolved_places(spark, sf):
     """Each record's place; tested against a one-by-one merge."""
-    return resolve.places(v.dense(spark, sf))
+    return resolve.places(v.records(spark, sf))
 
 
-@query(f"""with m as (select source, weight, round(lat / 0.01::double, 0) || ',' || round(lng / 0.01::double, 0) as place from {v.DENSE}), b as (select place, source, max(weight) w from m group by all),
- t as (select place, max(w) filter (source = 'osm') osm, max(w) filter (source = 'wikidata') wd, max(w) filter (source not in ('osm', 'wikidata')) reg, count(*) agree, string_agg(source, '+' order by source) sources from b group by place)
- select place, cast(least(100, coalesce(osm, 0) + coalesce(case when osm is null then wd else wd // 2 end, 0) + coalesce(case when osm is null and wd is null then reg else reg // 2 end, 0) + case when agree > 2 then least(10, 5 * (agree - 2)) else 0 end) as bigint) score, sources from t""")
+@query()
+def built_sites(spark, sf):
+    """The whole rebuild: records resolved, named, scored and described; tested against its own rules on small tables."""
+    return resolve.build(v.records(spark, sf), v.attractions(spark, sf), v.demolished(spark, sf), v.visits(spark, sf), {"osm": "2024-01-03 00:00:00", "schools": "2024-01-01 00:00:00"}, F.lit("2026-01-10")).select(
+        "key", "name", "lat", "lng", "score", "strength", "category", "condition", "kind", "sources", F.array_join("reasons", " | ").alias("reasons"), F.array_join("aliases", "|").alias("aliases"), F.size("entrances").alias("n_entrances"), "first_seen", "added",
+        F.col("dates.any").alias("any_day"), F.col("dates.all").alias("all_day"), F.size("members").alias("n_members"),
+    )
+
+
+def _flat(family: str, what: str) -> str:
+    return f"(select place, {what} from (select *, row_number() over (partition by place order by weight desc, source, id) r from m where family = '{family}') where r = 1)"
+
+
+_SITE_TEXT = "coalesce(g.name, '') || coalesce(' ' || g.said, '')"
+_CATEGORY = " ".join(f"when regexp_matches(tx, '(?i){p}') then '{k}'" for k, _, p in V.CATEGORIES)
+_DEAD = " ".join(f"when regexp_matches(lower(name), '\\b{w}\\b') then '{w}'" for w in V.DEAD_NAME_WORDS)
+_EXPLORE = "|".join(V.EXPLORABLE_WORDS)
+_TYPES = "('" + "', '".join(V.EXPLORABLE_TYPES) + "')"
+
+
+@query(f"""with m as (select *, round(lat / 0.01::double, 0) || ',' || round(lng / 0.01::double, 0) as place from {v.RECORDS}),
+ g as (select place, nullif(min_by(coalesce(name, ''), {{'f': f, 's': source, 'i': id}}), '') as name, string_agg(kind || ' ' || evidence, ' ' order by f, source, id) said, string_agg(distinct source, '+') srcs, bool_or(f < 2 and replace(lower(kind), ' ', '_') in {_TYPES}) explorable, bool_or(regexp_matches(lower(evidence), 'worked underground|underground (quarr|mine|workings|galler)')) deep, count(*) n from m group by place),
+ o as ({_flat('osm', 'weight w, kind k')[1:-1]}), d as ({_flat('wikidata', 'weight w')[1:-1]}), r as ({_flat('open', 'weight w, source s')[1:-1]}), k as (select place, count(distinct case when family = 'open' then source end) n from m group by place),
+ b as (select place, kind from (select *, row_number() over (partition by place order by weight desc, f, source, id) r from m) where r = 1), c as (select place, condition from (select place, {_CONDITION.replace('text', 'evidence')} condition, row_number() over (partition by place order by weight desc, f, source, id) r from m) where condition is not null qualify row_number() over (partition by place order by r) = 1),
+ s as (select g.*, {_SITE_TEXT} tx, b.kind, c.condition as told, case {_DEAD} end word, coalesce(o.w, 0) + case when o.w is null then coalesce(d.w, 0) else coalesce(d.w, 0) // 2 end + case when o.w is null and d.w is null then coalesce(r.w, 0) else coalesce(r.w, 0) // 2 end as base,
+  (o.w is not null)::int + (d.w is not null)::int + k.n as agree from g left join o using (place) left join d using (place) left join r using (place) join k using (place) join b using (place) left join c using (place))
+ select place as key, name, cast(least(100, base + case when agree > 2 then least(10, 5 * (agree - 2)) else 0 end + case when word is not null then 15 else 0 end + case when explorable or regexp_matches(lower(name), '\\b({_EXPLORE})\\b') then 10 else 0 end) as int) score,
+ case when regexp_matches(kind, '(?i)\\bschool|\\bcollege\\b|\\bacademy\\b|care home|nursing home|\\bhospital\\b|hospice|\\bnhs\\b|day centre') then 'institutional' when regexp_matches(kind, '(?i)^railway tunnel$') then 'tunnels' when regexp_matches(kind, '(?i)^railway viaduct$') then 'rail' {_CATEGORY.replace('when', 'when', 1)} else 'other' end category,
+ case when deep then 'Underground' when told is not null then told else coalesce(case word when 'abandoned' then 'Abandoned' when 'derelict' then 'Abandoned' when 'disused' then 'Disused' when 'defunct' then 'Disused' when 'ruin' then 'Ruin' when 'ruins' then 'Ruin' when 'former' then 'Former' when 'closed down' then 'Closed' end, 'Historic') end condition,
+ array_to_string(list_sort(list_transform(string_split(srcs, '+'), lambda x: case x when 'osm' then '0osm' when 'wikidata' then '1wikidata' else '2' || x end)), '+') sources from s""")
 def place_scores(spark, sf):
-    d = v.dense(spark, sf)
-    cell = lambda c: F.round(F.col(c) / 0.01, 0).cast("string")
-    return resolve.scored(d.withColumn("place", F.concat_ws(",", cell("lat"), cell("lng"))))
+    """Scores, categories and conditions over records gathered by grid cell."""
+    at = lambda c: F.round(F.col(c) / 0.01, 0).cast("string")
+    rows = v.records(spark, sf).withColumns({"place": F.concat_ws(",", at("lat"), at("lng")), "f": F.array_position(F.array(*map(F.lit, resolve.FAMILIES)), F.col("family")).cast("int") - 1})
+    member = F.struct("f", F.col("source").alias("o1"), F.col("id").alias("o2"), *[F.col(c) for c in resolve.MEMBER])
+    gathered = rows.groupBy(F.col("place").alias("key")).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    none = F.lit(None).cast("struct<kind:string,name:string,source:string>")
+    scored = resolve.with_scores(gathered.withColumns({"name": F.col("members")[0]["name"], "in_use": none, "gone": none}))
+    ranked = F.transform(F.split("sources", r"\+"), lambda x: F.concat(F.when(x == "osm", "0").when(x == "wikidata", "1").otherwise("2"), x))
+    return scored.select("key", "name", "score", "category", "condition", F.array_join(ranked, "+").alias("sources"))

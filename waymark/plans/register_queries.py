@@ -45,9 +45,12 @@ def report_history(spark, sf):
     return registers.first_of(v.reports(spark, sf), ["key"], [F.desc("at"), F.desc("id")], 12).select("id", "key")
 
 
-@query("select event_type, event_id, ts from (select *, row_number() over (partition by event_type order by ts desc, event_id desc) r from events where user_id % 3 = 0) where r = 1")
+@query("select event_type, status, event_id, ts from (select *, row_number() over (partition by event_type, status order by ts desc, event_id desc) r from (select *, case when event_id % 5 = 0 then 'failed' when event_id % 7 = 0 then 'paused' else 'done' end as status from events)) where r = 1")
 def latest_runs(spark, sf):
-    return registers.first_of(v.table(spark, sf, "events").where("user_id % 3 = 0"), ["event_type"], [F.desc("ts"), F.desc("event_id")]).select("event_type", "event_id", "ts")
+    """The last run of each source with each status."""
+    status = F.when(F.col("event_id") % 5 == 0, "failed").when(F.col("event_id") % 7 == 0, "paused").otherwise("done")
+    runs = v.table(spark, sf, "events").withColumn("status", status)
+    return registers.first_of(runs, ["event_type", "status"], [F.desc("ts"), F.desc("event_id")]).select("event_type", "status", "event_id", "ts")
 
 
 @query("select l_partkey, l_suppkey, l_orderkey, l_linenumber from (select *, row_number() over (partition by l_partkey, l_suppkey order by l_orderkey, l_linenumber) r from lineitem) where r = 1")
@@ -63,10 +66,11 @@ def next_checks(spark, sf):
     return queue.orderBy(F.asc_nulls_first("checked"), F.desc("start"), "id").limit(90).select("id", "start")
 
 
-@query(f"select o.id, o.house, c.c_mktsegment as segment, c.c_custkey is not null as asked from {v.APPLICATIONS} o left join (select * from customer where c_custkey % 3 <> 0) c on c.c_custkey = o.house")
-def remembered_houses(spark, sf):
-    memory = v.table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("house"), F.col("c_mktsegment").alias("segment"))
-    return registers.remembered(v.applications(spark, sf).select("id", "house"), memory, "house")
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, s.s_name as name, s.s_suppkey is not null as asked from lineitem left join supplier s on s.s_suppkey = l_partkey")
+def remembered_lookups(spark, sf):
+    """Lookups by key in a memory that knows some of the keys."""
+    memory = v.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_partkey"), F.col("s_name").alias("name"))
+    return registers.remembered(v.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), memory, "l_partkey")
 
 
 @query(f"""select o, round((a + b) / 2, 6) lat, round((c + d) / 2, 6) lng, cast(round_even({HAV.format(a='a', b='c', c='b', d='d')} / 2, 0) as bigint) extent_m
