@@ -7,9 +7,12 @@ the same length and separators (card numbers keep whether their check digit hold
 for hexadecimal in the same case, names of the same gender and script. Collision checks run over all distinct units: a surrogate that another unit
 has, or that is itself a unit of the corpus, is drawn again until there is none; so different units stay different and equal ones equal, over all documents.
 
-Null text: stays null. Empty texts and texts without entities: unchanged. Repeated rows: each rewritten alike. Empty table: no rows. All
-columns pass through; n_replaced replaces a column of that name. A very common entity is one row of the table of entities; the join back is
-one that Spark can split.
+The pattern goes over each text once: rows are kept in the shared folder with their entities and a number of their own, and all that follows reads
+that table. Only texts with entities are split and joined.
+
+Null text: stays null. Empty texts and texts without entities: unchanged. Repeated rows and ties: each rewritten alike. Empty table: no rows. Very
+long texts: linear in their length. Null ids and nulls in other columns: kept. All columns pass through, whatever their names; n_replaced replaces a column of
+that name. A very common entity is one row of the table of entities; the join back is one that Spark can split.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import spare, staged
 
 # Patterns of each kind, tried in this order.
 PATTERNS = {
@@ -132,23 +135,19 @@ def distinct_surrogates(units: DataFrame, secret: str) -> DataFrame:
 def replace(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
     """docs with the entities of `text` replaced, and n_replaced."""
     docs = docs.drop("n_replaced")
-    body = F.col(text)
-    marked = docs.withColumn("__entities", F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
-    hits = marked.where(F.size("__entities") > 0)
-    found = hits.select(F.explode("__entities").alias("entity")).distinct().withColumn("kind", kind_of(F.col("entity")))
+    held, row, fresh = (spare(docs.columns, n) for n in ("__entities", "__row", "__fresh"))
+    marked = staged(docs.withColumns({held: F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)), row: F.monotonically_increasing_id()}), "marked")
+    hits = marked.where(F.size(held) > 0)
+    found = hits.select(F.explode(held).alias("entity")).distinct().withColumn("kind", kind_of(F.col("entity")))
     found = staged(found.withColumn("units", units_of(F.col("kind"), F.col("entity"))), "entities")
     each = found.select("entity", F.posexplode("units").alias("at", "unit")).select("entity", "at", "unit.kind", "unit.norm")
     table = distinct_surrogates(each.select("kind", "norm"), secret)
-    fresh = each.join(table, ["kind", "norm"]).groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "fresh"))), lambda x: x["fresh"]).alias("fresh"))
-    lookup = staged(found.join(fresh, "entity").select("entity", render(F.col("kind"), F.col("entity"), F.col("fresh")).alias("surrogate")), "lookup")
-    # equal texts get equal surrogates, so texts are named by their contents
-    name = [F.xxhash64(body).alias("__a"), F.xxhash64(F.lit(1), body).alias("__b")]
-    texts = hits.select(*name, "__entities").groupBy("__a", "__b").agg(F.first("__entities").alias("e"))
-    placed = texts.select("__a", "__b", F.posexplode("e").alias("at", "entity")).join(lookup, "entity")
-    lists = placed.groupBy("__a", "__b").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias("__fresh"))
-    rows = hits.withColumns({"__a": F.xxhash64(body), "__b": F.xxhash64(F.lit(1), body)}).join(lists, ["__a", "__b"])
-    joined = F.array_join(F.flatten(F.zip_with(F.split(body, ANY, -1), F.col("__fresh"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    changed = rows.withColumn(text, joined).withColumn("n_replaced", F.size("__fresh").cast("long"))
-    same = marked.where(F.coalesce(F.size("__entities") <= 0, F.lit(True))).withColumn("n_replaced", F.lit(0).cast("long"))
-    columns = [*docs.columns, "n_replaced"]
+    drawn = each.join(table, ["kind", "norm"]).groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "fresh"))), lambda x: x["fresh"]).alias("fresh"))
+    lookup = staged(found.join(drawn, "entity").select("entity", render(F.col("kind"), F.col("entity"), F.col("fresh")).alias("surrogate")), "lookup")
+    placed = hits.select(F.col(row), F.posexplode(held).alias("at", "entity")).join(lookup, "entity")
+    lists = placed.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias(fresh))
+    joined = F.array_join(F.flatten(F.zip_with(F.split(F.col(text), ANY, -1), F.col(fresh), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    changed = hits.join(lists, row).withColumn(text, joined).withColumn("n_replaced", F.size(fresh).cast("long"))
+    same = marked.where(F.coalesce(F.size(held) <= 0, F.lit(True))).withColumn("n_replaced", F.lit(0).cast("long"))
+    columns = [*[F.col(f"`{c}`") for c in docs.columns], "n_replaced"]
     return same.select(*columns).unionAll(changed.select(*columns))
