@@ -141,8 +141,7 @@ def test_encoder_equals_the_library(docs):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(q.VOCABULARY)
-    plain.encode_special_tokens = True
-    texts = [r.text for r in docs.collect()] + [t or "" for _, t, *_ in ODD] + ["a  b", " x", "x ", "a\n b", "a Ġb Ċ\nc", "\n", "x\n\ny z"]
+    texts = [r.text for r in docs.collect()] + [t or "" for _, t, *_ in ODD] + ["a  b", " x", "x ", "a\n b", "a Ġb Ċ\nc", "\n", "x\n\ny z", "it ends<|endoftext|> here", "<|endoftext|>", "a <|other|> b"]
     for t, ids in zip(texts, Encoder(q.VOCABULARY, q.PATTERN).encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t[:50]
 

@@ -2,8 +2,8 @@
 
 A chunk runs from one single space to the next. Where no space of a text touches other white space, no match of the pattern crosses
 such a border, so the ids of the text are the ids of its chunks in a row. Chunks not met before are split by the pattern, and matches
-not met before go through the library's BPE model. Texts with other spacing, or with letters beyond the scripts whose classes every
-regex library agrees on, are encoded whole by the library.
+not met before go through the library's BPE model. Texts with other spacing, with letters beyond the scripts whose classes every
+regex library agrees on, or with the string of a special token (which the library, as it comes, takes for that token), are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ LONGEST = 64
 
 def whole(text: str) -> bool:
     """Whether a text's spacing or letters call for encoding it in one."""
-    if not text or text[0].isspace() or text[-1].isspace() or "  " in text:
+    if not text or "<|" in text or text[0].isspace() or text[-1].isspace() or "  " in text:
         return True
     if any(w in text and (f"{w} " in text or f" {w}" in text) for w in _WHITE):
         return True
@@ -38,7 +38,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """text -> little-endian unsigned 32-bit ids, as bytes. Special tokens' strings count as ordinary text."""
+    """text -> little-endian unsigned 32-bit ids, as bytes; what the library gives without special tokens added."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import os
@@ -48,7 +48,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = {t.content for t in self.whole.get_added_tokens_decoder().values()}
+        if not all(t.startswith("<|") for t in added):
+            raise ValueError("a special token that doesn't begin with <| would be missed")
         self.model, self.split, self.letters = self.whole.model, regex.compile(pattern).findall, byte_letters()
         self.matches: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
