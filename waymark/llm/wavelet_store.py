@@ -7,7 +7,7 @@ move; a task run again writes the same. Ids of all documents before a file come
 File: magic, JSON header, then zstd-compressed parts: document ids, their null marks, token counts, and the bit-planes. A position's rank is
 a popcount over its plane; running counts for each 512 bits are rebuilt on opening.
 
-Null or empty text: the end id alone. Null ids: sort first. Repeated rows: stored each, side by side. Empty table: no files, no rows.
+A document longer than a shard is a shard of its own. Null or empty text: the end id alone. Null ids: sort first. Repeated rows: stored each, side by side. Empty table: no files, no rows.
 """
 
 from __future__ import annotations
@@ -133,14 +133,22 @@ def unpack(data: bytes) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, Wavel
     return head, docs, missing, lengths, WaveletMatrix([np.frombuffer(p, np.uint8) for p in parts[3:]], head["tokens"])
 
 
+def located(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, as Spark itself resolves it: settled once, so that tasks and readers mean the same place."""
+    if ":/" in folder:
+        return folder if "://" in folder else folder.replace(":/", ":///", 1)
+    base = spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return f"{base.rstrip('/')}{folder}" if not base.startswith("file:") else f"file://{folder}"
+
+
 def write_shards(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, folder: str | None = None, text: str = "text", key: str = "doc_id", bits: int = 16, shard_tokens: int = 1 << 21) -> str:
     """Encodes all texts, appends end_id to each and writes the files in ascending order of the integer key; returns their folder."""
-    folder = folder or f"{shared_folder(docs.sparkSession)}/wavelet-{uuid.uuid4().hex}"
+    folder = located(docs.sparkSession, folder or f"{shared_folder(docs.sparkSession)}/wavelet-{uuid.uuid4().hex}")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(f"{path}/shards")
         partition, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         end, held, tokens, shard, before = np.array([end_id], "<u4").tobytes(), [], 0, 0, 0
@@ -170,10 +178,10 @@ def write_shards(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, fo
         if held:
             flush()
         if before:
-            yield pa.RecordBatch.from_pydict({"partition": pa.array([partition], pa.int32()), "tokens": pa.array([before], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"partition": pa.array([partition], pa.int32()), "tokens": pa.array([before], pa.int64()), "shards": pa.array([shard], pa.int32())})
 
     rows = docs.select(F.col(key).cast("long").alias("d"), text_of(text).alias("t"))
-    parts = rows.repartitionByRange(F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), "t").mapInArrow(write, "partition int, tokens long")
+    parts = rows.repartitionByRange(F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), "t").mapInArrow(write, "partition int, tokens long, shards int")
     parts.write.parquet(f"{folder}/partitions")
     return folder
 
@@ -195,11 +203,11 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, folder: str, schema: str, columns) -> DataFrame:
-    totals = spark.read.schema("partition int, tokens long").parquet(f"{folder}/partitions").groupBy("partition").agg(F.max("tokens").alias("tokens"))
+    totals = spark.read.schema("partition int, tokens long, shards int").parquet(f"{folder}/partitions").groupBy("partition").agg(F.max("tokens").alias("tokens"), F.max("shards").alias("shards"))
     # one row for each task that wrote: as many as partitions, whatever the number of documents
-    before, base = {}, 0
-    for p, n in totals.orderBy("partition").collect():
-        before[p], base = base, base + n
+    before, base, shards = {}, 0, 0
+    for p, n, k in totals.orderBy("partition").collect():
+        before[p], base, shards = base, base + n, shards + k
     names = ["doc_id", *[x.split()[0] for x in schema.split(", ")]]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,4 +221,6 @@ def _read(spark: SparkSession, folder: str, schema: str, columns) -> DataFrame:
     if not before:
         return spark.createDataFrame([], f"doc_id long, {schema}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(f"{folder}/shards")
+    if (there := files.select("path").count()) != shards:  # paths alone: nothing is read
+        raise RuntimeError(f"{folder} has {there} of {shards} shards: the tasks that wrote them and this reader don't share it")
     return files.select("content").mapInArrow(read, f"doc_id long, {schema}")
