@@ -3,7 +3,9 @@
 The ring has 2**slice_bits slices. Each shard owns `virtual_nodes` points, each at the start of a slice; a slice belongs to the first point
 at or after it, clockwise. A key lies in the slice of its hash. A shard takes the keys of its own slices, in ring order, up to its bound
 (row counts at most one apart); keys beyond the bound continue clockwise to the next point whose shard has room. Only the counts
-of slices (at most 2**slice_bits small rows) are planned with; rows are then numbered within their slice and cut where the plan says.
+of slices (at most 2**slice_bits small rows) are planned with; rows are then numbered within their slice and cut where the plan says. Rows are numbered
+in salted parts of a slice, by their contents and, for equal rows, by their number in the input, so a key that a third of all rows share
+never meets in one task; ids, sizes, checksums and salts are kept in the shared folder, so both passes see the same.
 
 Null keys: one slice, cut like any other. Null or empty texts: size 1. Repeated rows: each placed. Empty table: no rows. Extra
 columns are left out.
@@ -16,7 +18,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import staged, text_of
 
 
 def ring(df_slice, slice_bits: int):
@@ -64,14 +66,20 @@ def shard(docs: DataFrame, shards: int = 16, virtual_nodes: int = 128, slice_bit
     owner = {s: k for k, (_, s) in enumerate(nodes)}
     if len(owner) < shards:
         raise ValueError("too few virtual nodes: some shard has no point")
-    counts = {r[0]: r[1] for r in docs.select(ring(F.col(key), slice_bits).alias("s")).groupBy("s").count().collect()}
+    size = F.octet_length(text_of(text)).cast("long") + 1
+    keyed = docs.select(F.col(key), size.alias("size"), F.crc32(text_of(text)).alias("text_crc32"), ring(F.col(key), slice_bits).alias("__slice"))
+    salt = F.pmod(F.xxhash64(key, "size", "text_crc32"), F.lit(8)) * 8 + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(8))
+    keyed = staged(keyed.withColumn("__salt", salt.cast("int")), "keyed")
+    part = keyed.groupBy("__slice", "__salt").count()
+    counts = {r[0]: r[1] for r in part.groupBy("__slice").agg(F.sum("count")).collect()}
     at = [a for a, _ in nodes]
     rows = [(*r, nodes[bisect_left(at, r[0]) % len(nodes)][1]) for r in plan(counts, nodes, shards)]
     cuts = spark.createDataFrame(rows, "__slice int, __first long, __many long, shard int, __slot long, home_shard int")
-    size = F.octet_length(text_of(text)).cast("long") + 1
-    keyed = docs.select(F.col(key), size.alias("size"), F.crc32(text_of(text)).alias("text_crc32"), ring(F.col(key), slice_bits).alias("__slice"))
-    number = F.row_number().over(Window.partitionBy("__slice").orderBy(key, "text_crc32", "size")) - 1
-    placed = keyed.withColumn("__n", number).join(F.broadcast(cuts), "__slice")  # cuts: at most slices + shards + nodes rows
+    # rows before each part of its slice: at most 64 parts to a slice meet in this window
+    starts = part.withColumn("__before", F.sum("count").over(Window.partitionBy("__slice").orderBy("__salt")) - F.col("count")).select("__slice", "__salt", "__before")
+    number = F.row_number().over(Window.partitionBy("__slice", "__salt").orderBy(key, "text_crc32", "size")) - 1
+    numbered = keyed.join(starts, ["__slice", "__salt"]).withColumn("__n", number + F.col("__before"))
+    placed = numbered.join(F.broadcast(cuts), "__slice")  # cuts: at most slices + shards + nodes rows
     placed = placed.where((F.col("__n") >= F.col("__first")) & (F.col("__n") < F.col("__first") + F.col("__many")))
     slot = F.col("__slot") + F.col("__n") - F.col("__first")
     return placed.select(key, "size", "text_crc32", "shard", slot.alias("slot"), "home_shard")
