@@ -90,16 +90,18 @@ def runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
         bins += times
 
 
-def pack(pieces: DataFrame, capacity: int, salt: list[str], groups: int = 64) -> DataFrame:
-    """pieces (with length) with sequence_id and offset. salt: columns that tell most pieces apart."""
-    kept = staged(pieces.withColumn("__g", F.pmod(F.xxhash64(*salt), F.lit(groups)).cast("int")), "pieces")
-    counted = kept.groupBy("length", "__g").count()  # at most capacity x groups rows
-    rows = sorted(map(tuple, counted.collect()))
-    histogram: dict[int, int] = {}
-    starts = []
-    for n, g, c in rows:
-        starts.append((n, g, histogram.get(n, 0)))
-        histogram[n] = histogram.get(n, 0) + c
+#: Pieces of one length to a task, about.
+GROUP = 1 << 20
+
+
+def pack(pieces: DataFrame, capacity: int, salt: list[str], groups: int | None = None) -> DataFrame:
+    """pieces (with length) with sequence_id and offset. salt: columns that tell most pieces apart. Groups grow with the pieces; of their counts only the histogram of lengths reaches the driver."""
+    stored = staged(pieces, "pieces")
+    groups = groups or 64 + stored.count() // GROUP
+    kept = stored.withColumn("__g", F.pmod(F.xxhash64(*salt), F.lit(groups)).cast("int"))
+    counted = staged(kept.groupBy("length", "__g").count(), "counts")
+    histogram = {n: c for n, c in counted.groupBy("length").agg(F.sum("count")).collect()}  # at most capacity rows
+    starts_of = counted.select("length", "__g", (F.sum("count").over(Window.partitionBy("length").orderBy("__g")) - F.col("count")).alias("__before"))
     spark = pieces.sparkSession
     table = sorted(runs(histogram, capacity))
     # for each length, its runs in order of first number, for a search within the row; at most `capacity` rows
@@ -107,9 +109,8 @@ def pack(pieces: DataFrame, capacity: int, salt: list[str], groups: int = 64) ->
     for n, first, at, offset, times in table:
         by.setdefault(n, []).append((first, at, offset, times))
     runs_of = spark.createDataFrame([(n, [x[0] for x in r], [x[1] for x in r], [x[2] for x in r]) for n, r in by.items()], "length long, firsts array<long>, bins array<long>, offsets array<long>")
-    starts_of = spark.createDataFrame(starts, "length long, __g int, __before long")
     number = F.row_number().over(Window.partitionBy("length", "__g").orderBy(*salt))
-    placed = kept.withColumn("__n", number - 1).join(F.broadcast(starts_of), ["length", "__g"]).withColumn("__n", F.col("__n") + F.col("__before"))
+    placed = kept.join(starts_of, ["length", "__g"]).withColumn("__n", number - 1 + F.col("__before"))
     placed = placed.join(F.broadcast(runs_of), "length")
     # the last run that starts at or before the number
     k = F.size(F.filter("firsts", lambda f: f <= F.col("__n"))) - 1
