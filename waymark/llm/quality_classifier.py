@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import spare, text_of
 from .quality_rules import let
 from .quality_rules import statistics as rule_statistics
 
@@ -125,12 +125,14 @@ def learn(docs: DataFrame, labels: DataFrame, rows: Column | None = None, label:
 
 def score(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
     """docs with score: P(label = 1)."""
-    known = docs.drop("score").withColumn("__x", statistics(text))
-    kept = [f for f in known.schema.fields if f.name != "__x"]
+    docs = docs.drop("score")
+    made = spare(docs.columns, "__x")
+    known = docs.withColumn(made, statistics(text))
+    kept = docs.schema.fields
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column("__x")
+            x = b.column(made)
             values = x.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             found = [forest.score(values[i : i + 2000]) for i in range(0, b.num_rows, 2000)]
             columns = [b.column(f.name) for f in kept] + [pa.array(np.concatenate(found) if found else [], pa.float64())]
