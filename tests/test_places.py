@@ -417,3 +417,19 @@ def test_overlapping_reads_let_a_record_through_once(spark, tmp_path):
     q = reports.once(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "ref", "at").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.ref for r in spark.table("once").collect()) == ["a", "b"]
+
+
+def test_closed_schools_one_by_one(spark):
+    from waymark.operators import registers
+
+    r = random.Random(2)
+    rows = [(f"s{i:03d}", 52 + r.random() * 0.01, -1 + r.random() * 0.01, date(2000, 1, 1) + timedelta(days=r.randrange(40))) for i in range(150)]
+    open_ = [(52 + r.random() * 0.01, -1 + r.random() * 0.01) for _ in range(20)]
+    at = lambda x: {"lat": x[1], "lng": x[2]}
+    left = [x for x in rows if not any(resolve.metres(at(x), {"lat": a, "lng": b}) <= 100 for a, b in open_)]
+    kept = []
+    for x in sorted(left, key=lambda x: (-x[3].toordinal(), x[0])):
+        if not any(resolve.metres(at(x), at(y)) < 60 for y in kept):
+            kept.append(x)
+    got = registers.still_closed(spark.createDataFrame(rows, "key string, lat double, lng double, closed date"), spark.createDataFrame(open_, "lat double, lng double"), tile=3).collect()
+    assert {x.key for x in got} == {x[0] for x in kept} and 0 < len(kept) < len(left) < 150

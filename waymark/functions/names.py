@@ -90,7 +90,7 @@ def complex_parts(name: Column) -> Column:
 
 def numbered(name: Column) -> Column:
     """"feature|place" of a name of two parts whose first ends in a number; null otherwise."""
-    parts = F.transform(F.split(name, ","), F.trim)
+    parts = F.transform(F.split(name, ","), lambda x: F.trim(x))
     fits = (F.size(parts) == 2) & F.get(parts, F.lit(0)).rlike(rx(r"\s+(?:[ivx]+|\d+)$"))
     return F.when(fits, F.concat_ws("|", F.array_join(words(F.get(parts, F.lit(0))), " "), F.array_join(words(F.get(parts, F.lit(1))), " ")))
 
@@ -218,7 +218,7 @@ def best_name(tags: Column) -> Column:
 
 def alt_names(tags: Column) -> Column:
     lists = [F.split(F.coalesce(tag(tags, k), F.lit("")), ";") for k in V.ALT_NAME_KEYS]
-    listed = F.transform(F.flatten(F.array(*lists)), F.trim)
+    listed = F.transform(F.flatten(F.array(*lists)), lambda x: F.trim(x))
     return F.array_distinct(F.filter(listed, lambda n: (n != "") & ~n.eqNullSafe(tag(tags, "name"))))
 
 

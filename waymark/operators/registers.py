@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions import geo
+from waymark.functions import geo, judges, names
+from waymark.functions import vocabulary as V
+from waymark.functions.names import given, says
 from waymark.operators.sites import near_pairs, without_near
 
 
@@ -78,3 +80,128 @@ def digest(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row (n, total) that is the same for the same rows in any order: rows, and the sum of the first 32 bits of each row's hash."""
     row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     return df.select(F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("bigint").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("total"))
+
+
+# --- what single registers keep
+
+
+def closed_care(closed: DataFrame, active: DataFrame) -> DataFrame:
+    """Closed care homes, hospitals and day centres with nothing registered in their place now.
+
+    closed: ref, name, street, line2, city, postcode, uprn, care_home, beds, category, sector, ended (date), lat, lng; active: postcode, address, name.
+    Of one building (by its number, or postcode and street) the last to close counts, of equal days the first ref. One join by postcode; a building is out if any of its neighbours there has its street or name."""
+    col = lambda c: F.coalesce(F.col(c), F.lit(""))
+    hospital = ~F.col("care_home") & says(col("category"), V.CARE_HOSPITALS) & (F.contains(col("sector"), F.lit("NHS")) | says(col("name"), V.CARE_HOSPITAL_NAMES))
+    centre = ~F.col("care_home") & ~hospital & (says(col("street"), V.CARE_CENTRE) | says(col("name"), V.CARE_CENTRE))
+    wanted = closed.where(((F.col("care_home") & (F.col("beds") >= V.LEAST_BEDS)) | hospital | centre) & F.col("ended").isNotNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    named = F.when(centre, F.when(says(col("street"), V.CARE_CENTRE), F.trim(col("street"))).otherwise(F.trim(col("name")))).otherwise("")
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    post = lambda c: F.regexp_replace(F.upper(c), r"\s", "")
+    building = F.coalesce(given(F.col("uprn")), F.concat(post(col("postcode")), bare(col("street"))))
+    first = F.get(F.filter(F.array(col("street"), col("line2"), col("city")), lambda x: x != ""), F.lit(0))
+    rows = wanted.withColumns({"centre": named, "building": building, "pc": post(col("postcode")), "line": bare(F.substring_index(F.coalesce(first, F.lit("")), ",", 1)), "bare_name": bare(F.trim(col("name")))})
+    last = first_of(rows, ["building"], [F.desc("ended"), "ref"])
+    now = active.select(post(col("postcode")).alias("pc"), bare(F.substring_index(col("address"), ",", 1)).alias("a_line"), bare(col("name")).alias("a_name"))
+    line, other = F.col("line"), F.col("a_line")
+    same = ((line != "") & (other != "") & (F.contains(line, other) | F.contains(other, line))) | ((F.col("bare_name") != "") & (F.col("bare_name") == F.col("a_name")))
+    still = last.join(now, "pc").where(same).select("ref").distinct()
+    return last.join(still, "ref", "left_anti").drop("building", "pc", "line", "bare_name")
+
+
+def standing_empty(rows: DataFrame) -> DataFrame:
+    """Estates that are wholly unoccupied or mostly empty, with `whole`: unoccupied_m2, empty_m2, floor_m2 (numbers) and site_type."""
+    whole = (F.col("unoccupied_m2") > 0) | F.coalesce(F.col("site_type") == "Unoccupied", F.lit(False))
+    mostly = (F.col("floor_m2") != 0) & (F.col("empty_m2") >= V.LEAST_EMPTY_M2) & (F.try_divide("empty_m2", "floor_m2") >= V.MOSTLY_EMPTY)
+    return rows.withColumn("whole", whole).where(whole | F.coalesce(mostly, F.lit(False)))
+
+
+def disposals(rows: DataFrame) -> DataFrame:
+    """Parcels with something on them, the first ref of each establishment and parcel: ref, establishment, parcel."""
+    land = says(F.col("parcel"), V.DISPOSAL_LAND) & ~says(F.col("parcel"), V.DISPOSAL_BUILDINGS)
+    named = rows.where((F.trim("ref") != "") & ~land).withColumns({"e": F.upper(F.trim("establishment")), "p": F.upper(F.trim("parcel"))})
+    return first_of(named, ["e", "p"], ["ref"]).drop("e", "p")
+
+
+def still_closed(closed: DataFrame, open_: DataFrame, metres: float = 100.0, apart: float = 60.0, tile: int = 50) -> DataFrame:
+    """Closed schools (key, lat, lng, closed) with no open one within `metres`; of those within `apart` of each other the last to close stays, in that order one by one."""
+    from waymark.operators.resolve import metres as far
+    from waymark.operators.resolve import settle
+
+    left = without_near(closed, open_.select("lat", "lng"), metres, 0.002)
+    made = {"f": F.lit(2), "name": F.lit(None).cast("string"), "kind": F.lit(""), "weight": F.lit(0), "aliases": F.lit(None).cast("array<string>"), "w": -F.coalesce(F.unix_date("closed"), F.lit(-1_000_000))}
+    rows = left.select("key", "lat", "lng", *[v.alias(k) for k, v in made.items()])
+    kept = settle(rows, ["w", "key"], lambda r, grid: (next((p["key"] for p in grid.near(r) if far(r, p) < apart), r["key"]), None), 0.002, tile, "schools")
+    return left.join(kept.where("to = key").select("key"), "key", "left_semi")
+
+
+def shafts_of_quarries(labels: DataFrame) -> DataFrame:
+    """Quarry labels (pin_id, final_text, lat, lng) with how many air shafts lie within 500 m; those with a mine's workings as near are left out."""
+    text = F.trim(F.coalesce("final_text", F.lit("")))
+    shaft = says(text, V.SHAFT_LABEL)
+    at = labels.select(F.col("pin_id").alias("key"), "lat", "lng", shaft.alias("shaft"), (~shaft & says(text, V.MINE_LABEL)).alias("mine"), F.lower(text).isin(V.QUARRY_LABELS).alias("quarry"))
+    spot = lambda c: at.where(c).select("key", "lat", "lng")
+    found = with_and_without(spot("quarry"), spot("shaft").drop("key").withColumn("key", F.lit("")), spot("mine"), V.UNDERGROUND_WITHIN_M, 0.01)
+    return labels.join(found.select(F.col("key").alias("pin_id"), F.col("n").alias("air_shafts")), "pin_id")
+
+
+def converted_again(applications: DataFrame) -> DataFrame:
+    """Houses approved for conversion into three flats or more and applied for again 548 days or more after: ref of the last application, house, how many approvals lapsed, their years, weight.
+
+    applications: ref, council, address, description, app_state, start_date, decided_date. A house's applications are put in order by a window; approvals are counted before they meet."""
+    said = judges.squashed(F.col("description"))
+    fits = ~says(said, V.FOLLOW_UP) & ~says(said, V.NO_DECISION) & (F.coalesce(names.units(said), F.lit(3)) >= 3)
+    rows = applications.where(fits).withColumn("house", names.house_key(F.col("council"), F.col("address"))).where("house is not null")
+    w = Window.partitionBy("house").orderBy(F.asc_nulls_first("start_date"), "ref")
+    later = F.max("start_date").over(w.rowsBetween(1, Window.unboundedFollowing))
+    approved = F.col("app_state").isin([k for k, v in V.DECIDED.items() if v == "approved"])
+    marked = rows.withColumn("lapsed", F.coalesce(approved & (later >= F.date_add("decided_date", V.DONE_AFTER_DAYS)), F.lit(False)))
+    years = F.array_join(F.array_sort(F.collect_set(F.when(F.col("lapsed"), F.year("decided_date")))).cast("array<string>"), " and ")
+    found = marked.groupBy("house").agg(F.count_if("lapsed").alias("lapses"), years.alias("years"), F.max_by("ref", F.struct(F.coalesce("start_date", F.lit("0001-01-01").cast("date")), "ref")).alias("ref"))
+    return found.where("lapses > 0").withColumn("weight", F.when(F.col("lapses") > 1, 16).otherwise(12))
+
+
+def later_applications(applications: DataFrame) -> DataFrame:
+    """(ref, later): for each application those made afterwards about the same house, as `judges.planning` takes them. Houses meet by council and the first three words of their address."""
+    rows = applications.withColumn("house", names.house_key(F.col("council"), F.col("address"))).where("house is not null")
+    other = F.struct(judges.squashed(F.col("description")).alias("said"), F.col("start_date").alias("started"), F.col("decided_date").alias("decided"), F.col("app_state").alias("state"), F.substring_index("ref", "/", -2).alias("ref"))
+    after = rows.select("house", F.col("start_date").alias("after"), other.alias("o"))
+    pairs = rows.select("ref", "house", "start_date").join(after, "house").where("after > start_date")
+    return pairs.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct(F.col("o.started").alias("started"), F.col("o").alias("o")))).alias("l")).select("ref", F.transform("l", lambda x: x["o"]).alias("later"))
+
+
+def planning_committees(committees: DataFrame, name: str = "name") -> DataFrame:
+    """Committees that decide planning applications, by their name."""
+    # fixed values: words of such names, and of names of committees that write policy
+    deciding, other = r"plann|development|\bplans\b|applications|regulatory|\bDC\b", r"polic|task|framework|working|advisory|forum|steering|liaison|scrutiny|panel"
+    return committees.where(says(F.col(name), deciding) & ~says(F.col(name), other))
+
+
+def stale_intros(titles: DataFrame, intros: DataFrame, as_of: str, days: int = 90) -> DataFrame:
+    """Titles without an introduction fetched in the last `days`."""
+    fresh = intros.where(F.col("fetched_at") >= F.to_timestamp_ntz(F.lit(as_of)) - F.make_dt_interval(F.lit(days)))
+    return titles.select("title").distinct().join(fresh.select("title"), "title", "left_anti")
+
+
+def access_summary(places: DataFrame, features: DataFrame, reach: float = 800.0) -> DataFrame:
+    """Of each place (key, lat, lng): the nearest public right of way, the nearest other path if nearer, the nearest public car park, and up to three things that are private within 50 m.
+
+    features: lat, lng (the nearest point of each is its position), tags. One join by cell; minima are made before places meet."""
+    t = lambda k: names.tag(F.col("r_tags"), k)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    shut = yes(t("access").isin("private", "no")) | yes(t("foot").isin("private", "no"))
+    path, right = yes(t("highway").isin(V.PATH_HIGHWAYS)), F.coalesce(*[F.when(t("designation") == k, v) for k, v in V.RIGHTS_OF_WAY.items()])
+    thing = F.coalesce(F.concat(F.lit("a "), F.replace(given(t("highway")), F.lit("_"), F.lit(" "))), F.concat(F.replace(F.coalesce(given(t("landuse")), given(t("leisure"))), F.lit("_"), F.lit(" ")), F.lit(" land")), F.concat(F.lit("a "), F.replace(given(t("amenity")), F.lit("_"), F.lit(" "))), F.lit("something"))
+    pairs = near_pairs(places.select("key", "lat", "lng"), features.select("lat", "lng", "tags"), reach, 0.01)
+    far = F.bround("metres", 0).cast("bigint")
+    parking, way = yes(t("amenity") == "parking"), path | given(t("designation")).isNotNull()
+    label = F.coalesce(*[F.when(t("highway") == k, v) for k, v in V.PATH_LABELS.items()], F.lit("Path"))
+    told = pairs.select(
+        "key", far.alias("d"), F.when(parking & ~shut & ~yes(t("access") == "customers"), F.coalesce(t("name"), F.lit("parking"))).alias("park"), F.when(~parking & way & ~shut, right).alias("right"), F.when(~parking & path & ~shut & right.isNull(), label).alias("path"),
+        F.when(~parking & shut & (far <= V.PRIVATE_M), thing).alias("private"),
+    )
+    least = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("d", F.col(c).alias("what")))).alias(c)
+    found = told.groupBy("key").agg(least("park"), least("right"), least("path"))
+    things = told.where("private is not null").groupBy("key", "private").agg(F.min("d").alias("d")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("d", "private"))).alias("p"))
+    nearer = F.when(F.col("right").isNull() | (F.col("path.d") < F.col("right.d")), F.col("path"))
+    first = F.transform(F.slice(F.coalesce("p", F.array().cast("array<struct<d:bigint,private:string>>")), 1, 3), lambda x: x["private"])
+    return found.join(things, "key", "left").select("key", F.col("right").alias("right_of_way"), nearer.alias("path"), F.col("park").alias("parking"), first.alias("private"))

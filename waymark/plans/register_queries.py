@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.operators import registers
+from waymark.plans import samples as S
 from waymark.plans import views as v
 from waymark.plans.queries import HAV, RING, query
+from waymark.plans.samples import picked, picked_sql
 
 PLACE = "round(lat / 0.01::double, 0) || ',' || round(lng / 0.01::double, 0)"
 
@@ -154,3 +156,155 @@ def nearest_on_line(spark, sf):
 def grid_references(spark, sf):
     """British grid metres and reference of each site; golden points and a round trip are tested."""
     return geo.to_grid(v.sites(spark, sf).select("key", "lat", "lng")).select("key", "easting", "northing", geo.grid_ref(F.col("easting"), F.col("northing")).alias("ref"))
+
+
+# --- what single registers keep
+
+CARE = [
+    {"home": True, "beds": 25, "category": "Residential", "sector": "Social", "street": "1 Elm Road", "shift": 0}, {"home": True, "beds": 19, "category": "Residential", "sector": "Social", "street": "2 Elm Road", "shift": 0},
+    {"home": False, "beds": 0, "category": "Hospital services", "sector": "NHS", "street": "3 Oak Way", "shift": 1}, {"home": False, "beds": 0, "category": "Hospital services", "sector": "Private", "street": "4 Oak Way", "shift": 1},
+    {"home": False, "beds": 0, "category": "Community", "sector": "Social", "street": "Five Ways Day Centre, Low Street", "shift": 2}, {"home": True, "beds": 60, "category": "Nursing", "sector": "Social", "street": "6 Fir Court", "shift": 3}, {"home": True, "beds": 60, "category": "Nursing", "sector": "Social", "street": "", "shift": 3},
+]
+_CLOSED = f"""(select id as ref, pname as name, street, home, beds, category, sector, 'BA' || (id % 50) || ' 1AA' as postcode, date '2010-01-01' + ((id * 37) % 3000)::int as ended from {picked_sql(CARE)})"""
+_ACTIVE = "(select 'ba' || (s_suppkey % 60) || '1aa' as postcode, case s_suppkey % 4 when 0 then '1 elm road, Bath' when 1 then 'Oak Way' when 2 then '' else 'Five Ways Day Centre' end as address, s_name as name from supplier)"
+
+
+@query(f"""with w as (select *, not home and regexp_matches(category, '(?i)hospital|hospice') and (sector = 'NHS' or regexp_matches(name, '(?i)hospital|hospice|infirmary|asylum|nursing home|sanatorium')) hosp from {_CLOSED}),
+ k as (select *, not home and not hosp and regexp_matches(street || '|' || name, '(?i)\\b(?:resource|day|training|activity|activities|respite|social education|adult education)\\s+(?:centre|center)\\b') centre from w),
+ l as (select * from (select *, row_number() over (partition by replace(postcode, ' ', '') || regexp_replace(lower(street), '[^a-z0-9]', '', 'g') order by ended desc, ref) r from k where (home and beds >= 20) or hosp or centre) where r = 1),
+ a as (select replace(upper(postcode), ' ', '') pc, regexp_replace(lower(split_part(address, ',', 1)), '[^a-z0-9]', '', 'g') al, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') an from {_ACTIVE}),
+ m as (select *, regexp_replace(lower(split_part(coalesce(nullif(street, ''), 'Bath'), ',', 1)), '[^a-z0-9]', '', 'g') line from l)
+ select ref, case when centre then street else '' end as centre, strftime(ended, '%Y-%m-%d') as ended from m where not exists (select 1 from a where a.pc = replace(m.postcode, ' ', '') and ((line <> '' and al <> '' and (contains(line, al) or contains(al, line))) or an = regexp_replace(lower(m.name), '[^a-z0-9]', '', 'g')))""")
+def closed_care(spark, sf):
+    """Closed care buildings with nothing registered there now."""
+    k = F.col("id")
+    rows = picked(spark, sf, CARE).select(
+        k.alias("ref"), F.col("pname").alias("name"), "street", F.lit("").alias("line2"), F.lit("Bath").alias("city"), F.concat(F.lit("BA"), (k % 50).cast("string"), F.lit(" 1AA")).alias("postcode"), F.lit("").alias("uprn"), F.col("home").alias("care_home"), "beds", "category", "sector",
+        F.date_add(F.lit("2010-01-01").cast("date"), ((k * 37) % 3000).cast("int")).alias("ended"), F.lit(51.0).alias("lat"), F.lit(-2.0).alias("lng"),
+    )
+    s = F.col("s_suppkey")
+    at = F.when(s % 4 == 0, "1 elm road, Bath").when(s % 4 == 1, "Oak Way").when(s % 4 == 2, "").otherwise("Five Ways Day Centre")
+    active = v.table(spark, sf, "supplier").select(F.concat(F.lit("ba"), (s % 60).cast("string"), F.lit("1aa")).alias("postcode"), at.alias("address"), F.col("s_name").alias("name"))
+    return registers.closed_care(rows, active).select("ref", "centre", F.col("ended").cast("string").alias("ended"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity > 45 or l_returnflag = 'A') as whole from lineitem where l_quantity > 45 or l_returnflag = 'A' or (l_extendedprice <> 0 and l_discount * 100000 >= 1000 and l_discount * 100000 / l_extendedprice >= 0.5)")
+def empty_estates(spark, sf):
+    """Estates wholly or mostly empty, over line items: quantity as unoccupied floor, discount as empty floor, price as the whole."""
+    li = v.table(spark, sf, "lineitem")
+    rows = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.greatest(F.col("l_quantity") - 45, F.lit(0.0)).alias("unoccupied_m2"), (F.col("l_discount") * 100000).alias("empty_m2"), F.col("l_extendedprice").alias("floor_m2"), F.when(F.col("l_returnflag") == "A", "Unoccupied").alias("site_type"))
+    return registers.standing_empty(rows).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "whole")
+
+
+PARCELS = [{"parcel": p} for p in ("Land at Hill", "Misc land", "Playing fields", "Main buildings and land at Hill", "Barracks", "Training Area", "Mess", "", "Sewage works", "Island")]
+
+
+@query(f"""select ref, parcel from (select *, row_number() over (partition by upper(pname), upper(parcel) order by ref) r from (select 'r' || lpad(id::varchar, 9, '0') as ref, * from {picked_sql(PARCELS)}) where parcel not in ('Land at Hill', 'Misc land', 'Playing fields', 'Training Area', 'Sewage works', 'Island')) where r = 1""")
+def kept_parcels(spark, sf):
+    rows = picked(spark, sf, PARCELS).select(F.concat(F.lit("r"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("ref"), F.col("pname").alias("establishment"), "parcel")
+    return registers.disposals(rows).select("ref", "parcel")
+
+
+@query()
+def closed_schools_kept(spark, sf):
+    """Closed schools with none open near, the last to close of each spot; tested against a one-by-one choice."""
+    k = F.substr("key", F.lit(3)).cast("bigint")
+    d = v.dense(spark, sf).withColumn("closed", F.date_add(F.lit("2000-01-01").cast("date"), (k % 1000).cast("int")))
+    return registers.still_closed(d.where("source <> 'nhs'").select("key", "lat", "lng", "closed"), d.where("source = 'nhs'").select("lat", "lng")).select("key", "closed")
+
+
+SPOTS = [{"final_text": x} for x in ("Quarry", "Air Shaft", "Old Quarry", "Air Shafts", "Old Level", "Ventilating Shaft", "Quarry (disused)", "Mill", "Quarries", "Level Crossing")]
+_SPOTS = f"(select s.id::varchar as pin_id, s.final_text as t, d.lat, d.lng from {picked_sql(SPOTS)} s join {v.DENSE} d on d.key = 'p:' || s.id)"
+
+
+def _around(what: str) -> str:
+    near = " and ".join(f"abs(floor(a.{c} / 0.01::double) - floor(b.{c} / 0.01::double)) <= 1" for c in ("lat", "lng"))
+    return f"(select count(*) from {_SPOTS} b where b.t in {what} and {near} and {HAV.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')} <= 500)"
+
+
+@query(f"select pin_id, n as air_shafts from (select a.pin_id, {_around(chr(40) + repr('Air Shaft') + ', ' + repr('Air Shafts') + ', ' + repr('Ventilating Shaft') + chr(41))} n, {_around(chr(40) + repr('Old Level') + chr(41))} m from {_SPOTS} a where a.t in ('Quarry', 'Old Quarry', 'Quarry (disused)', 'Quarries')) where n > 0 and m = 0")
+def quarries_with_shafts(spark, sf):
+    """Quarry labels with air shafts and no mine near."""
+    d = v.dense(spark, sf).select(F.substr("key", F.lit(3)).cast("bigint").alias("id"), "lat", "lng")
+    labels = picked(spark, sf, SPOTS).join(d, "id").select(F.col("id").cast("string").alias("pin_id"), "final_text", "lat", "lng")
+    return registers.shafts_of_quarries(labels).select("pin_id", "air_shafts")
+
+
+_SAID = "(['Conversion into 4 flats', 'Change into two flats', 'Discharge of condition 2: conversion into 5 flats', 'Conversion into six dwellings', 'New porch'])[1 + o_orderkey % 5]"
+
+
+@query(f"""with a as (select 'X/' || lpad(o_orderkey::varchar, 9, '0') as ref, o_orderdate::date as start, (o_orderdate + to_days((o_orderkey % 200)::int))::date as decided, o_orderstatus as st, 'C' || o_custkey % 7 || '|' || o_custkey || ' mill lane' as house from orders where o_orderkey % 5 not in (1, 2)),
+ l as (select *, coalesce(st in ('F', 'O') and max(start) over (partition by house order by start, ref rows between 1 following and unbounded following) >= decided + 548, false) lapsed from a)
+ select house, max_by(ref, {{'s': start, 'r': ref}}) as ref, count(*) filter (lapsed) as lapses, array_to_string(list_sort(list_distinct(list(year(decided)) filter (lapsed))), ' and ') as years, cast(case when count(*) filter (lapsed) > 1 then 16 else 12 end as int) as weight from l group by house having count(*) filter (lapsed) > 0""")
+def converted_again(spark, sf):
+    """Houses approved for conversion and applied for again, over orders."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    said = F.get(F.array(*map(F.lit, ("Conversion into 4 flats", "Change into two flats", "Discharge of condition 2: conversion into 5 flats", "Conversion into six dwellings", "New porch"))), (k % 5).cast("int"))
+    state = F.when(F.col("o_orderstatus") == "F", "Permitted").when(F.col("o_orderstatus") == "O", "Conditions").otherwise("Rejected")
+    rows = v.table(spark, sf, "orders").select(
+        F.concat(F.lit("X/"), F.lpad(k.cast("string"), 9, "0")).alias("ref"), F.concat(F.lit("C"), (c % 7).cast("string")).alias("council"), F.concat(F.lit("Land at "), c.cast("string"), F.lit(" Mill Lane, Bath BA1 1AA")).alias("address"), said.alias("description"), state.alias("app_state"),
+        F.to_date("o_orderdate").alias("start_date"), F.to_date(F.col("o_orderdate") + F.make_dt_interval(days=(k % 200).cast("int"))).alias("decided_date"),
+    )
+    return registers.converted_again(rows).select("house", "ref", "lapses", "years", "weight")
+
+
+@query("select a.o_orderkey as id, count(*) as later from orders a join orders b on a.o_custkey = b.o_custkey and b.o_orderdate::date > a.o_orderdate::date group by a.o_orderkey")
+def same_house_later(spark, sf):
+    """How many applications about the same house came after each."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = v.table(spark, sf, "orders").select(
+        k.cast("string").alias("ref"), F.lit("C").alias("council"), F.concat(c.cast("string"), F.when(k % 2 == 0, " Mill Lane, Bath").otherwise(" Mill Lane Bath BA1 1AA")).alias("address"), F.lit("x").alias("description"), F.lit("Permitted").alias("app_state"), F.to_date("o_orderdate").alias("start_date"), F.to_date("o_orderdate").alias("decided_date"),
+    )
+    return registers.later_applications(rows).select(F.col("ref").cast("bigint").alias("id"), F.size("later").cast("bigint").alias("later"))
+
+
+COMMITTEES = [{"name": x} for x in ("Southern Area Planning Committee", "Development Control", "Plans Sub-Committee", "Planning Policy Working Group", "Regulatory Committee", "Cabinet", "Scrutiny of Planning", "DC North", "Local Development Framework", "Licensing")]
+
+
+@query(f"select id, name from {picked_sql(COMMITTEES)} where name in ('Southern Area Planning Committee', 'Development Control', 'Plans Sub-Committee', 'Regulatory Committee', 'DC North')")
+def planning_committees(spark, sf):
+    return registers.planning_committees(picked(spark, sf, COMMITTEES)).select("id", "name")
+
+
+@query("select distinct p_name as title from part where p_name not in (select p_name from (select p_name, timestamp '2025-01-01' + to_days((p_partkey % 400)::int) as fetched from part where p_partkey % 2 = 0) where fetched >= timestamp '2025-12-01' - interval 90 days)")
+def stale_intros(spark, sf):
+    """Titles whose introduction is missing or older than ninety days."""
+    p = v.table(spark, sf, "part")
+    at = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("p_partkey") % 400).cast("int"))
+    return registers.stale_intros(p.select(F.col("p_name").alias("title")), p.where("p_partkey % 2 = 0").select(F.col("p_name").alias("title"), at.alias("fetched_at")), "2025-12-01 00:00:00")
+
+
+@query(f"select source, count(*) n from (select source, k % 9 = 0 as gone from {v.RECORDS}) where not gone group by source")
+def active_by_source(spark, sf):
+    from waymark.operators import sites
+
+    k = F.element_at(F.split("key", ":"), -1).cast("bigint")
+    items = v.records(spark, sf).withColumn("gone_at", F.when(k % 9 == 0, F.lit("2024-05-01 00:00:00").cast("timestamp_ntz")))
+    return sites.active(items).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("select l_returnflag as status, count(*) n, min_by(l_orderkey || ':' || l_linenumber || ':' || l_partkey, {'d': l_quantity, 's': l_extendedprice, 'o': l_orderkey, 'l': l_linenumber, 'p': l_partkey}) as next from lineitem group by l_returnflag")
+def tile_queue(spark, sf):
+    """Tiles by status, and the next one of each: least depth, then position."""
+    li = v.table(spark, sf, "lineitem")
+    name = F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")])
+    return li.groupBy(F.col("l_returnflag").alias("status")).agg(F.count("*").alias("n"), F.min_by(name, F.struct("l_quantity", "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey")).alias("next"))
+
+
+AROUND = ["highway=footway|designation=public_footpath", "highway=track", "amenity=parking|name=Quarry car park", "amenity=parking|access=private", "landuse=quarry|access=private", "highway=path|foot=no", "highway=cycleway", "amenity=parking|access=customers", "designation=core_path", "leisure=golf_course|access=no"]
+_AROUND = f"(select s.id, s.i, d.lat, d.lng from (select p_partkey as id, p_partkey % {len(AROUND)} as i from part) s join {v.DENSE} d on d.key = 'p:' || s.id where d.source <> 'osm')"
+
+
+@query(f"""with p as (select a.key, b.i, cast(round_even({HAV.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')}, 0) as bigint) d from {v.DENSE} a join {_AROUND} b on abs(floor(a.lat / 0.01::double) - floor(b.lat / 0.01::double)) <= 1 and abs(floor(a.lng / 0.01::double) - floor(b.lng / 0.01::double)) <= 1
+  and {HAV.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')} <= 800 where a.source = 'osm'),
+ g as (select key, min(d) filter (i in (0, 8)) rd, min(d) filter (i in (1, 6)) pd, min(d) filter (i = 2) cd from p group by key),
+ t as (select key, string_agg(what, '|' order by d, what) private from (select *, row_number() over (partition by key order by d, what) r from (select key, case i when 4 then 'quarry land' when 5 then 'a path' else 'golf course land' end what, min(d) d from p where i in (4, 5, 9) and d <= 50 group by all)) where r <= 3 group by key)
+ select key, rd as right_m, case when rd is null or pd < rd then pd end as path_m, cd as parking_m, coalesce(private, '') as private from g left join t using (key)""")
+def access_around(spark, sf):
+    """The ways to each place."""
+    d = v.dense(spark, sf)
+    rows = d.where("source <> 'osm'").withColumn("k", F.substr("key", F.lit(3)).cast("bigint"))
+    tagged = F.get(F.array(*map(F.lit, AROUND)), (F.col("k") % len(AROUND)).cast("int"))
+    features = rows.select("lat", "lng", F.call_function("str_to_map", tagged, F.lit("[|]"), F.lit("=")).alias("tags"))
+    found = registers.access_summary(d.where("source = 'osm'"), features)
+    return found.select("key", F.col("right_of_way.d").alias("right_m"), F.col("path.d").alias("path_m"), F.col("parking.d").alias("parking_m"), F.array_join("private", "|").alias("private"))

@@ -25,7 +25,7 @@ def _csv(spark: SparkSession, path: str, encoding: str, **options) -> DataFrame:
 def _placed(df: DataFrame) -> DataFrame:
     """Rows with a position on the globe; aliases split at semicolons and bars."""
     good = F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180)
-    parts = F.filter(F.transform(F.split(F.coalesce("aliases", F.lit("")), "[;|]"), F.trim), lambda a: a != "")
+    parts = F.filter(F.transform(F.split(F.coalesce("aliases", F.lit("")), "[;|]"), lambda x: F.trim(x)), lambda a: a != "")
     text = {c: F.trim(F.coalesce(c, F.lit(""))) for c in ("name", "kind", "note", "url")}
     return df.where(good).withColumns({**text, "aliases": parts}).select("name", "lat", "lng", "kind", "note", "url", "aliases")
 
@@ -52,7 +52,7 @@ def read_register(spark: SparkSession, path: str, must_have: str, encoding: str
     """A register's CSV whose header stands below other lines: the first row with a field `must_have` names the columns; that row, nameless columns and empty rows are left out. Rows above the header stay: a table of many splits has no order to drop them by, so the caller filters by a field that they lack."""
     columns = [f"_c{i}" for i in range(80)]
     rows = _csv(spark, path, encoding, schema=", ".join(f"{c} string" for c in columns))
-    found = rows.where(F.array_contains(F.transform(F.array(*columns), F.trim), must_have)).first()  # one row
+    found = rows.where(F.array_contains(F.transform(F.array(*columns), lambda x: F.trim(x)), must_have)).first()  # one row
     if found is None:
         raise ValueError(f"no line of {path} has {must_have!r}")
     names = [c.strip() if c else "" for c in found]
