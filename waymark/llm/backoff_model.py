@@ -6,26 +6,25 @@ log10(mu / (c(h) + mu)) and leads to h without its first word. Probabilities are
 p(w | h) = (c(h w) + mu p(w | h')) / (c(h) + mu), and absolutely discounted at the root,
 p(w) = (c(w) - d) / N with the d V / N left over for any unknown word; each sums to one, so the model is proper.
 
-The automaton grows with the corpus and is never broadcast. Documents are cut into blocks; each block sends the hashes of its distinct
-n-grams, packed by hash range, with their training counts; each range sums its counts and answers every block with the totals of the
-n-grams it sent. A block so gets the part of the automaton that its own texts can visit, and its texts run through it once: after each
-word the carried state is the longest suffix that is a state. As it looks back order - 1 words at most, all positions of a
-block move together in numpy. Words and n-grams are told apart by 64-bit hashes.
-
-Blocks are named by their contents: should a second reading of `docs` cut them differently (an input that isn't deterministic), the job
-fails instead of mixing them up.
+The automaton grows with the corpus and is never broadcast. Documents are cut into blocks, kept in the shared folder as word hashes; each block sends
+the hashes of its distinct n-grams, packed by hash range, with their training counts; each range sums its counts and answers every block
+with the totals of the n-grams it sent. A block so gets what is needed for the part of the automaton that its own texts can visit: it numbers the
+states, stores their arcs and failure arcs, and walks its texts through them from left to right, side by side, each carrying its state. Long texts are cut
+into lanes; a lane begins order - 1 words early, after which its state is that of the whole text. Words and n-grams are told
+apart by 64-bit hashes. Hash ranges grow with the input.
 
 Null or empty text: the end token alone. A text's history starts empty. Repeated rows: each counts and is scored. Null ids: held_out is null, and they
-aren't learnt from. Empty table: no rows. Without any training token: every word is unknown, with probability 1. Extra columns are left out.
+aren't learnt from. Empty table: no rows. Without any training token: every word is unknown, with probability 1. Very long texts: a block each. Extra
+columns are left out.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,39 +53,84 @@ def _grams(tokens: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarra
     return out
 
 
-def _block(batch: pa.RecordBatch, order: int) -> tuple[str, np.ndarray, np.ndarray, list[np.ndarray]]:
-    tokens, counts = _tokens(batch.column("t"))
-    name = xxhash.xxh3_128(tokens.tobytes())
-    name.update(counts.tobytes())
-    name.update(repr(batch.column("d").to_pylist()).encode())
-    return name.hexdigest(), tokens, counts, _grams(tokens, counts, order)
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers as bytes, those of one place side by side, so that leading zeros cost nothing."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+
+
+def _unsqueezed(data: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    raw, size = np.frombuffer(zstandard.decompress(data), np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def _pack_counts(x: np.ndarray) -> bytes:
+    """Most counts are small: a byte each, and the large ones apart."""
+    import zstandard
 
+    large = np.flatnonzero(x >= 255)
+    return len(x).to_bytes(4, "little") + zstandard.compress(np.minimum(x, 255).astype(np.uint8).tobytes() + x[large].astype("<i8").tobytes(), 1)
 
-def _known(block: list[np.ndarray]) -> list[np.ndarray]:
-    """Distinct n-grams of each order, sorted."""
-    return [np.unique(g[g != 0]) for g in block]
 
+def _unpack_counts(data: bytes) -> np.ndarray:
+    import zstandard
 
-def score(docs: DataFrame, learn: Column, order: int = 2, mu: float = 2.0, discount: float = 0.5, ranges: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    n, raw = int.from_bytes(data[:4], "little"), zstandard.decompress(data[4:])
+    out = np.frombuffer(raw[:n], np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw[n:], "<i8")
+    return out
+
+
+#: Bytes of text to a block, and to each hash range.
+BLOCK, RANGE = 8 << 20, 16 << 20
+#: Words to a lane.
+LANE = 512
+
+
+def score(docs: DataFrame, learn: Column, order: int = 3, mu: float = 2.0, discount: float = 0.5, ranges: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, learnt, n_tokens, n_known, train_tokens, base_score, score). Texts where `learn` holds are learnt from; all are scored."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
-    ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).alias("d"), text_of(text).alias("t"), learn.alias("l"))
-    kind = rows.schema["d"].dataType.simpleString()
+    kind, rows_type = rows.schema["d"].dataType.simpleString(), to_arrow_type(rows.schema["d"].dataType)
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE)
     width = (1 << 64) // ranges + 1
+    edges = np.array([r * width for r in range(1, ranges)], np.uint64)
+
+    def name_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "t", BLOCK):
+            hashes, counts = _tokens(b.column("t"))
+            local, at = np.unique(hashes, return_inverse=True)
+            packed = {"counts": [_squeezed(counts.astype("<i8"))], "vocabulary": [local.astype("<u8").tobytes()], "tokens": [_squeezed(at.astype("<u4"))]}
+            yield pa.RecordBatch.from_pydict({"block": [uuid.uuid4().hex], "docs": pa.array([b.column("d")], pa.list_(rows_type)), "learnt": pa.array([b.column("l")], pa.list_(pa.bool_())), **packed})
+
+    def read(counts: bytes, vocabulary: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens of each text, words by number, the number of each token's word, word hashes of all tokens)."""
+        words, at = np.frombuffer(vocabulary, "<u8"), _unsqueezed(tokens, "<u4")
+        return _unsqueezed(counts, "<i8"), words, at, words[at]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each block's distinct n-grams and training counts, cut by hash range."""
-        for b in blocks(batches, "t"):
-            name, _, counts, grams = _block(b, order)
-            used = np.repeat(b.column("l").fill_null(False).to_numpy(zero_copy_only=False), counts)
-            for n, (g, keys) in enumerate(zip(grams, _known(grams), strict=True), 1):
-                seen = np.searchsorted(keys, g[used & (g != 0)])
-                total = np.bincount(seen, minlength=len(keys)).astype("<u4")
-                cut = np.searchsorted(keys, np.array([r * width for r in range(1, ranges)], np.uint64))
-                for r, (k, c) in enumerate(zip(np.split(keys, cut), np.split(total, cut), strict=True)):
-                    if len(k):
-                        yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "block": [name], "n": pa.array([n], pa.int32()), "keys": [k.astype("<u8").tobytes()], "counts": [c.tobytes()]})
+        for batch in batches:
+            for row in range(batch.num_rows):
+                name, learnt = batch.column("block")[row].as_py(), batch.column("learnt")[row].values
+                counts, _, _, hashes = read(*(batch.column(c)[row].as_py() for c in ("counts", "vocabulary", "tokens")))
+                used = np.repeat(learnt.fill_null(False).to_numpy(zero_copy_only=False), counts)
+                for n, g in enumerate(_grams(hashes, counts, order), 1):
+                    keys = np.unique(g[g != 0])
+                    total = np.bincount(np.searchsorted(keys, g[used & (g != 0)]), minlength=len(keys))
+                    cut = np.searchsorted(keys, edges)
+                    out: dict[str, list] = {c: [] for c in ("range", "keys", "counts")}
+                    for r, (k, c) in enumerate(zip(np.split(keys, cut), np.split(total, cut), strict=True)):
+                        if len(k):
+                            out["range"].append(r), out["keys"].append(_squeezed(np.diff(k, prepend=np.uint64(0)))), out["counts"].append(_pack_counts(c))
+                    m = len(out["range"])
+                    yield pa.RecordBatch.from_pydict({"range": pa.array(out["range"], pa.int32()), "block": [name] * m, "n": pa.array([n] * m, pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
     def answer(_, table):
         """One hash range: totals over all blocks, given back to each block for the keys it sent; tokens and words as a row without a block."""
@@ -95,98 +139,125 @@ def score(docs: DataFrame, learn: Column, order: int = 2, mu: float = 2.0, disco
         r = table.column("range")[0].as_py()
         for n in sorted(set(ns)):
             rows = [i for i, x in enumerate(ns) if x == n]
-            each = [np.frombuffer(keys[i], "<u8") for i in rows]
+            each = [np.cumsum(_unsqueezed(keys[i], "<u8"), dtype=np.uint64) for i in rows]
             every, at = np.unique(np.concatenate(each), return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate([np.frombuffer(counts[i], "<u4") for i in rows])).astype("<i8")
+            total = np.bincount(at, weights=np.concatenate([_unpack_counts(counts[i]) for i in rows])).astype("<i8")
             if n == 1:
                 out["block"].append(None), out["n"].append(1), out["range"].append(r), out["totals"].append(b"")
                 out["words"].append(int((total > 0).sum())), out["tokens"].append(int(total.sum()))
             for i, where in zip(rows, np.split(at, np.cumsum([len(e) for e in each])[:-1]), strict=True):
                 out["block"].append(names[i]), out["n"].append(n), out["range"].append(r), out["words"].append(0), out["tokens"].append(0)
-                # most totals are small: one byte each, and the large ones apart
-                t = total[where]
-                large = np.flatnonzero(t >= 255)
-                out["totals"].append(np.minimum(t, 255).astype(np.uint8).tobytes() + t[large].astype("<i8").tobytes())
+                out["totals"].append(_pack_counts(total[where]))
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
 
-    sent = rows.mapInArrow(send, "range int, block string, n int, keys binary, counts binary")
+    named = staged(rows.mapInArrow(name_blocks, f"block string, docs array<{kind}>, learnt array<boolean>, counts binary, vocabulary binary, tokens binary"), "blocks")
+    sent = named.select("block", "learnt", "counts", "vocabulary", "tokens").mapInArrow(send, "range int, block string, n int, keys binary, counts binary")
     answers = staged(sent.groupBy("range").applyInArrow(answer, "block string, n int, range int, totals binary, words long, tokens long"), "answers")
     words, tokens = (x or 0 for x in answers.agg(F.sum("words"), F.sum("tokens")).first())
 
-    def name_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "t"):
-            name, hashes, counts, _ = _block(b, order)
-            local, at = np.unique(hashes, return_inverse=True)
-            yield pa.RecordBatch.from_pydict({"block": [name], "docs": pa.array([b.column("d")], pa.list_(b.schema.field("d").type)), "learnt": pa.array([b.column("l")], pa.list_(pa.bool_())), "counts": [counts.astype("<i8").tobytes()], "vocabulary": [local.astype("<u8").tobytes()], "tokens": [at.astype("<i4").tobytes()]})
-
     def run(_, left, right):
         """Each block's texts, once through its part of the automaton."""
         out = []
         got: dict[tuple[int, int], bytes] = dict(zip(zip(right.column("n").to_pylist(), right.column("range").to_pylist(), strict=True), right.column("totals").to_pylist(), strict=True))
         for row in range(left.num_rows):
-            counts = np.frombuffer(left.column("counts")[row].as_py(), "<i8")
-            hashes = np.frombuffer(left.column("vocabulary")[row].as_py(), "<u8")[np.frombuffer(left.column("tokens")[row].as_py(), "<i4")]
-            seen = []  # training count of the n-gram that ends at each position, for each order
+            counts, _, at, hashes = read(*(left.column(c)[row].as_py() for c in ("counts", "vocabulary", "tokens")))
+            number, totals = [], []  # for each order: the number of the n-gram that ends at each position (-1: none), and the totals of all n-grams
             for n, g in enumerate(_grams(hashes, counts, order), 1):
                 keys = np.unique(g[g != 0])
-                cut = [0, *np.searchsorted(keys, np.array([r * width for r in range(1, ranges)], np.uint64)).tolist(), len(keys)]
-                total = np.zeros(len(keys), np.int64)
-                for r, (a, b) in enumerate(zip(cut, cut[1:])):
-                    if a < b:
-                        if (n, r) not in got:
-                            raise RuntimeError("docs gave other blocks when read again: pass a stored table")
-                        raw = got[n, r]
-                        part = np.frombuffer(raw[: b - a], np.uint8).astype(np.int64)
-                        part[part == 255] = np.frombuffer(raw[b - a :], "<i8")
-                        total[a:b] = part
-                c = np.zeros(len(g), np.int64)
-                c[g != 0] = total[np.searchsorted(keys, g[g != 0])]
-                seen.append(c)
+                ids = np.full(len(g), -1)
+                ids[g != 0] = np.searchsorted(keys, g[g != 0])
+                held = np.diff([0, *np.searchsorted(keys, edges).tolist(), len(keys)])
+                total = np.concatenate([_unpack_counts(got[n, r]) for r in np.flatnonzero(held).tolist()]) if len(keys) else np.zeros(0, np.int64)
+                number.append(ids), totals.append(total)
             starts = np.cumsum(counts) - counts
-            base = np.log10((seen[0] + 0.1) / (tokens + 0.1 * (words + 1)))
-            weight = traverse(seen, counts, words, tokens, mu, discount)
+            known = totals[0][number[0]]
+            base = np.log10((known + 0.1) / (tokens + 0.1 * (words + 1)))
+            weight = Automaton(number, totals, counts, at, words, tokens, mu, discount).walk(at, counts)
             sums = lambda x: np.add.reduceat(x, starts)  # noqa: E731  each text has its end token at least
             docs_, learnt = left.column("docs")[row].values, left.column("learnt")[row].values
-            out.append(pa.table({key: docs_, "learnt": learnt, "n_tokens": pa.array(counts), "n_known": pa.array(sums((seen[0] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(counts), tokens)), "base_score": pa.array(sums(base)), "score": pa.array(sums(weight))}))
+            out.append(pa.table({key: docs_, "learnt": learnt, "n_tokens": pa.array(counts), "n_known": pa.array(sums((known > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(counts), tokens)), "base_score": pa.array(sums(base)), "score": pa.array(weight)}))
         return pa.concat_tables(out) if out else pa.table({key: pa.array([], rows_type), "learnt": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, **{c: pa.array([], pa.float64()) for c in ("base_score", "score")}})
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    rows_type = to_arrow_type(rows.schema["d"].dataType)
-    named = rows.mapInArrow(name_blocks, f"block string, docs array<{kind}>, learnt array<boolean>, counts binary, vocabulary binary, tokens binary")
     asked = answers.where("block is not null").select("block", "n", "range", "totals")
     return named.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, f"{key} {kind}, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def traverse(seen: list[np.ndarray], counts: np.ndarray, words: int, tokens: int, mu: float, discount: float) -> np.ndarray:
-    """log10 weight that the automaton adds at each position. seen[n - 1]: training count of the n-gram that ends there.
-
-    The state before a position is the longest suffix of its history that was seen, of at most order - 1 words; its length is what is
-    carried. From it, failure arcs lead to shorter states until one has an arc for the word.
-    """
-    order, n = len(seen), sum(counts)
-    first = np.zeros(n, bool)
-    first[np.cumsum(counts) - counts] = True
-    root = np.where(seen[0] > 0, np.maximum(seen[0] - discount, 1e-9), discount * words) / max(tokens, 1) if tokens else np.ones(n)
-    probability = [root]  # p(word | the last k words), for k = 0 .. order - 1
-    context = []  # training count of the state of k words before each position; 0 where there is none
-    for k in range(1, order):
-        before = np.zeros(n, np.int64)
-        before[1:] = seen[k - 1][:-1]
-        before[first] = 0
-        context.append(before)
-        probability.append((seen[k] + mu * probability[-1]) / (before + mu))
-    state = np.zeros(n, np.int64)
-    for k, c in enumerate(context, 1):
-        state[c > 0] = k
-    weight, done = np.zeros(n), np.zeros(n, bool)
-    for k in range(order - 1, -1, -1):
-        here = ~done & (state >= k)
-        arc = here & ((seen[k] > 0) if k else True)
-        weight[arc] += np.log10(probability[k][arc])
-        done |= arc
-        if k:
-            fails = here & ~arc
-            weight[fails] += np.log10(mu / (context[k - 1][fails] + mu))
-    return weight
+class Automaton:
+    """The part of the automaton that some texts can visit: numbered states, arcs in order of (state, word), failure arcs.
+
+    State 0 is the root; every n-gram of up to order - 1 words that was seen in training is one more."""
+
+    def __init__(self, number: list[np.ndarray], totals: list[np.ndarray], counts: np.ndarray, word: np.ndarray, words: int, tokens: int, mu: float, discount: float) -> None:
+        """number[n - 1]: the n-gram that ends at each position, -1 where there is none; totals[n - 1]: training counts of the n-grams; word: the number of each position's word."""
+        order, n = len(number), len(word)
+        self.order, self.words = order, int(word.max(initial=0)) + 1
+        seen = [np.where(ids >= 0, total[ids] if len(total) else 0, 0) for ids, total in zip(number, totals, strict=True)]
+        root = np.where(seen[0] > 0, np.maximum(seen[0] - discount, 1e-9), discount * words) / max(tokens, 1) if tokens else np.ones(n)
+        # state of the n-gram that ends at each position, for n = 0 .. order - 1; -1 where it was never seen
+        state, first = [np.zeros(n, np.int64)], 1
+        where = [np.zeros(1, np.int64)]  # a position at which each state's n-gram ends
+        for k in range(1, order):
+            ids = np.cumsum(totals[k - 1] > 0) - 1 + first
+            state.append(np.where(seen[k - 1] > 0, ids[number[k - 1]] if len(ids) else -1, -1))
+            at = np.zeros(int((totals[k - 1] > 0).sum()), np.int64)
+            some = np.flatnonzero(seen[k - 1] > 0)
+            at[state[k][some] - first] = some
+            where.append(at)
+            first += len(at)
+        self.fails = np.concatenate([np.zeros(1, np.int64), *[state[k - 1][where[k]] for k in range(1, order)]])
+        count = np.concatenate([np.zeros(1, np.int64), *[seen[k - 1][where[k]] for k in range(1, order)]])
+        self.fail_weight = np.concatenate([[0.0], np.log10(mu / (count[1:] + mu))])
+        # arcs: from the root with every word here; from a state with the words seen after it
+        starts = np.zeros(n, bool)
+        starts[np.cumsum(counts) - counts] = True
+        keys, weights, nexts, likely = [], [], [], root
+        for k in range(order):
+            if k:
+                before = np.zeros(n, np.int64)
+                before[1:] = state[k][:-1]
+                before[starts] = -1
+                likely = (seen[k] + mu * likely) / (np.where(before > 0, count[before], 0) + mu)
+                arcs = np.flatnonzero(seen[k] > 0)
+            else:
+                before, arcs = np.zeros(n, np.int64), np.arange(n)
+            key, at = np.unique(before[arcs] * self.words + word[arcs], return_index=True)
+            at = arcs[at]
+            keys.append(key), weights.append(np.log10(likely[at]))
+            # to the longest state that ends the words read
+            goes = np.zeros(len(at), np.int64)
+            for j in range(1, min(k + 1, order - 1) + 1):
+                goes = np.where(state[j][at] > 0, state[j][at], goes)
+            nexts.append(goes)
+        order_ = np.argsort(np.concatenate(keys))
+        self.keys, self.weights, self.nexts = (np.concatenate(x)[order_] for x in (keys, weights, nexts))
+
+    def walk(self, word: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 weight of each text: all lanes move one word at a time from left to right, each carrying its state."""
+        ends = np.cumsum(counts)
+        many = -(-counts // LANE)
+        text = np.repeat(np.arange(len(counts)), many)
+        first = (ends - counts)[text] + (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * LANE
+        last = np.minimum(first + LANE, ends[text])
+        begin = np.maximum(first - (self.order - 1), (ends - counts)[text])  # as far back as a state can remember
+        state, total = np.zeros(len(text), np.int64), np.zeros(len(text))
+        lanes = np.argsort(begin - last, kind="stable")  # longest first: those still moving lie in front
+        length = (last - begin)[lanes]
+        for step in range(int(length[0]) if len(length) else 0):
+            on = lanes[: int(np.searchsorted(-length, -step, side="left"))]
+            at = begin[on] + step
+            s, w, gain = state[on], word[at].astype(np.int64), np.zeros(len(on))
+            todo = np.arange(len(on))
+            while len(todo):
+                key = s[todo] * self.words + w[todo]
+                found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[found] == key
+                here, miss = todo[hit], todo[~hit]
+                gain[here] += self.weights[found[hit]]
+                s[here] = self.nexts[found[hit]]
+                gain[miss] += self.fail_weight[s[miss]]
+                s[miss] = self.fails[s[miss]]
+                todo = miss
+            state[on] = s
+            total[on] += np.where(at >= first[on], gain, 0.0)
+        return np.bincount(text, weights=total, minlength=len(counts))

@@ -45,7 +45,7 @@ def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_backoff_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = backoff_model.score(table(spark, sf_dir, "documents"), remainder(10) != 0, order=2)
+    scored = backoff_model.score(table(spark, sf_dir, "documents"), remainder(10) != 0, order=3)
     return scored.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
