@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from waymark.llm import backoff_model, bin_packing, partenum_join, pii_surrogates, projection_forest, quality_classifier, quality_rules, ring_shards, tiktoken_codec, wavelet_store
@@ -312,6 +313,34 @@ def test_surrogates(spark):
     assert again[7] != out[7][0]
 
 
+def test_surnames_are_replaced_wherever_they_recur(spark):
+    made = [(0, "Mr John Smith wrote. Smith's dog, Smithson and the smith; SMITH, Smith-Jones. Then Smith left."), (1, "A smith. Smith stays here.")]
+    out = {r.doc_id: r.text for r in pii_surrogates.replace(spark.createDataFrame(made, "doc_id long, text string"), "k").collect()}
+    john, smith = re.match(r"Mr (\S+) (\S+) wrote", out[0]).groups()
+    assert out[0] == f"Mr {john} {smith} wrote. {smith}'s dog, Smithson and the smith; SMITH, Smith-Jones. Then {smith} left." and out[1] == made[1][1]
+
+
+def test_every_entity_and_nothing_else_changes(spark, docs):
+    """Against a scan of each text by another engine: what is no entity stays, and each entity becomes one of its own kind and length, the same everywhere."""
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r for r in pii_surrogates.replace(docs, "k").collect()}
+    every, seen = regex.compile(pii_surrogates.ANY), {}
+    for d, t in before.items():
+        parts = every.split(t or "")
+        found = [m.group(0) for m in every.finditer(t or "")]
+        assert (after[d].n_replaced > 0) == bool(found)
+        if not found or any(re.match(r"\w+\.? [A-ZА-Я]", e) and not re.search(r"[0-9@]", e) for e in found):
+            continue  # names may recur outside of entities
+        form = "(.+?)".join(map(re.escape, parts))
+        got = re.fullmatch(form, after[d].text, re.S)
+        assert got, d
+        for e, new in zip(found, got.groups(), strict=True):
+            assert e != new and seen.setdefault(e.lower(), new.lower()) == new.lower()
+            if "@" not in e and not re.fullmatch(r"[0-9.]+", e):
+                assert re.sub(r"[0-9A-Fa-f]", "", e) == re.sub(r"[0-9A-Fa-f]", "", new) and len(e) == len(new)
+    assert len(set(seen.values())) >= len({re.sub(r"\D", "", e)[-10:] if re.fullmatch(r"[+\d ().-]+", e) else e for e in seen}) * 0.95
+
+
 def test_tokens_of_any_case(spark):
     token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     mixed = token[:20] + token[20:].upper()
@@ -570,3 +599,97 @@ def test_pipeline(spark):
         else:
             assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
     assert corpus_pipeline.run(spark, SF).count() == out.count()
+
+
+def test_ring_one_by_one():
+    """Keys of given slices, placed one after the other on the ring."""
+    rng = random.Random(8)
+    for _ in range(200):
+        shards, slices = rng.randint(1, 6), 40
+        nodes = sorted({rng.randrange(slices): rng.randrange(shards) for _ in range(30)}.items())
+        if len({s for _, s in nodes}) < shards:
+            continue
+        counts = {s: rng.choice([0, 0, 1, 2, 9]) for s in range(slices)}
+        total = sum(counts.values())
+        room = [total // shards + (s < total % shards) for s in range(shards)]
+        want, over = {}, []
+        for piece in range(slices):  # home shards first, in ring order
+            k = next((k for k, (at, _) in enumerate(nodes) if at >= piece), 0)
+            for n in range(counts[piece]):
+                if room[nodes[k][1]]:
+                    room[nodes[k][1]] -= 1
+                    want[piece, n] = nodes[k][1]
+                else:
+                    over.append((piece, n, k))
+        for piece, n, k in over:  # then clockwise
+            while not room[nodes[k][1]]:
+                k = (k + 1) % len(nodes)
+            room[nodes[k][1]] -= 1
+            want[piece, n] = nodes[k][1]
+        got = {(piece, first + i): s for piece, first, many, s, _ in ring_shards.plan({p: c for p, c in counts.items() if c}, nodes, shards) for i in range(many)}
+        assert got == want
+
+
+def test_ring_with_one_key_everywhere(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, "same").otherwise(F.concat(F.lit("t"), "id")).alias("text")).repartition(5)
+    by = defaultdict(list)
+    for r in ring_shards.shard(df).collect():
+        by[r.shard].append(r.slot)
+    assert sorted(map(len, by.values())) == [250] * 16 and all(sorted(s) == [*range(250)] for s in by.values())
+
+
+def test_classifier_statistics(spark, odd, docs):
+    import math as m
+
+    def plain(t):
+        t = t or ""
+        words, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        n, chars, symbols, dup, rep, _ = brute_rules(t)
+        per = lambda a, b: a / b if b else 0.0
+        stops = sum(w.lower() in quality_rules.STOP_WORDS for w in words)
+        return [m.log1p(n), per(chars, n), per(symbols, n), per(dup, len(lines)), per(rep, n), per(n, len(lines)), per(stops, n), per(t.count("!"), n), per(sum(c.isupper() and c.isalpha() for c in t), len(t)), per(sum(c in "0123456789" for c in t), len(t)), per(sum(c in ".?!,;:" for c in t), n)]
+
+    for df in (odd, docs.limit(100)):
+        for r in df.select("text", quality_classifier.statistics().alias("x")).collect():
+            assert np.allclose(r.x, plain(r.text)), r.text
+    clash = odd.withColumn("__x", F.lit("kept")).withColumn("score", F.lit(1))
+    out = quality_classifier.score(clash, quality_classifier.fit(np.zeros((0, 11)), np.zeros(0)))
+    assert {(r["__x"], r.score) for r in out.collect()} == {("kept", 0.5)}
+
+
+STRANGE = "doc_id long, text string, lang string, source string, n_chars long, __row string, __entities string, __sid int"
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    good = " ".join(["the people of the town and of the hills went to the old mill by the river where a man was"] * 1 + [f"word{i} of the day" for i in range(12)])
+    rows = [(1, good, None, None, None, "r", "e", 1), (1, good, None, None, None, "r", "e", 1), (None, good + " more", "en", "a", 3, None, None, None), (2, None, "en", "a", 0, "", "", 0), (3, "", "en", "a", 0, "", "", 0), (4, good + " mail a.b@x.org", "en", None, 9, "q", "w", 2)]
+    df = spark.createDataFrame(rows, STRANGE).repartition(2)
+    for name, stage in corpus_pipeline.STAGES:
+        for part in (df, df.limit(0)):
+            out = stage(spark, part, SF)
+            got = out.collect()
+            if name != "packing":
+                assert out.columns == df.columns and len(got) <= len(rows)
+            assert part is df or not got
+    kept = [r for r in corpus_pipeline.STAGES[2][1](spark, df, SF).collect()]
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept) == [(False, 0), (True, 1), (True, 2), (True, 3)]
+
+
+def test_very_long_texts(spark):
+    """One text of about 2 MB among short ones, through every operator on texts."""
+    long = " ".join(f"w{i % 5000} of the {i % 7}" for i in range(150_000))
+    df = spark.createDataFrame([(1, long), (2, "short one"), (3, long)], "doc_id long, text string")
+    assert quality_rules.judge(df).where("doc_id = 1").first().n_words == 600_000
+    codec = tiktoken_codec.encoding(q.RANKS, q.PATTERN)
+    want = len(codec.encode_ordinary(long))
+    assert tiktoken_codec.digests(df, q.RANKS, q.PATTERN).where("doc_id = 1").first().n_tokens == want
+    scored = {r.doc_id: r for r in backoff_model.score(df, F.col("doc_id") > 0, order=3).collect()}
+    assert scored[1].n_tokens == 600_001 and scored[1].score == scored[3].score
+    joined = {r.doc_id: r.component_id for r in partenum_join.components(df).collect()}
+    assert joined == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id: r.n_replaced for r in pii_surrogates.replace(df, "k").collect()} == {1: 0, 2: 0, 3: 0}
+    folder = wavelet_store.write_shards(df, q.VOCABULARY, q.PATTERN, 0, shard_tokens=100_000)
+    got = {r.doc_id: r.n_tokens for r in wavelet_store.read_digests(spark, folder).collect()}
+    assert got[1] == got[3] > 600_000

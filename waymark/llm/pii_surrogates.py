@@ -6,6 +6,7 @@ spellings of a unit share it. A keyed hash of kind and normal form makes the uni
 the same length and separators (card numbers keep whether their check digit holds, phone numbers their country code), hexadecimal
 for hexadecimal in the same case, names of the same gender and script. Collision checks run over all distinct units: a surrogate that another unit
 has, or that is itself a unit of the corpus, is drawn again until there is none; so different units stay different and equal ones equal, over all documents.
+A surname found after a title is replaced wherever it recurs in the same text, with or without one; a word that is no one's surname there is left alone.
 
 The pattern goes over each text once: rows are kept in the shared folder with their entities and a number of their own, and all that follows reads
 that table. Only texts with entities are split and joined.
@@ -143,11 +144,16 @@ def replace(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
     each = found.select("entity", F.posexplode("units").alias("at", "unit")).select("entity", "at", "unit.kind", "unit.norm")
     table = distinct_surrogates(each.select("kind", "norm"), secret)
     drawn = each.join(table, ["kind", "norm"]).groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "fresh"))), lambda x: x["fresh"]).alias("fresh"))
-    lookup = staged(found.join(drawn, "entity").select("entity", render(F.col("kind"), F.col("entity"), F.col("fresh")).alias("surrogate")), "lookup")
+    lookup = staged(found.join(drawn, "entity").select("entity", (F.col("kind") == "name").alias("named"), render(F.col("kind"), F.col("entity"), F.col("fresh")).alias("surrogate")), "lookup")
     placed = hits.select(F.col(row), F.posexplode(held).alias("at", "entity")).join(lookup, "entity")
-    lists = placed.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias(fresh))
-    joined = F.array_join(F.flatten(F.zip_with(F.split(F.col(text), ANY, -1), F.col(fresh), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    changed = hits.join(lists, row).withColumn(text, joined).withColumn("n_replaced", F.size(fresh).cast("long"))
+    lists = placed.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("at", "surrogate", "entity", "named"))).alias(fresh))
+    made = F.transform(F.col(fresh), lambda x: x["surrogate"])
+    joined = F.array_join(F.flatten(F.zip_with(F.split(F.col(text), ANY, -1), made, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    last = lambda c: F.substring_index(c, " ", -1)
+    surnames = F.array_distinct(F.transform(F.filter(F.col(fresh), lambda x: x["named"]), lambda x: F.struct(last(x["entity"]).alias("old"), last(x["surrogate"]).alias("new"))))
+    alone = lambda name: F.concat(F.lit(r"(?<![\p{L}'’-])"), name, F.lit(r"(?![\p{L}’-]|'\p{L}{2})"))  # noqa: E731  a possessive 's is no part of a name
+    whole = F.aggregate(surnames, joined, lambda body, x: F.regexp_replace(body, alone(x["old"]), x["new"]))
+    changed = hits.join(lists, row).withColumn(text, whole).withColumn("n_replaced", F.size(fresh).cast("long"))
     same = marked.where(F.coalesce(F.size(held) <= 0, F.lit(True))).withColumn("n_replaced", F.lit(0).cast("long"))
     columns = [*[F.col(f"`{c}`") for c in docs.columns], "n_replaced"]
     return same.select(*columns).unionAll(changed.select(*columns))
