@@ -128,7 +128,7 @@ def still_closed(closed: DataFrame, open_: DataFrame, metres: float = 100.0, apa
     from waymark.operators.resolve import settle
 
     left = without_near(closed, open_.select("lat", "lng"), metres, 0.002)
-    made = {"f": F.lit(2), "name": F.lit(None).cast("string"), "kind": F.lit(""), "weight": F.lit(0), "aliases": F.lit(None).cast("array<string>"), "w": -F.coalesce(F.unix_date("closed"), F.lit(-1_000_000))}
+    made = {"f": F.lit(2), "name": F.lit(None).cast("string"), "kind": F.lit(""), "weight": F.lit(0), "aliases": F.lit(None).cast("array<string>"), "reach": F.lit(apart), "w": -F.coalesce(F.unix_date("closed"), F.lit(-1_000_000))}
     rows = left.select("key", "lat", "lng", *[v.alias(k) for k, v in made.items()])
     kept = settle(rows, ["w", "key"], lambda r, grid: (next((p["key"] for p in grid.near(r) if far(r, p) < apart), r["key"]), None), 0.002, tile, "schools")
     return left.join(kept.where("to = key").select("key"), "key", "left_semi")
