@@ -433,3 +433,33 @@ def test_closed_schools_one_by_one(spark):
             kept.append(x)
     got = registers.still_closed(spark.createDataFrame(rows, "key string, lat double, lng double, closed date"), spark.createDataFrame(open_, "lat double, lng double"), tile=3).collect()
     assert {x.key for x in got} == {x[0] for x in kept} and 0 < len(kept) < len(left) < 150
+
+
+def test_notices_of_pages(spark):
+    from waymark.operators import registers
+
+    page = "<html><style>x</style><h1>NOTICE OF DISCLAIMER</h1><p>Company Name: A &amp; B LTD Company Number: 01234567</p> Interest: Leasehold Property: The Old Chapel, Chapel Street. Dissolution Date: 1 May 2020 <b>Actions</b> Save notice Property: other</html>"
+    out = registers.notices(spark.createDataFrame([(1, page), (2, "<p>none</p>"), (3, None)], "id int, html string")).collect()
+    assert [(r.id, r.company, r.interest, r.property, r.dissolved) for r in out] == [(1, "A & B LTD", "Leasehold", "The Old Chapel, Chapel Street", date(2020, 5, 1))]
+
+
+def test_structures_by_grid_reference(spark):
+    from waymark.operators import registers
+
+    rows = [("1", "Tunnel", "SU 1431 3007"), ("1", "Tunnel", "SU 1431 3007"), ("2", "Bridge", "SU 1431 3007"), ("3", "Viaduct", "ZZ 12 34")]
+    out = registers.railway_structures(spark.createDataFrame(rows, "ref string, kind string, os_ref string")).collect()
+    assert [(r.ref, r.kind, round(r.lat, 3), round(r.lng, 3)) for r in out] == [("1", "tunnel", 51.07, -1.797)]
+
+
+def test_a_folder_of_changes(spark, tmp_path):
+    from waymark.streaming import changes
+
+    at = datetime(2024, 1, 1)
+    spark.createDataFrame([(1, "a", at, at, None), (2, "b", at, at, None)], "k long, nm string, first_seen timestamp_ntz, last_seen timestamp_ntz, gone_at timestamp_ntz").write.parquet(str(tmp_path / "store" / "v00000000"))
+    schema = "k long, nm string, deleted boolean, at timestamp_ntz, seq long"
+    for n, rows in enumerate(([(1, "x", False, datetime(2024, 1, 2), 1), (1, "y", False, datetime(2024, 1, 2), 2), (3, "c", False, datetime(2024, 1, 2), 3)], [(2, None, True, datetime(2024, 1, 3), 1)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        changes.follow_folder(spark, str(tmp_path / "in"), schema, str(tmp_path / "store"), str(tmp_path / "cp"), "k", ["nm"]).awaitTermination(120)
+        assert (tmp_path / "store" / f"v{n + 1:08d}").exists()
+    out = {r.k: (r.nm, r.gone_at) for r in spark.read.parquet(str(tmp_path / "store" / "v00000002")).collect()}
+    assert out == {1: ("y", None), 2: ("b", datetime(2024, 1, 3)), 3: ("c", None)}

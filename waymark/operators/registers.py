@@ -205,3 +205,31 @@ def access_summary(places: DataFrame, features: DataFrame, reach: float = 800.0)
     nearer = F.when(F.col("right").isNull() | (F.col("path.d") < F.col("right.d")), F.col("path"))
     first = F.transform(F.slice(F.coalesce("p", F.array().cast("array<struct<d:bigint,private:string>>")), 1, 3), lambda x: x["private"])
     return found.join(things, "key", "left").select("key", F.col("right").alias("right_of_way"), nearer.alias("path"), F.col("park").alias("parking"), first.alias("private"))
+
+
+def railway_structures(rows: DataFrame) -> DataFrame:
+    """Tunnels and viaducts with lat and lng, the first of each ref: ref, kind, os_ref (a grid reference) and whatever else rows have. Malformed references are left out."""
+    kept = rows.where(F.col("kind").isin("Tunnel", "Viaduct")).withColumn("__g", geo.grid_ref_metres(F.col("os_ref"))).where("__g is not null")
+    once = first_of(kept.withColumn("kind", F.lower("kind")), ["ref"], ["os_ref", "kind"])
+    return geo.from_grid(once.withColumns({"easting": F.col("__g.easting"), "northing": F.col("__g.northing")})).drop("__g", "easting", "northing")
+
+
+def placed_by_postcode(rows: DataFrame, centroids: DataFrame) -> DataFrame:
+    """rows with the lat and lng of their postcode; those whose postcode isn't known are left out. centroids: postcode, lat, lng, one row each."""
+    bare = lambda c: F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"\s", "")
+    return rows.withColumn("__p", bare(F.col("postcode"))).join(centroids.select(bare(F.col("postcode")).alias("__p"), "lat", "lng"), "__p").drop("__p")
+
+
+def notices(pages: DataFrame) -> DataFrame:
+    """Disclaimer notices of saved pages (id, html), parsed: id and the fields of `judges.parse_notice`; pages without one are left out."""
+    from waymark.functions.text import html_text
+
+    plain = html_text(F.col("html"))
+    start, end = F.instr(F.upper(plain), "NOTICE OF DISCLAIMER"), F.instr(plain, " Actions Save notice")
+    words = F.when(start > 0, F.substr(plain, start, F.when(end > start, end - start).otherwise(F.length(plain))))
+    return pages.select("id", judges.parse_notice(words).alias("n")).where("n is not null").select("id", "n.*")
+
+
+def unread(listed: DataFrame, read: DataFrame, key: str = "id") -> DataFrame:
+    """What is listed and hasn't been read: keys with no row of `read` that has a text."""
+    return listed.join(read.where(given(F.col("text")).isNotNull()).select(key), key, "left_anti")

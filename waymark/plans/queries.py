@@ -328,15 +328,15 @@ def report_hours(spark, sf):
     return reports.hourly(v.reports(spark, sf)).select("key", F.col("hour.start").cast("timestamp_ntz").alias("hour"), "n")
 
 
-@query("""with o as (select p_partkey k, p_name nm from part where p_partkey % 3 <> 0), n as (select p_partkey k, p_name || '!' nm from part where p_partkey % 3 <> 1)
+@query("""with o as (select p_partkey k, p_name nm from part where p_size <= 35), n as (select p_partkey k, p_name || '!' nm from part where p_size > 12)
  select coalesce(o.k, n.k) k, coalesce(n.nm, o.nm) nm, case when o.k is null then timestamp '2024-02-01' else timestamp '2024-01-01' end first_seen,
  case when n.k is null then timestamp '2024-01-01' else timestamp '2024-02-01' end last_seen, case when n.k is null then timestamp '2024-02-01' end gone_at from o full outer join n on o.k = n.k""")
 def snapshot_merge(spark, sf):
-    """A store of some parts after a crawl that saw others."""
-    part = v.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("nm"))
+    """A store of the smaller parts after a crawl that saw the larger ones."""
+    part = v.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("nm"), "p_size")
     at = lambda d: F.to_timestamp_ntz(F.lit(d)) if d else F.lit(None).cast("timestamp_ntz")
-    store = part.where("k % 3 <> 0").withColumns({"first_seen": at("2024-01-01 00:00:00"), "last_seen": at("2024-01-01 00:00:00"), "gone_at": at(None)})
-    return sites.apply_snapshot(store, part.where("k % 3 <> 1").withColumn("nm", F.concat("nm", F.lit("!"))), "k", ["nm"], "2024-02-01 00:00:00")
+    store = part.where("p_size <= 35").drop("p_size").withColumns({"first_seen": at("2024-01-01 00:00:00"), "last_seen": at("2024-01-01 00:00:00"), "gone_at": at(None)})
+    return sites.apply_snapshot(store, part.where("p_size > 12").withColumn("nm", F.concat("nm", F.lit("!"))), "k", ["nm"], "2024-02-01 00:00:00")
 
 
 @query("select o_orderkey rel, count(*) n, min(l_partkey) low, max(l_partkey) high from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey")

@@ -10,6 +10,7 @@ from waymark.plans import samples as S
 from waymark.plans import views as v
 from waymark.plans.queries import HAV, RING, query
 from waymark.plans.samples import picked, picked_sql
+from waymark.streaming import changes
 
 PLACE = "round(lat / 0.01::double, 0) || ',' || round(lng / 0.01::double, 0)"
 
@@ -266,12 +267,12 @@ def planning_committees(spark, sf):
     return registers.planning_committees(picked(spark, sf, COMMITTEES)).select("id", "name")
 
 
-@query("select distinct p_name as title from part where p_name not in (select p_name from (select p_name, timestamp '2025-01-01' + to_days((p_partkey % 400)::int) as fetched from part where p_partkey % 2 = 0) where fetched >= timestamp '2025-12-01' - interval 90 days)")
+@query("select distinct p_name as title from part where p_name not in (select p_name from (select p_name, timestamp '2025-01-01' + to_days((p_partkey % 400)::int) as fetched from part where p_size <= 4 and p_retailprice > 905) where fetched >= timestamp '2025-12-01' - interval 90 days)")
 def stale_intros(spark, sf):
     """Titles whose introduction is missing or older than ninety days."""
     p = v.table(spark, sf, "part")
     at = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("p_partkey") % 400).cast("int"))
-    return registers.stale_intros(p.select(F.col("p_name").alias("title")), p.where("p_partkey % 2 = 0").select(F.col("p_name").alias("title"), at.alias("fetched_at")), "2025-12-01 00:00:00")
+    return registers.stale_intros(p.select(F.col("p_name").alias("title")), p.where("p_size <= 4 and p_retailprice > 905").select(F.col("p_name").alias("title"), at.alias("fetched_at")), "2025-12-01 00:00:00")
 
 
 @query(f"select source, count(*) n from (select source, k % 9 = 0 as gone from {v.RECORDS}) where not gone group by source")
@@ -308,3 +309,37 @@ def access_around(spark, sf):
     features = rows.select("lat", "lng", F.call_function("str_to_map", tagged, F.lit("[|]"), F.lit("=")).alias("tags"))
     found = registers.access_summary(d.where("source = 'osm'"), features)
     return found.select("key", F.col("right_of_way.d").alias("right_m"), F.col("path.d").alias("path_m"), F.col("parking.d").alias("parking_m"), F.array_join("private", "|").alias("private"))
+
+
+@query()
+def railway_positions(spark, sf):
+    """Structures placed by grid reference; golden points are tested."""
+    k = F.col("p_partkey")
+    ref = F.concat(F.get(F.array(*map(F.lit, ("SU", "NN", "TQ", "ZZ", "SN"))), (k % 5).cast("int")), F.lit(" "), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" "), F.lpad((k * 7 % 1000).cast("string"), 3, "0"))
+    rows = v.table(spark, sf, "part").select((k % 900).cast("string").alias("ref"), F.when(k % 3 == 0, "Tunnel").when(k % 3 == 1, "Viaduct").otherwise("Bridge").alias("kind"), ref.alias("os_ref"))
+    return registers.railway_structures(rows).select("ref", "kind", "os_ref", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
+@query("select s_suppkey as id, c_custkey as at from supplier join customer on c_custkey = s_suppkey")
+def placed_by_postcode(spark, sf):
+    rows = v.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("ba"), F.col("s_suppkey").cast("string"), F.lit(" 1aa")).alias("postcode"))
+    known = v.table(spark, sf, "customer").select(F.concat(F.lit("BA"), F.col("c_custkey").cast("string"), F.lit("1AA")).alias("postcode"), F.col("c_custkey").cast("double").alias("lat"), F.lit(0.0).alias("lng"))
+    return registers.placed_by_postcode(rows, known).select("id", F.col("lat").cast("bigint").alias("at"))
+
+
+@query("select p_partkey as id from part where p_partkey not in (select l_partkey from lineitem where l_returnflag = 'A' and l_quantity > 44)")
+def unread_records(spark, sf):
+    read = v.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), F.when((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 44), "read").otherwise("").alias("text"))
+    return registers.unread(v.table(spark, sf, "part").select(F.col("p_partkey").alias("id")), read)
+
+
+@query("""with c as (select * from (select l_partkey k, l_returnflag rf, l_orderkey * 10 + l_linenumber as seq, l_suppkey, row_number() over (partition by l_partkey order by l_shipdate desc, l_orderkey * 10 + l_linenumber desc, l_suppkey desc) r from lineitem where l_quantity > 44) where r = 1)
+ select coalesce(p.p_partkey, c.k) as k, case when c.k is not null and c.rf <> 'R' then c.rf else p.p_name end as nm, c.k is not null and c.rf = 'R' as gone from part p full outer join c on p.p_partkey = c.k""")
+def merged_changes(spark, sf):
+    """A store after a batch of changes and deletions; the part keys that no change names stay as they are."""
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    store = v.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("nm"), at.alias("first_seen"), at.alias("last_seen"), F.lit(None).cast("timestamp_ntz").alias("gone_at"))
+    li = v.table(spark, sf, "lineitem").where("l_quantity > 44")
+    seq = F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_suppkey")
+    changed = li.select(F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("nm"), (F.col("l_returnflag") == "R").alias("deleted"), F.col("l_shipdate").alias("at"), seq.alias("seq"))
+    return changes.merged(store, changed, "k", ["nm"], "2024-02-01 00:00:00").select("k", "nm", F.col("gone_at").isNotNull().alias("gone"))

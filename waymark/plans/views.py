@@ -133,16 +133,16 @@ RECORDS = f"""(select *, case family when 'osm' then 'OSM: ' when 'wikidata' the
 
 
 def attractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fortieth part as something open to visitors: an outline, or a point."""
-    d = table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("key"), F.col("p_partkey").alias("k")).join(dense(spark, sf_dir).select("key", "lat", "lng"), "key")
+    """Parts of one size as something open to visitors: an outline, or a point."""
+    d = table(spark, sf_dir, "part").where("p_size = 7").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("key"), F.col("p_partkey").alias("k")).join(dense(spark, sf_dir).select("key", "lat", "lng"), "key")
     return d.select("lat", "lng", F.when(F.col("k") % 80 == 0, 120.0).alias("reach"), F.lit("Museum").alias("kind"), F.lit("Old Mill Museum").alias("name"), F.lit("OpenStreetMap").alias("source"))
 
 
 def demolished(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "part").where("p_partkey % 50 = 7").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("key")).join(dense(spark, sf_dir).select("key", "lat", "lng"), "key")
+    d = table(spark, sf_dir, "part").where("p_size = 9").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("key")).join(dense(spark, sf_dir).select("key", "lat", "lng"), "key")
     return d.select("lat", "lng", F.lit(None).cast("double").alias("reach"), F.lit("Demolished").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit("OpenStreetMap").alias("source"))
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.concat(F.lit("osm:"), k.cast("string")).alias("key"), F.lit("2025-02-03").alias("latest"))
+    return table(spark, sf_dir, "part").where("p_size <= 12").select(F.concat(F.lit("osm:"), k.cast("string")).alias("key"), F.lit("2025-02-03").alias("latest"))
