@@ -333,6 +333,7 @@ def _grouper(ranges: int):
         cut = np.searchsorted(to[order], np.arange(ranges + 1))
         rows = [(r, order[cut[r] : cut[r + 1]]) for r in range(ranges) if cut[r] < cut[r + 1]]
         n, k = len(names), len(rows)
+        pa.default_memory_pool().release_unused()  # idle workers keep what isn't given back
         members = pa.array([*seen.values(), *[None] * k], pa.list_(pa.int64()))
         packed = [np.rec.fromarrays([a[o], b[o], where[o]], dtype=PAIR).tobytes() for _, o in rows]
         return pa.table({"g": pa.array([*names, *[None] * k], pa.int64()), "members": members, "to": pa.array([*[None] * n, *[r for r, _ in rows]], pa.int32()), "pairs": pa.array([*[None] * n, *packed], pa.binary())})
@@ -502,8 +503,8 @@ def _blocks_of(split: DataFrame) -> DataFrame:
     return placed.withColumn("k", k).withColumn("p", F.explode(partners)).select("g", "p.i", "p.j", "k", "sid", "root", "n")
 
 
-#: Shingles of the documents for each hash range at least: a range is one group of a task, some 12 bytes a signature.
-RANGE = 4 << 20
+#: Shingles of the documents for each hash range: a range is one group of a task, which holds some 60 bytes for each of its signatures while it sorts them.
+RANGE = 1 << 20
 
 
 def _linked(rows: DataFrame, each: DataFrame, ranges: int | None) -> DataFrame:
