@@ -35,7 +35,7 @@ from .common import blocks, connected_components, mix, spare, staged, text_of, w
 
 WIDTH = 5
 #: Bytes of text to a block; a task holds about forty times as much while it makes signatures.
-BLOCK = 3 << 20
+BLOCK = 2 << 20
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -204,6 +204,7 @@ def _signed(rows: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "t", BLOCK):
+            pa.default_memory_pool().release_unused()
             hashes, sizes, sid = _sets_of(b)
             _, first = np.unique(sid, return_index=True)
             once = np.zeros(len(sid), bool)
@@ -279,7 +280,9 @@ def _held(rows: DataFrame, known: DataFrame, what: str, name: str) -> DataFrame:
 
     found = rows.where("d is not null").mapInArrow(run, "sid long, d long, n long, s binary")
     # ids whose bits coincide come too, and rows that are repeated come more than once
-    return staged(found.join(known.select("sid", "d"), ["sid", "d"], "left_semi").select("sid", "n", "s").dropDuplicates(["sid"]), name)
+    out = staged(found.join(known.select("sid", "d"), ["sid", "d"], "left_semi").select("sid", "n", "s").dropDuplicates(["sid"]), name)
+    wanted.destroy()  # executors needn't keep it
+    return out
 
 
 def _pairs_of(starts: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
