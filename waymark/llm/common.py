@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators.staging import connected_components, shared_folder, staged  # noqa: F401  (used throughout this subpackage)
@@ -66,3 +67,41 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: in
             to = max(at + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+# --- vectors
+
+
+def finite(vector: str):
+    """True where the vector and all its components are there and finite."""
+    return F.coalesce(F.forall(F.col(vector), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
+
+
+def integers(vector, scale: int):
+    """array<long> of floor(scale * x), x as double; an error beyond 2^62."""
+    return F.transform(vector.cast("array<double>"), lambda x: F.when(F.abs(x * scale) < 2.0**62, F.floor(x * scale)).otherwise(F.raise_error(F.lit("a component is beyond 2^62 after scaling")).cast("long")))
+
+
+def matrix(column: pa.Array, dim: int, kind=np.float64) -> np.ndarray:
+    """An Arrow array of lists of `dim` numbers, as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(kind)
+
+
+def exact(*parts: np.ndarray) -> list[np.ndarray]:
+    """The integer matrices as int64 where no squared distance or sum of theirs can pass it, else as Python's integers."""
+    dim = max((p.shape[-1] for p in parts), default=1)
+    small = all(not p.size or max(abs(int(p.max())), abs(int(p.min()))) ** 2 * 4 * dim < 2**62 for p in parts)
+    return [p.astype(np.int64 if small else object) for p in parts]
+
+
+def narrow(x: np.ndarray) -> tuple[np.ndarray, str]:
+    """x in the narrowest of int16, int32 and int64 that holds it."""
+    low, high = (int(x.min()), int(x.max())) if x.size else (0, 0)
+    width = next(w for w in ("<i2", "<i4", "<i8") if np.iinfo(w).min <= low and high <= np.iinfo(w).max)
+    return x.astype(width), width
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of tables that are no longer read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_model, bin_packing, partenum_join, pii_surrogates, projection_forest, quality_classifier, quality_rules, ring_shards, tiktoken_codec, wavelet_store
+from . import backoff_model, bin_packing, part_codes, partenum_join, pii_surrogates, projection_forest, quality_classifier, quality_rules, residual_codes, ring_shards, sort_means, tiktoken_codec, wavelet_store
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -71,8 +71,21 @@ def op10_tiktoken_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiktoken_codec.digests(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")), 256)
+    return sort_means.clusters(table(spark, sf_dir, "embeddings"), hashed, k=8, rounds=10, scale=1024, dim=64)
+
+
+def op12_residual_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual_codes.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
 def queries() -> dict:
-    named = (op1_quality_classifier, op2_ring_shards, op3_bin_packing, op4_projection_forest, op5_backoff_model, op6_pii_surrogates, op7_wavelet_store, op8_partenum_join, op9_quality_rules, op10_tiktoken_codec)
+    named = (op1_quality_classifier, op2_ring_shards, op3_bin_packing, op4_projection_forest, op5_backoff_model, op6_pii_surrogates, op7_wavelet_store, op8_partenum_join, op9_quality_rules, op10_tiktoken_codec, op11_sort_means, op12_residual_codes, op13_part_codes)
     return {f.__name__: f for f in named}
 
 
@@ -100,6 +113,46 @@ LINKS_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate
  select doc_id, n as n_shingles, c as component_id from sized join (select doc_id, min(c) c from reach group by doc_id) using (doc_id)"""
 
 
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0"
+
+
+def _floor(total: str, n: str) -> str:
+    return f"({total} - (({total} % {n}) + {n}) % {n}) // {n}"
+
+
+def _means_sql(k: int, rounds: int, scale: int, dim: int) -> str:
+    """Every round scans all centroids of every vector."""
+    near = lambda c: f"select rid, c, d from (select rid, c, sum((x.v - m.v) * (x.v - m.v)) d from x join {c} m using (p) group by rid, c) qualify row_number() over (partition by rid order by d, c) = 1"
+    out = f"""with v as materialized (select row_number() over () rid, vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::hugeint) e from embeddings where {_FINITE} and len(embedding) = {dim}),
+ x as materialized (select rid, unnest(range({dim})) p, unnest(e) v from v), f as (select row_number() over (order by sha256('3:' || vec_id), e) - 1 c, e from v where vec_id is not null qualify c < {k}), c0 as materialized (select c, unnest(range({dim})) p, unnest(e) v from f)"""
+    for r in range(1, rounds + 1):
+        out += f""",\n a{r} as materialized ({near(f"c{r - 1}")}), c{r} as materialized (select o.c, o.p, coalesce(n.v, o.v) v from c{r - 1} o left join (select c, p, {_floor("sum(v)", "count(*)")} v from a{r} join x using (rid) group by c, p) n using (c, p))"""
+    return out + f""",\n l as materialized ({near(f"c{rounds}")}), i as (select c, sum(d) n from l group by c), h as (select c, sha256(string_agg(v::varchar, ',' order by p)) h from c{rounds} group by c)
+ select vec_id, c::int as cluster, d::bigint as distance, i.n::bigint as cluster_inertia, (select sum(d) from l)::bigint as inertia, h as centroid_sha256 from l join v using (rid) join i using (c) join h using (c)"""
+
+
+def _near_sql(threshold: float) -> str:
+    """All pairs of a label; the operator's share of links is 1 here, as the tests measure."""
+    return f"""with recursive a as materialized (select row_number() over () rid, vec_id, label, embedding::double[] e from embeddings), u as materialized (select * from a where label is not null and vec_id is not null and {_FINITE.replace("embedding", "e")} and len(list_filter(e, lambda x: x <> 0)) > 0),
+ links as materialized (select x.rid x, y.rid y from u x join u y on x.label = y.label and x.rid <> y.rid and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= {threshold}),
+ reach(rid, c) as (select rid, rid from a union select l.y, r.c from reach r join links l on l.x = r.rid), low as (select r.rid, min(a.vec_id) c from reach r join a on a.rid = r.c group by r.rid), n as (select x, count(*) n from links group by x)
+ select vec_id, coalesce(n.n, 0)::bigint as n_links, c as component_id, vec_id is not distinct from c as kept from a join low using (rid) left join n on n.x = a.rid"""
+
+
+def _codes_sql(parts: int, entries: int, rounds: int, scale: int, dim: int) -> str:
+    """Every round goes over the parts of all vectors."""
+    width = dim // parts
+    near = lambda c: f"select rid, g, c, d from (select rid, x.g, c, sum((x.v - m.v) * (x.v - m.v)) d from x join {c} m using (p) group by rid, x.g, c) qualify row_number() over (partition by rid, g order by d, c) = 1"
+    out = f"""with v as materialized (select row_number() over () rid, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::double)::hugeint) e from embeddings where {_FINITE}),
+ x as materialized (select rid, p, p // {width} g, v from (select rid, unnest(range({dim})) p, unnest(e) v from v)), f as (select row_number() over (order by vec_id, e) - 1 c, e from v where vec_id is not null qualify c < {entries}), c0 as materialized (select c, unnest(range({dim})) p, unnest(e) v from f)"""
+    for r in range(1, rounds + 1):
+        out += f""",\n a{r} as materialized ({near(f"c{r - 1}")}), c{r} as materialized (select o.c, o.p, coalesce(n.v, o.v) v from c{r - 1} o left join (select c, p, {_floor("sum(v)", "count(*)")} v from a{r} join x using (rid, g) group by c, p) n using (c, p))"""
+    return out + f""",\n l as materialized ({near(f"c{rounds}")}), s as (select rid, string_agg(printf('%02x', c), '' order by g) code, sum(d) error from l group by rid)
+ select vec_id, code, error::bigint as error, (sum(error) over (partition by label))::bigint as label_error, (select sha256(string_agg(v::varchar, ',' order by p // {width}, c, p)) from c{rounds}) as codebooks_sha256 from s join v using (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Exact SQL where an operator has one."""
-    return {"op8_partenum_join": LINKS_SQL, "op9_quality_rules": RULES_SQL}
+    return {
+        "op8_partenum_join": LINKS_SQL, "op9_quality_rules": RULES_SQL, "op11_sort_means": _means_sql(8, 10, 1024, 64), "op12_residual_codes": _near_sql(0.93), "op13_part_codes": _codes_sql(8, 16, 6, 4096, 64),
+    }
