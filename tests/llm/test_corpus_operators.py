@@ -320,6 +320,23 @@ def test_surnames_are_replaced_wherever_they_recur(spark):
     assert out[0] == f"Mr {john} {smith} wrote. {smith}'s dog, Smithson and the smith; SMITH, Smith-Jones. Then {smith} left." and out[1] == made[1][1]
 
 
+def test_compound_names_go_whole_and_people_stay_distinct(spark):
+    names = ["O'Brien", "O’Neill", "McDonald", "MacLeod", "Smith-Jones", "Müller-Lüdenscheidt", "De La Cruz", "van der Berg", "Smith", "Brien", "SMITHERS", "D'Arcy", "St. John", "Jones", "Anne-Marie Le Guin", "John von Neumann", "Nguyễn"]
+    made = [(i, f"Then Mrs. {n}'s letter, and {n.split(' ', 1)[1] if n[:4] in ('Anne', 'John') else n} again.") for i, n in enumerate(names)]
+    out = {r.doc_id: r for r in pii_surrogates.replace(spark.createDataFrame(made, "doc_id long, text string"), "k").collect()}
+    fresh = {}
+    for (i, before), n in zip(made, names, strict=True):
+        got = re.fullmatch(r"Then Mrs\. ((?:\w+ )?)(\w+)'s letter, and (\w+) again\.", out[i].text)
+        assert got and out[i].n_replaced == 1 and got[2] == got[3], (before, out[i].text)
+        assert bool(got[1]) == (n[:4] in ("Anne", "John")) and got[2].isupper() == n.isupper()
+        for word in re.findall(r"\w{3,}", n):
+            assert word not in out[i].text, (n, out[i].text)
+        fresh[n] = got[2].lower()
+    assert len(set(fresh.values())) == len(names)
+    same = pii_surrogates.replace(spark.createDataFrame([(0, "Mr O'Brien"), (1, "Ms O’Brien"), (2, "Dr o'brien, Mr. X")], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert same[0].text[3:] == same[1].text[3:] and same[2].text == "Dr o'brien, Mr. X"
+
+
 def test_every_entity_and_nothing_else_changes(spark, docs):
     """Against a scan of each text by another engine: what is no entity stays, and each entity becomes one of its own kind and length, the same everywhere."""
     before = {r.doc_id: r.text for r in docs.collect()}

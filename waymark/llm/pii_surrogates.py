@@ -6,7 +6,7 @@ spellings of a unit share it. A keyed hash of kind and normal form makes the uni
 the same length and separators (card numbers keep whether their check digit holds, phone numbers their country code), hexadecimal
 for hexadecimal in the same case, names of the same gender and script. Collision checks run over all distinct units: a surrogate that another unit
 has, or that is itself a unit of the corpus, is drawn again until there is none; so different units stay different and equal ones equal, over all documents.
-A surname found after a title is replaced wherever it recurs in the same text, with or without one; a word that is no one's surname there is left alone.
+Surnames are taken whole, with apostrophes, hyphens, inner capitals and particles; one surrogate word stands for all of a compound. A surname found after a title is replaced wherever it recurs in the same text, with or without one; a word that is no one's surname there is left alone.
 
 The pattern goes over each text once: rows are kept in the shared folder with their entities and a number of their own, and all that follows reads
 that table. Only texts with entities are split and joined.
@@ -23,6 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import spare, staged
 
+# Words that stand before a surname and belong to it.
+PARTICLES = "(?i:van|von|vom|zu|zum|zur|der|den|de|del|della|di|da|do|dos|das|du|des|la|las|le|los|ter|ten|bin|ibn|al|el|st)"
+#: A word of a name: capitals within it, apostrophes, hyphens and marks belong to it; a possessive 's doesn't.
+WORD = r"\p{Lu}(?:[\p{L}\p{M}]|-(?=\p{L})|['’](?!s(?![\p{L}\p{M}]))(?=\p{L}))+"
+SURNAME = rf"(?:{PARTICLES}\.? ){{0,3}}{WORD}"
 # Patterns of each kind, tried in this order.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}",
@@ -31,7 +36,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d\w])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     "token": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
-    "name": r"(?<![\p{L}])(?:Mrs|Mr|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Г-н|Г-жа|господин|госпожа)\.? \p{Lu}[\p{Ll}'’-]+(?: \p{Lu}[\p{Ll}'’-]+)?",
+    "name": rf"(?<![\p{{L}}])(?:Mrs|Mr|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Г-н|Г-жа|господин|госпожа)\.? {SURNAME}(?: {SURNAME})?",
 }
 # Titles by gender; Dr tells none.
 TITLES = {"m": "Mr Herr Monsieur Señor Sr Г-н господин".split(), "f": "Mrs Ms Miss Frau Madame Mme Señora Sra Г-жа госпожа".split()}
@@ -52,15 +57,26 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
+def given_of(entity: Column) -> Column:
+    """The given name of a name after a title; empty if there is none: the first of several words that isn't a surname's particle."""
+    return F.regexp_extract(entity, rf"^\S+ ((?!{PARTICLES}\.? ){WORD}) ", 1)
+
+
+def surname_of(entity: Column) -> Column:
+    """The surname of a name after a title, with its particles and all parts of a compound."""
+    given = given_of(entity)
+    return F.substr(entity, F.instr(entity, F.lit(" ")) + 1 + F.when(given == "", 0).otherwise(F.length(given) + 1))
+
+
 def units_of(kind: Column, entity: Column) -> Column:
     """array<struct<kind, norm>>, in the order of the text."""
     unit = lambda k, n: F.struct(k.alias("kind"), n.alias("norm"))
     title = F.regexp_extract(entity, r"^[^. ]+", 0)
-    names = F.slice(F.split(entity, " "), 2, 2)
     gender = F.when(title.isin(TITLES["m"]), "m").when(title.isin(TITLES["f"]), "f").otherwise("n")
     script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    last = F.size(names) - 1
-    named = F.transform(names, lambda n, i: unit(F.concat_ws(" ", F.when(i < last, "given").otherwise("surname"), script, F.when(i < last, gender).otherwise("n")), F.lower(n)))
+    plainly = lambda n: F.translate(F.lower(n), "’", "'")
+    surname, given = unit(F.concat_ws(" ", F.lit("surname"), script, F.lit("n")), plainly(surname_of(entity))), unit(F.concat_ws(" ", F.lit("given"), script, gender), plainly(given_of(entity)))
+    named = F.when(given_of(entity) == "", F.array(surname)).otherwise(F.array(given, surname))
     plain = F.when(kind == "phone", F.right(_digits(entity), F.lit(10))).when(kind.isin("card", "ssn"), _digits(entity)).when(kind.isin("email", "token"), F.lower(entity)).otherwise(entity)
     return F.when(kind == "name", named).otherwise(F.array(unit(kind, plain)))
 
@@ -110,7 +126,9 @@ def render(kind: Column, entity: Column, fresh: Column) -> Column:
     shaped = F.array_join(
         F.transform(F.split(entity, ""), lambda ch, i: F.when(ch.rlike("[0-9]") & (after(i) <= F.length(first)), F.substr(first, F.length(first) - after(i) + 1, F.lit(1))).otherwise(ch)), ""
     )
-    named = F.concat_ws(" ", F.substring_index(entity, " ", 1), F.array_join(F.transform(fresh, F.initcap), " "))
+    # names in capitals stay so
+    loud = F.upper(surname_of(entity)) == surname_of(entity)
+    named = F.concat_ws(" ", F.substring_index(entity, " ", 1), F.array_join(F.transform(fresh, lambda x: F.when(loud, F.upper(x)).otherwise(F.initcap(x))), " "))
     # a token in capitals stays one; of mixed case, each letter keeps the case of its place
     mixed = F.array_join(F.transform(F.split(entity, ""), lambda ch, i: F.when(ch.rlike("[A-F]"), F.upper(F.substr(first, i + 1, F.lit(1)))).otherwise(F.substr(first, i + 1, F.lit(1)))), "")
     token = F.when(~entity.rlike("[A-F]"), first).when(~entity.rlike("[a-f]"), F.upper(first)).otherwise(mixed)
@@ -149,8 +167,8 @@ def replace(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
     lists = placed.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("at", "surrogate", "entity", "named"))).alias(fresh))
     made = F.transform(F.col(fresh), lambda x: x["surrogate"])
     joined = F.array_join(F.flatten(F.zip_with(F.split(F.col(text), ANY, -1), made, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    last = lambda c: F.substring_index(c, " ", -1)
-    surnames = F.array_distinct(F.transform(F.filter(F.col(fresh), lambda x: x["named"]), lambda x: F.struct(last(x["entity"]).alias("old"), last(x["surrogate"]).alias("new"))))
+    last = lambda c: F.substring_index(c, " ", -1)  # noqa: E731  a surrogate surname is one word
+    surnames = F.array_distinct(F.transform(F.filter(F.col(fresh), lambda x: x["named"]), lambda x: F.struct(surname_of(x["entity"]).alias("old"), last(x["surrogate"]).alias("new"))))
     alone = lambda name: F.concat(F.lit(r"(?<![\p{L}'’-])"), name, F.lit(r"(?![\p{L}’-]|'\p{L}{2})"))  # noqa: E731  a possessive 's is no part of a name
     whole = F.aggregate(surnames, joined, lambda body, x: F.regexp_replace(body, alone(x["old"]), x["new"]))
     changed = hits.join(lists, row).withColumn(text, whole).withColumn("n_replaced", F.size(fresh).cast("long"))
