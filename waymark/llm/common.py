@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,16 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed[codes], np.bincount(of, minlength=len(texts))
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that Spark keeps for its next task otherwise holds the most that it ever had."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of each block have about most_bytes; a longer text stands alone."""
     for batch in batches:
@@ -65,8 +76,10 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: in
         while at < batch.num_rows:
             base = ends[at] - size[at]
             to = max(at + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
+            give_back()
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 # --- vectors

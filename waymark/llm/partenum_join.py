@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, connected_components, mix, spare, staged, text_of, word_hashes
+from .common import blocks, connected_components, give_back, mix, spare, staged, text_of, word_hashes
 
 WIDTH = 5
 #: Bytes of text to a block; a task holds about forty times as much while it makes signatures.
@@ -204,7 +204,6 @@ def _signed(rows: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "t", BLOCK):
-            pa.default_memory_pool().release_unused()
             hashes, sizes, sid = _sets_of(b)
             _, first = np.unique(sid, return_index=True)
             once = np.zeros(len(sid), bool)
@@ -213,12 +212,11 @@ def _signed(rows: DataFrame, ranges: int) -> DataFrame:
             at = ((sig >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(at, kind="stable")
             cut, sids = np.searchsorted(at[order], np.arange(ranges + 1)), sid[once]
-            for r in range(ranges):
+            for r in np.flatnonzero(np.diff(cut)).tolist():  # ranges that the block has signatures of
                 some = order[cut[r] : cut[r + 1]]
-                if len(some):
-                    which, many = np.unique(of[some], return_counts=True)
-                    some = some[np.argsort(of[some], kind="stable")]
-                    yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "sids": [sids[which].tobytes()], "masks": [_squeezed(masks[which])], "many": [_thin(many)], "sigs": [sig[some].astype("<u4").tobytes()], "parts": [_thin(part[some])]})
+                which, many = np.unique(of[some], return_counts=True)
+                some = some[np.argsort(of[some], kind="stable")]
+                yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "sids": [sids[which].tobytes()], "masks": [_squeezed(masks[which])], "many": [_thin(many)], "sigs": [sig[some].astype("<u4").tobytes()], "parts": [_thin(part[some])]})
 
     return rows.where("d is not null").mapInArrow(run, "range int, sids binary, masks binary, many binary, sigs binary, parts binary")
 
@@ -297,6 +295,7 @@ def _pairs_of(starts: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray
 def _grouper(ranges: int):
     def groups(_, table):
         """Of one hash range: large groups of nodes that share a signature (members), and pairs of small ones, packed by hash of the pair (to, pairs)."""
+        give_back()
         cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
         many, part = (np.concatenate([_thick(x) for x in table.column(c).to_pylist()]) for c in ("many", "parts"))
         sids, masks = cat("sids", "<i8"), np.concatenate([_unsqueezed(x) for x in table.column("masks").to_pylist()])
@@ -336,7 +335,6 @@ def _grouper(ranges: int):
         cut = np.searchsorted(to[order], np.arange(ranges + 1))
         rows = [(r, order[cut[r] : cut[r + 1]]) for r in range(ranges) if cut[r] < cut[r + 1]]
         n, k = len(names), len(rows)
-        pa.default_memory_pool().release_unused()  # idle workers keep what isn't given back
         members = pa.array([*seen.values(), *[None] * k], pa.list_(pa.int64()))
         packed = [np.rec.fromarrays([a[o], b[o], where[o]], dtype=PAIR).tobytes() for _, o in rows]
         return pa.table({"g": pa.array([*names, *[None] * k], pa.int64()), "members": members, "to": pa.array([*[None] * n, *[r for r, _ in rows]], pa.int32()), "pairs": pa.array([*[None] * n, *packed], pa.binary())})
@@ -349,6 +347,7 @@ PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("part", "<u2")])
 
 def _agreeing(_, table):
     """Of one hash range of pairs: those that agree in three parts at least, unsent ones counted, or by a signature that is enough."""
+    give_back()
     pairs = np.unique(np.concatenate([np.frombuffer(x, PAIR) for x in table.column("pairs").to_pylist()]))
     new = np.ones(len(pairs), bool)
     new[1:] = (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])
@@ -465,6 +464,7 @@ def _allowed(sid, root, size, own, sketch: list[bytes], alone: bool) -> tuple[np
 def _across(nearest: bool):
     def run(_, table):
         """Of some pairs of blocks (g, i, j; column k: own block), the pairs of nodes that may be similar; `nearest`: one at most for each node, and g if a group has more."""
+        give_back()
         g, i, j, sid, root, size, own = (table.column(c).to_numpy() for c in ("g", "i", "j", "sid", "root", "n", "k"))
         sketch = table.column("s").to_pylist()
         order = np.lexsort((sid, j, i, g))
