@@ -11,7 +11,7 @@ the hashes of its distinct n-grams, packed by hash range, with their training co
 with the totals of the n-grams it sent. A block so gets what is needed for the part of the automaton that its own texts can visit: it numbers the
 states, stores their arcs and failure arcs, and walks its texts through them from left to right, side by side, each carrying its state. Long texts are cut
 into lanes; a lane begins order - 1 words early, after which its state is that of the whole text. Words are told apart by 64-bit hashes, longer
-n-grams by 56 bits. Hash ranges grow with the input.
+n-grams by 64 bits. Hash ranges grow with the input.
 
 Null or empty text: the end token alone. A text's history starts empty. Repeated rows: each counts and is scored. Null ids: held_out is null, and they
 aren't learnt from. Empty table: no rows. Without any training token: every word is unknown, with probability 1. Very long texts: a block each. Extra
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, staged, text_of, word_hashes
+from .common import blocks, give_back, mix, staged, text_of, word_hashes
 
 #: Hash of the token that ends each text; words hash elsewhere.
 END = np.uint64(0xE4D)
@@ -47,7 +47,7 @@ def _grams(tokens: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarra
     out = [tokens]
     for n in range(2, order + 1):
         longer = np.zeros_like(tokens)
-        longer[1:] = mix(out[-1][:-1], tokens[1:]) & ~np.uint64(0xFF)
+        longer[1:] = mix(out[-1][:-1], tokens[1:])
         longer[position < n - 1] = 0
         out.append(longer)
     return out
@@ -162,7 +162,7 @@ def score(docs: DataFrame, learn: Column, order: int = 3, mu: float = 2.0, disco
         got: dict[tuple[int, int], bytes] = dict(zip(zip(right.column("n").to_pylist(), right.column("range").to_pylist(), strict=True), right.column("totals").to_pylist(), strict=True))
         for row in range(left.num_rows):
             counts, _, at, hashes = read(*(left.column(c)[row].as_py() for c in ("counts", "vocabulary", "tokens")))
-            pa.default_memory_pool().release_unused()
+            give_back()
             number, totals = [], []  # for each order: the number of the n-gram that ends at each position (-1: none), and the totals of all n-grams
             for n, g in enumerate(_grams(hashes, counts, order), 1):
                 keys = np.unique(g[g != 0])
