@@ -32,6 +32,13 @@ def slug(label: Column, name: Column, lat: Column, lng: Column) -> Column:
     return F.concat(label, F.lit(":"), plain, F.lit(":"), F.format_string("%.5f,%.5f", lat, lng))
 
 
+def entities(text: Column) -> Column:
+    """The five XML entities, &#47; and &nbsp; resolved."""
+    for entity, letter in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(letter))
+    return text
+
+
 def html_text(html: Column) -> Column:
     """Visible text: without scripts, styles, tags and doubled white space; the five XML entities and &nbsp; resolved."""
     out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>", " ")

@@ -170,10 +170,10 @@ def later_applications(applications: DataFrame) -> DataFrame:
 
 
 def planning_committees(committees: DataFrame, name: str = "name") -> DataFrame:
-    """Committees that decide planning applications, by their name."""
-    # fixed values: words of such names, and of names of committees that write policy
-    deciding, other = r"plann|development|\bplans\b|applications|regulatory|\bDC\b", r"polic|task|framework|working|advisory|forum|steering|liaison|scrutiny|panel"
-    return committees.where(says(F.col(name), deciding) & ~says(F.col(name), other))
+    """Committees that decide planning applications, by their name; not those that write policy, nor those whose years ended long ago."""
+    from waymark.operators.papers import wound_up
+
+    return committees.where(says(F.col(name), V.PLANNING_COMMITTEE) & ~says(F.col(name), V.OTHER_COMMITTEE) & ~wound_up(F.col(name)))
 
 
 def stale_intros(titles: DataFrame, intros: DataFrame, as_of: str, days: int = 90) -> DataFrame:
