@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from waymark.functions import geo, judges, names
 from waymark.functions import vocabulary as V
 from waymark.functions.names import given, says
 from waymark.operators.sites import near_pairs, without_near
+from waymark.operators.staging import staged
 
 
 def with_and_without(subjects: DataFrame, wanted: DataFrame, unwanted: DataFrame, metres: float, cell: float, key: str = "key") -> DataFrame:
@@ -182,29 +185,66 @@ def stale_intros(titles: DataFrame, intros: DataFrame, as_of: str, days: int = 9
     return titles.select("title").distinct().join(fresh.select("title"), "title", "left_anti")
 
 
-def access_summary(places: DataFrame, features: DataFrame, reach: float = 800.0) -> DataFrame:
-    """Of each place (key, lat, lng): the nearest public right of way, the nearest other path if nearer, the nearest public car park, and up to three things that are private within 50 m.
+PIECE_M = 200.0
+
+
+def line_pieces(features: DataFrame) -> DataFrame:
+    """features (line: array of lat, lng; other columns stay) as pieces of at most PIECE_M: a_lat, a_lng, b_lat, b_lng and the middle's lat and lng. A lone point is a piece of its own; features without points give none.
+
+    So an index by cell holds a line wherever it runs, and one of any length is many rows. Lines across the 180th meridian are to be cut there."""
+    points = F.col("line")
+    ends = F.when(F.size(points) == 1, F.array(F.struct(points[0].alias("a"), points[0].alias("b")))).otherwise(F.zip_with(points, F.slice(points, 2, F.greatest(F.lit(1), F.size(points))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    legs = features.withColumn("leg", F.explode(ends)).where("leg.b is not null").drop("line")
+    long = geo.haversine_m(F.col("leg.a.lat"), F.col("leg.a.lng"), F.col("leg.b.lat"), F.col("leg.b.lng"))
+    cut = legs.withColumn("n", F.greatest(F.lit(1), F.ceil(long / PIECE_M)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = lambda c, i: F.col(f"leg.a.{c}") + (F.col(f"leg.b.{c}") - F.col(f"leg.a.{c}")) * i / F.col("n")
+    made = {f"{end}_{c}": at(c, F.col("i") + k) for k, end in enumerate("ab") for c in ("lat", "lng")} | {c: at(c, F.col("i") + 0.5) for c in ("lat", "lng")}
+    return cut.withColumns(made).drop("leg", "n", "i")
+
+
+def nearest_of_piece(lat: Column, lng: Column) -> Column:
+    """struct<lat, lng>: the nearest point of a joined piece (r_a_lat ...), on the plane in which longitudes are scaled by the place's own latitude."""
+    k = F.cos(F.radians(lat))
+    dx, dy = (F.col("r_b_lng") - F.col("r_a_lng")) * k, F.col("r_b_lat") - F.col("r_a_lat")
+    long = dx * dx + dy * dy
+    t = F.when(long > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((lng - F.col("r_a_lng")) * k * dx + (lat - F.col("r_a_lat")) * dy) / long))).otherwise(F.lit(0.0))
+    return F.struct((F.col("r_a_lat") + t * dy).alias("lat"), (F.col("r_a_lng") + t * (F.col("r_b_lng") - F.col("r_a_lng"))).alias("lng"))
+
+
+def access_summary(places: DataFrame, features: DataFrame) -> DataFrame:
+    """Of each place (key, lat, lng): the nearest public right of way, the nearest other path if nearer, the nearest public car park, and up to three things that are private next to it. A row for every place.
 
-    features: lat, lng (the nearest point of each is its position), tags. One join by cell; minima are made before places meet."""
-    t = lambda k: names.tag(F.col("r_tags"), k)
+    features: line (array of lat, lng; one point for a node), tags. Paths count within 400 m, parking within 800 m, private things within 50 m. A class is joined by cell with its own reach; minima are made before places meet."""
+    t = lambda k: names.tag(F.col("tags"), k)
     yes = lambda c: F.coalesce(c, F.lit(False))
     shut = yes(t("access").isin("private", "no")) | yes(t("foot").isin("private", "no"))
+    way, parking = F.size("line") > 1, yes(t("amenity") == "parking")
     path, right = yes(t("highway").isin(V.PATH_HIGHWAYS)), F.coalesce(*[F.when(t("designation") == k, v) for k, v in V.RIGHTS_OF_WAY.items()])
-    thing = F.coalesce(F.concat(F.lit("a "), F.replace(given(t("highway")), F.lit("_"), F.lit(" "))), F.concat(F.replace(F.coalesce(given(t("landuse")), given(t("leisure"))), F.lit("_"), F.lit(" ")), F.lit(" land")), F.concat(F.lit("a "), F.replace(given(t("amenity")), F.lit("_"), F.lit(" "))), F.lit("something"))
-    pairs = near_pairs(places.select("key", "lat", "lng"), features.select("lat", "lng", "tags"), reach, 0.01)
-    far = F.bround("metres", 0).cast("bigint")
-    parking, way = yes(t("amenity") == "parking"), path | given(t("designation")).isNotNull()
+    words = lambda k: F.replace(given(t(k)), F.lit("_"), F.lit(" "))
+    thing = F.coalesce(F.concat(F.lit("a "), words("barrier")), F.concat(F.lit("a "), words("highway")), F.concat(F.coalesce(words("landuse"), words("leisure")), F.lit(" land")), F.concat(F.lit("a "), words("amenity")), F.lit("something"))
     label = F.coalesce(*[F.when(t("highway") == k, v) for k, v in V.PATH_LABELS.items()], F.lit("Path"))
-    told = pairs.select(
-        "key", far.alias("d"), F.when(parking & ~shut & ~yes(t("access") == "customers"), F.coalesce(t("name"), F.lit("parking"))).alias("park"), F.when(~parking & way & ~shut, right).alias("right"), F.when(~parking & path & ~shut & right.isNull(), label).alias("path"),
-        F.when(~parking & shut & (far <= V.PRIVATE_M), thing).alias("private"),
-    )
-    least = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("d", F.col(c).alias("what")))).alias(c)
-    found = told.groupBy("key").agg(least("park"), least("right"), least("path"))
-    things = told.where("private is not null").groupBy("key", "private").agg(F.min("d").alias("d")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("d", "private"))).alias("p"))
+    classes = {
+        "parking": (V.PARKING_M, parking & ~shut & ~yes(t("access") == "customers"), F.coalesce(given(t("name")), F.lit("parking"))), "right": (V.PATH_M, ~parking & ~shut & way & right.isNotNull(), right),
+        "path": (V.PATH_M, ~parking & ~shut & way & path & right.isNull(), label), "private": (V.PRIVATE_M, ~parking & shut, thing),
+    }
+    spots = places.select("key", "lat", "lng")
+    kept = features.select("line", F.coalesce(*[F.when(c, F.struct(F.lit(k).alias("class"), what.alias("what"))) for k, (_, c, what) in classes.items()]).alias("as"), F.coalesce(given(t("prow_ref")), given(t("ref"))).alias("ref"), yes(t("fee") == "yes").alias("fee"))
+    pieces = staged(line_pieces(kept.where("`as` is not null").select("line", "as.class", "as.what", "ref", "fee")), "line-pieces")  # read once for each reach
+    found = []
+    for reach in sorted({r for r, *_ in classes.values()}):
+        own = pieces.where(F.col("class").isin([k for k, (r, *_) in classes.items() if r == reach]))
+        # a piece's middle is within half a piece of its nearest point
+        pairs = near_pairs(spots, own, reach + PIECE_M / 2 + 1, 0.005).withColumn("p", nearest_of_piece(F.col("lat"), F.col("lng")))
+        far = pairs.withColumn("m", geo.haversine_m(F.col("lat"), F.col("lng"), F.col("p.lat"), F.col("p.lng"))).where(F.col("m") <= reach)
+        wind = geo.compass(geo.bearing_deg(F.col("lat"), F.col("lng"), F.col("p.lat"), F.col("p.lng")))
+        found.append(far.select("key", F.col("r_class").alias("class"), F.bround("m", 0).cast("bigint").alias("d"), F.col("r_what").alias("what"), wind.alias("direction"), F.col("r_ref").alias("ref"), F.col("r_fee").alias("fee")))
+    told = functools.reduce(DataFrame.unionAll, found)
+    nearest = told.groupBy("key", "class", "what").agg(F.min(F.struct("d", "what", "direction", "ref", "fee")).alias("n"))
+    least = lambda k: F.min(F.when(F.col("class") == k, F.col("n"))).alias(k)
+    private = F.slice(F.array_sort(F.collect_list(F.when(F.col("class") == "private", F.struct("n.d", "n.what")))), 1, 3)  # as many as there are kinds of things
+    by = nearest.groupBy("key").agg(least("right"), least("path"), least("parking"), F.transform(private, lambda x: x["what"]).alias("private"))
     nearer = F.when(F.col("right").isNull() | (F.col("path.d") < F.col("right.d")), F.col("path"))
-    first = F.transform(F.slice(F.coalesce("p", F.array().cast("array<struct<d:bigint,private:string>>")), 1, 3), lambda x: x["private"])
-    return found.join(things, "key", "left").select("key", F.col("right").alias("right_of_way"), nearer.alias("path"), F.col("park").alias("parking"), first.alias("private"))
+    return places.select("key").join(by, "key", "left").select("key", F.col("right").alias("right_of_way"), nearer.alias("path"), "parking", F.coalesce("private", F.array().cast("array<string>")).alias("private"))
 
 
 def railway_structures(rows: DataFrame) -> DataFrame:

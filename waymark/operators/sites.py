@@ -75,8 +75,10 @@ def active(items: DataFrame) -> DataFrame:
 
 
 def by_keys(sites: DataFrame, keys: list[str], most: int = 200) -> DataFrame:
-    """Particular places, in order of key; a request names `most` at most."""
-    return sites.where(F.col("key").isin(keys[:most])).orderBy("key")
+    """Particular places, in order of key; a request that names more than `most` is refused."""
+    if len(keys) > most:
+        raise ValueError(f"{len(keys)} keys; a request names {most} at most")
+    return sites.where(F.col("key").isin(keys)).orderBy("key")
 
 
 def cluster_cells(bbox: tuple[float, float, float, float], zoom: int) -> tuple[float, float]:
@@ -179,20 +181,31 @@ def statistics(sites: DataFrame) -> DataFrame:
 
 
 def near_pairs(left: DataFrame, right: DataFrame, metres: float, cell: float) -> DataFrame:
-    """Pairs of left and right (lat, lng; other columns keep their names, right's with r_) within `metres` and neighbouring cells. A hash join by cell."""
-    at = lambda c: F.floor(F.col(c) / cell)
-    around = left.withColumn("gy", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: at("lat") + d)))
-    around = around.withColumn("gx", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: at("lng") + d)))
-    other = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], at("lat").alias("gy"), at("lng").alias("gx"))
+    """Pairs of left and right (lat, lng; other columns keep their names, right's with r_) within `metres`: all of them, at any latitude and across the 180th meridian. A hash join by cell.
+
+    Cells are `cell` degrees high and about as wide in metres: each band of latitude has a number of its own, fewer towards the poles. A left row goes to every cell that its circle can touch."""
+    reach = metres / geo.EARTH_M * (1 + 1e-9)
+    dy = math.degrees(reach) + 1e-9
+    many = lambda gy: F.greatest(F.lit(1), F.floor(360 / cell * F.cos(F.radians(F.least(F.lit(90.0), F.abs(gy * cell)))))).cast("long")
+    along = lambda lng, gy: F.floor(lng / 360 * many(gy))
+    # a circle reaches farthest to the side where it comes nearest to a pole
+    side = F.sin(F.lit(reach / 2)) / F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + dy)))
+    dx = F.when(side < 1, F.degrees(2 * F.asin(F.least(F.lit(1.0), side))) + 1e-9).otherwise(180.0)
+    gy = F.col("gy")
+    around = left.withColumn("gy", F.explode(F.sequence(F.floor((F.col("lat") - dy) / cell), F.floor((F.col("lat") + dy) / cell))))
+    first, last = along(F.col("lng") + 180 - dx, gy), along(F.col("lng") + 180 + dx, gy)
+    around = around.withColumn("gx", F.explode(F.transform(F.sequence(first, F.least(last, first + many(gy) - 1)), lambda x: F.pmod(x, many(gy)))))
+    other = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], F.floor(F.col("lat") / cell).alias("gy"))
+    other = other.withColumn("gx", F.pmod(along(F.col("r_lng") + 180, gy), many(gy)))
     far = haversine_m(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))
     return around.join(other, ["gy", "gx"]).withColumn("metres", far).where(F.col("metres") <= metres).drop("gy", "gx")
 
 
-def nearest_of(left: DataFrame, right: DataFrame, metres: float, cell: float, key: str = "key") -> DataFrame:
-    """Each left row's nearest right row within reach; ties to the smaller right key. Rows without one are left out."""
+def nearest_of(left: DataFrame, right: DataFrame, metres: float, cell: float, key: str = "key", same: bool = True) -> DataFrame:
+    """Each left row's nearest right row within reach; ties to the smaller right key. Rows without one are left out. same: whether a row may be its own nearest (of one table with itself)."""
     pairs = near_pairs(left, right, metres, cell)
     rank = F.row_number().over(Window.partitionBy(key).orderBy("metres", f"r_{key}"))
-    return pairs.withColumn("rank", rank).where("rank = 1").drop("rank")
+    return pairs.where(F.lit(same) | (F.col(key) != F.col(f"r_{key}"))).withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
 def without_near(left: DataFrame, right: DataFrame, metres: float, cell: float, key: str = "key") -> DataFrame:

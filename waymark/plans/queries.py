@@ -192,8 +192,7 @@ def export_gpx(spark, sf):
     return sites.gpx_rows(v.sites(spark, sf))
 
 
-NEAR = f"""(select a.key, a.lat, a.lng, b.key as r_key, {HAV.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')} as metres from {v.DENSE} a join {v.DENSE} b
- on abs(floor(a.lat / 0.002::double) - floor(b.lat / 0.002::double)) <= 1 and abs(floor(a.lng / 0.002::double) - floor(b.lng / 0.002::double)) <= 1 and a.key <> b.key)"""
+NEAR = f"""(select a.key, a.lat, a.lng, b.key as r_key, {HAV.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')} as metres from {v.DENSE} a join {v.DENSE} b on a.key <> b.key)"""
 
 
 @query(f"select key, r_key, round(metres, 4) metres from {NEAR} where metres <= 120 and key < r_key")
@@ -205,13 +204,10 @@ def near_pairs(spark, sf):
 @query(f"select key, r_key, round(metres, 4) metres from (select *, row_number() over (partition by key order by metres, r_key) r from {NEAR} where metres <= 120) where r = 1")
 def nearest_neighbour(spark, sf):
     d = v.dense(spark, sf).select("key", "lat", "lng")
-    pairs = sites.near_pairs(d, d, 120, 0.002).where("key <> r_key")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("metres", "r_key"))
-    return pairs.withColumn("r", rank).where("r = 1").select("key", "r_key", F.round("metres", 4).alias("metres"))
+    return sites.nearest_of(d, d, 120, 0.002, same=False).select("key", "r_key", F.round("metres", 4).alias("metres"))
 
 
-@query(f"""select a.key from {v.DENSE} a where a.source = 'osm' and not exists (select 1 from {v.DENSE} b where b.source = 'nhs' and abs(floor(a.lat / 0.002::double) - floor(b.lat / 0.002::double)) <= 1
- and abs(floor(a.lng / 0.002::double) - floor(b.lng / 0.002::double)) <= 1 and {HAV.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')} <= 100)""")
+@query(f"""select a.key from {v.DENSE} a where a.source = 'osm' and not exists (select 1 from {v.DENSE} b where b.source = 'nhs' and {HAV.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')} <= 100)""")
 def without_near(spark, sf):
     d = v.dense(spark, sf)
     return sites.without_near(d.where("source = 'osm'").select("key", "lat", "lng"), d.where("source = 'nhs'").select("key", "lat", "lng"), 100, 0.002).select("key")

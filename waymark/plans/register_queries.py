@@ -21,8 +21,7 @@ def placed(spark, sf):
 
 
 def _within(source: str) -> str:
-    near = " and ".join(f"abs(floor(a.{c} / 0.01::double) - floor(b.{c} / 0.01::double)) <= 1" for c in ("lat", "lng"))
-    return f"select 1 from {v.DENSE} b where {source} and {near} and {HAV.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')} <= 500"
+    return f"select 1 from {v.DENSE} b where {source} and {HAV.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')} <= 500"
 
 
 @query(f"select * from (select a.key, (select count(*) from ({_within(chr(98) + '.source = ' + repr('nhs'))})) n from {v.DENSE} a where a.source = 'osm' and not exists ({_within('b.source = ' + repr('schools') + ' and b.weight >= 36')})) where n > 0")
@@ -219,8 +218,7 @@ _SPOTS = f"(select s.id::varchar as pin_id, s.final_text as t, d.lat, d.lng from
 
 
 def _around(what: str) -> str:
-    near = " and ".join(f"abs(floor(a.{c} / 0.01::double) - floor(b.{c} / 0.01::double)) <= 1" for c in ("lat", "lng"))
-    return f"(select count(*) from {_SPOTS} b where b.t in {what} and {near} and {HAV.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')} <= 500)"
+    return f"(select count(*) from {_SPOTS} b where b.t in {what} and {HAV.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')} <= 500)"
 
 
 @query(f"select pin_id, n as air_shafts from (select a.pin_id, {_around(chr(40) + repr('Air Shaft') + ', ' + repr('Air Shafts') + ', ' + repr('Ventilating Shaft') + chr(41))} n, {_around(chr(40) + repr('Old Level') + chr(41))} m from {_SPOTS} a where a.t in ('Quarry', 'Old Quarry', 'Quarry (disused)', 'Quarries')) where n > 0 and m = 0")
@@ -292,22 +290,41 @@ def tile_queue(spark, sf):
     return li.groupBy(F.col("l_returnflag").alias("status")).agg(F.count("*").alias("n"), F.min_by(name, F.struct("l_quantity", "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey")).alias("next"))
 
 
-AROUND = ["highway=footway|designation=public_footpath", "highway=track", "amenity=parking|name=Quarry car park", "amenity=parking|access=private", "landuse=quarry|access=private", "highway=path|foot=no", "highway=cycleway", "amenity=parking|access=customers", "designation=core_path", "leisure=golf_course|access=no"]
-_AROUND = f"(select s.id, s.i, d.lat, d.lng from (select p_partkey as id, p_partkey % {len(AROUND)} as i from part) s join {v.DENSE} d on d.key = 'p:' || s.id where d.source <> 'osm')"
-
-
-@query(f"""with p as (select a.key, b.i, cast(round_even({HAV.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')}, 0) as bigint) d from {v.DENSE} a join {_AROUND} b on abs(floor(a.lat / 0.01::double) - floor(b.lat / 0.01::double)) <= 1 and abs(floor(a.lng / 0.01::double) - floor(b.lng / 0.01::double)) <= 1
-  and {HAV.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')} <= 800 where a.source = 'osm'),
- g as (select key, min(d) filter (i in (0, 8)) rd, min(d) filter (i in (1, 6)) pd, min(d) filter (i = 2) cd from p group by key),
- t as (select key, string_agg(what, '|' order by d, what) private from (select *, row_number() over (partition by key order by d, what) r from (select key, case i when 4 then 'quarry land' when 5 then 'a path' else 'golf course land' end what, min(d) d from p where i in (4, 5, 9) and d <= 50 group by all)) where r <= 3 group by key)
- select key, rd as right_m, case when rd is null or pd < rd then pd end as path_m, cd as parking_m, coalesce(private, '') as private from g left join t using (key)""")
+AROUND = [
+    "highway=footway|designation=public_footpath|prow_ref=BA 7", "highway=track", "amenity=parking|name=Quarry car park|fee=yes", "amenity=parking|access=private", "landuse=quarry|access=private", "highway=path|foot=no", "highway=cycleway|foot=permissive", "amenity=parking|access=customers", "designation=core_path", "leisure=golf_course|access=no",
+    "barrier=lift_gate|access=private", "amenity=parking", "designation=permissive", "access=no",
+]
+#: Lines of up to some kilometres: from each place three legs, or one point where i is 2, 3, 7, 10 or 11.
+_POINTS = "(2, 3, 7, 10, 11)"
+_LINES = f"""(select id, i, case when i in {_POINTS} then [[lat, lng]] else [[lat, lng], [lat + (id % 7 - 3) * 0.004::double, lng + (id % 5 - 2) * 0.006::double], [lat + 0.01::double, lng + (id % 11 - 5) * 0.002::double]] end as line
+ from (select p_partkey as id, p_partkey % {len(AROUND)} as i, d.lat, d.lng from part join {v.DENSE} d on d.key = 'p:' || p_partkey where d.source <> 'osm'))"""
+
+
+def around_lines(spark, sf):
+    """Features around places: lines and points with tags."""
+    rows = v.dense(spark, sf).where("source <> 'osm'").withColumn("k", F.substr("key", F.lit(3)).cast("bigint"))
+    i = (F.col("k") % len(AROUND)).cast("int")
+    spot = lambda lat, lng: F.struct(lat.alias("lat"), lng.alias("lng"))
+    lat, lng, k = F.col("lat"), F.col("lng"), F.col("k")
+    legs = F.array(spot(lat, lng), spot(lat + (k % 7 - 3) * 0.004, lng + (k % 5 - 2) * 0.006), spot(lat + 0.01, lng + (k % 11 - 5) * 0.002))
+    line = F.when(i.isin(2, 3, 7, 10, 11), F.slice(legs, 1, 1)).otherwise(legs)
+    return rows.select(line.alias("line"), F.call_function("str_to_map", F.get(F.array(*map(F.lit, AROUND)), i), F.lit("[|]"), F.lit("=")).alias("tags"))
+
+
+_T = "least(1, greatest(0, case when l2 > 0 then ((lng - ax) * k * (bx - ax) * k + (lat - ay) * (by_ - ay)) / l2 else 0 end))"
+
+
+@query(f"""with s as (select id, i, unnest(case when len(line) = 1 then [[line[1][1], line[1][2], line[1][1], line[1][2]]] else list_transform(range(1, len(line)), lambda j: [line[j][1], line[j][2], line[j + 1][1], line[j + 1][2]]) end) as q from {_LINES}),
+ g as (select id, i, q[1] ay, q[2] ax, q[3] by_, q[4] bx from s), o as (select key, lat, lng, cos(radians(lat)) k from {v.DENSE} where source = 'osm'),
+ c as (select *, pow((bx - ax) * k, 2) + pow(by_ - ay, 2) l2 from o, g where abs((ay + by_) / 2 - lat) < 0.02 + abs(by_ - ay) and abs((ax + bx) / 2 - lng) < 0.03 + abs(bx - ax)), t as (select *, {_T} t from c), n as (select key, i, lat, lng, ay + t * (by_ - ay) y, ax + t * (bx - ax) x from t),
+ m as (select *, {HAV.format(a='lat', b='lng', c='y', d='x')} m from n), d as (select key, i, m, cast(round_even(m, 0) as bigint) d from m),
+ p as (select key, min(d) filter (i in (0, 8) and m <= 400) rd, min(d) filter (i in (1, 6) and m <= 400) pd, min(d) filter (i in (2, 11) and m <= 800) cd from d group by key),
+ w as (select key, case i when 4 then 'quarry land' when 5 then 'a path' when 9 then 'golf course land' when 10 then 'a lift gate' else 'something' end as what, min(d) d from d where i in (4, 5, 9, 10, 13) and m <= 50 group by all),
+ v as (select key, string_agg(what, '|' order by d, what) private from (select *, row_number() over (partition by key order by d, what) r from w) where r <= 3 group by key)
+ select o.key, rd as right_m, case when rd is null or pd < rd then pd end as path_m, cd as parking_m, coalesce(private, '') as private from o left join p using (key) left join v using (key)""")
 def access_around(spark, sf):
-    """The ways to each place."""
-    d = v.dense(spark, sf)
-    rows = d.where("source <> 'osm'").withColumn("k", F.substr("key", F.lit(3)).cast("bigint"))
-    tagged = F.get(F.array(*map(F.lit, AROUND)), (F.col("k") % len(AROUND)).cast("int"))
-    features = rows.select("lat", "lng", F.call_function("str_to_map", tagged, F.lit("[|]"), F.lit("=")).alias("tags"))
-    found = registers.access_summary(d.where("source = 'osm'"), features)
+    """The ways to each place, from lines and points around it; its SQL has no cells."""
+    found = registers.access_summary(v.dense(spark, sf).where("source = 'osm'"), around_lines(spark, sf))
     return found.select("key", F.col("right_of_way.d").alias("right_m"), F.col("path.d").alias("path_m"), F.col("parking.d").alias("parking_m"), F.array_join("private", "|").alias("private"))
 
 
