@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, judges, names, text
+from waymark.functions import vocabulary as V
 from waymark.operators import resolve, sites
 from waymark.plans import judge_queries, queries, register_queries  # noqa: F401
 from waymark.sources import files
@@ -184,6 +185,19 @@ def as_items(spark, rows):
     return df.withColumns({"key": F.concat(prefix, F.lit(":"), "id"), **none})
 
 
+def complexes(name):
+    """({words of a part that names a complex: as spelt}, (what tells a numbered part's complex, its name) or None), letter by letter."""
+    bare = lambda p: p.rsplit(" ", 1)[0].strip() if " " in p and (p.rsplit(" ", 1)[1].isdigit() or set(p.rsplit(" ", 1)[1].lower()) <= set("ivx")) else p
+    ws = lambda p: [w for w in "".join(c if c.isalnum() or c == "'" else " " for c in p.lower()).split() if not (w.isdigit() or set(w) <= set("ivx"))]
+    parts, out = [p.strip() for p in (name or "").split(",")], {}
+    for p in parts:
+        kinds = [w in V.COMPLEX_KINDS for w in ws(p)]
+        if any(kinds) and any(not k and w not in V.COMPLEX_PARTS for k, w in zip(kinds, ws(p))):
+            out.setdefault(" ".join(ws(p)), bare(p))
+    several = len(parts) == 2 and bare(parts[0]) != parts[0]
+    return out, ("|".join(" ".join(ws(p)) for p in parts), f"{bare(parts[0])}, {parts[1]}") if several else None
+
+
 def one_by_one(rows):
     """The rules, applied to one record after the other."""
     order = {"osm": 0, "wikidata": 1, "open": 2}
@@ -202,12 +216,12 @@ def one_by_one(rows):
                 joined["osm"] = joined["name"] = r["name"]
         else:
             if r["family"] == "open":
-                mine, number = resolve.complexes(r["name"])
+                mine, number = complexes(r["name"])
                 best = 120.0
                 for p in near:
                     if far(p) > best or any(m["family"] != "open" for m in p["in"]):
                         continue
-                    theirs, other = resolve.complexes(p["name"])
+                    theirs, other = complexes(p["name"])
                     both = sorted(set(mine) & set(theirs))
                     if both:
                         joined, whole, best = p, mine[both[0]], far(p)

@@ -81,11 +81,27 @@ def words(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9']+)"), F.lit(1)), lambda w: ~w.rlike(r"^([ivx]+|\d+)$"))
 
 
-def complex_parts(name: Column) -> Column:
-    """Parts of a name that name a whole complex: a kind of place with a distinctive word."""
+NUMBER_BEHIND = r"\s+(?:[ivx]+|\d+)$"
+
+
+def complexes(name: Column) -> Column:
+    """array<struct<words, spelt>> of the parts of a name that name a whole complex (a kind of place with a distinctive word): the words without numbers, and the part as spelt, without a number behind it. The first of equal words."""
     common = V.COMPLEX_KINDS + V.COMPLEX_PARTS
-    kept = F.filter(F.transform(F.split(name, ","), words), lambda ws: F.exists(ws, lambda w: w.isin(V.COMPLEX_KINDS)) & F.exists(ws, lambda w: ~w.isin(common)))
-    return F.array_distinct(F.transform(kept, lambda ws: F.array_join(ws, " ")))
+    parts = F.transform(F.split(F.coalesce(name, F.lit("")), ","), lambda p: F.struct(words(p).alias("ws"), F.regexp_replace(F.trim(p), rx(NUMBER_BEHIND), "").alias("spelt")))
+    kept = F.filter(parts, lambda p: F.exists(p["ws"], lambda w: w.isin(V.COMPLEX_KINDS)) & F.exists(p["ws"], lambda w: ~w.isin(common)))
+    told = F.transform(kept, lambda p: F.struct(F.array_join(p["ws"], " ").alias("words"), p["spelt"].alias("spelt")))
+    return F.filter(told, lambda p, i: F.array_position(F.transform(told, lambda q: q["words"]), p["words"]) == i + 1)
+
+
+def complex_parts(name: Column) -> Column:
+    """The words of those parts."""
+    return F.transform(complexes(name), lambda p: p["words"])
+
+
+def without_number(name: Column) -> Column:
+    """The whole that a numbered part belongs to: its name without the number; null if it isn't one."""
+    feature = F.regexp_replace(F.trim(F.split(name, ",")[0]), rx(NUMBER_BEHIND), "")
+    return F.when(numbered(name).isNotNull(), F.concat_ws(", ", feature, F.trim(F.get(F.split(name, ","), F.lit(1)))))
 
 
 def numbered(name: Column) -> Column:
