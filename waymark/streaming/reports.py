@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import collections
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,30 +72,68 @@ def log(reports: DataFrame) -> DataFrame:
     return reports.withColumn("changed", changed).where("changed and access is not null").drop("changed")
 
 
+HOUR = 3_600_000_000  # fixed value: the limit's span, in microseconds
+
+
+def _accepted(times: list[int], kept: list[int], most: int) -> list[bool]:
+    """Which of some reports (times in order) are accepted after those of `kept`, which goes on to hold the accepted ones of the last hour. What is refused doesn't count."""
+    out = []
+    for at in times:
+        kept[:] = [k for k in kept if at - k < HOUR]
+        out.append(len(kept) < most)
+        if out[-1]:
+            kept.append(at)
+    return out
+
+
 def allowed(reports: DataFrame, most: int = V.REPORTS_PER_HOUR) -> DataFrame:
-    """Reports with whether they are accepted: a device has at most `most` accepted ones in the 3,600 seconds up to each. What is refused doesn't count, so a device's reports are gone through in order (by id where times are equal)."""
+    """Reports with whether they are accepted: a device has at most `most` accepted ones in the 3,600 seconds up to each. What is refused doesn't count, so reports are gone through in order (by id where times are equal).
+
+    Where a device is silent for an hour nothing before counts any more, so its reports fall into spells that are judged apart; and only spells with more than `most` reports in some hour are gone through at all."""
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: collections.deque = collections.deque()
-        out = []
-        for at in pdf.sort_values(["at", "id"])["at"].map(pd.Timestamp.timestamp):
-            while kept and at - kept[0] >= 3600:
-                kept.popleft()
-            out.append(len(kept) < most)
-            if out[-1]:
-                kept.append(at)
-        pdf = pdf.sort_values(["at", "id"])
-        pdf["allowed"] = out
-        return pdf
-
-    # only devices with more than `most` reports in some hour can be refused: the others never meet in a group
-    seconds = F.unix_micros(F.col("at").cast("timestamp"))
-    w = Window.partitionBy("reporter").orderBy(seconds).rangeBetween(-3_600_000_000 + 1, 0)
-    counted = reports.withColumn("__n", F.count("*").over(w))
-    busy = counted.where(F.col("__n") > most).select("reporter").distinct()
+        pdf = pdf.sort_values(["__us", "id"])
+        pdf["allowed"] = _accepted(pdf["__us"].tolist(), [], most)
+        return pdf[[*names, "allowed"]]
+
+    names = reports.columns
+    us = F.unix_micros(F.col("at").cast("timestamp"))
+    device = Window.partitionBy("reporter")
+    marked = reports.withColumn("__us", us).withColumn("__n", F.count("*").over(device.orderBy("__us").rangeBetween(1 - HOUR, 0)))
+    begins = F.coalesce((F.col("__us") - F.lag("__us").over(device.orderBy("__us", "id")) >= HOUR).cast("long"), F.lit(1).cast("long"))
+    marked = marked.withColumn("__begins", begins).withColumn("__spell", F.sum("__begins").over(device.orderBy("__us", "id").rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("__peak", F.max("__n").over(Window.partitionBy("reporter", "__spell")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reports.schema.fields)
-    judged = reports.join(busy, "reporter", "left_semi").groupBy("reporter").applyInPandas(judge, f"{fields}, allowed boolean")
-    return judged.unionByName(reports.join(busy, "reporter", "left_anti").withColumn("allowed", F.lit(True)))
+    judged = marked.where(F.col("__peak") > most).drop("__n", "__begins", "__peak").groupBy("reporter", "__spell").applyInPandas(judge, f"{fields}, allowed boolean")
+    return judged.unionByName(marked.where(F.col("__peak") <= most).select(*names, F.lit(True).alias("allowed")))
+
+
+def allowed_as_they_come(stream: DataFrame, most: int = V.REPORTS_PER_HOUR, late: str = "10 minutes") -> DataFrame:
+    """The same on a stream of reports (reporter, id, at): (reporter, id, at, allowed), each once the watermark has passed it, so that reports that come out of order are judged in order. Those later than `late` are dropped.
+
+    A device's state is its accepted reports of the last hour, at most `most`, and those that still wait; an event-time timer wakes it when the first of them is due, and forgets a device an hour after its last accepted report."""
+
+    def step(key, batches, state: GroupState):
+        kept, waiting = ([*state.get[0]], [*zip(state.get[1], state.get[2])]) if state.exists else ([], [])
+        if not state.hasTimedOut:
+            for pdf in batches:
+                waiting += zip(pdf["at"].astype("datetime64[us]").astype("int64").tolist(), pdf["id"].tolist())
+        mark = state.getCurrentWatermarkMs() * 1000
+        due = sorted(x for x in waiting if x[0] < mark)
+        waiting = [x for x in waiting if x[0] >= mark]
+        verdicts = _accepted([at for at, _ in due], kept, most)
+        kept = [k for k in kept if mark - k < HOUR]
+        if waiting or kept:
+            state.update((kept, [at for at, _ in waiting], [i for _, i in waiting]))
+            wake = min(at for at, _ in waiting) if waiting else kept[-1] + HOUR
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, mark // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        made = pd.DataFrame({"reporter": [key[0]] * len(due), "id": [i for _, i in due], "at": pd.to_datetime([at for at, _ in due], unit="us"), "allowed": verdicts})
+        yield made.astype({"id": "int64", "at": "datetime64[ns]", "allowed": "bool"})
+
+    timed = stream.select(F.col("reporter").cast("string").alias("reporter"), F.col("id").cast("long").alias("id"), F.col("at").cast("timestamp").alias("at")).withWatermark("at", late)
+    return timed.groupBy("reporter").applyInPandasWithState(step, "reporter string, id long, at timestamp, allowed boolean", "kept array<long>, at array<long>, id array<long>", "append", "EventTimeTimeout")
 
 
 LOGGED = "key string, reporter string, at timestamp, access string, difficulty int, change string"
