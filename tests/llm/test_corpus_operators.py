@@ -168,6 +168,10 @@ def test_packing(spark, odd, docs):
         assert len(bins) <= 1.02 * sum(r.length for r in out) / 1024 + 1  # full bins would be the least of all; it may not be in reach
     empty = bin_packing.token_pieces(odd.limit(0), q.VOCABULARY, q.PATTERN, 2, 1024)
     assert bin_packing.pack(empty, 1024, ["doc_id"]).count() == 0
+    clashing = spark.range(60).select("id", (F.col("id") % 9 + 1).alias("length"), *[F.lit("x").alias(c) for c in ("firsts", "BINS", "offsets", "__g", "__n", "__k", "__before", "offset", "count")])
+    got = bin_packing.pack(clashing, 10, ["id"])
+    assert got.columns == ["id", "length", "firsts", "BINS", "offsets", "__g", "__n", "__k", "__before", "count", "sequence_id", "offset"] and got.where("bins = 'x' and __n = 'x' and count = 'x'").count() == 60
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 10").count() == 0
 
 
 def test_fullest_bin_is_the_best_subset():

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_tokens import encoder
-from .common import staged, text_of
+from .common import blocks, spare, staged, text_of
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, capacity: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -28,7 +28,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, ca
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, end = encoder(vocabulary, pattern), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in blocks(batches, "__t", 4 << 20):
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
                 rows: list[tuple] = []
@@ -95,25 +95,26 @@ GROUP = 1 << 20
 
 
 def pack(pieces: DataFrame, capacity: int, salt: list[str], groups: int | None = None) -> DataFrame:
-    """pieces (with length) with sequence_id and offset. salt: columns that tell most pieces apart. Groups grow with the pieces; of their counts only the histogram of lengths reaches the driver."""
-    stored = staged(pieces, "pieces")
+    """pieces (with length) with sequence_id and offset, which replace columns of those names; other columns pass through, whatever they are called. salt: columns that tell most pieces apart. Groups grow with the pieces; of their counts only the histogram of lengths reaches the driver."""
+    own, extra = pieces.columns, {n: spare(pieces.columns, n) for n in ("__g", "__n", "__k", "__before", "firsts", "bins", "offsets")}
+    stored = staged(pieces.drop("sequence_id", "offset"), "pieces")
     groups = groups or 64 + stored.count() // GROUP
-    kept = stored.withColumn("__g", F.pmod(F.xxhash64(*salt), F.lit(groups)).cast("int"))
-    counted = staged(kept.groupBy("length", "__g").count(), "counts")
+    kept = stored.withColumn(extra["__g"], F.pmod(F.xxhash64(*salt), F.lit(groups)).cast("int"))
+    counted = staged(kept.groupBy("length", extra["__g"]).count(), "counts")
     histogram = {n: c for n, c in counted.groupBy("length").agg(F.sum("count")).collect()}  # at most capacity rows
-    starts_of = counted.select("length", "__g", (F.sum("count").over(Window.partitionBy("length").orderBy("__g")) - F.col("count")).alias("__before"))
+    starts_of = counted.select("length", extra["__g"], (F.sum("count").over(Window.partitionBy("length").orderBy(extra["__g"])) - F.col("count")).alias(extra["__before"]))
     spark = pieces.sparkSession
     table = sorted(runs(histogram, capacity))
     # for each length, its runs in order of first number, for a search within the row; at most `capacity` rows
     by: dict[int, list] = {}
     for n, first, at, offset, times in table:
         by.setdefault(n, []).append((first, at, offset, times))
-    runs_of = spark.createDataFrame([(n, [x[0] for x in r], [x[1] for x in r], [x[2] for x in r]) for n, r in by.items()], "length long, firsts array<long>, bins array<long>, offsets array<long>")
-    number = F.row_number().over(Window.partitionBy("length", "__g").orderBy(*salt))
-    placed = kept.join(starts_of, ["length", "__g"]).withColumn("__n", number - 1 + F.col("__before"))
+    runs_of = spark.createDataFrame([(n, [x[0] for x in r], [x[1] for x in r], [x[2] for x in r]) for n, r in by.items()], f"length long, {extra['firsts']} array<long>, {extra['bins']} array<long>, {extra['offsets']} array<long>")
+    number = F.row_number().over(Window.partitionBy("length", extra["__g"]).orderBy(*salt))
+    placed = kept.join(starts_of, ["length", extra["__g"]]).withColumn(extra["__n"], number - 1 + F.col(extra["__before"]))
     placed = placed.join(F.broadcast(runs_of), "length")
     # the last run that starts at or before the number
-    k = F.size(F.filter("firsts", lambda f: f <= F.col("__n"))) - 1
-    placed = placed.withColumn("__k", k)
-    found = {"sequence_id": F.get("bins", F.col("__k")) + F.col("__n") - F.get("firsts", F.col("__k")), "offset": F.get("offsets", F.col("__k"))}
-    return placed.withColumns(found).select(*pieces.columns, "sequence_id", "offset")
+    k = F.size(F.filter(extra["firsts"], lambda f: f <= F.col(extra["__n"]))) - 1
+    placed = placed.withColumn(extra["__k"], k)
+    found = {"sequence_id": F.get(extra["bins"], F.col(extra["__k"])) + F.col(extra["__n"]) - F.get(extra["firsts"], F.col(extra["__k"])), "offset": F.get(extra["offsets"], F.col(extra["__k"]))}
+    return placed.withColumns(found).select(*[c for c in own if c.lower() not in ("sequence_id", "offset")], "sequence_id", "offset")

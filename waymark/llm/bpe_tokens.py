@@ -16,7 +16,7 @@ _BEYOND = re.compile(r"[^\x00-\u04ff\u2013-\u2026]")
 #: White space among the letters that _BEYOND leaves, but for the single space.
 _WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
 #: Matches, and chunks, to remember for each worker (about 200 bytes each); beyond that it starts anew.
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: Letters of the longest match or chunk that is remembered beyond its batch.
 LONGEST = 64
 
