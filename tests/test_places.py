@@ -466,14 +466,16 @@ def test_structures_by_grid_reference(spark):
 
 
 def test_a_folder_of_changes(spark, tmp_path):
+    from waymark.sources import versions
     from waymark.streaming import changes
 
-    at = datetime(2024, 1, 1)
-    spark.createDataFrame([(1, "a", at, at, None), (2, "b", at, at, None)], "k long, nm string, first_seen timestamp_ntz, last_seen timestamp_ntz, gone_at timestamp_ntz").write.parquet(str(tmp_path / "store" / "v00000000"))
+    at, store = datetime(2024, 1, 1), str(tmp_path / "store")
+    versions.replace(spark.createDataFrame([(1, "a", at, at, None), (2, "b", at, at, None)], "k long, nm string, first_seen timestamp_ntz, last_seen timestamp_ntz, gone_at timestamp_ntz"), "k", store)
     schema = "k long, nm string, deleted boolean, at timestamp_ntz, seq long"
     for n, rows in enumerate(([(1, "x", False, datetime(2024, 1, 2), 1), (1, "y", False, datetime(2024, 1, 2), 2), (3, "c", False, datetime(2024, 1, 2), 3)], [(2, None, True, datetime(2024, 1, 3), 1)])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        changes.follow_folder(spark, str(tmp_path / "in"), schema, str(tmp_path / "store"), str(tmp_path / "cp"), "k", ["nm"]).awaitTermination(120)
-        assert (tmp_path / "store" / f"v{n + 1:08d}").exists()
-    out = {r.k: (r.nm, r.gone_at) for r in spark.read.parquet(str(tmp_path / "store" / "v00000002")).collect()}
+        changes.follow_folder(spark, str(tmp_path / "in"), schema, store, str(tmp_path / "cp"), "k", ["nm"]).awaitTermination(120)
+        assert versions.current(spark, store) == n + 2
+    out = {r.k: (r.nm, r.gone_at) for r in versions.read(spark, store).collect()}
     assert out == {1: ("y", None), 2: ("b", datetime(2024, 1, 3)), 3: ("c", None)}
+    assert {r.k: r.gone_at for r in versions.read(spark, store, 2).collect()} == {1: None, 2: None, 3: None}

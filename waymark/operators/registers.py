@@ -80,9 +80,10 @@ def tag_counts(reports: DataFrame, key: str, tag: Column) -> DataFrame:
 
 
 def digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row (n, total) that is the same for the same rows in any order: rows, and the sum of the first 32 bits of each row's hash."""
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return df.select(F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("bigint").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("total"))
+    """One row (n, total, more) that is the same for the same rows in any order: rows, and the sums of the first and second 32 bits of each row's hash. Nulls differ from empty texts."""
+    row = F.concat_ws("|", *[F.coalesce(F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\0")) for c in columns])
+    bits = lambda at: F.conv(F.substring(F.md5(row), at, 8), 16, 10).cast("bigint")
+    return df.select(bits(1).alias("h"), bits(9).alias("i")).agg(F.count("*").alias("n"), F.coalesce(F.sum("h"), F.lit(0).cast("bigint")).alias("total"), F.coalesce(F.sum("i"), F.lit(0).cast("bigint")).alias("more"))
 
 
 # --- what single registers keep

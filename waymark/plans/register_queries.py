@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.operators import registers
+from waymark.operators.staging import shared_folder
 from waymark.plans import samples as S
 from waymark.plans import views as v
 from waymark.plans.queries import HAV, RING, query
 from waymark.plans.samples import picked, picked_sql
+from waymark.sources import versions
 from waymark.streaming import changes
 
 PLACE = "round(lat / 0.01::double, 0) || ',' || round(lng / 0.01::double, 0)"
@@ -101,7 +105,7 @@ def report_tags(spark, sf):
     return registers.tag_counts(tagged, "key", F.get_json_object("props", "$.k").cast("int") % 5)
 
 
-@query(f"select count(*) n, cast(sum(cast('0x' || substr(md5(key || '|' || name || '|' || category), 1, 8) as bigint)) as bigint) total from {v.SITES}")
+@query(f"select count(*) n, cast(sum(cast('0x' || substr(h, 1, 8) as bigint)) as bigint) total, cast(sum(cast('0x' || substr(h, 9, 8) as bigint)) as bigint) more from (select md5(key || '|' || name || '|' || category) h from {v.SITES})")
 def site_digest(spark, sf):
     return registers.digest(v.sites(spark, sf), ["key", "name", "category"])
 
@@ -152,6 +156,17 @@ def nearest_on_line(spark, sf):
     return v.sites(spark, sf).select("key", F.round(found["square"], 6).alias("square"))
 
 
+SQUARES = (-5.5, 50.25, -1.25, 53.75)
+
+
+@query(f"select key, floor(lat)::int sq_lat, floor(lng)::int sq_lng from {v.SITES} where lng between -5.5 and -1.25 and lat between 50.25 and 53.75")
+def squares_in_box(spark, sf):
+    """Sites of a box, read from a copy that is laid out by squares."""
+    path = f"{shared_folder(spark)}/squares-{uuid.uuid4().hex}"
+    versions.write_squares(v.sites(spark, sf).select("key", "lat", "lng"), path)
+    return versions.read_squares(spark, path, SQUARES).select("key", "sq_lat", "sq_lng")
+
+
 @query()
 def grid_references(spark, sf):
     """British grid metres and reference of each site; golden points and a round trip are tested."""
@@ -350,13 +365,13 @@ def unread_records(spark, sf):
     return registers.unread(v.table(spark, sf, "part").select(F.col("p_partkey").alias("id")), read)
 
 
-@query("""with c as (select * from (select l_partkey k, l_returnflag rf, l_orderkey * 10 + l_linenumber as seq, l_suppkey, row_number() over (partition by l_partkey order by l_shipdate desc, l_orderkey * 10 + l_linenumber desc, l_suppkey desc) r from lineitem where l_quantity > 44) where r = 1)
+@query("""with c as (select * from (select l_partkey k, l_returnflag rf, l_orderkey * 10 + l_linenumber as seq, l_suppkey, row_number() over (partition by l_partkey order by l_shipdate desc, l_orderkey * 10 + l_linenumber desc, l_suppkey desc) r from lineitem) where r = 1)
  select coalesce(p.p_partkey, c.k) as k, case when c.k is not null and c.rf <> 'R' then c.rf else p.p_name end as nm, c.k is not null and c.rf = 'R' as gone from part p full outer join c on p.p_partkey = c.k""")
 def merged_changes(spark, sf):
     """A store after a batch of changes and deletions; the part keys that no change names stay as they are."""
     at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     store = v.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("nm"), at.alias("first_seen"), at.alias("last_seen"), F.lit(None).cast("timestamp_ntz").alias("gone_at"))
-    li = v.table(spark, sf, "lineitem").where("l_quantity > 44")
+    li = v.table(spark, sf, "lineitem")
     seq = F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_suppkey")
     changed = li.select(F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("nm"), (F.col("l_returnflag") == "R").alias("deleted"), F.col("l_shipdate").alias("at"), seq.alias("seq"))
     return changes.merged(store, changed, "k", ["nm"], "2024-02-01 00:00:00").select("k", "nm", F.col("gone_at").isNotNull().alias("gone"))

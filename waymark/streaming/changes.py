@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.registers import first_of
 from waymark.operators.sites import apply_snapshot
+from waymark.sources import versions
 
 
 def latest_changes(changes: DataFrame, key: str) -> DataFrame:
@@ -23,13 +24,12 @@ def merged(store: DataFrame, changes: DataFrame, key: str, values: list[str], se
 
 
 def follow_folder(spark: SparkSession, changes: str, schema: str, store: str, checkpoint: str, key: str, values: list[str], keep: list[str] = ()):
-    """Merges each batch of new change files (Parquet) into the store's newest version and writes the next, then stops when there are no more. A version is named by its batch, so a batch run again writes the same one."""
+    """Merges each batch of new change files (Parquet) into the store (a folder of `versions`), then stops when there are no more. A batch rewrites the buckets of the keys that it names; one that is run again finds the version that it made."""
 
     def step(batch: DataFrame, number: int) -> None:
-        before = batch.sparkSession.read.parquet(f"{store}/v{number:08d}")
         at = batch.agg(F.date_format(F.max("at"), "yyyy-MM-dd HH:mm:ss")).first()[0]
-        after = merged(before, batch, key, values, at, keep) if at else before
-        after.write.mode("overwrite").parquet(f"{store}/v{number + 1:08d}")
+        if at:
+            versions.change(batch, key, store, lambda rows, told: merged(rows, told, key, values, at, keep), token=f"{checkpoint}#{number}")
 
     stream = spark.readStream.schema(schema).parquet(changes)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
