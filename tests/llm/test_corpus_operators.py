@@ -147,6 +147,11 @@ def test_encoder_equals_the_library(docs):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t[:50]
 
 
+def test_shards_are_placed_without_python(spark, docs):
+    plan = ring_shards.shard(docs)._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "Python" not in plan and "Arrow" not in plan, plan
+
+
 def test_packing(spark, odd, docs):
     codec = Encoder(q.VOCABULARY, q.PATTERN)
     for df in (odd, docs):

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +60,10 @@ def plan(counts: dict[int, int], nodes: list[tuple[int, int]], shards: int) -> l
     return out
 
 
+#: Rows of one key and text to a part, about.
+PART = 1 << 20
+
+
 def shard(docs: DataFrame, shards: int = 16, virtual_nodes: int = 128, slice_bits: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, size, text_crc32, shard, slot, home_shard); slots run from 0 without gaps in each shard."""
     spark = docs.sparkSession
@@ -68,14 +73,16 @@ def shard(docs: DataFrame, shards: int = 16, virtual_nodes: int = 128, slice_bit
         raise ValueError("too few virtual nodes: some shard has no point")
     size = F.octet_length(text_of(text)).cast("long") + 1
     keyed = docs.select(F.col(key), size.alias("size"), F.crc32(text_of(text)).alias("text_crc32"), ring(F.col(key), slice_bits).alias("__slice"))
-    salt = F.pmod(F.xxhash64(key, "size", "text_crc32"), F.lit(8)) * 8 + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(8))
-    keyed = staged(keyed.withColumn("__salt", salt.cast("int")), "keyed")
+    many = max(8, docs.count() // PART)  # parts of equal rows, so that a part of one key stays bounded whatever the table
+    salt = F.pmod(F.xxhash64(key, "size", "text_crc32"), F.lit(8)) * many + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(many))
+    keyed = staged(keyed.withColumn("__salt", salt.cast("long")), "keyed")
     part = keyed.groupBy("__slice", "__salt").count()
     counts = {r[0]: r[1] for r in part.groupBy("__slice").agg(F.sum("count")).collect()}
     at = [a for a, _ in nodes]
     rows = [(*r, nodes[bisect_left(at, r[0]) % len(nodes)][1]) for r in plan(counts, nodes, shards)]
-    cuts = spark.createDataFrame(rows, "__slice int, __first long, __many long, shard int, __slot long, home_shard int")
-    # rows before each part of its slice: at most 64 parts to a slice meet in this window
+    kinds = {"__slice": pa.int32(), "__first": pa.int64(), "__many": pa.int64(), "shard": pa.int32(), "__slot": pa.int64(), "home_shard": pa.int32()}
+    cuts = spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=[*kinds]))  # an Arrow table stays in the JVM: no Python worker reads it
+    # rows before each part of its slice: a slice has a row here for a million of its rows, or 64
     starts = part.withColumn("__before", F.sum("count").over(Window.partitionBy("__slice").orderBy("__salt")) - F.col("count")).select("__slice", "__salt", "__before")
     number = F.row_number().over(Window.partitionBy("__slice", "__salt").orderBy(key, "text_crc32", "size")) - 1
     numbered = keyed.join(starts, ["__slice", "__salt"]).withColumn("__n", number + F.col("__before"))
