@@ -34,7 +34,7 @@ def cases_of(rows) -> list:
 
 def not_a_place(tags: Column) -> Column:
     keys = [p + k for k in ("amenity", "man_made", "street_furniture") for p in ("", "disused:", "abandoned:")]
-    return F.coalesce(F.greatest(*[F.coalesce(tag(tags, k).isin(V.NOT_PLACES), F.lit(False)) for k in keys]), F.lit(False))
+    return F.exists(F.array_compact(F.transform(F.array(*map(F.lit, keys)), lambda k: F.try_element_at(tags, k))), lambda v: v.isin(V.NOT_PLACES))
 
 
 def is_heritage_site(tags: Column) -> Column:
@@ -45,13 +45,9 @@ def is_heritage_site(tags: Column) -> Column:
 def _lifecycle(tags: Column, state: str) -> Column:
     """What stands behind the first lifecycle prefix on a feature's own key. Lines on the ground count in tunnels alone."""
     tunnel = F.coalesce(tag(tags, "tunnel") != "no", F.lit(False))
-    found = []
-    for base in V.FEATURE_KEYS:
-        v = tag(tags, f"{state}:{base}")
-        line = v.isin(V.LINEAR_VALUES)
-        what = F.when(tunnel & line, f"{state} railway tunnel").otherwise(F.concat(F.lit(f"{state}:{base}="), v))
-        found.append(F.when((~line | tunnel) if base in V.LINEAR_KEYS else v.isNotNull(), what))
-    return F.coalesce(*found)
+    held = F.transform(F.array(*map(F.lit, V.FEATURE_KEYS)), lambda base: F.struct(base.alias("base"), F.try_element_at(tags, F.concat(F.lit(f"{state}:"), base)).alias("v")))
+    first = F.get(F.filter(held, lambda x: x["v"].isNotNull() & (tunnel | ~x["base"].isin(V.LINEAR_KEYS) | ~x["v"].isin(V.LINEAR_VALUES))), F.lit(0))
+    return F.when(tunnel & first["v"].isin(V.LINEAR_VALUES), f"{state} railway tunnel").otherwise(F.concat(F.lit(f"{state}:"), first["base"], F.lit("="), first["v"]))
 
 
 def classify_tags(tags: Column, element: Column) -> Column:
