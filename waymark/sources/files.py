@@ -4,6 +4,13 @@ GeoJSON is read a file to a task (a collection is one document); the others are
 
 from __future__ import annotations
 
+import csv
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,18 +57,22 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str
 
 def read_register(spark: SparkSession, path: str, must_have: str, encoding: str = "UTF-8") -> DataFrame:
     """A register's CSV whose header stands below other lines: the first row with a field `must_have` names the columns; that row, nameless columns and empty rows are left out. Rows above the header stay: a table of many splits has no order to drop them by, so the caller filters by a field that they lack."""
-    columns = [f"_c{i}" for i in range(80)]
+    lines = spark.read.text(path).where(F.contains("value", F.lit(must_have))).limit(50).collect()
+    widths = [len(fields) for fields in csv.reader([r["value"] for r in lines]) if must_have in [f.strip() for f in fields]]
+    columns = [f"_c{i}" for i in range(widths[0] if widths else 1)]  # as many as the header has
     rows = _csv(spark, path, encoding, schema=", ".join(f"{c} string" for c in columns))
-    found = rows.where(F.array_contains(F.transform(F.array(*columns), lambda x: F.trim(x)), must_have)).first()  # one row
+    # one field of all: Spark's optimiser goes through all combinations of renamed columns of which a condition speaks
+    rows = rows.select(F.explode(F.array(F.array(*[F.coalesce(F.trim(c), F.lit("")) for c in columns]))).alias("cells"))
+    found = rows.where(F.array_contains("cells", must_have)).first()  # one row
     if found is None:
         raise ValueError(f"no line of {path} has {must_have!r}")
-    names = [c.strip() if c else "" for c in found]
+    names = [*found["cells"]]
     while not names[-1]:
         names.pop()
-    header = F.concat_ws("|", *[F.coalesce(F.trim(c), F.lit("")) for c in columns[: len(names)]]) == "|".join(names)
-    kept = rows.where(~header)
-    seen = kept.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names) if n])
-    return seen.where(F.greatest(*[F.coalesce(F.trim(f"`{n}`") != "", F.lit(False)) for n in seen.columns], F.lit(False)))
+    named = [i for i, n in enumerate(names) if n]
+    told = F.exists(F.transform(F.array(*map(F.lit, named)), lambda i: F.get("cells", i)), lambda c: c != "")
+    kept = rows.where((F.array_join(F.slice("cells", 1, len(names)), "|") != "|".join(names)) & told)
+    return kept.select(*[F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(names[i]) for i in named])
 
 
 def planning_data(spark: SparkSession, path: str) -> DataFrame:
@@ -128,3 +139,61 @@ def osm_features(nodes: DataFrame, ways: DataFrame, relations: DataFrame, wanted
     across = haversine_m(F.col("low_lat"), F.col("low_lng"), F.col("high_lat"), F.col("high_lng"))
     middle = [((F.col(f"low_{c}") + F.col(f"high_{c}")) / 2).alias(c) for c in ("lat", "lng")]
     return own.unionAll(outlines.select("osm_id", *middle, "tags", F.bround(across / 2, 0).cast("bigint").alias("extent_m"), "edited"))
+
+
+# --- spreadsheets
+
+# Names of an OpenDocument spreadsheet's elements and attributes.
+_TABLE, _TEXT = ("{urn:oasis:names:tc:opendocument:xmlns:%s:1.0}" % x for x in ("table", "text"))
+
+
+def _sheet_rows(packed: bytes, sheet: str) -> Iterator[list[str]]:
+    """The rows of one sheet, in order; an element is let go as soon as its row is told, so a sheet of any length takes little room. Blank cells at the end of a row aren't kept, however often they are repeated."""
+    inside, held = False, []
+    with zipfile.ZipFile(io.BytesIO(packed)).open("content.xml") as xml:
+        for event, el in ElementTree.iterparse(xml, events=("start", "end")):
+            if event == "start":
+                held.append(el)
+                if el.tag == f"{_TABLE}table":
+                    inside = el.get(f"{_TABLE}name") == sheet
+                continue
+            held.pop()
+            if el.tag == f"{_TABLE}table-row":
+                if inside:
+                    told = [(c, "\n".join("".join(p.itertext()) for p in c.iter(f"{_TEXT}p"))) for c in el if c.tag in (f"{_TABLE}table-cell", f"{_TABLE}covered-table-cell")]
+                    while told and not told[-1][1]:
+                        told.pop()
+                    yield [text for c, text in told for _ in range(int(c.get(f"{_TABLE}number-columns-repeated", "1")))]
+                if held:
+                    held[-1].remove(el)  # the table forgets it
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
+    """(file, row from 0, cells) of a sheet of each OpenDocument spreadsheet under a path. A file is a task: it is read packed, and its XML as it comes, a thousand rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, packed in zip(batch.column("path"), batch.column("content"), strict=True):
+                at, some = 0, []
+                for cells in _sheet_rows(packed.as_py(), sheet):
+                    some.append(cells)
+                    if len(some) == 1000:
+                        yield _as_batch(file.as_py(), at, some)
+                        at, some = at + len(some), []
+                yield _as_batch(file.as_py(), at, some)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row long, cells array<string>")
+
+
+def _as_batch(file: str, at: int, some: list[list[str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([file] * len(some), pa.string()), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.list_(pa.string()))], ["file", "row", "cells"])
+
+
+def under_header(rows: DataFrame, must_have: str) -> DataFrame:
+    """Rows (file, row, cells) below the first that has a cell `must_have`, with their fields by its names: file, row, and fields (a map). Nameless columns and rows without a field are left out; each file has a header of its own."""
+    bare = F.transform("cells", lambda c: F.trim(c))
+    heads = rows.where(F.array_contains(bare, must_have)).groupBy("file").agg(F.min_by(F.struct("row", bare.alias("names")), "row").alias("h"))  # one row a file
+    below = rows.join(F.broadcast(heads), "file").where(F.col("row") > F.col("h.row"))
+    pairs = F.filter(F.arrays_zip(F.col("h.names").alias("k"), F.transform("cells", lambda c: F.trim(c)).alias("v")), lambda x: F.coalesce(x["k"] != "", F.lit(False)) & F.coalesce(x["v"] != "", F.lit(False)))
+    first = F.filter(pairs, lambda x, i: F.array_position(F.transform(pairs, lambda y: y["k"]), x["k"]) == i + 1)  # of columns of one name the first that is filled
+    return below.select("file", "row", F.map_from_entries(first).alias("fields")).where(F.size("fields") > 0)
