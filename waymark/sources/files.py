@@ -1,4 +1,4 @@
-"""Places from files: CSV and TSV, GeoJSON, GPX and KML, all as (name, lat, lng, kind, note, url, aliases array), and registers' own files.
+"""Places from files: CSV and TSV, GeoJSON, GPX, KML and KMZ, all as (name, lat, lng, kind, note, url, aliases array), and registers' own files.
 
 GeoJSON is read a file to a task (a collection is one document); the others are split by rows or tags."""
 
@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -104,12 +105,43 @@ def read_gpx(spark: SparkSession, path: str) -> DataFrame:
 
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.format("xml").option("rowTag", "Placemark").schema("name string, description string, Point struct<coordinates: string>").load(path)
-    at = F.split(F.get(F.split(F.trim(F.replace("Point.coordinates", F.lit("\n"), F.lit(" "))), r"\s+"), F.lit(0)), ",")
+    return _marked(df.select("name", "description", F.col("Point.coordinates").alias("coordinates")))
+
+
+def _marked(df: DataFrame) -> DataFrame:
+    """Places of placemarks (name, description, coordinates)."""
+    at = F.split(F.get(F.split(F.trim(F.replace("coordinates", F.lit("\n"), F.lit(" "))), r"\s+"), F.lit(0)), ",")
     none = F.lit(None).cast("string")
     where = [F.get(at, F.lit(i)).try_cast("double").alias(c) for i, c in ((1, "lat"), (0, "lng"))]
     return _placed(df.select("name", *where, none.alias("kind"), F.col("description").alias("note"), none.alias("url"), none.alias("aliases")))
 
 
+def _placemarks(packed: bytes) -> Iterator[dict[str, str | None]]:
+    """Name, note and coordinates of the placemarks of an archive's first KML; a mark is let go once told."""
+    with zipfile.ZipFile(io.BytesIO(packed)) as archive:
+        inner = next((n for n in archive.namelist() if n.lower().endswith(".kml")), None)
+        if inner is None:
+            raise ValueError("an archive with no KML in it")
+        with archive.open(inner) as xml:
+            for _, el in ElementTree.iterparse(xml):
+                if el.tag.rpartition("}")[2] == "Placemark":
+                    yield {c: next((e.text for e in el.iterfind(f".//{{*}}{c}")), None) for c in ("name", "description", "coordinates")}
+                    el.clear()
+
+
+def read_kmz(spark: SparkSession, path: str) -> DataFrame:
+    """Placemarks of zipped KML: of each archive the first KML. An archive is a task; one that has none fails."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column("content"):
+                marks = _placemarks(packed.as_py())
+                while some := [*itertools.islice(marks, 1000)]:
+                    yield pa.RecordBatch.from_pylist(some, pa.schema([(c, pa.string()) for c in ("name", "description", "coordinates")]))
+
+    return _marked(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "name string, description string, coordinates string"))
+
+
 def read_osm_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes (id, lat, lng, tags), ways (id, refs, tags) and relations (id, members: the ways, tags) of an extract in XML."""
     tag = "tag array<struct<_k: string, _v: string>>"
