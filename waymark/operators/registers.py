@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,13 +52,18 @@ def outline_extents(members: DataFrame, positions: DataFrame, outline: str, memb
     return box.select(outline, *middle, F.bround(across / 2, 0).cast("bigint").alias("extent_m"))
 
 
-def photos_of(photos: DataFrame, lat: float, lng: float, metres: float, n: int = 6, within: float = 60.0) -> DataFrame:
-    """The n photos (key, lat, lng, azimuth) nearest to a point, those that face away last; unknown azimuths count as facing."""
+def photos_of(photos: DataFrame, lat: float, lng: float, metres: float, n: int = 6, within: float = 60.0, close: float = 5.0) -> DataFrame:
+    """The n photos (key, lat, lng, azimuth and perhaps thumb) of a box around a point, the nearest first, those that face away last.
+
+    facing: whether it is turned to the point; null without an azimuth, and within `close` metres, where a bearing says nothing. Where the table has thumbs, photos without one are left out."""
     at = (F.lit(lat), F.lit(lng))
-    west, south, east, north = geo.box_around(lat, lng, metres)
-    seen = photos.where(F.col("lat").between(south, north) & F.col("lng").between(west, east)).withColumn("metres", geo.haversine_m(F.col("lat"), F.col("lng"), *at))
-    away = F.coalesce(geo.turned(geo.bearing_deg(F.col("lat"), F.col("lng"), *at), F.col("azimuth")) > within, F.lit(False))
-    return seen.where(F.col("metres") <= metres).withColumn("away", away).orderBy("away", "metres", "key").limit(n)
+    west, south, east, north = (round(x, 6) for x in geo.box_around(lat, lng, metres))
+    seen = photos.where(F.col("lat").between(south, north) & F.col("lng").between(west, east))
+    if "thumb" in photos.columns:
+        seen = seen.where(F.coalesce(F.col("thumb") != "", F.lit(False)))
+    seen = seen.withColumn("metres", geo.haversine_m(F.col("lat"), F.col("lng"), *at))
+    facing = F.when(F.col("metres") > close, geo.turned(geo.bearing_deg(F.col("lat"), F.col("lng"), *at), F.col("azimuth")) <= within)
+    return seen.withColumns({"facing": facing, "away": F.coalesce(~facing, F.lit(False))}).orderBy("away", "metres", "key").limit(n)
 
 
 def grid_boxes(df: DataFrame, box: tuple[float, float, float, float], step: float) -> DataFrame:
@@ -255,10 +261,27 @@ def railway_structures(rows: DataFrame) -> DataFrame:
     return geo.from_grid(once.withColumns({"easting": F.col("__g.easting"), "northing": F.col("__g.northing")})).drop("__g", "easting", "northing")
 
 
-def placed_by_postcode(rows: DataFrame, centroids: DataFrame) -> DataFrame:
-    """rows with the lat and lng of their postcode; those whose postcode isn't known are left out. centroids: postcode, lat, lng, one row each."""
+def placed_by_postcode(rows: DataFrame, centroids: DataFrame, retired: DataFrame | None = None) -> DataFrame:
+    """rows with the lat and lng of their postcode; those whose postcode isn't known are left out. centroids: postcode, lat, lng, one row each; retired: postcodes no longer in use, asked where the first table has no position."""
     bare = lambda c: F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"\s", "")
-    return rows.withColumn("__p", bare(F.col("postcode"))).join(centroids.select(bare(F.col("postcode")).alias("__p"), "lat", "lng"), "__p").drop("__p")
+    known = lambda df, to: df.where((bare(F.col("postcode")) != "") & F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(bare(F.col("postcode")).alias("__p"), F.struct("lat", "lng").alias(to))
+    at = known(centroids, "__at")
+    if retired is not None:
+        at = at.join(known(retired, "__old"), "__p", "full").select("__p", F.coalesce("__at", "__old").alias("__at"))
+    return rows.withColumn("__p", bare(F.col("postcode"))).join(at, "__p").select(*[F.col(f"`{c}`") for c in rows.columns], "__at.lat", "__at.lng")
+
+
+def estates_return(rows: DataFrame, file: str = "") -> DataFrame:
+    """A yearly return's sites as `standing_empty` takes them: ref, name, trust, site_type, postcode, unoccupied_m2, empty_m2, floor_m2, pre_1948, year.
+
+    Editions spell the units differently, so areas are the first column whose name starts as expected; none: naught, as for what isn't a number. The year is in the file's name."""
+    text = lambda c: F.trim(F.coalesce(F.col(f"`{c}`") if c in rows.columns else F.lit(""), F.lit("")))
+    area = lambda start: F.coalesce(F.replace(text(next((c for c in rows.columns if c.startswith(start)), start)), F.lit(",")).try_cast("double"), F.lit(0.0))
+    year = re.search(r"(\d{4})_(\d{2})", file)
+    told = {"ref": F.coalesce(given(text("Site Code")), text("Site Name")), "name": text("Site Name"), "trust": text("Trust Name"), "site_type": text("Site Type"), "postcode": text("Post Code")}
+    areas = {c: area(start) for c, start in V.ESTATE_AREAS.items()}
+    return rows.select(*[c.alias(k) for k, c in (told | areas).items()], F.lit("/".join(year.groups()) if year else "").alias("year"))
+
 
 
 def notices(pages: DataFrame) -> DataFrame:

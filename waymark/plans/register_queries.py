@@ -87,10 +87,14 @@ def outline_extents(spark, sf):
     return found.withColumns({c: F.round(c, 6) for c in ("lat", "lng")})
 
 
-@query()
+@query(f"""with p as (select key, lat, lng, case when weight % 5 <> 0 then weight * 9.0::double end azimuth, {HAV.format(a='lat', b='lng', c='51.4::double', d='-2.2::double')} m from {v.DENSE}
+  where weight <> 20 and abs(lat - 51.4::double) <= 3000::double / 111320 and abs(lng + 2.2::double) <= 3000::double / 111320 / cos(radians(51.4::double))),
+ b as (select *, (degrees(atan2(sin(radians(-2.2::double - lng)) * cos(radians(51.4::double)), cos(radians(lat)) * sin(radians(51.4::double)) - sin(radians(lat)) * cos(radians(51.4::double)) * cos(radians(-2.2::double - lng)))) + 720 - azimuth) % 360 turn from p),
+ f as (select key, m, case when m > 5 then least(turn, 360 - turn) <= 60 end facing from b)
+ select key, facing, coalesce(not facing, false) away, round(m, 4) metres from f order by away, m, key limit 200""")
 def photos_of_place(spark, sf):
-    photos = v.dense(spark, sf).withColumn("azimuth", F.when(F.col("weight") % 5 != 0, F.col("weight") * 9.0))
-    return registers.photos_of(photos, 51.4, -2.2, 3000).select("key", "away", F.round("metres", 4).alias("metres"))
+    photos = v.dense(spark, sf).withColumns({"azimuth": F.when(F.col("weight") % 5 != 0, F.col("weight") * 9.0), "thumb": F.when(F.col("weight") != 20, F.col("key"))})
+    return registers.photos_of(photos, 51.4, -2.2, 3000, 200).select("key", "facing", "away", F.round("metres", 4).alias("metres"))
 
 
 @query("""select r_regionkey, round(-6 + i * 0.7::double, 6) w, round(50 + j * 0.7::double, 6) s, round(least(-6 + (i + 1) * 0.7::double, -2), 6) e, round(least(50 + (j + 1) * 0.7::double, 53), 6) n
@@ -375,3 +379,29 @@ def merged_changes(spark, sf):
     seq = F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_suppkey")
     changed = li.select(F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("nm"), (F.col("l_returnflag") == "R").alias("deleted"), F.col("l_shipdate").alias("at"), seq.alias("seq"))
     return changes.merged(store, changed, "k", ["nm"], "2024-02-01 00:00:00").select("k", "nm", F.col("gone_at").isNotNull().alias("gone"))
+
+
+@query("""with live as (select c_custkey k, case when c_mktsegment <> 'BUILDING' then c_custkey end x from customer where c_acctbal >= 0), gone as (select c_custkey k, -c_custkey x from customer where c_nationkey < 12)
+ select o_orderkey as id, coalesce(live.x, gone.x) as at from orders left join live on live.k = o_custkey left join gone on gone.k = o_custkey where coalesce(live.x, gone.x) is not null""")
+def retired_postcodes(spark, sf):
+    """Orders placed by a postcode in use, or else by one that no longer is; some in use have no position."""
+    c, code = v.table(spark, sf, "customer"), lambda k: F.concat(F.lit("BA"), F.col(k).cast("string"), F.lit("1AA")).alias("postcode")
+    at = lambda x: (x.cast("double").alias("lat"), F.lit(0.0).alias("lng"))
+    live = c.where("c_acctbal >= 0").select(code("c_custkey"), *at(F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_custkey"))))
+    gone = c.where("c_nationkey < 12").select(code("c_custkey"), *at(-F.col("c_custkey")))
+    rows = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lower(code("o_custkey")).alias("postcode"))
+    return registers.placed_by_postcode(rows, live, gone).select("id", F.col("lat").cast("bigint").alias("at"))
+
+
+@query("""with e as (select l_orderkey o, l_linenumber n, case when l_returnflag = 'A' then 'Unoccupied' else 'Clinic' end site_type, greatest(l_quantity - 45, 0)::double unoccupied_m2, round(l_discount * 100000)::double empty_m2, case when l_linestatus = 'O' then round(l_extendedprice)::double else 0.0::double end floor_m2 from lineitem)
+ select case when n = 1 then 'Site ' || o else o || '-' || n end as ref, 'Site ' || o as name, '2023/24' as year, unoccupied_m2 > 0 or site_type = 'Unoccupied' as whole, unoccupied_m2, empty_m2, floor_m2 from e
+ where unoccupied_m2 > 0 or site_type = 'Unoccupied' or (floor_m2 > 0 and empty_m2 >= 1000 and empty_m2 / floor_m2 >= 0.5)""")
+def estates_returned(spark, sf):
+    """A return's sites that stand empty, over line items told as a return tells them: numbers with commas, areas found by how their columns start."""
+    comma, whole = lambda c: F.format_number(c, 0), lambda c: c.cast("string")
+    rows = v.table(spark, sf, "lineitem").select(
+        F.when(F.col("l_linenumber") > 1, F.concat(whole(F.col("l_orderkey")), F.lit("-"), whole(F.col("l_linenumber")))).alias("Site Code"), F.concat(F.lit(" Site "), whole(F.col("l_orderkey"))).alias("Site Name"),
+        F.when(F.col("l_returnflag") == "A", "Unoccupied").otherwise("Clinic").alias("Site Type"), whole(F.greatest(F.col("l_quantity") - 45, F.lit(0.0))).alias("Internal floor area - unoccupied (m²)"),
+        comma(F.round(F.col("l_discount") * 100000)).alias("Floor area - empty (m2)"), F.when(F.col("l_linestatus") == "O", comma(F.round("l_extendedprice"))).otherwise("Not Applicable").alias("Gross internal floor area (sqm)"),
+    )
+    return registers.standing_empty(registers.estates_return(rows, "ERIC_2023_24 Site data.csv")).select("ref", "name", "year", "whole", "unoccupied_m2", "empty_m2", "floor_m2")
