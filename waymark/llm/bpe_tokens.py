@@ -40,7 +40,7 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """text -> little-endian unsigned 32-bit ids, as bytes; what the library gives without special tokens added."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, remember: int = REMEMBER) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,6 +52,7 @@ class Encoder:
         if not all(t.startswith("<|") for t in added):
             raise ValueError("a special token that doesn't begin with <| would be missed")
         self.model, self.split, self.letters = self.whole.model, regex.compile(pattern).findall, byte_letters()
+        self.remember = remember
         self.matches: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -85,7 +86,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         for cache in (self.matches, self.chunks):
-            if len(cache) > REMEMBER:
+            if len(cache) > self.remember:
                 cache.clear()
         split, seen, known = [None if whole(t) else t.split(" ") for t in texts], set(), self.chunks
         seen.update(*filter(None, split))
@@ -103,11 +104,11 @@ class Encoder:
         return out
 
 
-_made: dict[str, Encoder] = {}
+_made: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    """One for each Python worker and file."""
-    if path not in _made:
-        _made[path] = Encoder(path, pattern)
-    return _made[path]
+def encoder(path: str, pattern: str, remember: int = REMEMBER) -> Encoder:
+    """One for each Python worker, file and number of matches to remember."""
+    if (path, remember) not in _made:
+        _made[path, remember] = Encoder(path, pattern, remember)
+    return _made[path, remember]

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe_tokens import encoder
+from .bpe_tokens import REMEMBER, encoder
 from .common import shared_folder, text_of
 
 MAGIC = b"WVM1"
@@ -166,7 +166,7 @@ def write_shards(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, fo
             store.move(f"{path}/shards/.{partition}-{shard}-{attempt}", name)
             held, before, tokens, shard = [], before + tokens, 0, shard + 1
 
-        codec = encoder(vocabulary, pattern)
+        codec = encoder(vocabulary, pattern, 2 * REMEMBER)  # the store holds little else in memory
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
