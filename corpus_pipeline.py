@@ -39,7 +39,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents' pieces, packed into sequences of at most 1024 tokens."""
-    pieces = bin_packing.token_pieces(docs, q.VOCABULARY, q.PATTERN, end_id=2, capacity=1024)
+    pieces = bin_packing.token_pieces(docs, q.VOCABULARY, q.PATTERN, end_id=2, capacity=1024, short_first=True)
     return bin_packing.pack(pieces, 1024, salt=["doc_id", "piece", "ids_crc32"])
 
 

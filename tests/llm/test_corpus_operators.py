@@ -179,6 +179,23 @@ def test_packing(spark, odd, docs):
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 10").count() == 0
 
 
+def test_first_piece_of_the_query_is_the_short_one(spark, odd, tmp_path):
+    """The contract's cut: whole pieces but for the first; texts of exactly one and two pieces among them."""
+    codec = Encoder(q.VOCABULARY, q.PATTERN)
+    word = next(w for w in (" the", " and") if len(codec.encode(["x" + w * 40])[0]) == 4 * 41)
+    more = spark.createDataFrame([(100 + n, "x" + word * (n - 2), None, None) for n in (1023, 1024, 1025, 2047, 2048, 2049)], SCHEMA)
+    odd.unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect():
+        ids = np.append(np.frombuffer(codec.encode([r.text or ""])[0], "<u4"), 2).astype("<u4")
+        first = len(ids) % 1024 or 1024
+        ends = [first, *range(first + 1024, len(ids) + 1, 1024)]
+        want.update((r.doc_id, k, at, to - at, zlib.crc32(ids[at:to].tobytes())) for k, (at, to) in enumerate(zip([0, *ends], ends)))
+    assert {n for d, _, _, n, _ in want if d in (1124, 2148)} == {1024}
+    out = q.op3_bin_packing(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
+
+
 def test_fullest_bin_is_the_best_subset():
     rng = random.Random(2)
     for _ in range(100):

@@ -36,7 +36,7 @@ def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = bin_packing.token_pieces(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, end_id=2, capacity=1024)
+    pieces = bin_packing.token_pieces(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, end_id=2, capacity=1024, short_first=True)
     return bin_packing.pack(pieces, 1024, salt=["doc_id", "piece", "ids_crc32"])
 
 
