@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import vocabulary as V
-from waymark.functions.names import given, postcode_of, says
+from waymark.functions.names import given, let, postcode_of, says
 from waymark.functions.text import entities, squashed
 
 CONTEXT = 400  # fixed value: characters looked at on either side of a phrase
@@ -39,10 +39,13 @@ def running(lengths: Column) -> Column:
 def located(text: Column, pattern: str, flags: str = "U") -> Column:
     """array<struct<at, upto, words>>: all finds of a pattern, one after another; at and upto are characters before and up to the end of each. The pattern's own groups aren't looked at. \\G holds each try to the end of the find before, so that text after the last one is read once."""
     parts = lambda g: F.regexp_extract_all(text, F.lit(rf"(?{flags}s)\G(.*?)({pattern})"), F.lit(g))
-    both = F.arrays_zip(parts(1).alias("gap"), parts(2).alias("words"))
-    starts = running(F.transform(both, lambda x: F.length(x["gap"]) + F.length(x["words"])))
     at = lambda x, s: s + F.length(x["gap"])
-    return F.zip_with(both, starts, lambda x, s: F.struct(at(x, s).alias("at"), (at(x, s) + F.length(x["words"])).alias("upto"), x["words"].alias("words")))
+
+    def placed(both: Column) -> Column:
+        starts = running(F.transform(both, lambda x: F.length(x["gap"]) + F.length(x["words"])))
+        return F.zip_with(both, starts, lambda x, s: F.struct(at(x, s).alias("at"), (at(x, s) + F.length(x["words"])).alias("upto"), x["words"].alias("words")))
+
+    return let(F.arrays_zip(parts(1).alias("gap"), parts(2).alias("words")), placed)
 
 
 def last_before(finds: Column, at: Column) -> Column:
@@ -77,9 +80,11 @@ def passages(papers: DataFrame) -> DataFrame:
     Without a label: the first reference that stands alone after a point 1,500 characters before the last site named before it (or 20,000 characters before the phrase). head: the text from there up to the phrase."""
     pages = F.transform(F.coalesce("pages", F.array().cast("array<string>")), lambda p: F.concat(F.coalesce(p, F.lit("")), F.lit("\n")))
     told = papers.select("paper", pages.alias("pages"), F.array_join(pages, "").alias("text")).where(F.col("text").rlike(f"(?iU){PHRASE}"))
-    found = told.select(
-        "paper", "text", running(F.transform("pages", lambda p: F.length(p))).alias("starts"), located(F.col("text"), V.PAPER_REF).alias("refs"), located(F.col("text"), V.PAPER_SITE + ".", "Ud").alias("sites"), F.explode(located(F.col("text"), PHRASE, "iU")).alias("hit"),
+    # labels are located before phrases become rows: once for each paper, not for each phrase in it
+    labelled = told.select(
+        "paper", "text", running(F.transform("pages", lambda p: F.length(p))).alias("starts"), located(F.col("text"), V.PAPER_REF).alias("refs"), located(F.col("text"), V.PAPER_SITE + ".", "Ud").alias("sites"),
     )
+    found = labelled.select("paper", "text", "starts", "refs", "sites", F.explode(located(F.col("text"), PHRASE, "iU")).alias("hit"))
     at, ref = F.col("hit.at"), last_before(F.col("refs"), F.col("hit.at"))
     site = last_before(F.col("sites"), at)
     start = F.coalesce(ref["at"], F.greatest(F.lit(0), site["at"] - 1500), F.greatest(F.lit(0), at - 20_000))
@@ -95,7 +100,8 @@ def passages(papers: DataFrame) -> DataFrame:
 
 def statements(papers: DataFrame) -> DataFrame:
     """(paper, at, page, phrase, sentence, ref, site, proposal, easting, northing): sentences that say it of the site itself, not of a neighbour, a rule, or a building that has gone; questions and very long ones are left out."""
-    rows = passages(papers).withColumn("sentence", sentence_around(F.col("text"), F.col("at"), F.col("upto")))
+    # as a row of its own, a sentence is made once, whatever is asked of it
+    rows = passages(papers).select("*", F.explode(F.array(sentence_around(F.col("text"), F.col("at"), F.col("upto")))).alias("sentence"))
     said = F.col("sentence")
     fits = ~says(said, V.PAPER_ELSEWHERE) & ~says(said, V.PAPER_RULE) & ~says(said, V.PAPER_GONE) & ~F.endswith(said, F.lit("?")) & (F.length(said) <= V.LONGEST_SENTENCE)
     value = lambda label: F.regexp_replace(squash(F.regexp_extract("head", f"{UNIX}(?s){label}{V.PAPER_VALUE}", 1)), "^[ ,]+|[ ,]+$", "")
