@@ -81,7 +81,7 @@ CLASSIFIED = f"""(with f as (select *, {_life('abandoned')} a, {_life('disused')
 def classified_features(spark, sf):
     """What the tags of map features tell."""
     j = judges.classify_tags(F.col("tags"), F.col("element"))
-    return features(spark, sf).select("id", j.alias("j")).where("j is not null").select("id", "j.evidence", "j.weight")
+    return features(spark, sf).select("id", judges.leads(j))
 
 
 _KINDS = ", ".join(f"case when {t(p + k)} not in ('yes', 'ruins', '') then replace({t(p + k)}, '_', ' ') end" for k in "building amenity shop tourism leisure industrial man_made railway military historic landuse".split() for p in ("", "abandoned:", "disused:"))
@@ -160,7 +160,7 @@ CLASSIFIED_ITEMS = f"""(with i as (select *, array_to_string(ty, ' | ') j, label
 @query(f"select * from {CLASSIFIED_ITEMS} where evidence is not null")
 def classified_items(spark, sf):
     j = judges.classify_item(F.col("label"), F.col("types"), F.col("states"), F.col("ended"))
-    return items(spark, sf).select("id", j.alias("j")).where("j is not null").select("id", "j.evidence", "j.weight", "j.kind")
+    return items(spark, sf).select("id", judges.leads(j))
 
 
 @query()
@@ -195,7 +195,7 @@ def record_sql(what: str, said: str, column: str) -> str:
 def judged_segments(spark, sf):
     """The first telling part of each register record's list of types."""
     j = judges.judge_segments(F.col("site_type"), F.coalesce("name", F.lit("")))
-    return picked(spark, sf, S.RECORDS).select("id", j.alias("j")).where("j is not null").select("id", "j.weight", "j.kind", "j.what")
+    return judges.with_lead(picked(spark, sf, S.RECORDS), j).select("id", "j.weight", "j.kind", "j.what")
 
 
 @query()
