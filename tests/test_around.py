@@ -55,3 +55,34 @@ def test_ways_to_a_place(spark):
     assert got["far"].right_of_way is None and got["far"].path is None and got["far"].parking is None and got["far"].private == []
     pieces = registers.line_pieces(df)
     assert pieces.where(F.greatest(F.abs(F.col("a_lat") - F.col("b_lat")) * 111_195, F.abs(F.col("a_lng") - F.col("b_lng")) * 55_600) > 201).count() == 0
+
+
+def test_crowds_are_settled_close_by_and_dealt_over_tasks(spark, monkeypatch):
+    """With few pairs to a task, what takes many tasks gives the rows of one; of many copies at a spot two keys are looked at."""
+    monkeypatch.setattr(sites, "TASK_PAIRS", 200)
+    rnd = random.Random(7)
+    spots = [(i, 51.4 + rnd.random() ** 3 * 0.01, -2.2 + rnd.random() ** 3 * 0.01) for i in range(300)] + [(i, 51.4, -2.2) for i in range(300, 360)]
+    d = spark.createDataFrame(spots, "key long, lat double, lng double")
+    far = {(a, b): metres(p, q) for a, *p in spots for b, *q in spots}
+    pairs = sites.near_pairs(d, d, 150, 0.002)
+    assert sorted((r.key, r.r_key) for r in pairs.collect()) == sorted(k for k, m in far.items() if m <= 150)
+    assert pairs.columns == ["key", "lat", "lng", "r_key", "r_lat", "r_lng", "metres"]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    for same in (True, False):
+        want = {a: min((m, b) for (x, b), m in far.items() if x == a and (same or b != a)) for a, *_ in spots}
+        got = {r.key: (r.metres, r.r_key) for r in sites.nearest_of(d, d, 150, 0.002, same=same).collect()}
+        assert {k: v[1] for k, v in got.items()} == {k: b for k, (m, b) in want.items() if m <= 150}
+
+
+def test_ways_to_a_place_in_a_crowd(spark, monkeypatch):
+    rnd = random.Random(3)
+    near = lambda: (51.4 + rnd.uniform(0, 0.01), -2.2 + rnd.uniform(0, 0.01))
+    kinds = [{"designation": "public_footpath", "highway": "path"}, {"highway": "track"}, {"amenity": "parking"}, {"highway": "path", "access": "private"}, {"barrier": "gate", "access": "no"}, {"highway": "steps"}, {"designation": "public_bridleway"}]
+    features = [way(near(), *([near()] if "amenity" not in k and "barrier" not in k else []), **k) for _ in range(12) for k in kinds]
+    df = spark.createDataFrame(features, "line array<struct<lat:double,lng:double>>, tags map<string,string>")
+    places = spark.createDataFrame([(str(i), *near()) for i in range(40)], "key string, lat double, lng double")
+    read = lambda: sorted(map(str, registers.access_summary(places, df).collect()))
+    want = read()
+    monkeypatch.setattr(sites, "TASK_PAIRS", 100)
+    assert read() == want
