@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geo, judges, names
 from waymark.functions import vocabulary as V
 from waymark.functions.names import given, says
+from waymark.operators import sites
 from waymark.operators.sites import near_pairs, without_near
 from waymark.operators.staging import staged
 
@@ -193,6 +194,8 @@ def stale_intros(titles: DataFrame, intros: DataFrame, as_of: str, days: int = 9
 
 
 PIECE_M = 200.0
+#: Where much stands around a place, looked at before a class's own reach.
+CLOSE_M = (25.0, 100.0)
 
 
 def line_pieces(features: DataFrame) -> DataFrame:
@@ -235,16 +238,25 @@ def access_summary(places: DataFrame, features: DataFrame) -> DataFrame:
         "path": (V.PATH_M, ~parking & ~shut & way & path & right.isNull(), label), "private": (V.PRIVATE_M, ~parking & shut, thing),
     }
     spots = places.select("key", "lat", "lng")
-    kept = features.select("line", F.coalesce(*[F.when(c, F.struct(F.lit(k).alias("class"), what.alias("what"))) for k, (_, c, what) in classes.items()]).alias("as"), F.coalesce(given(t("prow_ref")), given(t("ref"))).alias("ref"), yes(t("fee") == "yes").alias("fee"))
-    pieces = staged(line_pieces(kept.where("`as` is not null").select("line", "as.class", "as.what", "ref", "fee")), "line-pieces")  # read once for each reach
-    found = []
-    for reach in sorted({r for r, *_ in classes.values()}):
-        own = pieces.where(F.col("class").isin([k for k, (r, *_) in classes.items() if r == reach]))
+    kind = F.coalesce(*[F.when(c, F.struct(F.lit(k).alias("class"), what.alias("what"), F.coalesce(given(t("prow_ref")), given(t("ref"))).alias("ref"), yes(t("fee") == "yes").alias("fee"))) for k, (_, c, what) in classes.items()])
+    pieces = staged(line_pieces(features.select("line", judges.leads(kind))), "line-pieces")  # read once for each reach
+    def within(spots: DataFrame, own: DataFrame, reach: float) -> DataFrame:
         # a piece's middle is within half a piece of its nearest point
-        pairs = near_pairs(spots, own, reach + PIECE_M / 2 + 1, 0.005).withColumn("p", nearest_of_piece(F.col("lat"), F.col("lng")))
+        pairs = near_pairs(spots, own, reach + PIECE_M / 2 + 1, cell(reach), dear=50).select("*", F.explode(F.array(nearest_of_piece(F.col("lat"), F.col("lng")))).alias("p"))
         far = pairs.withColumn("m", geo.haversine_m(F.col("lat"), F.col("lng"), F.col("p.lat"), F.col("p.lng"))).where(F.col("m") <= reach)
         wind = geo.compass(geo.bearing_deg(F.col("lat"), F.col("lng"), F.col("p.lat"), F.col("p.lng")))
-        found.append(far.select("key", F.col("r_class").alias("class"), F.bround("m", 0).cast("bigint").alias("d"), F.col("r_what").alias("what"), wind.alias("direction"), F.col("r_ref").alias("ref"), F.col("r_fee").alias("fee")))
+        return far.select("key", F.col("r_class").alias("class"), F.bround("m", 0).cast("bigint").alias("d"), F.col("r_what").alias("what"), wind.alias("direction"), F.col("r_ref").alias("ref"), F.col("r_fee").alias("fee"))
+
+    cell = lambda reach: min(0.005, (reach + PIECE_M / 2) / 111_195)
+    found = []
+    for k, (reach, *_) in classes.items():
+        own, left = pieces.where(F.col("class") == k), spots
+        if k != "private" and sites.pairs_to_compare(spots, own, reach + PIECE_M / 2 + 1, cell(reach)) > sites.TASK_PAIRS:
+            for close in CLOSE_M:  # where much is around, what is close by settles most places; of equal metres all are then known
+                near = staged(within(left, own, close).groupBy("key", "class", "what").agg(F.min(F.struct("d", "direction", "ref", "fee")).alias("n")).select("key", "class", "n.d", "what", "n.direction", "n.ref", "n.fee"), "close-by")
+                found.append(near)
+                left = staged(left.join(near.where(F.col("d") <= close - 1).select("key").distinct(), "key", "left_anti"), "without")
+        found.append(within(left, own, reach))
     told = functools.reduce(DataFrame.unionAll, found)
     nearest = told.groupBy("key", "class", "what").agg(F.min(F.struct("d", "what", "direction", "ref", "fee")).alias("n"))
     least = lambda k: F.min(F.when(F.col("class") == k, F.col("n"))).alias(k)
