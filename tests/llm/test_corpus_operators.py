@@ -13,7 +13,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from waymark.llm import backoff_model, bin_packing, partenum_join, pii_surrogates, projection_forest, quality_classifier, quality_rules, ring_shards, tiktoken_codec, wavelet_store
+from waymark.llm import backoff_model, bin_packing, bpe_tokens, partenum_join, pii_surrogates, projection_forest, quality_classifier, quality_rules, ring_shards, tiktoken_codec, wavelet_store
 from waymark.llm import queries as q
 from waymark.llm.bpe_tokens import Encoder
 from waymark.llm.common import word_hashes
@@ -147,6 +147,22 @@ def test_encoder_equals_the_library(docs):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t[:50]
 
 
+def test_encoder_over_many_small_blocks(docs, monkeypatch):
+    """Matches go through the library many to a call and once while remembered; blocks and memories of any size give the same ids."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(q.VOCABULARY)
+    texts = [r.text or "" for r in docs.collect()] + ["one\ntwo three\x0bfour", "it's 12 o'clock,\n\nsays she", "\u010a a \u0120b\nc", "naïve café – déjà", "x", "same same\nsame"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for block, together, remember in ((1, 3, 5), (2000, 7, 100), (8 << 20, 16_384, 400_000)):
+        monkeypatch.setattr(bpe_tokens, "BLOCK", block), monkeypatch.setattr(bpe_tokens, "TOGETHER", together)
+        codec = Encoder(q.VOCABULARY, q.PATTERN, remember)
+        assert [np.frombuffer(i, "<u4").tolist() for i in codec.encode(texts)] == want
+        assert [np.frombuffer(i, "<u4").tolist() for i in codec.encode(texts)] == want
+    monkeypatch.setattr(codec, "_ids_of_matches", None)  # what is remembered isn't encoded again
+    assert codec.encode(texts) and len(codec.known) == len(codec.many) and int(codec.many.sum()) == len(codec.ids)
+
+
 def test_shards_are_placed_without_python(spark, docs):
     plan = ring_shards.shard(docs)._jdf.queryExecution().toString()
     assert "ExistingRDD" not in plan and "Python" not in plan and "Arrow" not in plan, plan

@@ -23,21 +23,23 @@ from .bpe_tokens import encoder
 from .common import blocks, spare, staged, text_of
 
 
+#: Matches that the encoder of a packing worker remembers: the worker keeps them while the other stages of a pipeline run.
+REMEMBER = 200_000
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, capacity: int, text: str = "text", key: str = "doc_id", short_first: bool = False) -> DataFrame:
     """(key, piece, start, length, ids_crc32) of each document's ids with the end id, cut only where longer than capacity. One piece may be shorter: the last, or with short_first the first."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = encoder(vocabulary, pattern), np.array([end_id], "<u4").tobytes()
-        for b in blocks(batches, "__t", 4 << 20):
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
-                rows: list[tuple] = []
-                for d, raw in enumerate(codec.encode(part.column(1).to_pylist())):
-                    raw += end
-                    ends = range(len(raw) % (4 * capacity) or 4 * capacity, len(raw) + 1, 4 * capacity) if short_first else [*range(4 * capacity, len(raw), 4 * capacity), len(raw)]
-                    rows += [(d, k, at // 4, (to - at) // 4, zlib.crc32(raw[at:to])) for k, (at, to) in enumerate(zip([0, *ends], ends, strict=False))]
-                of, *rest = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], [key, "piece", "start", "length", "ids_crc32"])
+        codec, end = encoder(vocabulary, pattern, REMEMBER), np.array([end_id], "<u4").tobytes()
+        for part in blocks(batches, "__t", 4 << 20):
+            rows: list[tuple] = []
+            for d, raw in enumerate(codec.encode(part.column(1).to_pylist())):
+                raw += end
+                ends = range(len(raw) % (4 * capacity) or 4 * capacity, len(raw) + 1, 4 * capacity) if short_first else [*range(4 * capacity, len(raw), 4 * capacity), len(raw)]
+                rows += [(d, k, at // 4, (to - at) // 4, zlib.crc32(raw[at:to])) for k, (at, to) in enumerate(zip([0, *ends], ends, strict=False))]
+            of, *rest = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], [key, "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(key, text_of(text).alias("__t"))
     return rows.mapInArrow(cut, f"{key} {rows.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")

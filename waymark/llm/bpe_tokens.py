@@ -1,24 +1,30 @@
 """Ids by the tokenizers library, with each distinct piece that its pattern matches encoded once for each worker.
 
 A chunk runs from one single space to the next. Where no space of a text touches other white space, no match of the pattern crosses
-such a border, so the ids of the text are the ids of its chunks in a row. Chunks not met before are split by the pattern, and matches
-not met before go through the library's BPE model. Texts with other spacing, with letters beyond the scripts whose classes every
-regex library agrees on, or with the string of a special token (which the library, as it comes, takes for that token), are encoded whole by the library.
+such a border, so the ids of the text are the ids of its chunks in a row. The distinct chunks of a block are split by the pattern, and
+matches not met before go through the library's BPE model, many to a call; texts are put together from their ids by position. Texts with
+other spacing, with letters beyond the scripts whose classes every regex library agrees on, or with the string of a special token (which the
+library, as it comes, takes for that token), are encoded whole by the library.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BEYOND = re.compile(r"[^\x00-\u04ff\u2013-\u2026]")
 #: White space among the letters that _BEYOND leaves, but for the single space.
 _WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
-#: Matches, and chunks, to remember for each worker (about 200 bytes each); beyond that it starts anew.
-REMEMBER = 200_000
-#: Letters of the longest match or chunk that is remembered beyond its batch.
-LONGEST = 64
+#: Letters of text whose distinct chunks are encoded together, about.
+BLOCK = 8 << 20
+#: Matches to remember for each worker, some 200 bytes each; beyond that it starts anew.
+REMEMBER = 400_000
+#: Matches that go through the model in one call, which holds some hundred bytes for each of their tokens.
+TOGETHER = 16_384
 
 
 def whole(text: str) -> bool:
@@ -37,77 +43,124 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(rest)) for b in range(256)}
 
 
+def _gathered(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """ids from each start, as many as its length, in a row."""
+    ends = np.cumsum(lengths)
+    return ids[np.arange(int(ends[-1])) + np.repeat(starts - (ends - lengths), lengths)]
+
+
 class Encoder:
     """text -> little-endian unsigned 32-bit ids, as bytes; what the library gives without special tokens added."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, remember: int = REMEMBER) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         added = {t.content for t in self.whole.get_added_tokens_decoder().values()}
         if not all(t.startswith("<|") for t in added):
             raise ValueError("a special token that doesn't begin with <| would be missed")
-        self.model, self.split, self.letters = self.whole.model, regex.compile(pattern).findall, byte_letters()
-        self.matches: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def whole_ids(self, text: str) -> bytes:
-        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _encode_matches(self, found: list[str]) -> None:
-        """Adds what the model makes of each; letters of other encodings never reach it."""
-        if not found:
-            return
-        tokens = map(self.model.tokenize, "\n".join(found).encode().decode("latin-1").translate(self.letters).split("Ċ"))
-        self.matches.update(zip(found, (np.array([t.id for t in ts], "<u4").tobytes() if len(ts) > 3 else b"".join([t.id.to_bytes(4, "little") for t in ts]) for ts in tokens), strict=True))
-
-    def _ids_of_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        if not chunks:
-            return {}
-        found = self.split(" " + " ".join(chunks))
-        known = self.matches
-        fresh = [m for m in set(found) if m not in known]
-        plain = [m for m in fresh if "\n" not in m]
-        self._encode_matches(plain)
-        for m in fresh if len(plain) < len(fresh) else ():
-            if "\n" in m:
-                known[m] = self.whole_ids(m)
-        starts = [i for i, m in enumerate(found) if m[0] == " "]
-        ids = [*map(known.__getitem__, found)]
-        for m in fresh:
-            if len(m) > LONGEST:
-                del known[m]
-        return {c: b"".join(ids[i:j]) for c, i, j in zip(chunks, starts, [*starts[1:], len(ids)], strict=True)}
+        self.matches = Tokenizer(self.whole.model)  # of matches in byte letters, a line each
+        self.matches.pre_tokenizer, self.line = pre_tokenizers.Split("Ċ", "isolated"), self.whole.token_to_id("Ċ")
+        self.split, self.letters, self.remember = regex.compile(pattern).findall, byte_letters(), remember
+        self.forget()
+
+    def forget(self) -> None:
+        """Starts anew: no match is known."""
+        self.known: dict[str, int] = {}  # the number of each match met before
+        self.ids, self.many = np.zeros(0, "<u4"), np.zeros(0, np.int64)  # ids of all of them in a row, and how many each has
+
+    def whole_ids(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _ids_of_matches(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all matches in a row, how many each has); letters of other encodings never reach the model."""
+        plain = [m for m in found if "\n" not in m]
+        coded = "\n".join(plain).encode().decode("latin-1").translate(self.letters).split("Ċ") if plain else []
+        ids, many = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for i in range(0, len(coded), TOGETHER):
+            made = np.array(self.matches.encode_batch_fast(["Ċ".join(coded[i : i + TOGETHER])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(made == self.line), len(made))
+            ids.append(made[made != self.line]), many.append(np.diff(ends, prepend=-1) - 1)
+        if len(plain) < len(found):  # those with a line's end come behind, and go where they belong
+            rest = [self.whole_ids(m) for m in found if "\n" in m]
+            ids, many = [*ids, *rest], [*many, np.array([len(r) for r in rest])]
+            place = np.argsort(np.argsort(["\n" in m for m in found], kind="stable"))
+            ids, many = np.concatenate(ids), np.concatenate(many)
+            return _gathered(ids, (np.cumsum(many) - many)[place], many[place]), many[place]
+        return np.concatenate(ids), np.concatenate(many)
+
+    def _ids_of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks in a row, each with a space before it; how many each has)."""
+        coded = pa.array(self.split(" " + " ".join(chunks)), pa.large_string()).dictionary_encode()
+        found, codes = coded.dictionary, coded.indices.to_numpy()
+        known, names = self.known, found.to_pylist()
+        fresh = [m for m in names if m not in known]
+        if len(known) + len(fresh) > self.remember:
+            self.forget()
+            known, fresh = self.known, names
+        if fresh:
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            ids, many = self._ids_of_matches(fresh)
+            self.ids, self.many = np.concatenate([self.ids, ids]), np.concatenate([self.many, many])
+        ids, many = self.ids, self.many
+        codes = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[codes]
+        begins = np.flatnonzero(pc.starts_with(found, " ").to_numpy(zero_copy_only=False)[coded.indices.to_numpy()])
+        return _gathered(ids, (np.cumsum(many) - many)[codes], many[codes]), np.add.reduceat(many[codes], begins)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.matches, self.chunks):
-            if len(cache) > REMEMBER:
-                cache.clear()
-        split, seen, known = [None if whole(t) else t.split(" ") for t in texts], set(), self.chunks
-        seen.update(*filter(None, split))
-        fresh = [c for c in seen if c not in known]
-        known.update(self._ids_of_chunks(fresh))
-        get, out = known.__getitem__, []
-        for t, chunks in zip(texts, split, strict=True):
-            if chunks is None:
-                out.append(self.whole_ids(t) if t else b"")
-            else:  # the first chunk has no space before it
-                out.append(b"".join([self.whole_ids(chunks[0]), *map(get, chunks[1:])]))
-        for c in fresh:
-            if len(c) > LONGEST:
-                del known[c]
+        out, at, size = [b""] * len(texts), [], 0
+        for i, t in enumerate(texts):
+            if whole(t):
+                out[i] = self.whole_ids(t).tobytes() if t else b""
+                continue
+            at.append(i)
+            size += len(t)
+            if size >= BLOCK:
+                self._encode(texts, at, out)
+                at, size = [], 0
+        if at:
+            self._encode(texts, at, out)
         return out
 
-
-_made: dict[str, Encoder] = {}
-
-
-def encoder(path: str, pattern: str) -> Encoder:
-    """One for each Python worker and file."""
-    if path not in _made:
-        _made[path] = Encoder(path, pattern)
-    return _made[path]
+    def _encode(self, texts: list[str], at: list[int], out: list[bytes]) -> None:
+        """Sets out at the places `at` of texts that can be cut."""
+        collects = gc.isenabled()
+        gc.disable()  # long lists of letters alone: there is nothing to collect
+        try:
+            self._put(texts, at, out)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _put(self, texts: list[str], at: list[int], out: list[bytes]) -> None:
+        lists = pc.split_pattern(pa.array([texts[i] for i in at], pa.large_string()), " ")
+        many, coded = pc.list_value_length(lists).to_numpy(), lists.flatten().dictionary_encode()
+        del lists
+        codes = coded.indices.to_numpy()
+        ids, size = self._ids_of_chunks(coded.dictionary.to_pylist())
+        # the first chunk of a text has no space before it: it is encoded by itself, behind the others
+        first = np.cumsum(many) - many
+        heads, which = np.unique(codes[first], return_inverse=True)
+        alone = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(coded.dictionary.take(pa.array(heads)).to_pylist(), add_special_tokens=False)]
+        codes = codes.astype(np.int64)
+        codes[first] = len(size) + which
+        ids, size = np.concatenate([ids, *alone]), np.append(size, [len(a) for a in alone])
+        length = size[codes]
+        raw = _gathered(ids, (np.cumsum(size) - size)[codes], length).tobytes()
+        cut = 4 * np.append(0, np.cumsum(np.add.reduceat(length, first)))
+        for i, a, b in zip(at, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            out[i] = raw[a:b]
+
+
+_made: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, pattern: str, remember: int = REMEMBER) -> Encoder:
+    """One for each Python worker, file and size of its memory."""
+    if (path, remember) not in _made:
+        _made[path, remember] = Encoder(path, pattern, remember)
+    return _made[path, remember]

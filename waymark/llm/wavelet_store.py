@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe_tokens import encoder
-from .common import shared_folder, text_of
+from .bpe_tokens import BLOCK, encoder
+from .common import blocks, shared_folder, text_of
 
 MAGIC = b"WVM1"
 
@@ -40,12 +40,13 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, x = [], np.ascontiguousarray(ids, np.uint32)
+        kind = np.uint16 if bits <= 16 else np.uint32  # half as much to move
+        planes, x = [], np.ascontiguousarray(ids, kind)
         for b in range(bits - 1, -1, -1):
-            bit = (x >> np.uint32(b)) & np.uint32(1)
-            packed = np.packbits(bit.astype(bool), bitorder="little")
+            bit = (x & kind(1 << b)) != 0
+            packed = np.packbits(bit, bitorder="little")
             planes.append(np.concatenate([packed, np.zeros(-len(packed) % 64, np.uint8)]))
-            x = np.concatenate([x[bit == 0], x[bit == 1]])
+            x = np.concatenate([np.compress(~bit, x), np.compress(bit, x)])
         return cls(planes, len(ids))
 
     def rank1(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -98,14 +99,15 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """The whole sequence: the planes undone from the last to the first."""
-        x = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        x = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
-            back = np.empty(self.n, np.uint32)
+            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            back = np.empty(self.n, kind)
             back[~bit] = x[: self.zeros[level]]
-            back[bit] = x[self.zeros[level] :] | np.uint32(1 << (self.bits - 1 - level))
+            back[bit] = x[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             x = back
-        return x
+        return x.astype(np.uint32)
 
 
 def pack(docs: np.ndarray, missing: np.ndarray, lengths: np.ndarray, ids: np.ndarray, bits: int, **header) -> bytes:
@@ -167,14 +169,12 @@ def write_shards(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, fo
             held, before, tokens, shard = [], before + tokens, 0, shard + 1
 
         codec = encoder(vocabulary, pattern)
-        for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
-                for d, ids in zip(part.column(0).to_pylist(), codec.encode(part.column(1).to_pylist()), strict=True):
-                    held.append((d, ids + end))
-                    tokens += len(ids) // 4 + 1
-                    if tokens >= shard_tokens:
-                        flush()
+        for b in blocks(batches, "t", BLOCK):
+            for d, ids in zip(b.column("d").to_pylist(), codec.encode(b.column("t").to_pylist()), strict=True):
+                held.append((d, ids + end))
+                tokens += len(ids) // 4 + 1
+                if tokens >= shard_tokens:
+                    flush()
         if held:
             flush()
         if before:
