@@ -752,3 +752,20 @@ def test_very_long_texts(spark):
     folder = wavelet_store.write_shards(df, q.VOCABULARY, q.PATTERN, 0, shard_tokens=100_000)
     got = {r.doc_id: r.n_tokens for r in wavelet_store.read_digests(spark, folder).collect()}
     assert got[1] == got[3] > 600_000
+
+
+def test_packing_forgets_at_the_end_of_a_task(spark, docs):
+    """A worker that stays for the stages of a pipeline holds no matches of the texts that it packed."""
+    rows = docs.coalesce(1)
+
+    def held(batches):
+        import pyarrow as pa
+
+        from waymark.llm import bpe_tokens as used
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": [sum(len(e.known) for e in used._made.values())]})
+
+    bin_packing.token_pieces(rows, q.VOCABULARY, q.PATTERN, 2, 1024).count()
+    assert spark.range(64).repartition(8).mapInArrow(held, "n long").agg(F.sum("n")).first()[0] == 0

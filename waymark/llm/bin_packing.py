@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_tokens import encoder
-from .common import blocks, spare, staged, text_of
+from .common import blocks, give_back, spare, staged, text_of
 
 
-#: Matches that the encoder of a packing worker remembers: the worker keeps them while the other stages of a pipeline run.
+#: Matches that the encoder of a packing worker remembers within a task.
 REMEMBER = 200_000
 
 
@@ -40,6 +40,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, ca
                 rows += [(d, k, at // 4, (to - at) // 4, zlib.crc32(raw[at:to])) for k, (at, to) in enumerate(zip([0, *ends], ends, strict=False))]
             of, *rest = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], [key, "piece", "start", "length", "ids_crc32"])
+        codec.forget()  # a worker is kept while the other stages of a pipeline run
+        give_back()
 
     rows = docs.select(key, text_of(text).alias("__t"))
     return rows.mapInArrow(cut, f"{key} {rows.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")

@@ -20,7 +20,7 @@ _BEYOND = re.compile(r"[^\x00-\u04ff\u2013-\u2026]")
 #: White space among the letters that _BEYOND leaves, but for the single space.
 _WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
 #: Letters of text whose distinct chunks are encoded together, about.
-BLOCK = 8 << 20
+BLOCK = 12 << 20
 #: Matches to remember for each worker, some 200 bytes each; beyond that it starts anew.
 REMEMBER = 400_000
 #: Matches that go through the model in one call, which holds some hundred bytes for each of their tokens.
@@ -31,8 +31,9 @@ def whole(text: str) -> bool:
     """Whether a text's spacing or letters call for encoding it in one."""
     if not text or "<|" in text or text[0].isspace() or text[-1].isspace() or "  " in text:
         return True
-    if any(w in text and (f"{w} " in text or f" {w}" in text) for w in _WHITE):
-        return True
+    for w in _WHITE:
+        if w in text and (f"{w} " in text or f" {w}" in text):
+            return True
     return not text.isascii() and _BEYOND.search(text) is not None
 
 
@@ -93,11 +94,18 @@ class Encoder:
             return _gathered(ids, (np.cumsum(many) - many)[place], many[place]), many[place]
         return np.concatenate(ids), np.concatenate(many)
 
-    def _ids_of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all chunks in a row, each with a space before it; how many each has)."""
-        coded = pa.array(self.split(" " + " ".join(chunks)), pa.large_string()).dictionary_encode()
-        found, codes = coded.dictionary, coded.indices.to_numpy()
-        known, names = self.known, found.to_pylist()
+    def _ids_of_chunks(self, chunks: list[str], heads: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks in a row, each with a space before it, and of all heads, without one; how many each has)."""
+        alone = [self.split(h) for h in heads]
+        found = self.split(" " + " ".join(chunks))
+        spaced = len(found)
+        coded = pa.array(found + [m for a in alone for m in a], pa.large_string()).dictionary_encode()
+        del found
+        at, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        begins = np.flatnonzero(pc.starts_with(coded.dictionary, " ").to_numpy(zero_copy_only=False)[at[:spaced]])
+        parts = np.array([len(a) for a in alone])
+        begins = np.concatenate([begins, spaced + np.cumsum(parts) - parts])
+        known = self.known
         fresh = [m for m in names if m not in known]
         if len(known) + len(fresh) > self.remember:
             self.forget()
@@ -106,10 +114,9 @@ class Encoder:
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             ids, many = self._ids_of_matches(fresh)
             self.ids, self.many = np.concatenate([self.ids, ids]), np.concatenate([self.many, many])
-        ids, many = self.ids, self.many
-        codes = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[codes]
-        begins = np.flatnonzero(pc.starts_with(found, " ").to_numpy(zero_copy_only=False)[coded.indices.to_numpy()])
-        return _gathered(ids, (np.cumsum(many) - many)[codes], many[codes]), np.add.reduceat(many[codes], begins)
+        codes = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[at]
+        size = self.many[codes]
+        return _gathered(self.ids, (np.cumsum(self.many) - self.many)[codes], size), np.add.reduceat(size, begins)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, at, size = [b""] * len(texts), [], 0
@@ -140,15 +147,12 @@ class Encoder:
         lists = pc.split_pattern(pa.array([texts[i] for i in at], pa.large_string()), " ")
         many, coded = pc.list_value_length(lists).to_numpy(), lists.flatten().dictionary_encode()
         del lists
-        codes = coded.indices.to_numpy()
-        ids, size = self._ids_of_chunks(coded.dictionary.to_pylist())
-        # the first chunk of a text has no space before it: it is encoded by itself, behind the others
+        codes = coded.indices.to_numpy().astype(np.int64)
+        # the first chunk of a text has no space before it
         first = np.cumsum(many) - many
         heads, which = np.unique(codes[first], return_inverse=True)
-        alone = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(coded.dictionary.take(pa.array(heads)).to_pylist(), add_special_tokens=False)]
-        codes = codes.astype(np.int64)
-        codes[first] = len(size) + which
-        ids, size = np.concatenate([ids, *alone]), np.append(size, [len(a) for a in alone])
+        ids, size = self._ids_of_chunks(coded.dictionary.to_pylist(), coded.dictionary.take(pa.array(heads)).to_pylist())
+        codes[first] = len(coded.dictionary) + which
         length = size[codes]
         raw = _gathered(ids, (np.cumsum(size) - size)[codes], length).tobytes()
         cut = 4 * np.append(0, np.cumsum(np.add.reduceat(length, first)))
