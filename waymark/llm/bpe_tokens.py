@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import strings
+
 _BEYOND = re.compile(r"[^\x00-\u04ff\u2013-\u2026]")
 #: White space among the letters that _BEYOND leaves, but for the single space.
 _WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
@@ -101,7 +103,7 @@ class Encoder:
         spaced = len(found)
         coded = pa.array(found + [m for a in alone for m in a], pa.large_string()).dictionary_encode()
         del found
-        at, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        at, names = coded.indices.to_numpy(), strings(coded.dictionary)
         begins = np.flatnonzero(pc.starts_with(coded.dictionary, " ").to_numpy(zero_copy_only=False)[at[:spaced]])
         parts = np.array([len(a) for a in alone])
         begins = np.concatenate([begins, spaced + np.cumsum(parts) - parts])
@@ -151,7 +153,7 @@ class Encoder:
         # the first chunk of a text has no space before it
         first = np.cumsum(many) - many
         heads, which = np.unique(codes[first], return_inverse=True)
-        ids, size = self._ids_of_chunks(coded.dictionary.to_pylist(), coded.dictionary.take(pa.array(heads)).to_pylist())
+        ids, size = self._ids_of_chunks(strings(coded.dictionary), strings(coded.dictionary.take(pa.array(heads))))
         codes[first] = len(coded.dictionary) + which
         length = size[codes]
         raw = _gathered(ids, (np.cumsum(size) - size)[codes], length).tobytes()
