@@ -13,7 +13,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from waymark.llm import backoff_model, bin_packing, bpe_tokens, partenum_join, pii_surrogates, projection_forest, quality_classifier, quality_rules, ring_shards, tiktoken_codec, wavelet_store
+from waymark.llm import backoff_model, bin_packing, bpe_tokens, common, partenum_join, pii_surrogates, projection_forest, quality_classifier, quality_rules, ring_shards, tiktoken_codec, wavelet_store
 from waymark.llm import queries as q
 from waymark.llm.bpe_tokens import Encoder
 from waymark.llm.common import word_hashes
@@ -327,6 +327,36 @@ def test_backoff(spark, odd, docs, order):
     assert backoff_model.score(odd.limit(0), q.remainder(10) != 0).count() == 0
 
 
+def test_parts_of_a_block_score_as_the_whole():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(1, 40, 60)
+    hashes, at = np.unique(rng.integers(1, 50, counts.sum()).astype(np.uint64), return_inverse=True)
+    grams = backoff_model._grams(hashes[at], counts, 3)
+    every, totals = zip(*(np.unique(g[g != 0], return_counts=True) for g in grams), strict=True)
+    totals = [np.where(rng.random(len(t)) < 0.2, 0, t) for t in totals[:1]] + list(totals[1:])
+    whole, parts = (backoff_model._scored(grams, list(every), totals, counts, at, len(hashes), int(counts.sum()), 2.0, 0.5, part=n) for n in (10**6, 50))
+    assert len(backoff_model._parts(counts, 50)) > 10 and all(np.allclose(a, b) for a, b in zip(whole, parts, strict=True))
+
+
+def test_hashes_travel_in_little_more_than_they_must():
+    """n ascending random hashes of a range of 2^59 need 59 - log2(n) + 1.44 bits each."""
+    keys = np.unique(np.random.default_rng(4).integers(0, 2**59, 20_000, np.uint64))
+    for n in (0, 1, 2, len(keys)):
+        assert (backoff_model._keys_in(backoff_model._keys_out(keys[:n])) == keys[:n]).all()
+    mixed = np.random.default_rng(5).permutation(keys)
+    assert (backoff_model._keys_in(backoff_model._keys_out(mixed)) == mixed).all()
+    assert len(backoff_model._keys_out(keys)) * 8 <= len(keys) * (59 - np.log2(len(keys)) + 1.44) * 1.02
+
+
+def test_distinct_and_numbered():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 1000):
+        for x in (rng.integers(0, 2**64, n, np.uint64), rng.integers(0, 9, n).astype(np.uint64)):
+            want, at = np.unique(x, return_inverse=True)
+            got = common.numbered(x)
+            assert (common.distinct(x) == want).all() and (got[0] == want).all() and (got[1] == at).all()
+
+
 def test_backoff_beats_the_base(spark):
     out = q.op5_backoff_model(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]

@@ -9,8 +9,8 @@ p(w) = (c(w) - d) / N with the d V / N left over for any unknown word; each sums
 The automaton grows with the corpus and is never broadcast. Documents are cut into blocks, kept in the shared folder as word hashes; each block sends
 the hashes of its distinct n-grams, packed by hash range, with their training counts; each range sums its counts and answers every block
 with the totals of the n-grams it sent. A block so gets what is needed for the part of the automaton that its own texts can visit: it numbers the
-states, stores their arcs and failure arcs, and walks its texts through them from left to right, side by side, each carrying its state. Long texts are cut
-into lanes; a lane begins order - 1 words early, after which its state is that of the whole text. Words are told apart by 64-bit hashes, longer
+states, stores their arcs and failure arcs, and walks its texts through them from left to right, side by side, each carrying its state; a part of its texts
+at a time, with the states that these can visit. Long texts are cut into lanes; a lane begins order - 1 words early, after which its state is that of the whole text. Words are told apart by 64-bit hashes, longer
 n-grams by 64 bits. Hash ranges grow with the input.
 
 Null or empty text: the end token alone. A text's history starts empty. Repeated rows: each counts and is scored. Null ids: held_out is null, and they
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, staged, text_of, word_hashes
+from .common import blocks, distinct, mix, numbered, staged, text_of, word_hashes
 
 #: Hash of the token that ends each text; words hash elsewhere.
 END = np.uint64(0xE4D)
@@ -53,18 +53,34 @@ def _grams(tokens: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarra
     return out
 
 
-def _squeezed(x: np.ndarray) -> bytes:
-    """Numbers as bytes, those of one place side by side, so that leading zeros cost nothing."""
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of numbers, those of one place side by side."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+
+
+def _squeezed(x: np.ndarray, low: int = 0) -> bytes:
+    """Numbers as bytes, those of one place side by side, so that leading zeros cost nothing. The `low` lowest places are left as they are: random ones don't shrink, and spoil the code of those beside them."""
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+    raw = _planes(x)
+    return len(x).to_bytes(4, "little") + raw[:low].tobytes() + zstandard.compress(raw[low:].tobytes(), 1)
 
 
-def _unsqueezed(data: bytes, kind: str) -> np.ndarray:
+def _unsqueezed(data: bytes, kind: str, low: int = 0) -> np.ndarray:
     import zstandard
 
-    raw, size = np.frombuffer(zstandard.decompress(data), np.uint8), np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+    n, size = int.from_bytes(data[:4], "little"), np.dtype(kind).itemsize
+    raw = np.concatenate([np.frombuffer(data, np.uint8, low * n, 4), np.frombuffer(zstandard.decompress(data[4 + low * n :]), np.uint8)])
+    return np.ascontiguousarray(raw.reshape(size, n).T).reshape(-1).view(kind)
+
+
+def _keys_out(keys: np.ndarray) -> bytes:
+    """Hashes, best in ascending runs, as their steps (which wrap around): the five low bytes of a step are random."""
+    return _squeezed(np.diff(keys, prepend=np.uint64(0)), 5)
+
+
+def _keys_in(data: bytes) -> np.ndarray:
+    return np.cumsum(_unsqueezed(data, "<u8", 5), dtype=np.uint64)
 
 
 def _pack_counts(x: np.ndarray) -> bytes:
@@ -85,7 +101,19 @@ def _unpack_counts(data: bytes) -> np.ndarray:
 
 
 #: Bytes of text to a block, and to each hash range.
-BLOCK, RANGE = 4 << 20, 16 << 20
+BLOCK, RANGE = 8 << 20, 16 << 20
+#: Tokens of a block whose part of the automaton is built at once, about.
+PART = 600_000
+def _parts(counts: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """The texts from .. to of each part of a block: about `most` tokens; a longer text stands alone."""
+    out, at, ends = [], 0, np.cumsum(counts)
+    while at < len(counts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - counts[at] + most, side="right")))
+        out.append((at, to))
+        at = to
+    return out
+
+
 #: Words to a lane.
 LANE = 512
 
@@ -105,13 +133,16 @@ def score(docs: DataFrame, learn: Column, order: int = 3, mu: float = 2.0, disco
     def name_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "t", BLOCK):
             hashes, counts = _tokens(b.column("t"))
-            local, at = np.unique(hashes, return_inverse=True)
-            packed = {"counts": [_squeezed(counts.astype("<i8"))], "vocabulary": [local.astype("<u8").tobytes()], "tokens": [_squeezed(at.astype("<u4"))]}
+            local, at, times = np.unique(hashes, return_inverse=True, return_counts=True)
+            often = np.argsort(-times, kind="stable")  # the most frequent words first: small numbers; those as frequent by hash
+            rank = np.empty(len(often), "<u4")
+            rank[often] = np.arange(len(often))
+            packed = {"counts": [_squeezed(counts.astype("<i8"))], "vocabulary": [_keys_out(local[often])], "tokens": [_squeezed(rank[at])]}
             yield pa.RecordBatch.from_pydict({"block": [uuid.uuid4().hex], "docs": pa.array([b.column("d")], pa.list_(rows_type)), "learnt": pa.array([b.column("l")], pa.list_(pa.bool_())), **packed})
 
     def read(counts: bytes, vocabulary: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens of each text, words by number, the number of each token's word, word hashes of all tokens)."""
-        words, at = np.frombuffer(vocabulary, "<u8"), _unsqueezed(tokens, "<u4")
+        words, at = _keys_in(vocabulary), _unsqueezed(tokens, "<u4")
         return _unsqueezed(counts, "<i8"), words, at, words[at]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,13 +153,13 @@ def score(docs: DataFrame, learn: Column, order: int = 3, mu: float = 2.0, disco
                 counts, _, _, hashes = read(*(batch.column(c)[row].as_py() for c in ("counts", "vocabulary", "tokens")))
                 used = np.repeat(learnt.fill_null(False).to_numpy(zero_copy_only=False), counts)
                 for n, g in enumerate(_grams(hashes, counts, order), 1):
-                    keys = np.unique(g[g != 0])
-                    total = np.bincount(np.searchsorted(keys, g[used & (g != 0)]), minlength=len(keys))
+                    keys, learn_from = distinct(g[g != 0]), np.sort(g[used & (g != 0)])
+                    total = np.diff(np.searchsorted(learn_from, keys), append=len(learn_from))
                     cut = np.searchsorted(keys, edges)
                     out: dict[str, list] = {c: [] for c in ("range", "keys", "counts")}
                     for r, (k, c) in enumerate(zip(np.split(keys, cut), np.split(total, cut), strict=True)):
                         if len(k):
-                            out["range"].append(r), out["keys"].append(_squeezed(np.diff(k, prepend=np.uint64(0)))), out["counts"].append(_pack_counts(c))
+                            out["range"].append(r), out["keys"].append(_keys_out(k)), out["counts"].append(_pack_counts(c))
                     m = len(out["range"])
                     yield pa.RecordBatch.from_pydict({"range": pa.array(out["range"], pa.int32()), "block": [name] * m, "n": pa.array([n] * m, pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
@@ -139,7 +170,7 @@ def score(docs: DataFrame, learn: Column, order: int = 3, mu: float = 2.0, disco
         r = table.column("range")[0].as_py()
         for n in sorted(set(ns)):
             rows = [i for i, x in enumerate(ns) if x == n]
-            each = [np.cumsum(_unsqueezed(keys[i], "<u8"), dtype=np.uint64) for i in rows]
+            each = [_keys_in(keys[i]) for i in rows]
             every, at = np.unique(np.concatenate(each), return_inverse=True)
             total = np.bincount(at, weights=np.concatenate([_unpack_counts(counts[i]) for i in rows])).astype("<i8")
             if n == 1:
@@ -163,27 +194,40 @@ def score(docs: DataFrame, learn: Column, order: int = 3, mu: float = 2.0, disco
         for row in range(left.num_rows):
             counts, _, at, hashes = read(*(left.column(c)[row].as_py() for c in ("counts", "vocabulary", "tokens")))
             pa.default_memory_pool().release_unused()
-            number, totals = [], []  # for each order: the number of the n-gram that ends at each position (-1: none), and the totals of all n-grams
-            for n, g in enumerate(_grams(hashes, counts, order), 1):
-                keys = np.unique(g[g != 0])
-                ids = np.full(len(g), -1)
-                ids[g != 0] = np.searchsorted(keys, g[g != 0])
+            grams = _grams(hashes, counts, order)
+            del hashes
+            every, totals = [], []  # for each order: all n-grams of the block, and their totals
+            for n, g in enumerate(grams, 1):
+                keys = distinct(g[g != 0])
                 held = np.diff([0, *np.searchsorted(keys, edges).tolist(), len(keys)])
-                total = np.concatenate([_unpack_counts(got[n, r]) for r in np.flatnonzero(held).tolist()]) if len(keys) else np.zeros(0, np.int64)
-                number.append(ids), totals.append(total)
-            starts = np.cumsum(counts) - counts
-            known = totals[0][number[0]]
-            base = np.log10((known + 0.1) / (tokens + 0.1 * (words + 1)))
-            weight = Automaton(number, totals, counts, at, words, tokens, mu, discount).walk(at, counts)
-            sums = lambda x: np.add.reduceat(x, starts)  # noqa: E731  each text has its end token at least
+                every.append(keys), totals.append(np.concatenate([_unpack_counts(got[n, r]) for r in np.flatnonzero(held).tolist()]) if len(keys) else np.zeros(0, np.int64))
+            known, base, weight = _scored(grams, every, totals, counts, at, words, tokens, mu, discount)
             docs_, learnt = left.column("docs")[row].values, left.column("learnt")[row].values
-            out.append(pa.table({key: docs_, "learnt": learnt, "n_tokens": pa.array(counts), "n_known": pa.array(sums((known > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(counts), tokens)), "base_score": pa.array(sums(base)), "score": pa.array(weight)}))
+            out.append(pa.table({key: docs_, "learnt": learnt, "n_tokens": pa.array(counts), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(counts), tokens)), "base_score": pa.array(base), "score": pa.array(weight)}))
         return pa.concat_tables(out) if out else pa.table({key: pa.array([], rows_type), "learnt": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, **{c: pa.array([], pa.float64()) for c in ("base_score", "score")}})
 
     asked = answers.where("block is not null").select("block", "n", "range", "totals")
     return named.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, f"{key} {kind}, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _scored(grams: list[np.ndarray], every: list[np.ndarray], totals: list[np.ndarray], counts: np.ndarray, at: np.ndarray, words: int, tokens: int, mu: float, discount: float, part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known tokens, base score, score) of each text of a block. For each order, grams: the n-gram that ends at each position; every: all of them, ascending, and totals: their training counts. at: the number of each token's word."""
+    out, ends = [], np.cumsum(counts)
+    for i, j in _parts(counts, part):
+        here, many = slice(ends[i] - counts[i], ends[j - 1]), counts[i:j]
+        number, some = [], []  # of the n-grams of a part: that which ends at each position (-1: none), and their totals
+        for g, keys, total in zip((g[here] for g in grams), every, totals, strict=True):
+            ids = np.full(len(g), -1)
+            own, ids[g != 0] = numbered(g[g != 0])
+            number.append(ids), some.append(total[np.searchsorted(keys, own)])
+        known = some[0][number[0]]
+        base = np.log10((known + 0.1) / (tokens + 0.1 * (words + 1)))
+        first = np.cumsum(many) - many  # each text has its end token at least
+        weight = Automaton(number, some, many, at[here], words, tokens, mu, discount).walk(at[here], many)
+        out.append((np.add.reduceat((known > 0).astype(np.int64), first), np.add.reduceat(base, first), weight))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 class Automaton:
     """The part of the automaton that some texts can visit: numbered states, arcs in order of (state, word), failure arcs.
 

@@ -35,6 +35,22 @@ def strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The numbers without repeats, ascending. np.unique fills a hash table first, which takes many times as long as a sort."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct numbers, ascending; the place of each of x among them)."""
+    order = np.argsort(x)
+    ranked = x[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])[: len(x)]
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ranked[new], at
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """64-bit hash of pairs of 64-bit hashes, in order (wraps around)."""
     x = (a ^ (a >> np.uint64(32))) * _GOLD + (b ^ _STEP)
