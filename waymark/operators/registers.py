@@ -133,15 +133,19 @@ def disposals(rows: DataFrame) -> DataFrame:
     return first_of(named, ["e", "p"], ["ref"]).drop("e", "p")
 
 
-def still_closed(closed: DataFrame, open_: DataFrame, metres: float = 100.0, apart: float = 60.0, tile: int = 50) -> DataFrame:
+def still_closed(closed: DataFrame, open_: DataFrame, metres: float = 100.0, apart: float = 60.0, tile: int | None = None) -> DataFrame:
     """Closed schools (key, lat, lng, closed) with no open one within `metres`; of those within `apart` of each other the last to close stays, in that order one by one."""
+    from waymark.operators.resolve import Places, settle
     from waymark.operators.resolve import metres as far
-    from waymark.operators.resolve import settle
+
+    class Kept(Places):
+        def decide(self, r: dict) -> tuple[str, str | None]:
+            return next((p["key"] for p in self.near(r) if far(r, p) < apart), r["key"]), None
 
     left = without_near(closed, open_.select("lat", "lng"), metres, 0.002)
-    made = {"f": F.lit(2), "name": F.lit(None).cast("string"), "kind": F.lit(""), "weight": F.lit(0), "aliases": F.lit(None).cast("array<string>"), "reach": F.lit(apart), "w": -F.coalesce(F.unix_date("closed"), F.lit(-1_000_000))}
+    made = {"f": F.lit(2), "name": F.lit(None).cast("string"), "kind": F.lit(""), "weight": F.lit(0), "aliases": F.lit(None).cast("array<string>"), "reach": F.lit(apart), "decides": F.lit(True), "w": -F.coalesce(F.unix_date("closed"), F.lit(-1_000_000))}
     rows = left.select("key", "lat", "lng", *[v.alias(k) for k, v in made.items()])
-    kept = settle(rows, ["w", "key"], lambda r, grid: (next((p["key"] for p in grid.near(r) if far(r, p) < apart), r["key"]), None), 0.002, tile, "schools")
+    kept = settle(rows, ["w", "key"], Kept, 0.002, tile, 50, "schools")
     return left.join(kept.where("to = key").select("key"), "key", "left_semi")
 
 
