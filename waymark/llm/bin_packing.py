@@ -25,6 +25,8 @@ from .common import blocks, give_back, spare, staged, text_of
 
 #: Matches that the encoder of a packing worker remembers within a task.
 REMEMBER = 200_000
+#: Bytes of text that it is given at once; of twice as much it needs twice the room, beside workers that other stages of a pipeline left behind.
+BLOCK = 2 << 20
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, capacity: int, text: str = "text", key: str = "doc_id", short_first: bool = False) -> DataFrame:
@@ -32,7 +34,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, ca
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, end = encoder(vocabulary, pattern, REMEMBER), np.array([end_id], "<u4").tobytes()
-        for part in blocks(batches, "__t", 4 << 20):
+        for part in blocks(batches, "__t", BLOCK):
             rows: list[tuple] = []
             for d, raw in enumerate(codec.encode(part.column(1).to_pylist())):
                 raw += end
