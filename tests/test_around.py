@@ -86,3 +86,46 @@ def test_ways_to_a_place_in_a_crowd(spark, monkeypatch):
     want = read()
     monkeypatch.setattr(sites, "TASK_PAIRS", 100)
     assert read() == want
+
+
+def on_leg(p, a, b):
+    """A leg's point nearest to a place, on the plane scaled by the place's latitude."""
+    k, x = math.cos(math.radians(p[0])), (p[1] - a[1] + 180) % 360 - 180
+    dx, dy, y = (b[1] - a[1]) * k, b[0] - a[0], p[0] - a[0]
+    long = dx * dx + dy * dy
+    t = min(1, max(0, (x * k * dx + y * dy) / long)) if long else 0
+    return a[0] + t * dy, a[1] + t * (b[1] - a[1])
+
+
+@pytest.mark.parametrize(("lat", "lng", "reach", "cell"), [(0.0, 0.0, 300, 0.003), (51.4, -2.2, 1.5, 0.00005), (60.2, -1.3, 400, 0.02), (-77.5, 179.9, 900, 0.001), (-77.5, -179.9999, 700, 0.01), (89.8, 20.0, 800, 0.005)])
+def test_near_legs_are_all_there_once(spark, lat, lng, reach, cell):
+    rnd, n = random.Random(5), 120
+    wide = reach / 111195 * 3
+    spot = lambda: (max(-90.0, min(90.0, lat + rnd.uniform(-wide, wide))), (lng + rnd.uniform(-wide, wide) / max(0.02, math.cos(math.radians(lat))) + 180) % 360 - 180)
+    legs = [(spot(), spot()) for _ in range(n)]
+    legs = [(a, b) for a, b in legs if abs(a[1] - b[1]) < 180]
+    legs += [(a, a) for a, _ in legs[:20]] + [(a, (a[0], b[1])) for a, b in legs[20:40]] + [(a, (b[0], a[1])) for a, b in legs[40:60]] + [(a, (a[0] + 1e-9, b[1])) for a, b in legs[60:70]]
+    spots = [(i, *spot()) for i in range(n)] + [(n, *legs[0][0]), (n + 1, None, 1.0)]
+    want = {(i, j) for i, *p in spots[:-1] for j, (a, b) in enumerate(legs) if metres(p, on_leg(p, a, b)) <= reach}
+    left = spark.createDataFrame(spots, "key long, lat double, lng double")
+    right = spark.createDataFrame([(j, *a, *b) for j, (a, b) in enumerate(legs)], "key long, a_lat double, a_lng double, b_lat double, b_lng double")
+    got = [(r.key, r.r_key) for r in registers.near_legs(left, right, reach, cell).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_a_crowd_of_private_things_is_not_met_pair_by_pair(spark, monkeypatch):
+    """Where hundreds of lines cross within reach of each place, few pairs are looked at, and the result is that of all pairs."""
+    monkeypatch.setattr(sites, "TASK_PAIRS", 1000)
+    looked, load = [], sites._load
+    monkeypatch.setattr(sites, "_load", lambda *a: looked.append(load(*a).agg(F.sum("pairs")).first()[0] or 0) or load(*a))
+    rnd = random.Random(6)
+    near = lambda: (51.4 + rnd.uniform(0, 0.0054), -2.2 + rnd.uniform(0, 0.0086))
+    kinds = {"a gate": {"barrier": "gate"}, "a path": {"highway": "path"}, "quarry land": {"landuse": "quarry"}, "a parking space": {"amenity": "parking_space"}, "something": {}}
+    lines = [(near(), near(), k) for _ in range(100) for k in kinds]
+    df = spark.createDataFrame([way(a, b, access="no", **kinds[k]) for a, b, k in lines], "line array<struct<lat:double,lng:double>>, tags map<string,string>")
+    spots = [(i, *near()) for i in range(400)]
+    got = {r.key: r.private for r in registers.access_summary(spark.createDataFrame(spots, "key long, lat double, lng double"), df).collect()}
+    for i, *p in spots:
+        least = {k: min(metres(p, on_leg(p, a, b)) for a, b, x in lines if x == k) for k in kinds}
+        assert got[i] == [k for _, k in sorted((round(m), k) for k, m in least.items() if m <= 50)[:3]]
+    assert max(looked) < 150_000  # 181,626 pairs when all within reach were met

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -198,38 +199,92 @@ def stale_intros(titles: DataFrame, intros: DataFrame, as_of: str, days: int = 9
 
 
 PIECE_M = 200.0
-#: Where much stands around a place, looked at before a class's own reach.
-CLOSE_M = (25.0, 100.0)
+#: What it takes to send a row to a cell, and to measure what is near, told in pairs looked at; legs near a place that are likely to have its nearest among them; places that a task holds while legs go by.
+SENT, MEASURED, ENOUGH, HELD = 20, 50, 8, 100_000
+
+
+def line_legs(features: DataFrame) -> DataFrame:
+    """features (line: array of lat, lng; other columns stay) as legs from point to point: a_lat, a_lng, b_lat, b_lng. A lone point is a leg of its own; features without points give none."""
+    points = F.col("line")
+    ends = F.when(F.size(points) == 1, F.array(F.struct(points[0].alias("a"), points[0].alias("b")))).otherwise(F.zip_with(points, F.slice(points, 2, F.greatest(F.lit(1), F.size(points))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    legs = features.withColumn("leg", F.explode(ends)).where("leg.b is not null").drop("line")
+    return legs.withColumns({f"{end}_{c}": F.col(f"leg.{end}.{c}") for end in "ab" for c in ("lat", "lng")}).drop("leg")
 
 
 def line_pieces(features: DataFrame) -> DataFrame:
     """features (line: array of lat, lng; other columns stay) as pieces of at most PIECE_M: a_lat, a_lng, b_lat, b_lng and the middle's lat and lng. A lone point is a piece of its own; features without points give none.
 
     So an index by cell holds a line wherever it runs, and one of any length is many rows. Lines across the 180th meridian are to be cut there."""
-    points = F.col("line")
-    ends = F.when(F.size(points) == 1, F.array(F.struct(points[0].alias("a"), points[0].alias("b")))).otherwise(F.zip_with(points, F.slice(points, 2, F.greatest(F.lit(1), F.size(points))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    legs = features.withColumn("leg", F.explode(ends)).where("leg.b is not null").drop("line")
-    long = geo.haversine_m(F.col("leg.a.lat"), F.col("leg.a.lng"), F.col("leg.b.lat"), F.col("leg.b.lng"))
+    ends = {end: F.struct(F.col(f"{end}_lat").alias("lat"), F.col(f"{end}_lng").alias("lng")) for end in "ab"}
+    legs = line_legs(features).withColumns(ends).drop("a_lat", "a_lng", "b_lat", "b_lng")
+    long = geo.haversine_m(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng"))
     cut = legs.withColumn("n", F.greatest(F.lit(1), F.ceil(long / PIECE_M)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    at = lambda c, i: F.col(f"leg.a.{c}") + (F.col(f"leg.b.{c}") - F.col(f"leg.a.{c}")) * i / F.col("n")
+    at = lambda c, i: F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * i / F.col("n")
     made = {f"{end}_{c}": at(c, F.col("i") + k) for k, end in enumerate("ab") for c in ("lat", "lng")} | {c: at(c, F.col("i") + 0.5) for c in ("lat", "lng")}
-    return cut.withColumns(made).drop("leg", "n", "i")
+    return cut.withColumns(made).drop("a", "b", "n", "i")
 
 
 def nearest_of_piece(lat: Column, lng: Column) -> Column:
     """struct<lat, lng>: the nearest point of a joined piece (r_a_lat ...), on the plane in which longitudes are scaled by the place's own latitude."""
     k = F.cos(F.radians(lat))
+    x = lng - F.col("r_a_lng")
+    x = F.when(F.abs(x) > 180, x - 360 * F.signum(x)).otherwise(x)
     dx, dy = (F.col("r_b_lng") - F.col("r_a_lng")) * k, F.col("r_b_lat") - F.col("r_a_lat")
     long = dx * dx + dy * dy
-    t = F.when(long > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((lng - F.col("r_a_lng")) * k * dx + (lat - F.col("r_a_lat")) * dy) / long))).otherwise(F.lit(0.0))
+    t = F.when(long > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x * k * dx + (lat - F.col("r_a_lat")) * dy) / long))).otherwise(F.lit(0.0))
     return F.struct((F.col("r_a_lat") + t * dy).alias("lat"), (F.col("r_a_lng") + t * (F.col("r_b_lng") - F.col("r_a_lng"))).alias("lng"))
 
 
+def near_legs(spots: DataFrame, legs: DataFrame, metres: float, cell: float) -> DataFrame:
+    """Pairs of spots (lat, lng) and legs (a_lat, a_lng, b_lat, b_lng; all columns get r_) within `metres`: all of them, with p, the leg's nearest point, and metres.
+
+    A leg stands in the cells that it runs through (`cell` degrees), and a spot in those that its circle touches: the smaller both are, the fewer pairs are looked at in vain."""
+    edge = (F.abs("lat") > (80 if metres <= 5_000 else -1)) | (F.abs("lng") > 179)
+    around = sites.circle_cells(spots.where("lat is not null and lng is not null").withColumns({"k": F.cos(F.radians("lat")), "edge": edge}), metres, cell)
+    other = sites.leg_cells(legs.where(" and ".join(f"{c} is not null" for c in ("a_lat", "a_lng", "b_lat", "b_lng"))), cell)
+    other = other.select(*[F.col(c).alias(f"r_{c}") for c in legs.columns], "gy", "gx")
+    # the plane tells most pairs off: its error is below a hundredth here, but not close to a pole nor far away. A box along the leg, which for a point is a circle
+    x, y = (F.col("lng") - F.col("r_a_lng")) * F.col("k"), F.col("lat") - F.col("r_a_lat")
+    dx, dy = (F.col("r_b_lng") - F.col("r_a_lng")) * F.col("k"), F.col("r_b_lat") - F.col("r_a_lat")
+    close, long = 1.02 * metres / 111_194 + 1e-9, F.hypot(dx, dy)
+    beside, along = F.abs(dx * y - dy * x) <= close * long, F.abs(2 * (dx * x + dy * y) - long * long) <= long * (long + 2 * close)
+    met = sites.meet(around, other, spots.columns, HELD, 10).where(F.col("edge") | (beside & along & (F.hypot(x, y) <= long + close)))
+    pairs = met.select("*", F.explode(F.array(nearest_of_piece(F.col("lat"), F.col("lng")))).alias("p"))
+    far = pairs.withColumn("metres", geo.haversine_m(F.col("lat"), F.col("lng"), F.col("p.lat"), F.col("p.lng"))).where(F.col("metres") <= metres)
+    # of all cells that both touch, the one with p has the pair
+    return far.where((F.col("gy") == sites.row_of(F.col("p.lat"), cell)) & (F.col("gx") == sites.column_of(F.col("p.lng"), F.col("gy"), cell))).drop("k", "edge", "gy", "gx")
+
+
+def reach_and_cell(spots: DataFrame, legs: DataFrame, metres: float, last: float, enough: float) -> tuple[float, float] | None:
+    """How far to look for legs around spots so that `enough` of them are found there on average, half a metre beyond a whole number and farther than last; `metres` itself where that is no dearer. And the size of cells, in degrees, with the least work. None where no spots are left.
+
+    All from six sums over a coarse grid: a circle meets legs by their length and number, and so does a cell."""
+    side = 0.005
+    count = lambda df: df.groupBy("gy", "gx")
+    a, b = (F.col("a_lat"), F.col("a_lng")), (F.col("b_lat"), F.col("b_lng"))
+    middle = legs.select(((a[0] + b[0]) / 2).alias("lat"), ((a[1] + b[1]) / 2).alias("lng"), geo.haversine_m(*a, *b).alias("long"))
+    here, there = count(sites.own_cell(spots, "lat", "lng", side)).agg(F.count("*").alias("p")), count(sites.own_cell(middle, "lat", "lng", side)).agg(F.count("*").alias("n"), F.sum("long").alias("m"))
+    p, n, m = (F.coalesce(c, F.lit(0.0)) for c in "pnm")
+    sums = here.join(there, ["gy", "gx"], "full").agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in (p, n, m, p * n, p * m, F.when(n > 0, p))]).first()
+    places, number, length, by_number, by_length, beside = sums
+    if last and not places:
+        return None
+    area = (side * 111_194) ** 2
+    met = lambda r: (2 * r * by_length + math.pi * r * r * by_number) / area
+    looked = lambda w: (w * w * by_number + 4 / math.pi * w * by_length) / area
+    work = lambda r, c: SENT * (number + 4 / math.pi * length / c + places * (1 + 2 * r / c) ** 2) + looked(c + 2 * r)
+    best = lambda r: min((r * 2.0 ** (i / 2) for i in range(-2, 24)), key=lambda c: work(r, c))
+    reach = next((r for r in (n * 2.0**i + 0.5 for i in range(20) for n in (1, 1.5)) if r % 1 and r > last and met(r) >= enough * beside), metres)
+    if reach > metres / 2 or looked(best(metres) + 2 * metres) + MEASURED * met(metres) <= 4 * sites.TASK_PAIRS:
+        reach = metres
+    return reach, best(reach) / 111_194
+
+
 def access_summary(places: DataFrame, features: DataFrame) -> DataFrame:
     """Of each place (key, lat, lng): the nearest public right of way, the nearest other path if nearer, the nearest public car park, and up to three things that are private next to it. A row for every place.
 
-    features: line (array of lat, lng; one point for a node), tags. Paths count within 400 m, parking within 800 m, private things within 50 m. A class is joined by cell with its own reach; minima are made before places meet."""
-    t = lambda k: names.tag(F.col("tags"), k)
+    features: line (array of lat, lng; one point for a node), tags. Paths count within 400 m, parking within 800 m, private things within 50 m. A class is joined by cell with its own reach; where much stands around, what is close by settles most places, and the rest looks farther."""
+    t = lambda k: F.col(f"__{k}")
     yes = lambda c: F.coalesce(c, F.lit(False))
     shut = yes(t("access").isin("private", "no")) | yes(t("foot").isin("private", "no"))
     way, parking = F.size("line") > 1, yes(t("amenity") == "parking")
@@ -241,33 +296,41 @@ def access_summary(places: DataFrame, features: DataFrame) -> DataFrame:
         "parking": (V.PARKING_M, parking & ~shut & ~yes(t("access") == "customers"), F.coalesce(given(t("name")), F.lit("parking"))), "right": (V.PATH_M, ~parking & ~shut & way & right.isNotNull(), right),
         "path": (V.PATH_M, ~parking & ~shut & way & path & right.isNull(), label), "private": (V.PRIVATE_M, ~parking & shut, thing),
     }
-    spots = places.select("key", "lat", "lng")
     kind = F.coalesce(*[F.when(c, F.struct(F.lit(k).alias("class"), what.alias("what"), F.coalesce(given(t("prow_ref")), given(t("ref"))).alias("ref"), yes(t("fee") == "yes").alias("fee"))) for k, (_, c, what) in classes.items()])
-    pieces = staged(line_pieces(features.select("line", judges.leads(kind))), "line-pieces")  # read once for each reach
-    def within(spots: DataFrame, own: DataFrame, reach: float) -> DataFrame:
-        # a piece's middle is within half a piece of its nearest point
-        pairs = near_pairs(spots, own, reach + PIECE_M / 2 + 1, cell(reach), dear=50).select("*", F.explode(F.array(nearest_of_piece(F.col("lat"), F.col("lng")))).alias("p"))
-        far = pairs.withColumn("m", geo.haversine_m(F.col("lat"), F.col("lng"), F.col("p.lat"), F.col("p.lng"))).where(F.col("m") <= reach)
+    # tags are looked up once; legs are read once for each reach, and by all cores: a file of few bytes would else be one task, though each of its legs goes to many cells
+    cores = places.sparkSession.sparkContext.defaultParallelism
+    asked = features.select("line", *[names.tag(F.col("tags"), k).alias(f"__{k}") for k in ("access", "foot", "amenity", "highway", "designation", "barrier", "landuse", "leisure", "name", "prow_ref", "ref", "fee")])
+    legs = staged(line_legs(asked.select("line", judges.leads(kind))).repartition(cores, "a_lat", "a_lng"), "legs")
+    spots = staged(places.select("key", "lat", "lng").repartition(cores, "key"), "spots")
+
+    def nearest(pairs: DataFrame) -> DataFrame:
         wind = geo.compass(geo.bearing_deg(F.col("lat"), F.col("lng"), F.col("p.lat"), F.col("p.lng")))
-        return far.select("key", F.col("r_class").alias("class"), F.bround("m", 0).cast("bigint").alias("d"), F.col("r_what").alias("what"), wind.alias("direction"), F.col("r_ref").alias("ref"), F.col("r_fee").alias("fee"))
-
-    cell = lambda reach: min(0.005, (reach + PIECE_M / 2) / 111_195)
-    found = []
-    for k, (reach, *_) in classes.items():
-        own, left = pieces.where(F.col("class") == k), spots
-        if k != "private" and sites.pairs_to_compare(spots, own, reach + PIECE_M / 2 + 1, cell(reach)) > sites.TASK_PAIRS:
-            for close in CLOSE_M:  # where much is around, what is close by settles most places; of equal metres all are then known
-                near = staged(within(left, own, close).groupBy("key", "class", "what").agg(F.min(F.struct("d", "direction", "ref", "fee")).alias("n")).select("key", "class", "n.d", "what", "n.direction", "n.ref", "n.fee"), "close-by")
-                found.append(near)
-                left = staged(left.join(near.where(F.col("d") <= close - 1).select("key").distinct(), "key", "left_anti"), "without")
-        found.append(within(left, own, reach))
-    told = functools.reduce(DataFrame.unionAll, found)
-    nearest = told.groupBy("key", "class", "what").agg(F.min(F.struct("d", "what", "direction", "ref", "fee")).alias("n"))
-    least = lambda k: F.min(F.when(F.col("class") == k, F.col("n"))).alias(k)
-    private = F.slice(F.array_sort(F.collect_list(F.when(F.col("class") == "private", F.struct("n.d", "n.what")))), 1, 3)  # as many as there are kinds of things
-    by = nearest.groupBy("key").agg(least("right"), least("path"), least("parking"), F.transform(private, lambda x: x["what"]).alias("private"))
+        far = pairs.withColumn("d", F.bround("metres", 0).cast("bigint"))
+        return far.groupBy("key").agg(F.min(F.struct("d", F.col("r_what").alias("what"), wind.alias("direction"), F.col("r_ref").alias("ref"), F.col("r_fee").alias("fee"))).alias("n"))
+
+    def three(pairs: DataFrame) -> DataFrame:
+        least = pairs.groupBy("key", F.col("r_what").alias("what")).agg(F.min(F.bround("metres", 0).cast("bigint")).alias("d"))
+        return least.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "what"))), 1, 3).alias("n"))  # as many as there are kinds of things
+
+    def told(k: str, reach: float) -> DataFrame:
+        own, left, close, found = legs.where(F.col("class") == k).drop("class"), spots, 0.0, []
+        own = own.drop("ref", "fee") if k == "private" else own
+        most = own.select("what").distinct().limit(3).count() if k == "private" else 1
+        while close < reach and (planned := reach_and_cell(left, own, reach, close, ENOUGH * most)):
+            close, cell = planned
+            near = (three if k == "private" else nearest)(near_legs(left, own, close, cell))
+            if close < reach:
+                near = staged(near, "close-by")
+                # what isn't found yet is farther off than any of these, and of equal metres all are found
+                near = near.where((F.get("n", F.lit(most - 1))["d"] if k == "private" else F.col("n.d")) <= close - 0.5)
+                left = staged(left.join(near.select("key"), "key", "left_anti"), "without")
+            found.append(near)
+        return functools.reduce(DataFrame.unionAll, found).withColumnRenamed("n", k)
+
+    by = functools.reduce(lambda by, k: by.join(told(k, classes[k][0]), "key", "left"), classes, places.select("key"))
     nearer = F.when(F.col("right").isNull() | (F.col("path.d") < F.col("right.d")), F.col("path"))
-    return places.select("key").join(by, "key", "left").select("key", F.col("right").alias("right_of_way"), nearer.alias("path"), "parking", F.coalesce("private", F.array().cast("array<string>")).alias("private"))
+    private = F.coalesce(F.transform("private", lambda x: x["what"]), F.array().cast("array<string>"))
+    return by.select("key", F.col("right").alias("right_of_way"), nearer.alias("path"), "parking", private.alias("private"))
 
 
 def railway_structures(rows: DataFrame) -> DataFrame:
