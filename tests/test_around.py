@@ -115,7 +115,7 @@ def test_near_legs_are_all_there_once(spark, lat, lng, reach, cell):
 
 def test_a_crowd_of_private_things_is_not_met_pair_by_pair(spark, monkeypatch):
     """Where hundreds of lines cross within reach of each place, few pairs are looked at, and the result is that of all pairs."""
-    monkeypatch.setattr(sites, "TASK_PAIRS", 1000)
+    monkeypatch.setattr(sites, "TASK_PAIRS", 20_000)
     looked, load = [], sites._load
     monkeypatch.setattr(sites, "_load", lambda *a: looked.append(load(*a).agg(F.sum("pairs")).first()[0] or 0) or load(*a))
     rnd = random.Random(6)
